@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.functions.scalar import MIN_TRAIN_ROWS, clean, mapped
-from hazardframe.operators.ordered import quantiles
+from hazardframe.operators.ordered import quantiles, range_bounds, running
 from hazardframe.session import cut_lineage
 from hazardframe.sources.tables import numeric_features, quoted
 
@@ -108,74 +108,93 @@ def require_min_rows(df: DataFrame, least: int = MIN_TRAIN_ROWS) -> None:
         raise ValueError(f"Dataset too small for training ({n} rows, at least {least} are required).")
 
 
-def _bracket(df: DataFrame, column: str, names: list[str]) -> list[tuple[int, float, float]]:
-    """Per position: non-null count and a value interval that holds the middle, in one scan."""
+def _cells(column: str, p: int, masks: list[Column | None]) -> list[Column]:
+    """The cells of the feature array, once per row mask: position ``g * p + j`` is feature j under mask g."""
+    plain = [clean(F.col(column)[j]) for j in range(p)]
+    return [v if m is None else F.when(m, v) for m in masks for v in plain]
+
+
+def _chunked_row(df: DataFrame, cells: list[Column], functions: list) -> list:
+    """Aggregate every cell with every function, ``CHUNK`` cells per scan; returns one tuple per cell."""
     out = []
-    for at in range(0, len(names), CHUNK):
-        aggs = []
-        for i in range(at, min(at + CHUNK, len(names))):
-            v = clean(F.col(column)[i])
-            aggs += [F.count(v), F.percentile_approx(v, [0.499, 0.501], 10_000), F.min(v), F.max(v)]
-        row = df.agg(*aggs).first()
-        for j in range(0, len(row), 4):
-            n, q, lo, hi = row[j:j + 4]
-            out.append((n, lo, hi) if n < 5_000 else (n, q[0], q[1]))
+    for at in range(0, len(cells), CHUNK):
+        row = df.agg(*[f(c) for c in cells[at:at + CHUNK] for f in functions]).first()
+        out += [tuple(row[i:i + len(functions)]) for i in range(0, len(row), len(functions))]
     return out
 
 
-@dataclass
-class MedianImputer:
-    """Exact per-position medians of an ``array<double>`` column, learned on the training rows.
+def masked_medians(df: DataFrame, column: str, names: list[str], masks: list[Column | None] = (None,)) -> list[list[float]]:
+    """Exact medians of every array position under every row mask.
 
-    One scan brackets every median between two values of a sketch; a second counts what lies below and keeps only
+    One scan brackets each median between two values of a sketch; a second counts what lies below and keeps only
     the values inside the brackets, about 0.2 % of the cells, so the wide matrix itself is never shuffled.
     """
+    p = len(names)
+    cells = _cells(column, p, list(masks))
+    sketch = lambda c: F.percentile_approx(c, [0.499, 0.501], 10_000)
+    brackets = [(n, lo, hi) if n < 5_000 else (n, q[0], q[1])
+                for n, q, lo, hi in _chunked_row(df, cells, [F.count, sketch, F.min, F.max])]
+    empty = sorted({names[i % p] for i, b in enumerate(brackets) if b[0] == 0})
+    if empty:
+        raise ValueError(f"Columns without any value cannot be imputed: {empty}")
+    low, high = F.lit([float(b[1]) for b in brackets]), F.lit([float(b[2]) for b in brackets])
+    zipped = F.arrays_zip(F.array(*cells).alias("v"), low.alias("lo"), high.alias("hi"))
+    flat = df.select(F.posexplode(zipped).alias("pos", "c")).select("pos", "c.*").where("v IS NOT NULL AND v <= hi")
+    # Everything below a bracket collapses to one entry per position before the shuffle.
+    kept = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    counts = cut_lineage(flat.groupBy("pos", kept.alias("v")).agg(F.count("*").alias("n")))
+    below = {r.pos: r.n for r in counts.where("v IS NULL").collect()}
+    counts = counts.where("v IS NOT NULL")
+    ranked = running(counts, ["pos"], "v", {"hi": ("sum", "n")}, bounds=range_bounds(counts, "v"))
+
+    def value_at(rank) -> Column:
+        wanted = F.lit([rank(b[0]) - below.get(i, 0) for i, b in enumerate(brackets)])[F.col("pos")]
+        return F.max(F.when((wanted < F.col("hi")) & (wanted >= F.col("hi") - F.col("n")), F.col("v")))
+
+    rows = ranked.groupBy("pos").agg(value_at(lambda n: (n - 1) // 2).alias("a"),
+                                     value_at(lambda n: n // 2).alias("b")).collect()
+    found = {r.pos: (r.a + r.b) / 2 for r in rows}
+    return [[found[g * p + j] for j in range(p)] for g in range(len(masks))]
+
+
+def masked_moments(df: DataFrame, column: str, names: list[str], masks: list[Column | None] = (None,),
+                   fills: list[list[float]] | None = None) -> tuple[list[list[float]], list[list[float]]]:
+    """Population mean and deviation of every position under every mask, nulls replaced by ``fills``.
+
+    A constant column gets deviation one.
+    """
+    p = len(names)
+    cells = []
+    for g, m in enumerate(masks):
+        for j in range(p):
+            v = clean(F.col(column)[j])
+            v = v if fills is None else F.coalesce(v, F.lit(float(fills[g][j])))
+            cells.append(v if m is None else F.when(m, v))
+    rows = _chunked_row(df, cells, [F.avg, F.stddev_pop])
+    grid = lambda k, f: [[f(rows[g * p + j][k]) for j in range(p)] for g in range(len(masks))]
+    return grid(0, float), grid(1, lambda s: float(s) if s else 1.0)
+
+
+@dataclass
+class MedianImputer:
+    """Exact per-position medians of an ``array<double>`` column, learned on the training rows."""
 
     names: list[str]
     column: str = "features"
     medians: list[float] | None = None
 
     def fit(self, df: DataFrame) -> "MedianImputer":
-        brackets = _bracket(df, self.column, self.names)
-        empty = [n for n, (count, _, _) in zip(self.names, brackets) if count == 0]
-        if empty:
-            raise ValueError(f"Columns without any value cannot be imputed: {empty}")
-        low, high = F.lit([float(b[1]) for b in brackets]), F.lit([float(b[2]) for b in brackets])
-        cells = F.arrays_zip(F.transform(F.col(self.column), lambda v: clean(v)).alias("v"),
-                             low.alias("lo"), high.alias("hi"))
-        flat = df.select(F.posexplode(cells).alias("pos", "c")).select("pos", "c.*").where("v IS NOT NULL AND v <= hi")
-        inside = F.col("v") >= F.col("lo")
-        # Everything below a bracket collapses to one entry per position before the shuffle.
-        counts = cut_lineage(flat.groupBy("pos", F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("n")))
-        below = {r.pos: r.n for r in counts.where("v IS NULL").collect()}
-        ranks = {}
-        for pos, (n, _, _) in enumerate(brackets):
-            ranks[pos] = ((n - 1) // 2 - below.get(pos, 0), n // 2 - below.get(pos, 0))
-        self.medians = _pick_ranks(counts.where("v IS NOT NULL"), ranks)
+        self.medians = masked_medians(df, self.column, self.names)[0]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        fills = F.lit([float(m) for m in self.medians])
-        return df.withColumn(self.column, F.zip_with(F.col(self.column), fills,
+        return df.withColumn(self.column, F.zip_with(F.col(self.column), F.lit([float(m) for m in self.medians]),
                                                      lambda v, m: F.coalesce(clean(v), m)))
 
 
-def _pick_ranks(counts: DataFrame, ranks: dict[int, tuple[int, int]]) -> list[float]:
-    from hazardframe.operators.ordered import range_bounds, running
-
-    bounds = range_bounds(counts, "v")
-    ranked = running(counts, ["pos"], "v", {"hi": ("sum", "n")}, bounds=bounds)
-    wanted = lambda side: F.lit([int(ranks[p][side]) for p in sorted(ranks)])[F.col("pos")]
-    hit = lambda side: F.max(F.when((wanted(side) < F.col("hi")) & (wanted(side) >= F.col("hi") - F.col("n")),
-                                    F.col("v")))
-    rows = ranked.groupBy("pos").agg(hit(0).alias("a"), hit(1).alias("b")).collect()
-    found = {r.pos: (r.a + r.b) / 2 for r in rows}
-    return [found[p] for p in sorted(ranks)]
-
-
 @dataclass
 class ZScore:
-    """Population mean and deviation per position; a constant column is divided by one."""
+    """Population mean and deviation per position, learned on the training rows."""
 
     names: list[str]
     column: str = "features"
@@ -183,12 +202,8 @@ class ZScore:
     deviations: list[float] | None = None
 
     def fit(self, df: DataFrame) -> "ZScore":
-        self.means, self.deviations = [], []
-        for at in range(0, len(self.names), CHUNK):
-            cols = [F.col(self.column)[i] for i in range(at, min(at + CHUNK, len(self.names)))]
-            row = df.agg(*[f(c) for c in cols for f in (F.avg, F.stddev_pop)]).first()
-            self.means += [float(v) for v in row[0::2]]
-            self.deviations += [float(v) if v else 1.0 for v in row[1::2]]
+        means, deviations = masked_moments(df, self.column, self.names)
+        self.means, self.deviations = means[0], deviations[0]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -205,4 +220,4 @@ def column_medians(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 __all__ = ["merge_cohort", "cohort_counts", "map_encode", "OneHot", "CohortEncoder", "survival_target", "assemble",
-           "require_min_rows", "MedianImputer", "ZScore", "column_medians", "numeric_features"]
+           "require_min_rows", "masked_medians", "masked_moments", "MedianImputer", "ZScore", "column_medians", "numeric_features"]

@@ -62,9 +62,9 @@ def event_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event gaps with a fixed risk score, rounded so that ties are frequent."""
+    """Event gaps with a fixed coarse risk score, in which ties are frequent."""
     return event_gap(spark, sf_dir).withColumn(
-        "eta", F.round(F.col("value") / 50 - F.col("hour") / 24 + F.col("k") / 200, 2))
+        "eta", (F.floor(F.col("value") / 5) - F.col("hour") + F.floor(F.col("k") / 10)) / 10)
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:

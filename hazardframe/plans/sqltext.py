@@ -48,7 +48,7 @@ gap AS (
          coalesce(lead(event_type) OVER w = 'purchase', false) AS event, event_type AS kind, value,
          CAST(hour(ts) AS INTEGER) AS hour, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-sgap AS (SELECT gap.*, round(value / 50 - hour / 24 + k / 200, 2) AS eta FROM gap)"""
+sgap AS (SELECT gap.*, (floor(value / 5) - hour + floor(k / 10)) / 10 AS eta FROM gap)"""
 
 
 def split_cte(source: str, name: str = "parts", seed: int = 42, fraction: float = 0.8) -> str:
