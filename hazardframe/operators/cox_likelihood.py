@@ -85,8 +85,11 @@ def _vectors(keys, vecs, key_type) -> pa.RecordBatch:
                                       names=["key", "vec"])
 
 
-def sum_vectors(df: DataFrame, key_type: str) -> DataFrame:
-    """Element-wise sum of ``vec`` per ``key``; each task keeps one running vector per key it owns."""
+def sum_vectors(df: DataFrame, key_type: str, combine: bool = False) -> DataFrame:
+    """Element-wise sum of ``vec`` per ``key``; each task keeps one running vector per key it owns.
+
+    ``combine`` first sums inside the producing tasks, for sources that give many rows per key and task.
+    """
     arrow = pa.float64() if key_type == "double" else pa.int64()
 
     def add(batches):
@@ -102,7 +105,10 @@ def sum_vectors(df: DataFrame, key_type: str) -> DataFrame:
         for ks in by_size.values():
             yield _vectors(ks, [held[k] for k in ks], arrow)
 
-    return df.repartition(F.col("key")).mapInArrow(add, f"key {key_type}, vec array<double>")
+    schema = f"key {key_type}, vec array<double>"
+    if combine:
+        df = df.mapInArrow(add, schema)
+    return df.repartition(F.col("key")).mapInArrow(add, schema)
 
 
 def _merge_times(t, rows, keep_t, keep_rows):
@@ -126,24 +132,31 @@ class Likelihood:
         self.limit = max_curve_cells
         self.bounds = range_bounds(times, "time") if self.n_times > max_curve_cells else []
 
-    def models_per_scan(self) -> int:
-        return max(1, self.limit // max(1, self.n_times))
+    def models_per_scan(self, working: int = 0) -> int:
+        """How many models fit the checked size together, with ``working`` curvature features each."""
+        return max(1, self.limit // max(1, self.n_times * (3 + working)))
+
+    def _time_sums(self, models: Models, working: list[np.ndarray]) -> DataFrame:
+        """Per distinct time, a vector that holds for each model: sum of exp(eta), deaths, sum of exp(eta) * features."""
+        starts = np.concatenate([[0], np.cumsum([2 + len(w) for w in working])])
 
-    def _time_sums(self, models: Models) -> DataFrame:
-        """Per distinct time, for each model, sum of exp(eta) and deaths: ``(key = time, vec)``."""
         def scan(batches):
             keep_t = keep_rows = None
-            k = len(models.beta)
             for b in batches:
                 if b.num_rows == 0:
                     continue
                 t, e, x, folds = _unpack(b)
-                rows = np.zeros((len(t), 2 * k))
+                rows = np.zeros((len(t), starts[-1]))
                 for s, ids in models.groups():
                     inside = s.rows(folds, len(t))
-                    eta = np.clip(s.design(x) @ models.beta[ids].T, -MAX_SCORE, MAX_SCORE)
-                    rows[:, ids] = np.exp(eta) * inside[:, None]
-                    rows[:, k + ids] = (e * inside)[:, None]
+                    z = s.design(x)
+                    risk = np.exp(np.clip(z @ models.beta[ids].T, -MAX_SCORE, MAX_SCORE)) * inside[:, None]
+                    for j, m in enumerate(ids):
+                        at = starts[m]
+                        rows[:, at] = risk[:, j]
+                        rows[:, at + 1] = e * inside
+                        if len(working[m]):
+                            rows[:, at + 2:starts[m + 1]] = z[:, working[m]] * risk[:, [j]]
                 keep_t, keep_rows = _merge_times(t, rows, keep_t, keep_rows)
             if keep_t is not None:
                 for i in range(0, len(keep_t), CHUNK):
@@ -151,43 +164,55 @@ class Likelihood:
 
         return sum_vectors(self.df.mapInArrow(scan, "key double, vec array<double>"), "double")
 
-    def _curves(self, models: Models):
-        """(times, H0, Q0) arrays, or a DataFrame keyed by time when they are too large; and sum of d log S0."""
+    def _held_curves(self, models: Models, working: list[np.ndarray]):
+        """Curves as arrays: (times, H0), the sum of d log S0, and the risk-set part of the curvature, per model."""
+        local = self._time_sums(models, working).toPandas().sort_values("key")
+        vec = np.stack(local["vec"].to_numpy())
+        hazards, logs, corrections, at = [], [], [], 0
+        for w in working:
+            block, at = vec[:, at:at + 2 + len(w)], at + 2 + len(w)
+            deaths = block[:, 1]
+            risk = np.cumsum(block[::-1], axis=0)[::-1]
+            safe = np.where(risk[:, 0] > 0, risk[:, 0], 1.0)
+            hazards.append(np.cumsum(deaths / safe))
+            logs.append((deaths * np.log(safe)).sum())
+            mean = risk[:, 2:] / safe[:, None]
+            corrections.append((mean * deaths[:, None]).T @ mean)
+        return (local["key"].to_numpy(), np.stack(hazards, axis=1)), np.asarray(logs), corrections
+
+    def _joined_curves(self, models: Models):
+        """The same curves as a table keyed by time, for more distinct times than may be held; and sum of d log S0."""
         k = len(models.beta)
-        sums = self._time_sums(models)
-        if self.n_times * k <= self.limit:
-            local = sums.toPandas().sort_values("key")
-            vec = np.stack(local["vec"].to_numpy())
-            risk = np.cumsum(vec[::-1, :k], axis=0)[::-1]
-            deaths = vec[:, k:]
-            safe = np.where(risk > 0, risk, 1.0)
-            inc = deaths / safe
-            logs = (deaths * np.log(safe)).sum(axis=0)
-            return (local["key"].to_numpy(), np.cumsum(inc, axis=0), np.cumsum(inc / safe, axis=0)), logs
-        pairs = F.arrays_zip(F.slice("vec", 1, k).alias("r"), F.slice("vec", k + 1, k).alias("d"))
+        sums = self._time_sums(models, [np.arange(0)] * k)
+        pairs = F.array(*[F.struct(F.col("vec")[2 * m].alias("r"), F.col("vec")[2 * m + 1].alias("d")) for m in range(k)])
         long = cut_lineage(sums.select(F.col("key").alias("time"), F.posexplode(pairs).alias("model", "c"))
                            .select("time", "model", "c.*"))
         risk = running(long, ["model"], "time", {"s": ("sum", "r")}, descending=True, bounds=self.bounds)
         risk = risk.withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
         steps = cut_lineage(risk.select("model", "time", "d", "s", (F.col("d") / F.col("s")).alias("inc"),
                                         (F.col("d") / F.col("s") / F.col("s")).alias("inc2")))
-        rows = steps.groupBy("model").agg(F.sum(F.col("d") * F.ln("s")).alias("l")).collect()
         logs = np.zeros(k)
-        for r in rows:
+        for r in steps.groupBy("model").agg(F.sum(F.col("d") * F.ln("s")).alias("l")).collect():
             logs[r["model"]] = r["l"]
         cum = running(steps, ["model"], "time", {"h": ("sum", "inc"), "q": ("sum", "inc2")}, bounds=self.bounds)
         lists = cum.groupBy("time").agg(F.array_sort(F.collect_list(F.struct("model", "h", "q"))).alias("l"))
         return lists.select("time", F.col("l.h").alias("h0"), F.col("l.q").alias("q0")), logs
 
     def evaluate(self, models: Models, working: list[np.ndarray] | None = None) -> dict[str, list]:
-        """Log likelihood, gradient, training rows, and the curvature restricted to ``working`` features, per model."""
+        """Log likelihood, gradient, training rows, and the curvature restricted to ``working`` features, per model.
+
+        The curvature is exact while the per-time sums fit the checked size; otherwise the curves are joined by time
+        and its diagonal (in the scores) is used, which needs more steps and reaches the same optimum.
+        """
         k, p = models.beta.shape
         working = working if working is not None else [np.arange(0)] * k
-        curves, logs = self._curves(models)
-        if isinstance(curves, tuple):
+        width = sum(2 + len(w) for w in working)
+        if self.n_times * width <= self.limit:
+            curves, logs, corrections = self._held_curves(models, working)
             held, source = self.df.sparkSession.sparkContext.broadcast(curves), self.df
         else:
-            held, source = None, self.df.join(curves, "time")
+            curves, logs = self._joined_curves(models)
+            held, source, corrections = None, self.df.join(curves, "time"), None
         sizes = [2 + p + len(w) ** 2 for w in working]
         per_model = max(-(-s // CHUNK) for s in sizes)
 
@@ -197,20 +222,16 @@ class Likelihood:
                 if b.num_rows == 0:
                     continue
                 t, e, x, folds = _unpack(b)
-                if held is not None:
-                    at, h, q = held.value
-                    pos = np.searchsorted(at, t)
-                    h0, q0 = h[pos], q[pos]
-                else:
-                    h0, q0 = matrix(b, "h0"), matrix(b, "q0")
+                h0 = held.value[1][np.searchsorted(held.value[0], t)] if held is not None else matrix(b, "h0")
                 for s, ids in models.groups():
                     inside = s.rows(folds, len(t)).astype(float)
                     z = s.design(x)
                     eta = np.clip(z @ models.beta[ids].T, -MAX_SCORE, MAX_SCORE)
                     risk = np.exp(eta) * inside[:, None]
-                    resid = (e * inside)[:, None] - risk * h0[:, ids]
-                    grad = resid.T @ z
-                    weight = np.maximum(risk * h0[:, ids] - risk * risk * q0[:, ids], 0.0)
+                    expected = risk * h0[:, ids]
+                    grad = ((e * inside)[:, None] - expected).T @ z
+                    weight = expected if held is not None else np.maximum(
+                        expected - risk * risk * matrix(b, "q0")[:, ids], 0.0)
                     died = (e * inside) @ eta
                     for j, m in enumerate(ids):
                         w = working[m]
@@ -232,10 +253,11 @@ class Likelihood:
         for m in range(k):
             v = np.concatenate([parts[m * per_model + c] for c in range(-(-sizes[m] // CHUNK))])
             w = len(working[m])
+            curvature = v[2 + p:].reshape(w, w)
             out["loglik"].append(v[0] - logs[m])
             out["n"].append(v[1])
             out["gradient"].append(v[2:2 + p])
-            out["curvature"].append(v[2 + p:].reshape(w, w))
+            out["curvature"].append(curvature if corrections is None else curvature - corrections[m])
         return out
 
 

@@ -73,7 +73,7 @@ def fit_models(df: DataFrame, sets: list[TrainSet], alphas: list[float], weights
     like = likelihood or Likelihood(df)
     pairs = [(g, a) for g in range(len(sets)) for a in range(len(alphas))]
     out = np.zeros((len(sets), len(alphas), p))
-    step = like.models_per_scan()
+    step = like.models_per_scan(min(p, working_set))
     for at in range(0, len(pairs), step):
         chunk = pairs[at:at + step]
         betas = _advance(like, sets, chunk, alphas, w, tol, max_iter, working_set)
@@ -179,13 +179,18 @@ class LassoCox:
                    spark.read.parquet(f"{path}/baseline"))
 
 
-def held_out_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, train: bool = False) -> DataFrame:
-    """Concordance of every (set, alpha) model on the rows its set holds out (or on its training rows).
+def fold_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, sides: tuple[str, ...] = ("test",)) -> DataFrame:
+    """Concordance of every (set, alpha) model on the rows its set holds out and, if asked, on its training rows.
 
-    The rows are scored in Arrow batches and expanded only to the models that do not train on them.
+    The rows are scored in Arrow batches and expanded only to the models that are judged on them. The held-out rows of
+    an inner fold are those of its own outer training part.
     """
     n_sets, n_alphas, _ = betas.shape
 
+    def judged(s: TrainSet, side: str, folds, n: int) -> np.ndarray:
+        inside = s.rows(folds, n)
+        return inside if side == "train" else TrainSet(s.held_out[:-1]).rows(folds, n) & ~inside
+
     def scan(batches):
         for b in batches:
             if b.num_rows == 0:
@@ -193,25 +198,20 @@ def held_out_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, trai
             t, e, x, folds = _unpack(b)
             parts = []
             for g, s in enumerate(sets):
-                inside = s.rows(folds, len(t))
-                rows = np.nonzero(inside if train else ~inside)[0]
-                if train is False and len(s.held_out) > 1:  # the inner fold of an outer training set
-                    outer = TrainSet(s.held_out[:-1]).rows(folds, len(t))
-                    rows = np.nonzero(outer & ~inside)[0]
-                if not len(rows):
-                    continue
-                eta = np.clip(s.design(x[rows]) @ betas[g].T, -MAX_SCORE, MAX_SCORE)
-                for a in range(n_alphas):
-                    parts.append(pd.DataFrame({"model": g * n_alphas + a, "time": t[rows], "event": e[rows] > 0, "eta": eta[:, a]}))
+                eta = np.clip(s.design(x) @ betas[g].T, -MAX_SCORE, MAX_SCORE)
+                for side in sides:
+                    rows = np.nonzero(judged(s, side, folds, len(t)))[0]
+                    parts += [pd.DataFrame({"side": side, "model": g * n_alphas + a, "time": t[rows], "event": e[rows] > 0,
+                                            "eta": eta[rows, a]}) for a in range(n_alphas) if len(rows)]
             if parts:
                 yield pa.RecordBatch.from_pandas(pd.concat(parts, ignore_index=True), preserve_index=False)
 
     cols = ["time", "event", "features", *(["folds"] if "folds" in df.columns else [])]
     plain = df.select(*cols).withColumns({"time": F.col("time").cast("double"), "event": F.col("event").cast("boolean")})
-    scored = plain.mapInArrow(scan, "model bigint, time double, event boolean, eta double")
-    index = concordance_index(cut_lineage(scored), "time", "event", "eta", ["model"])
-    return index.select((F.col("model") / n_alphas).cast("int").alias("set"), (F.col("model") % n_alphas).cast("int").alias("alpha_no"),
-                        "c_index")
+    scored = plain.mapInArrow(scan, "side string, model bigint, time double, event boolean, eta double")
+    index = concordance_index(cut_lineage(scored), "time", "event", "eta", ["side", "model"])
+    return index.select("side", (F.col("model") / n_alphas).cast("int").alias("set"),
+                        (F.col("model") % n_alphas).cast("int").alias("alpha_no"), "c_index")
 
 
 @dataclass
@@ -241,7 +241,7 @@ class GridSearch:
 
 def _search(df, sets, alphas, weights, tol, max_iter) -> GridSearch:
     betas = fit_models(df, sets, alphas, weights, tol, max_iter)
-    scores = {(r["set"], r["alpha_no"]): r["c_index"] for r in held_out_scores(df, sets, betas).collect()}
+    scores = {(r["set"], r["alpha_no"]): r["c_index"] for r in fold_scores(df, sets, betas).collect()}
     return GridSearch(list(alphas), {k: FAILED_SCORE if v is None else v for k, v in scores.items()}, len(sets))
 
 
@@ -282,11 +282,11 @@ def nested_cv(df: DataFrame, names: list[str], alphas: list[float] | None = None
             part = cut_lineage(part.withColumn("folds", F.concat("folds", inner)).drop("__in", *[f"__f{q}" for q in range(repeats)]))
             fold = (r, f)
             inside = [TrainSet((fold, (repeats + q, g))) for q in range(repeats) for g in range(k)]
-            found = _search(part, _prepared(part, names, inside), alphas, weights, tol, max_iter)
-            final = _prepared(part, names, [TrainSet((fold,))])
-            beta = fit_models(part, final, [found.best_alpha], weights, tol, max_iter)
-            score = lambda train: (held_out_scores(part, final, beta, train).first() or {"c_index": None})["c_index"]
-            rows.append((r, f, float(found.best_alpha), _or_failed(score(True)), _or_failed(score(False))))
+            *inside, final = _prepared(part, names, [*inside, TrainSet((fold,))])
+            found = _search(part, inside, alphas, weights, tol, max_iter)
+            beta = fit_models(part, [final], [found.best_alpha], weights, tol, max_iter)
+            score = {x["side"]: x["c_index"] for x in fold_scores(part, [final], beta, ("train", "test")).collect()}
+            rows.append((r, f, float(found.best_alpha), _or_failed(score.get("train")), _or_failed(score.get("test"))))
     return df.sparkSession.createDataFrame(rows, "repeat int, fold int, alpha double, train_score double, test_score double")
 
 
