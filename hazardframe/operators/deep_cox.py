@@ -126,6 +126,19 @@ def _slices(n: int, size: int) -> list[tuple[int, int]]:
     return cuts
 
 
+def _numbered(rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """Number the copies of identical rows, so that a row repeated very often is dealt to all shards.
+
+    Copies are counted first and written out again in blocks that are spread over the tasks.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    spread = blocks.repartition(F.xxhash64(*names, "b"))
+    last = F.least(F.col("n"), (F.col("b") + 1) * block) - 1
+    return spread.select(*names, F.explode(F.sequence(F.col("b") * block, last)).alias("copy"))
+
+
 @dataclass
 class DeepCox:
     """Hidden layers of Linear, BatchNorm, ReLU and Dropout, then one linear score."""
@@ -147,8 +160,8 @@ class DeepCox:
     def fit(self, df: DataFrame, epochs: int = 200, batch_size: int = 64, shards: int | None = None) -> "DeepCox":
         """``df`` has ``time``, ``event`` and a scaled ``features`` array."""
         net, spark = self.network, df.sparkSession
-        rows = cut_lineage(df.select(F.col("time").cast("double").alias("time"), F.col("event").cast("double").alias("event"),
-                                     "features"))
+        rows = cut_lineage(_numbered(df.select(F.col("time").cast("double").alias("time"),
+                                               F.col("event").cast("double").alias("event"), "features")))
         n = rows.count()
         largest = max(batch_size, min(MAX_SHARD_ROWS, SHARD_BYTES // (8 * max(1, net.inputs))))
         least = math.ceil(n / largest)
@@ -190,7 +203,7 @@ class DeepCox:
             return pa.Table.from_batches([_vectors([c // CHUNK], vec[None, c:c + CHUNK], pa.int64())
                                           for c in range(0, len(vec), CHUNK)])
 
-        place = F.xxhash64("time", "event", "features", F.lit(epoch), F.lit(self.seed))
+        place = F.xxhash64("time", "event", "features", "copy", F.lit(epoch), F.lit(self.seed))
         dealt = rows.withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
         parts = dealt.groupBy("shard").applyInArrow(train, "key bigint, vec array<double>")
         got = {r["key"]: np.asarray(r["vec"]) for r in sum_vectors(parts, "bigint", combine=True).collect()}

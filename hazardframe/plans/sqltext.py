@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 
+HALF_BREAKER = 1e-9
+
+
 def fixed(df, digits: int = 6):
-    """Round the floating columns, without negative zeros, so that two engines print the same value."""
+    """Round the floating columns so that two engines print the same value.
+
+    The tiny offset decides exact halves, which the engines would round apart, and removes negative zeros.
+    """
     from pyspark.sql import functions as F
 
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in floats else F.col(f"`{c}`")
+    return df.select(*[F.round(F.col(f"`{c}`") + F.lit(HALF_BREAKER), digits).alias(c) if c in floats else F.col(f"`{c}`")
                        for c in df.columns])
 
 
@@ -17,7 +23,7 @@ def rounded_sql(body: str, columns: str, digits: int = 6) -> str:
     out = []
     for c in columns.split():
         name, _, kind = c.partition(":")
-        cast = {"f": f"round(CAST({name} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)", "i": f"CAST({name} AS BIGINT)",
+        cast = {"f": f"round(CAST({name} AS DOUBLE) + CAST({HALF_BREAKER} AS DOUBLE), {digits})", "i": f"CAST({name} AS BIGINT)",
                 "n": f"CAST({name} AS INTEGER)"}.get(kind, name)
         out.append(f"{cast} AS {name}")
     head, sep, tail = body.rpartition("--main")

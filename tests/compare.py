@@ -87,5 +87,5 @@ if __name__ == "__main__":
             else:
                 problem, label = f"{len(df.collect())} rows", "ROWS"
         except Exception as e:  # report and go on with the next query
-            label, problem = "ERR ", f"{type(e).__name__}: {str(e)[:600]}"
+            label, problem = "ERR ", f"{type(e).__name__}: {str(e)[:400]}"
         print(f"{label} {name} {time.time() - t:.1f}s {problem or ''}", flush=True)
