@@ -1,9 +1,7 @@
 """Texture features of masked voxels: first order, shape, co-occurrence, runs, zones, dependence, tone difference.
 
-Inputs carry grouping columns ``by`` (an image, or an image and a filter). Positions are packed into one long, so a
-neighbour is an equi-join on ``(by, position)``: keys are unique and evenly spread however large one image is. Every
-class first shrinks to a small count table per image and then works on that. Results are long:
-``(by..., class, feature, value)``.
+Inputs carry grouping columns ``by`` (an image, or an image and a filter). Every class first shrinks to a small count
+table per image and then works on that. Results are long: ``(by..., class, feature, value)``.
 """
 
 from __future__ import annotations
@@ -16,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from hazardframe.operators.ordered import match, range_bounds, running
-from hazardframe.operators.voxel_grid import AXES, DIRECTIONS, discretize
+from hazardframe.operators.neighbourhood import (dependence_counts, glcm_counts, neighbourhoods, positions, run_counts,
+                                                 tone_table, zone_edges)
+from hazardframe.operators.voxel_grid import AXES, discretize
 from hazardframe.session import cut_lineage
 
 ARRAY_SHIFT = 1000.0  # added before energies, fixed value
-SIDE = 1 << 20  # coordinates are below this
 
 
 def _long(df: DataFrame, by: list[str], kind: str, features: dict[str, Column]) -> DataFrame:
@@ -37,25 +36,6 @@ def _entropy(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-def positions(levels: DataFrame, by: list[str]) -> DataFrame:
-    """``(by, pos, level)``: coordinates packed into one long."""
-    side = F.lit(SIDE).cast("long")
-    return levels.select(*by, ((F.col("z") * side + F.col("y")) * side + F.col("x")).alias("pos"), "level")
-
-
-def _shift(d: tuple[int, int, int]) -> int:
-    return (d[0] * SIDE + d[1]) * SIDE + d[2]
-
-
-def neighbour_pairs(levels: DataFrame, by: list[str]) -> DataFrame:
-    """Each adjacent pair once, with its direction (13 of them): ``(by, dir, a, b, level_a, level_b)``."""
-    v = positions(levels, by)
-    moves = F.array(*[F.struct(F.lit(i).alias("dir"), F.lit(_shift(d)).cast("long").alias("s")) for i, d in enumerate(DIRECTIONS)])
-    asks = v.select(*by, F.col("pos").alias("a"), F.col("level").alias("level_a"), F.explode(moves).alias("m")).select(
-        *by, "a", "level_a", F.col("m.dir").alias("dir"), (F.col("a") + F.col("m.s")).alias("b"))
-    return asks.join(v.select(*by, F.col("pos").alias("b"), F.col("level").alias("level_b")), [*by, "b"])
-
-
 # ---------------------------------------------------------------- first order and shape
 
 def first_order(df: DataFrame, by: list[str] = ("image_id",), width: float = 25.0, voxel_volume: float = 1.0,
@@ -128,15 +108,6 @@ def shape(df: DataFrame, by: list[str] = ("image_id",), spacing: tuple[float, fl
 
 # ---------------------------------------------------------------- co-occurrence
 
-def glcm_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Symmetric co-occurrence counts per direction: ``(by, dir, i, j, n)``."""
-    one = pairs.groupBy(*by, "dir", "level_a", "level_b").agg(F.count("*").alias("n"))
-    both = F.array(F.struct(F.col("level_a").alias("i"), F.col("level_b").alias("j")),
-                   F.struct(F.col("level_b").alias("i"), F.col("level_a").alias("j")))
-    return one.select(*by, "dir", "n", F.explode(both).alias("c")).groupBy(*by, "dir", F.col("c.i").alias("i"),
-                                                                       F.col("c.j").alias("j")).agg(F.sum("n").alias("n"))
-
-
 @F.pandas_udf(DoubleType())
 def second_eigenvalue(i: pd.Series, j: pd.Series, p: pd.Series) -> pd.Series:
     """Maximal correlation coefficient of one symmetric co-occurrence matrix, given as lists of its cells."""
@@ -238,34 +209,14 @@ def size_matrix_features(counts: DataFrame, by: list[str], kind: str, names: dic
     return long.groupBy(*by, "class", "feature").agg(F.avg("value").alias("value")) if over else long
 
 
-def run_counts(levels: DataFrame, by: list[str]) -> DataFrame:
-    """Runs of equal level along the 13 directions: ``(by, dir, level, size, n)``.
-
-    A line is named by the position it would have at step zero; inside a line and level, step minus row number is
-    constant along a run. A line is no longer than one side of the image.
-    """
-    side = F.lit(SIDE).cast("long")
-    v = levels.select(*by, "level", "z", "y", "x", ((F.col("z") * side + F.col("y")) * side + F.col("x")).alias("pos"))
-    moves = []
-    for i, d in enumerate(DIRECTIONS):
-        step = F.col(AXES[next(a for a in range(3) if d[a])])
-        moves.append(F.struct(F.lit(i).alias("dir"), step.alias("step"), (F.col("pos") - step * F.lit(_shift(d)).cast("long")).alias("line")))
-    lines = v.select(*by, "level", F.explode(F.array(*moves)).alias("m")).select(*by, "level", "m.*")
-    w = W.partitionBy(*by, "dir", "line", "level").orderBy("step")
-    runs = (lines.withColumn("run", F.col("step") - F.row_number().over(w))
-            .groupBy(*by, "dir", "line", "level", "run").agg(F.count("*").alias("size")))
-    return runs.groupBy(*by, "dir", "level", "size").agg(F.count("*").alias("n"))
-
-
-def zone_labels(levels: DataFrame, pairs: DataFrame, by: list[str], every: int = 2, max_rounds: int = 200) -> DataFrame:
+def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], every: int = 2, max_rounds: int = 200) -> DataFrame:
     """Smallest position of each 26-connected zone of equal level: ``(by, pos, zone)``.
 
     Alternating star contraction: every vertex links its larger neighbours to its smallest one, then its smaller
     neighbours to the smallest. The number of rounds grows with the logarithm of the zone, not with its diameter.
     Neighbour minima are aggregated before they are joined back, so a vertex with very many links is no hot group.
     """
-    edges = cut_lineage(pairs.where("level_a = level_b").select(
-        *by, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut_lineage(zone_edges(near, by))
     before = None
     for turn in range(max_rounds):
         edges = _small_star(_large_star(edges, by), by)
@@ -304,24 +255,8 @@ def zone_counts(labels: DataFrame, by: list[str]) -> DataFrame:
     return zones.groupBy(*by, "level", "size").agg(F.count("*").alias("n"))
 
 
-def dependence_counts(levels: DataFrame, pairs: DataFrame, by: list[str], alpha: int = 0) -> DataFrame:
-    """One plus the number of the 26 neighbours within ``alpha`` levels: ``(by, level, size, n)``."""
-    near = pairs.where(F.abs(F.col("level_a") - F.col("level_b")) <= alpha).select(*by, F.explode(F.array("a", "b")).alias("pos"))
-    found = near.groupBy(*by, "pos").agg(F.count("*").alias("k"))
-    sizes = match(positions(levels, by), found, [*by, "pos"], "left").select(*by, "level", (F.coalesce("k", F.lit(0)) + 1).alias("size"))
-    return sizes.groupBy(*by, "level", "size").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- tone difference
 
-def tone_table(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Per level: voxels with a neighbour and the summed distance to their neighbourhood mean: ``(by, level, n, s)``."""
-    ends = F.array(F.struct(F.col("a").alias("pos"), F.col("level_a").alias("own"), F.col("level_b").alias("other")),
-                   F.struct(F.col("b").alias("pos"), F.col("level_b").alias("own"), F.col("level_a").alias("other")))
-    around = pairs.select(*by, F.explode(ends).alias("e")).select(*by, "e.*").groupBy(*by, "pos", "own").agg(F.avg("other").alias("m"))
-    return around.groupBy(*by, F.col("own").alias("level")).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("own") - F.col("m"))).alias("s"))
-
-
 def ngtdm(table: DataFrame, by: list[str]) -> DataFrame:
     """Coarseness, contrast, busyness, complexity and strength from the per-level table.
 
@@ -355,7 +290,7 @@ CLASSES = ("firstorder", "shape", "glcm", "glrlm", "glszm", "gldm", "ngtdm")
 
 def extract_features(df: DataFrame, by: list[str] = ("image_id",), classes: tuple[str, ...] = CLASSES, width: float = 25.0,
                      spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """All enabled classes as one long table; the neighbour pairs are built once and shared."""
+    """All enabled classes as one long table; the neighbourhoods are built once and shared."""
     by = list(by)
     out = []
     if "firstorder" in classes:
@@ -365,18 +300,17 @@ def extract_features(df: DataFrame, by: list[str] = ("image_id",), classes: tupl
         out.append(shape(plain, by, spacing))
     if set(classes) - {"firstorder", "shape"}:
         levels = cut_lineage(discretize(df, by, width).select(*by, *AXES, "level"))
-        if set(classes) & {"glcm", "glszm", "gldm", "ngtdm"}:
-            pairs = cut_lineage(neighbour_pairs(levels, by))
+        near = cut_lineage(neighbourhoods(levels, by))
         if "glcm" in classes:
-            out.append(glcm(glcm_counts(pairs, by), levels, by))
+            out.append(glcm(glcm_counts(near, by), levels, by))
         if "glrlm" in classes:
-            out.append(size_matrix_features(run_counts(levels, by), by, "glrlm", RUN_NAMES, ["dir"]))
+            out.append(size_matrix_features(run_counts(near, by), by, "glrlm", RUN_NAMES, ["dir"]))
         if "glszm" in classes:
-            out.append(size_matrix_features(zone_counts(zone_labels(levels, pairs, by), by), by, "glszm", ZONE_NAMES))
+            out.append(size_matrix_features(zone_counts(zone_labels(levels, near, by), by), by, "glszm", ZONE_NAMES))
         if "gldm" in classes:
-            out.append(size_matrix_features(dependence_counts(levels, pairs, by), by, "gldm", DEPENDENCE_NAMES))
+            out.append(size_matrix_features(dependence_counts(near, by), by, "gldm", DEPENDENCE_NAMES))
         if "ngtdm" in classes:
-            out.append(ngtdm(tone_table(pairs, by), by))
+            out.append(ngtdm(tone_table(near, by), by))
     first, *others = out
     for o in others:
         first = first.unionByName(o)

@@ -8,7 +8,6 @@ over the cluster.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -186,7 +185,3 @@ def discretize(df: DataFrame, by: list[str] = ("image_id",), width: float = BIN_
     low = inside.groupBy(*by).agg(F.floor(F.min("intensity") / F.lit(float(width))).alias("__low"))
     level = F.floor(F.col("intensity") / F.lit(float(width))) - F.col("__low") + 1
     return match(inside, low, list(by)).withColumn("level", level.cast("int")).drop("__low")
-
-
-DIRECTIONS = [d for d in product((0, 1, -1), repeat=3)
-              if d > (0, 0, 0) and (d[0] > 0 or (d[0] == 0 and (d[1] > 0 or (d[1] == 0 and d[2] > 0))))]

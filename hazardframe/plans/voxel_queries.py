@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardframe.operators import texture as tx, voxel_grid as vg
+from hazardframe.operators import neighbourhood as nb, texture as tx, voxel_grid as vg
 from hazardframe.plans import cohorts as co
 from hazardframe.plans.sqltext import fixed, rounded_sql
 from hazardframe.session import cut_lineage
@@ -18,14 +18,14 @@ def _levels(spark, sf):
     return cut_lineage(vg.discretize(co.voxels(spark, sf), BY).select(*BY, *vg.AXES, "level"))
 
 
-def _pairs(spark, sf):
+def _near(spark, sf):
     levels = _levels(spark, sf)
-    return levels, cut_lineage(tx.neighbour_pairs(levels, BY))
+    return levels, cut_lineage(nb.neighbourhoods(levels, BY))
 
 
 def glcm(spark, sf, mcc=False):
-    levels, pairs = _pairs(spark, sf)
-    return fixed(tx.glcm(tx.glcm_counts(pairs, BY), levels, BY, mcc), 4)
+    levels, near = _near(spark, sf)
+    return fixed(tx.glcm(nb.glcm_counts(near, BY), levels, BY, mcc), 4)
 
 
 def glcm_mcc(spark, sf):
@@ -33,24 +33,24 @@ def glcm_mcc(spark, sf):
 
 
 def glrlm(spark, sf):
-    return fixed(tx.size_matrix_features(tx.run_counts(_levels(spark, sf), BY), BY, "glrlm", tx.RUN_NAMES, ["dir"]), 4)
+    return fixed(tx.size_matrix_features(nb.run_counts(_near(spark, sf)[1], BY), BY, "glrlm", tx.RUN_NAMES, ["dir"]), 4)
 
 
 def zone_labels(spark, sf):
-    return tx.zone_labels(*_pairs(spark, sf), BY).select("image_id", "pos", "level", "zone")
+    return tx.zone_labels(*_near(spark, sf), BY).select("image_id", "pos", "level", "zone")
 
 
 def glszm(spark, sf):
-    counts = tx.zone_counts(tx.zone_labels(*_pairs(spark, sf), BY), BY)
+    counts = tx.zone_counts(tx.zone_labels(*_near(spark, sf), BY), BY)
     return fixed(tx.size_matrix_features(counts, BY, "glszm", tx.ZONE_NAMES), 4)
 
 
 def gldm(spark, sf):
-    return fixed(tx.size_matrix_features(tx.dependence_counts(*_pairs(spark, sf), BY), BY, "gldm", tx.DEPENDENCE_NAMES), 4)
+    return fixed(tx.size_matrix_features(nb.dependence_counts(_near(spark, sf)[1], BY), BY, "gldm", tx.DEPENDENCE_NAMES), 4)
 
 
 def ngtdm(spark, sf):
-    return fixed(tx.ngtdm(tx.tone_table(_pairs(spark, sf)[1], BY), BY), 4)
+    return fixed(tx.ngtdm(nb.tone_table(_near(spark, sf)[1], BY), BY), 4)
 
 
 def _filtered(spark, sf):
@@ -88,16 +88,16 @@ QUERIES = {
     "first_order_features": lambda s, sf: fixed(tx.first_order(co.voxels(s, sf)), 4),
     "derived_first_order": derived_first_order,
     "shape_features": lambda s, sf: fixed(tx.shape(co.voxels(s, sf), spacing=SPACING), 4),
-    "glcm_counts": lambda s, sf: tx.glcm_counts(_pairs(s, sf)[1], BY),
+    "glcm_counts": lambda s, sf: nb.glcm_counts(_near(s, sf)[1], BY),
     "glcm_features": glcm,
     "glcm_mcc": glcm_mcc,
-    "run_counts": lambda s, sf: tx.run_counts(_levels(s, sf), BY),
+    "run_counts": lambda s, sf: nb.run_counts(_near(s, sf)[1], BY),
     "glrlm_features": glrlm,
     "zone_labels": zone_labels,
     "glszm_features": glszm,
-    "dependence_counts": lambda s, sf: tx.dependence_counts(*_pairs(s, sf), BY),
+    "dependence_counts": lambda s, sf: nb.dependence_counts(_near(s, sf)[1], BY),
     "gldm_features": gldm,
-    "tone_table": lambda s, sf: fixed(tx.tone_table(_pairs(s, sf)[1], BY)),
+    "tone_table": lambda s, sf: fixed(nb.tone_table(_near(s, sf)[1], BY)),
     "ngtdm_features": ngtdm,
     "wide_features": wide_features,
     "extraction_summary": extraction_summary,
@@ -111,7 +111,7 @@ vox AS (SELECT image_id, CAST(p // 16 AS INTEGER) AS z, CAST((p // 4) % 4 AS INT
 _LV = _VOX + """,
 lv AS (SELECT image_id, z, y, x, CAST(floor(intensity / 25) - floor(min(intensity) OVER (PARTITION BY image_id) / 25) + 1 AS INTEGER) AS level,
               (CAST(z AS BIGINT) * 1048576 + y) * 1048576 + x AS pos FROM vox WHERE mask = 1)"""
-_DIRS = "dirs(dir, dz, dy, dx) AS (VALUES " + ", ".join(f"({i}, {d[0]}, {d[1]}, {d[2]})" for i, d in enumerate(vg.DIRECTIONS)) + ")"
+_DIRS = "dirs(dir, dz, dy, dx) AS (VALUES " + ", ".join(f"({i}, {d[0]}, {d[1]}, {d[2]})" for i, d in enumerate(nb.DIRECTIONS)) + ")"
 _PAIRS = _LV + f""", {_DIRS},
 pr AS (SELECT a.image_id, dir, a.pos AS a, b.pos AS b, a.level AS la, b.level AS lb FROM lv a CROSS JOIN dirs
        JOIN lv b ON b.image_id = a.image_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx)"""
