@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.operators.ordered import range_bounds, running
-from hazardframe.session import cut_lineage
+from hazardframe.session import cut_lineage, settle
 
 MAX_CURVE_CELLS = 4_000_000  # distinct times x models that may be held as one array
 CHUNK = 8192
@@ -127,10 +127,9 @@ class Likelihood:
     def __init__(self, df: DataFrame, max_curve_cells: int = MAX_CURVE_CELLS):
         cols = [F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"), "features"]
         self.df = df.select(*cols, *(["folds"] if "folds" in df.columns else []))
-        times = cut_lineage(self.df.select("time").distinct())
-        self.n_times = times.count()
+        times, self.n_times = settle(self.df.select("time").distinct())
         self.limit = max_curve_cells
-        self.bounds = range_bounds(times, "time") if self.n_times > max_curve_cells else []
+        self.bounds = range_bounds(times, "time", self.n_times) if self.n_times > max_curve_cells else []
 
     def models_per_scan(self, working: int = 0) -> int:
         """How many models fit the checked size together, with ``working`` curvature features each."""
@@ -278,9 +277,9 @@ def negative_log_likelihood(df: DataFrame, time: str, event: str, score: str, by
         if id_col is None:
             raise ValueError("rowwise ties need id_col")
         return _rowwise_loss(rows, time, by, id_col)
-    sums = cut_lineage(rows.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+    sums, n = settle(rows.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
         F.sum("__e").alias("d"), F.sum(F.col("__e") * F.col("__eta")).alias("a"), F.sum(F.exp("__eta")).alias("r")))
-    risk = running(sums, by, "time", {"s": ("sum", "r")}, descending=True, bounds=range_bounds(sums, "time"))
+    risk = running(sums, by, "time", {"s": ("sum", "r")}, descending=True, bounds=range_bounds(sums, "time", n))
     return _loss(risk, by, F.col("a") - F.when(F.col("d") > 0, F.col("d") * F.ln("s")).otherwise(0.0), F.col("d"))
 
 
@@ -291,17 +290,16 @@ def _loss(risk: DataFrame, by: list[str], term: Column, deaths: Column) -> DataF
 def _rowwise_loss(rows: DataFrame, time: str, by: list[str], id_col: str) -> DataFrame:
     """Equal times are walked in id order: the later times come from the per-time sums, the rest from a window.
 
-    A time that holds very many rows is cut by a hash-free range of ids, so no window sees more than a range.
+    A time that holds very many rows is cut into ranges of ids, so no window sees more than a range.
     """
     from hazardframe.operators.ordered import match
 
-    rows = cut_lineage(rows.select(*by, F.col(time).cast("double").alias("time"), F.col(id_col).alias("__id"), "__e", "__eta")
+    rows, n_rows = settle(rows.select(*by, F.col(time).cast("double").alias("time"), F.col(id_col).alias("__id"), "__e", "__eta")
                        .withColumn("__r", F.exp("__eta")))
-    sums = rows.groupBy(*by, "time").agg(F.sum("__r").alias("__m"))
-    sums = cut_lineage(sums)
-    above = running(sums, by, "time", {"__s": ("sum", "__m")}, descending=True, bounds=range_bounds(sums, "time"))
+    sums, n = settle(rows.groupBy(*by, "time").agg(F.sum("__r").alias("__m")))
+    above = running(sums, by, "time", {"__s": ("sum", "__m")}, descending=True, bounds=range_bounds(sums, "time", n))
     above = above.select(*by, "time", (F.col("__s") - F.col("__m")).alias("__later"))
-    inside = running(rows, [*by, "time"], "__id", {"__own": ("sum", "__r")}, bounds=range_bounds(rows, "__id"))
+    inside = running(rows, [*by, "time"], "__id", {"__own": ("sum", "__r")}, bounds=range_bounds(rows, "__id", n_rows))
     full = match(inside, above, [*by, "time"])
     term = F.col("__e") * (F.col("__eta") - F.ln(F.greatest(F.col("__later"), F.lit(0.0)) + F.col("__own")))
     return _loss(full, by, term, F.col("__e"))

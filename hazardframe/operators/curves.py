@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from hazardframe.operators.ordered import ROWS_PER_RANGE, match, range_bounds, running
-from hazardframe.session import cut_lineage
+from hazardframe.session import settle
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 MAX_CURVE_ROWS = 1_000_000
@@ -25,9 +25,9 @@ def event_table(df: DataFrame, time: str, event: str, by: list[str] = (),
 
 def _event_table(df, time, event, by, rows_per_range):
     e = F.col(event).cast("int")
-    counts = cut_lineage(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+    counts, n = settle(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
         F.sum(e).alias("n_event"), F.sum(1 - e).alias("n_censor"), F.count("*").alias("__m")))
-    bounds = range_bounds(counts, "time", rows_per_range)
+    bounds = range_bounds(counts, "time", n, rows_per_range)
     table = running(counts, by, "time", {"n_risk": ("sum", "__m")}, descending=True, bounds=bounds)
     return table.drop("__m"), bounds
 
@@ -78,9 +78,9 @@ def risk_set_sums(df: DataFrame, time: str, event: str, score: str, by: list[str
 
 
 def _risk_sets(df, time, event, score, by, rows_per_range):
-    sums = cut_lineage(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+    sums, n = settle(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
         F.sum(F.col(event).cast("int")).alias("n_event"), F.sum(F.exp(F.col(score))).alias("__r")))
-    bounds = range_bounds(sums, "time", rows_per_range)
+    bounds = range_bounds(sums, "time", n, rows_per_range)
     return running(sums, by, "time", {"risk_sum": ("sum", "__r")}, descending=True,
                    bounds=bounds).drop("__r"), bounds
 
@@ -174,10 +174,10 @@ def _merged_lookup(df, points, x, out, side, by, before, rows_per_range):
     collapse = F.max if backward else F.min
     curve = points.groupBy(*by, "__at").agg(collapse("__value").alias("__value"))
     asked = df.select(*by, F.col(x).cast("double").alias("__at")).where("__at IS NOT NULL").distinct()
-    merged = cut_lineage(
+    merged, n = settle(
         asked.withColumn("__value", F.lit(None).cast("double")).unionByName(curve)
         .groupBy(*by, "__at").agg(F.max("__value").alias("__value")))
-    bounds = range_bounds(merged, "__at", rows_per_range)
+    bounds = range_bounds(merged, "__at", n, rows_per_range)
     filled = running(merged, by, "__at", {"__found": ("last", "__value")}, descending=not backward, bounds=bounds)
     ends = curve.groupBy(*by).agg(F.min_by("__value", "__at").alias("__first"),
                                   F.max_by("__value", "__at").alias("__last"))
@@ -198,13 +198,28 @@ def survival_on_grid(df: DataFrame, baseline: DataFrame, score: str, grid: list[
 
 def grid_values(curve: DataFrame, at: str, value: str, grid: list[float], side: str = "backward",
                 before: float | None = None) -> list[float]:
-    """A step curve read at a short list of times; each time is one conditional aggregate, no rows are collected."""
-    aggs = []
-    for i, g in enumerate(grid):
-        inside = (F.col(at) <= F.lit(float(g))) if side == "backward" else (F.col(at) >= F.lit(float(g)))
-        pick = F.max_by if side == "backward" else F.min_by
-        aggs.append(pick(F.col(value), F.when(inside, F.col(at))).alias(f"g{i}"))
-    edge = F.min_by(value, at) if side == "backward" else F.max_by(value, at)
-    row = curve.agg(*aggs, edge.alias("edge")).first()
-    fallback = before if (side == "backward" and before is not None) else row["edge"]
-    return [fallback if row[f"g{i}"] is None else row[f"g{i}"] for i in range(len(grid))]
+    """A step curve read at a short ascending list of times.
+
+    Each curve row belongs to one gap of the grid; one aggregate keeps the row of every gap that a lookup can see.
+    """
+    points, x = F.lit([float(g) for g in grid]), F.col(at)
+    backward = side == "backward"
+    # Backward: the first grid time that is not before the row. Forward: the last grid time that is not after it.
+    gap = F.size(F.filter(points, (lambda g: g < x) if backward else (lambda g: g <= x))) - (0 if backward else 1)
+    pick = F.max_by if backward else F.min_by
+    kept = {r["gap"]: r for r in curve.groupBy(gap.alias("gap")).agg(
+        pick(value, at).alias("v"), F.min_by(F.struct(at, value), at).alias("lo"), F.max_by(F.struct(at, value), at).alias("hi")).collect()}
+    if not kept:
+        raise ValueError("The curve is empty.")
+    if backward:
+        first = min((r["lo"] for r in kept.values()), key=lambda c: c[0])[1]
+        now, out = first if before is None else before, []
+        for i in range(len(grid)):
+            now = kept[i]["v"] if i in kept else now
+            out.append(now)
+        return out
+    now, out = max((r["hi"] for r in kept.values()), key=lambda c: c[0])[1], []
+    for i in reversed(range(len(grid))):
+        now = kept[i]["v"] if i in kept else now
+        out.append(now)
+    return out[::-1]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.functions.scalar import MIN_TRAIN_ROWS, clean, mapped
 from hazardframe.operators.ordered import quantiles, range_bounds, running
-from hazardframe.session import cut_lineage
+from hazardframe.session import settle
 from hazardframe.sources.tables import numeric_features, quoted
 
 CHUNK = 200  # columns per aggregate, to keep generated code small
@@ -142,10 +142,10 @@ def masked_medians(df: DataFrame, column: str, names: list[str], masks: list[Col
     flat = df.select(F.posexplode(zipped).alias("pos", "c")).select("pos", "c.*").where("v IS NOT NULL AND v <= hi")
     # Everything below a bracket collapses to one entry per position before the shuffle.
     kept = F.when(F.col("v") >= F.col("lo"), F.col("v"))
-    counts = cut_lineage(flat.groupBy("pos", kept.alias("v")).agg(F.count("*").alias("n")))
+    counts, n_counts = settle(flat.groupBy("pos", kept.alias("v")).agg(F.count("*").alias("n")))
     below = {r.pos: r.n for r in counts.where("v IS NULL").collect()}
     counts = counts.where("v IS NOT NULL")
-    ranked = running(counts, ["pos"], "v", {"hi": ("sum", "n")}, bounds=range_bounds(counts, "v"))
+    ranked = running(counts, ["pos"], "v", {"hi": ("sum", "n")}, bounds=range_bounds(counts, "v", n_counts))
 
     def value_at(rank) -> Column:
         wanted = F.lit([rank(b[0]) - below.get(i, 0) for i, b in enumerate(brackets)])[F.col("pos")]

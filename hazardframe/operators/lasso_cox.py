@@ -14,8 +14,7 @@ from hazardframe.operators.cox_likelihood import MAX_SCORE, Likelihood, Models,
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.operators.encode import masked_medians, masked_moments
 from hazardframe.operators.metrics import concordance_index
-from hazardframe.operators.ordered import hash_rank
-from hazardframe.operators.splits import default_alphas, hash_key, kfold
+from hazardframe.operators.splits import default_alphas, fold_columns, kfold
 from hazardframe.session import cut_lineage
 
 WORKING_SET = 256
@@ -275,12 +274,10 @@ def nested_cv(df: DataFrame, names: list[str], alphas: list[float] | None = None
     rows = []
     for r in range(repeats):
         for f in range(k):
-            part = outer.withColumn("__in", F.col("folds")[r] != f)
-            for q in range(repeats):
-                part = hash_rank(part, hash_key(ids, inner_seed, q), ["__in"], f"__f{q}")
-            inner = F.array(*[F.when(F.col("__in"), ((F.col(f"__f{q}") - 1) % k).cast("int")).otherwise(-1) for q in range(repeats)])
-            part = cut_lineage(part.withColumn("folds", F.concat("folds", inner)).drop("__in", *[f"__f{q}" for q in range(repeats)]))
             fold = (r, f)
+            inner = fold_columns(outer.where(F.col("folds")[r] != f), ids, k, repeats, inner_seed)
+            # Rows outside the outer training part get numbers too; the training sets exclude them by the outer fold.
+            part = cut_lineage(outer.withColumn("folds", F.concat("folds", F.array(*inner))))
             inside = [TrainSet((fold, (repeats + q, g))) for q in range(repeats) for g in range(k)]
             *inside, final = _prepared(part, names, [*inside, TrainSet((fold,))])
             found = _search(part, inside, alphas, weights, tol, max_iter)

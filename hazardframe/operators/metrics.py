@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hazardframe.functions.scalar import RANDOM_BRIER, RISK_TIE_TOLERANCE
 from hazardframe.operators.curves import censoring_curve, curve_lookup, event_table, grid_values
 from hazardframe.operators.ordered import ROWS_PER_RANGE, match, range_bounds, range_of
-from hazardframe.session import cut_lineage
+from hazardframe.session import cut_lineage, settle
 
 WIDE = "decimal(38,0)"  # pair counts grow with the square of the rows
 
@@ -78,12 +78,12 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str, by: list
     names = {f"__by{i}": b for i, b in enumerate(by)}
     keys = list(names)
     c = (1 - F.col(event).cast("int")).alias("c")
-    points = cut_lineage(
+    points, n = settle(
         df.select(*[F.col(b).alias(k) for k, b in names.items()], F.col(time).cast("double").alias("t"), c,
                   F.col(score).cast("double").alias("x"))
         .groupBy(*keys, "t", "c", "x").agg(F.count("*").alias("w")))
-    t_cuts = range_bounds(points, "t", rows_per_range)
-    x_cuts = range_bounds(points, "x", rows_per_range) if t_cuts else []
+    t_cuts = range_bounds(points, "t", n, rows_per_range)
+    x_cuts = range_bounds(points, "x", n, rows_per_range) if t_cuts else []
 
     def alone(v: str, cuts: list[float]) -> Column:
         return F.col(v).isin(cuts) if cuts else F.lit(False)

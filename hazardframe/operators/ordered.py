@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hazardframe.session import cut_lineage
+from hazardframe.session import settle
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 4096
@@ -25,16 +25,18 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
         return left.crossJoin(F.broadcast(right))  # only used with a one-row aggregate on the right
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[F.col(c) for c in right.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
+    maybe = {f.name for d in (left, right) for f in d.schema.fields if f.nullable}
+    # Plain equality keeps the hash partitioning reusable by what follows, so it is used wherever nulls are ruled out.
+    same = lambda k: left[k].eqNullSafe(renamed[f"__r_{k}"]) if k in maybe else left[k] == renamed[f"__r_{k}"]
+    on = reduce(lambda a, b: a & b, [same(k) for k in keys])
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def range_bounds(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Values that cut ``key`` into ranges of about ``rows_per_range`` rows; empty when one range is enough.
+def range_bounds(df: DataFrame, key: str, n: int, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Values that cut the ``n`` rows into ranges of about ``rows_per_range`` rows of ``key``; empty when one is enough.
 
     Only the boundaries (at most ``MAX_RANGES``) reach the driver. ``df`` should already be materialised.
     """
-    n = df.count()
     if n <= rows_per_range:
         return []
     ranges = min(MAX_RANGES, math.ceil(n / rows_per_range))
@@ -91,20 +93,31 @@ def running(df: DataFrame, by: list[str], key: str, outputs: dict[str, tuple[str
                                         for o, (k, s) in outputs.items()])
 
 
-def hash_rank(df: DataFrame, key: Column, by: list[str] = (), out: str = "rank") -> DataFrame:
-    """1-based position of each row in the order of ``key``, an md5 hex string of a unique row key.
+def hash_cuts(labelled: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], str]:
+    """The md5 strings at given 1-based ranks, per label; ``labelled`` has columns ``label`` and ``h``.
 
-    md5 prefixes are uniform, so the 4096 ranges are balanced without looking at the data.
+    md5 prefixes are uniform: one scan counts the rows per label and prefix, a second one looks only at the few
+    prefixes that hold a wanted rank. The rows themselves are never sorted or shuffled, and what depends on a rank
+    becomes a row-local comparison with the returned strings. A rank of zero gives the empty string.
     """
-    by = list(by)
-    work = df.withColumn("__h", key).withColumn("__range", F.substring("__h", 1, 3))
-    sizes = work.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = W.partitionBy(*by, "__range").orderBy("__h")
-    return (match(work, starts, [*by, "__range"])
-            .withColumn(out, F.col("__start") + F.row_number().over(inside))
-            .drop("__h", "__range", "__start"))
+    asked = [(k, int(r)) for k, ranks in wanted.items() for r in ranks if r > 0]
+    found = {(k, int(r)): "" for k, ranks in wanted.items() for r in ranks if r <= 0}
+    if not asked:
+        return found
+    rows = labelled.where(F.col("label").isin(sorted({k for k, _ in asked}))).withColumn("prefix", F.substring("h", 1, 4))
+    sizes = rows.groupBy("label", "prefix").agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(W.partitionBy("label").orderBy("prefix")))
+    ranks = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(r).cast("long").alias("rank")) for k, r in asked])
+    here = lambda r: (r["label"] == F.col("label")) & (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("n"))
+    hits = upto.select("label", "prefix", (F.col("upto") - F.col("n")).alias("before"),
+                       F.explode(F.filter(ranks, here)).alias("r")).select("label", "prefix", "before", "r.rank").collect()
+    spot = F.concat_ws(":", "label", "prefix")
+    place = F.concat_ws(":", spot, F.row_number().over(W.partitionBy("label", "prefix").orderBy("h")))
+    at = {f"{r['label']}:{r['prefix']}:{r['rank'] - r['before']}": (r["label"], r["rank"]) for r in hits}
+    few = rows.where(spot.isin(sorted({k.rpartition(":")[0] for k in at})))
+    picked = few.withColumn("place", place).where(F.col("place").isin(sorted(at))).select("place", "h").collect()
+    found.update({at[r["place"]]: r["h"] for r in picked})
+    return found
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (),
@@ -116,9 +129,9 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     """
     by = list(by)
     v = F.col(value).cast("double")
-    counts = cut_lineage(df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counts, n = settle(df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
                          .groupBy(*by, "__v").agg(F.count("*").alias("__n")))
-    bounds = range_bounds(counts, "__v", rows_per_range)
+    bounds = range_bounds(counts, "__v", n, rows_per_range)
     ranked = running(counts, by, "__v", {"__hi": ("sum", "__n")}, bounds=bounds)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     ranked = match(ranked, totals, by)

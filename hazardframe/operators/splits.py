@@ -1,6 +1,7 @@
 """Train/test splits and cross-validation folds.
 
-Rows are ordered by ``md5(id:seed)``, so a split is the same on every run, cluster size and engine.
+Rows are ordered by ``md5(id:seed)``, so a split is the same on every run, cluster size and engine. A split needs only
+the md5 strings at a few ranks; membership is then a comparison inside each row.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.operators.encode import cohort_counts
-from hazardframe.operators.ordered import hash_rank, match, median_of
+from hazardframe.operators.ordered import hash_cuts, median_of
 
 
 def hash_key(id_cols: list[str], *salts) -> Column:
@@ -40,25 +41,24 @@ def stratified_split(df: DataFrame, id_col: str, time: str, event: str, fraction
     fine = F.concat_ws("_", F.col(event).cast("int"), (F.col(time) > F.lit(middle)).cast("int"))
     plain = F.col(event).cast("int").cast("string")
     for stratum in (fine, plain):
-        tagged = df.withColumn("__s", stratum)
-        sizes = {r["__s"]: r["n"] for r in tagged.groupBy("__s").agg(F.count("*").alias("n")).collect()}
+        sizes = {r["s"]: r["n"] for r in df.groupBy(stratum.alias("s")).agg(F.count("*").alias("n")).collect()}
         if min(sizes.values()) >= 2:
             quota = _quotas(sizes, fraction)
-            ranked = hash_rank(tagged, hash_key([id_col], seed), ["__s"], "__rank")
-            limit = F.lit(0)
+            h = hash_key([id_col], seed)
+            cuts = hash_cuts(df.select(stratum.alias("label"), h.alias("h")), {k: [q] for k, q in quota.items()})
+            limit = F.lit("")
             for k, q in quota.items():
-                limit = F.when(F.col("__s") == k, F.lit(q)).otherwise(limit)
-            return ranked.withColumn("is_train", F.col("__rank") <= limit).drop("__s", "__rank")
+                limit = F.when(stratum == k, F.lit(cuts[k, q])).otherwise(limit)
+            return df.withColumn("is_train", h <= limit)
     raise ValueError("Stratified split failed: an outcome class has fewer than 2 rows.")
 
 
 def group_split(df: DataFrame, id_col: str, fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``is_train`` so that all rows of a subject share a side; the fraction counts subjects, not rows."""
-    ids = df.select(id_col).distinct()
-    ranked = hash_rank(ids, hash_key([id_col], seed), [], "__rank")
-    total = ids.count()
-    goal = int(np.floor(fraction * total + 1e-9))
-    return match(df, ranked.select(id_col, (F.col("__rank") <= goal).alias("is_train")), [id_col])
+    h = hash_key([id_col], seed)
+    ids = df.select(F.lit("all").alias("label"), h.alias("h")).distinct()
+    goal = int(np.floor(fraction * ids.count() + 1e-9))
+    return df.withColumn("is_train", h <= F.lit(hash_cuts(ids, {"all": [goal]})["all", goal]))
 
 
 def train_test_split(df: DataFrame, id_col: str, time: str, event: str, fraction: float = 0.8,
@@ -71,11 +71,22 @@ def train_test_split(df: DataFrame, id_col: str, time: str, event: str, fraction
 
 def kfold(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 3, seed: int = 42,
           out: str = "folds") -> DataFrame:
-    """Add an array with one fold number per repeat; ``id_cols`` must identify a row."""
-    for r in range(repeats):
-        df = hash_rank(df, hash_key(id_cols, seed, r), [], f"__f{r}")
-    folds = F.array(*[((F.col(f"__f{r}") - 1) % k).cast("int") for r in range(repeats)])
-    return df.withColumn(out, folds).drop(*[f"__f{r}" for r in range(repeats)])
+    """Add an array with one fold number per repeat; ``id_cols`` must identify a row.
+
+    Folds are consecutive stretches of the md5 order, as even as possible, the larger ones first.
+    """
+    return df.withColumn(out, F.array(*fold_columns(df, id_cols, k, repeats, seed)))
+
+
+def fold_columns(df: DataFrame, id_cols: list[str], k: int, repeats: int, seed: int) -> list[Column]:
+    """Row-local fold number of each repeat, learned from the rows of ``df``."""
+    n = df.count()
+    ends = [sum(n // k + (i < n % k) for i in range(f + 1)) for f in range(k - 1)]
+    keys = [hash_key(id_cols, seed, r) for r in range(repeats)]
+    labelled = df.select(F.explode(F.array(*[F.struct(F.lit(str(r)).alias("label"), h.alias("h"))
+                                             for r, h in enumerate(keys)])).alias("c")).select("c.*")
+    cuts = hash_cuts(labelled, {str(r): ends for r in range(repeats)})
+    return [sum(((h > F.lit(cuts[str(r), e])).cast("int") for e in ends), F.lit(0)) for r, h in enumerate(keys)]
 
 
 def kfold_long(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 3, seed: int = 42) -> DataFrame:

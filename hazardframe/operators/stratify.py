@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.functions.scalar import chi2_sf, significance
 from hazardframe.operators.ordered import ROWS_PER_RANGE, median_of, range_bounds, running
-from hazardframe.session import cut_lineage
+from hazardframe.session import settle
 
 
 @dataclass
@@ -42,9 +42,9 @@ def two_group_table(df: DataFrame, time: str, event: str, group: str, by: list[s
     """Per distinct time: deaths and numbers at risk, overall and in group 1."""
     by = list(by)
     e, g = F.col(event).cast("int"), F.col(group).cast("int")
-    counts = cut_lineage(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+    counts, n = settle(df.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
         F.sum(e).alias("d"), F.sum(e * g).alias("d1"), F.count("*").alias("__m"), F.sum(g).alias("__m1")))
-    bounds = range_bounds(counts, "time", rows_per_range)
+    bounds = range_bounds(counts, "time", n, rows_per_range)
     return running(counts, by, "time", {"n": ("sum", "__m"), "n1": ("sum", "__m1")}, descending=True,
                    bounds=bounds).drop("__m", "__m1")
 

@@ -17,7 +17,7 @@ from hazardframe.operators.ordered import match, range_bounds, running
 from hazardframe.operators.neighbourhood import (dependence_counts, glcm_counts, neighbourhoods, positions, run_counts,
                                                  tone_table, zone_edges)
 from hazardframe.operators.voxel_grid import AXES, discretize
-from hazardframe.session import cut_lineage
+from hazardframe.session import cut_lineage, settle
 
 ARRAY_SHIFT = 1000.0  # added before energies, fixed value
 
@@ -42,13 +42,13 @@ def first_order(df: DataFrame, by: list[str] = ("image_id",), width: float = 25.
                 shift: float = ARRAY_SHIFT) -> DataFrame:
     """Eighteen intensity statistics, all from the distinct values and their counts."""
     by = list(by)
-    counts = cut_lineage(df.where("mask = 1").groupBy(*by, F.col("intensity").cast("double").alias("v")).agg(
+    counts, n_values = settle(df.where("mask = 1").groupBy(*by, F.col("intensity").cast("double").alias("v")).agg(
         F.count("*").cast("double").alias("n")))
     v, n = F.col("v"), F.col("n")
     base = counts.groupBy(*by).agg(
         F.sum(n).alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(n * v) / F.sum(n)).alias("mean"),
         F.sum(n * (v + shift) * (v + shift)).alias("energy"))
-    ranked = match(running(counts, by, "v", {"upto": ("sum", "n")}, bounds=range_bounds(counts, "v")), base, by)
+    ranked = match(running(counts, by, "v", {"upto": ("sum", "n")}, bounds=range_bounds(counts, "v", n_values)), base, by)
     picks, probs = [], {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("total") - 1)
@@ -209,7 +209,7 @@ def size_matrix_features(counts: DataFrame, by: list[str], kind: str, names: dic
     return long.groupBy(*by, "class", "feature").agg(F.avg("value").alias("value")) if over else long
 
 
-def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], every: int = 2, max_rounds: int = 200) -> DataFrame:
+def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
     """Smallest position of each 26-connected zone of equal level: ``(by, pos, zone)``.
 
     Alternating star contraction: every vertex links its larger neighbours to its smallest one, then its smaller
@@ -218,14 +218,11 @@ def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], every: int =
     """
     edges = cut_lineage(zone_edges(near, by))
     before = None
-    for turn in range(max_rounds):
-        edges = _small_star(_large_star(edges, by), by)
-        if turn % every == every - 1:
-            edges = cut_lineage(edges)
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
-            if now == before:
-                break
-            before = now
+    for _ in range(max_rounds):
+        edges, now = _checked(_small_star(_large_star(edges, by), by), by)
+        if now == before:
+            break
+        before = now
     else:
         raise RuntimeError("zones did not settle")
     verts = positions(levels, by)
@@ -233,13 +230,19 @@ def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], every: int =
     return match(verts, zones, [*by, "pos"], "left").select(*by, "pos", "level", F.coalesce("zone", "pos").alias("zone"))
 
 
+def _checked(edges: DataFrame, by: list[str]) -> tuple[DataFrame, tuple]:
+    """The links of a finished round, written once, and a fingerprint of them."""
+    written, n = settle(edges)
+    return written, (n, written.agg(F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()[0])
+
+
 def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest vertex around it."""
     ends = F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("o")), F.struct(F.col("v").alias("c"), F.col("u").alias("o")))
     both = edges.select(*by, F.explode(ends).alias("e")).select(*by, "e.c", "e.o")
     low = both.groupBy(*by, "c").agg(F.min("o").alias("m")).withColumn("m", F.least("m", "c"))
     return (match(both.where("o > c"), low, [*by, "c"]).select(*by, F.col("o").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct())
+            .where("u <> v"))  # repeats go with the next distinct
 
 
 def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -15,7 +15,8 @@ GRID = [250.0, 500.0, 1000.0, 1500.0, 2000.0, 2250.0]
 
 def _sides(spark, sf):
     """Scored churn cut into a training and a test part, and the baseline of the training part."""
-    d = cut_lineage(splits.stratified_split(co.scored_churn(spark, sf), "sid", "time", "event"))
+    d = cut_lineage(splits.stratified_split(
+        cut_lineage(co.scored_churn(spark, sf)), "sid", "time", "event"))
     train, test = d.where("is_train"), d.where(~F.col("is_train"))
     return train, test, cut_lineage(curves.breslow_baseline(train, "time", "event", "eta"))
 
@@ -98,7 +99,7 @@ def _counts(out):
 
 def concordance_by_kind(spark, sf):
     """Tie-heavy scores, per event kind, with ranges small enough that the grid plan is used."""
-    return _counts(metrics.concordance_index(co.scored_gap(spark, sf), "time", "event", "eta", ["kind"], rows_per_range=800))
+    return _counts(metrics.concordance_index(co.scored_gap(spark, sf), "time", "event", "eta", ["kind"], rows_per_range=4000))
 
 
 def comparable_pairs(spark, sf):

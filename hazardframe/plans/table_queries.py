@@ -211,6 +211,6 @@ ORACLE = {
     "group_split": f"{_GROUPS} SELECT sid, user_id, r <= goal AS is_train FROM gap JOIN ids USING (user_id)",
     "auto_split": f"""{_GROUPS} SELECT r <= goal AS is_train, count(*) AS n_rows, count(DISTINCT user_id) AS n_subjects
         FROM gap JOIN ids USING (user_id) GROUP BY 1""",
-    "repeated_kfold": f"""WITH {CHURN} SELECT sid, r AS repeat, CAST((row_number() OVER (PARTITION BY r
-        ORDER BY md5(concat(sid, ':42:', r))) - 1) % 5 AS INTEGER) AS fold FROM churn, (SELECT unnest([0, 1, 2]) AS r)""",
+    "repeated_kfold": f"""WITH {CHURN} SELECT sid, r AS repeat, CAST(ntile(5) OVER (PARTITION BY r
+        ORDER BY md5(concat(sid, ':42:', r))) - 1 AS INTEGER) AS fold FROM churn, (SELECT unnest([0, 1, 2]) AS r)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,3 +28,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` that also counts the rows while they are written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    written = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return written, seen.get["n"]
