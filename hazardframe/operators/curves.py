@@ -56,9 +56,10 @@ def km_curve(df: DataFrame, time: str, event: str, by: list[str] = (), confidenc
     inner = (s > 0) & (s < 1)
     log_s = F.ln(F.when(inner, s))
     width = F.lit(Z95) * F.try_divide(F.sqrt("__var"), log_s)
+    # ln S is negative, so the width is too: subtracting it lowers the curve.
     band = lambda sign: F.exp(-F.exp(F.ln(-log_s) + sign * width))
-    return curve.select("*", F.when(inner, band(1)).otherwise(s).alias("ci_lower"),
-                        F.when(inner, band(-1)).otherwise(s).alias("ci_upper")).drop("__var")
+    return curve.select("*", F.when(inner, band(-1)).otherwise(s).alias("ci_lower"),
+                        F.when(inner, band(1)).otherwise(s).alias("ci_upper")).drop("__var")
 
 
 def censoring_curve(df: DataFrame, time: str, event: str, by: list[str] = (),

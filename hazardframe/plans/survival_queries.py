@@ -308,8 +308,8 @@ ORACLE = {
                             "segment time:f n_event:i n_censor:i n_risk:i survival:f"),
     "km_confidence_band": rounded_sql(f"""WITH {GAP}, {_km_sql('kind', 'gap')} --main
         SELECT kind, time, survival,
-            CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) + 1.959963984540054 * sqrt(v) / ln(survival))) ELSE survival END AS ci_lower,
-            CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(v) / ln(survival))) ELSE survival END AS ci_upper
+            CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) + 1.959963984540054 * sqrt(v) / ln(survival))) ELSE survival END AS ci_upper,
+            CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(v) / ln(survival))) ELSE survival END AS ci_lower
         FROM km""", "kind time:f survival:f ci_lower:f ci_upper:f"),
     "censoring_curve": rounded_sql(f"""WITH {CHURN}, {_event_sql('churn', 'segment')} --main
         SELECT segment, time, n_risk, n_censor, product(CASE WHEN n_risk > n_event THEN 1 - n_censor / (n_risk - n_event) ELSE 1 END)
