@@ -1,14 +1,15 @@
 """Grid operators on long voxel tables ``(by..., z, y, x, intensity, mask)``: regridding, scaling, filters, binning.
 
-A voxel only ever sends values to a few target positions, so each operator is a row-local expansion followed, where
-values meet, by one sum per target position. Nothing is keyed by the image alone, so an image of any size spreads
-over the cluster.
+Regridding is a row-local expansion of each voxel to its few targets; filters run on packed stretches of lines. Apart
+from small per-image statistics nothing is keyed by the image alone, so an image of any size spreads over the cluster.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.operators.ordered import match
@@ -20,6 +21,7 @@ COIF1_LOW = [-0.01565572813546454, -0.0727326195128539, 0.38486484686420286, 0.8
 LOG_SIGMAS = (1.0, 2.0, 3.0)
 BIN_WIDTH = 25.0
 NORMALIZE_SCALE = 100.0
+BLOCK = 64  # voxels per packed stretch of a line
 
 
 def with_sizes(df: DataFrame, by: list[str]) -> DataFrame:
@@ -96,33 +98,72 @@ def pointwise(df: DataFrame, kinds: list[str] = ("square", "squareroot", "logari
         *keep, "__c.filter", "__c.intensity")
 
 
+def _ghosts(axis: str, reach: int, boundary: str) -> Column:
+    """Positions a voxel is seen at from inside the image: its own one and its copies beyond the border."""
+    i, n = F.col(axis), F.col(f"n{axis}")
+    if boundary == "nearest":
+        return F.sequence(F.when(i == 0, F.lit(-reach)).otherwise(i), F.when(i == n - 1, n - 1 + reach).otherwise(i))
+    if boundary == "zero":
+        return F.array(i)
+    if boundary != "periodic":
+        raise ValueError(f"unknown boundary {boundary!r}")
+    turns = F.ceil(F.lit(float(reach)) / n).cast("int")
+    copies = F.transform(F.sequence(-turns, turns), lambda m: i + m * n)
+    return F.filter(copies, lambda p: (p >= -reach) & (p < n + reach))
+
+
 def stencil(df: DataFrame, axis: str, kernels: dict[str, dict[int, float]], by: list[str] = ("image_id",),
             boundary: str = "periodic", label: str | None = None) -> DataFrame:
     """Correlate one axis with short kernels: ``out[i] = sum_k kernel[k] * in[i + k]``.
 
     ``kernels`` maps a label to ``{offset: weight}``; with several, ``label`` is extended by the label of the kernel.
     ``boundary`` is ``periodic``, ``nearest`` (edge value repeated) or ``zero``. Needs ``nz``, ``ny``, ``nx``.
+
+    Lines along the axis are packed into blocks with a halo of the kernel's reach, in one shuffle that carries each
+    voxel little more than once; all kernels then run on the block as array operations.
     """
-    by, n = list(by), F.col(f"n{axis}")
-    rest = [f"n{a}" for a in AXES]
-    carried = [label] if label and label in df.columns else []
-    taps = F.array(*[F.struct(F.lit(name).alias("k"), F.lit(off).alias("o"), F.lit(float(w)).alias("w"))
-                     for name, taps in kernels.items() for off, w in taps.items()])
+    by = [*by, *([label] if label and label in df.columns else [])]
     reach = max(abs(o) for t in kernels.values() for o in t)
-    rows = df.select(*by, *carried, *rest, *AXES, "intensity")
-    if boundary == "nearest":
-        first = F.when(F.col(axis) == 0, F.lit(-reach)).otherwise(F.col(axis))
-        last = F.when(F.col(axis) == n - 1, n - 1 + reach).otherwise(F.col(axis))
-        rows = rows.withColumn(axis, F.explode(F.sequence(first, last)))
-    rows = rows.withColumn("__t", F.explode(taps))
-    target = F.col(axis) - F.col("__t.o")
-    target = F.pmod(target, n) if boundary == "periodic" else target
-    rows = rows.withColumn(axis, target.cast("int")).where((F.col(axis) >= 0) & (F.col(axis) < n))
-    names = []
-    if label:
-        tag = F.concat(F.col(label), F.col("__t.k")) if carried else F.col("__t.k")
-        rows, names = rows.withColumn(label, tag), [label]
-    return rows.groupBy(*by, *names, *rest, *AXES).agg(F.sum(F.col("__t.w") * F.col("intensity")).alias("intensity"))
+    width = max(BLOCK, 4 * reach)
+    rest = [a for a in AXES if a != axis]
+    sizes = [f"n{a}" for a in AXES]
+    seen = df.select(*by, *sizes, *AXES, "intensity", "mask", F.explode(_ghosts(axis, reach, boundary)).alias("p"))
+    blocks = F.sequence(F.greatest(F.floor((F.col("p") - reach) / width), F.lit(0)),
+                        F.least(F.floor((F.col("p") + reach) / width), F.floor((F.col(f"n{axis}") - 1) / width)))
+    cell = F.struct((F.col("p") - F.col("block") * width + reach).cast("int").alias("slot"), "intensity",
+                    F.when(F.col("p") == F.col(axis), F.col("mask")).otherwise(-1).alias("mask"))
+    lines = (seen.withColumn("block", F.explode(blocks)).groupBy(*by, *sizes, *rest, "block")
+             .agg(F.collect_list(cell).alias("cells")))
+    keep = [*by, *sizes, *rest]
+    types = dict(lines.dtypes)
+    out_by = [c for c in keep if c != label]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in out_by], *([f"{label} string"] if label else []),
+                        f"{axis} int, intensity double, mask int"])
+
+    def correlate(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cells = b.column("cells")
+            flat = cells.flatten()
+            row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            slot, mask = flat.field("slot").to_numpy(), flat.field("mask").to_numpy()
+            line = np.zeros((len(cells), width + 2 * reach))
+            line[row, slot] = flat.field("intensity").to_numpy(zero_copy_only=False)
+            own = (mask >= 0) & (slot >= reach) & (slot < width + reach)
+            row, slot, mask = row[own], slot[own] - reach, mask[own]
+            at = pa.array(row)
+            place = b.column("block").to_numpy()[row] * width + slot
+            for name, taps in kernels.items():
+                total = sum(w * line[:, reach + o:reach + o + width] for o, w in taps.items())
+                columns = [b.column(c).take(at) for c in out_by]
+                if label:
+                    before = b.column(label).take(at).to_pylist() if label in by else [""] * len(row)
+                    columns.append(pa.array([v + name for v in before], pa.string()))
+                columns += [pa.array(place, pa.int32()), pa.array(total[row, slot]), pa.array(mask, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*out_by, *([label] if label else []), axis, "intensity", "mask"])
+
+    return lines.mapInArrow(correlate, schema)
 
 
 def wavelet_kernels() -> dict[str, dict[int, float]]:
@@ -138,8 +179,7 @@ def wavelet(df: DataFrame, by: list[str] = ("image_id",), boundary: str = "perio
     bands = with_sizes(df, list(by))
     for axis in ("x", "y", "z"):
         bands = stencil(bands, axis, wavelet_kernels(), by, boundary, "__band")
-    masks = df.select(*by, *AXES, "mask")
-    return match(bands, masks, [*by, *AXES]).select(
+    return bands.select(
         *by, F.concat(F.lit("wavelet-"), "__band").alias("filter"), *AXES, "intensity", "mask")
 
 
@@ -161,9 +201,9 @@ def laplacian_of_gaussian(df: DataFrame, sigma: float, by: list[str] = ("image_i
         terms = stencil(terms, axis, gaussian_kernels(sigma), by, boundary, "__band")
         terms = terms.where(F.length(F.translate("__band", "G", "")) <= 1)
     terms = terms.where(F.col("__band").contains("D"))
-    total = terms.groupBy(*by, *AXES).agg(F.sum("intensity").alias("intensity"))
+    total = terms.groupBy(*by, *AXES, "mask").agg(F.sum("intensity").alias("intensity"))
     name = f"log-sigma-{sigma:.1f}".replace(".", "-") + "-mm-3D"
-    return match(total, df.select(*by, *AXES, "mask"), [*by, *AXES]).select(
+    return total.select(
         *by, F.lit(name).alias("filter"), *AXES, "intensity", "mask")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazardframe.operators.lasso_cox import cv_summary
 from hazardframe.operators import curves, metrics, residuals, splits, stratify
 from hazardframe.operators.ordered import median_of
 from hazardframe.plans import cohorts as co
@@ -179,6 +180,7 @@ QUERIES = {
     "survival_on_grid": grid_curves,
     "exit_cumulative_hazard": exit_hazard,
     "median_survival": median_survival,
+    "score_summary": lambda s, sf: fixed(cv_summary(co.scored_churn(s, sf), "eta")),
     "time_residuals": lambda s, sf: fixed(_timed(s, sf)),
     "error_summary": lambda s, sf: fixed(residuals.error_summary(_timed(s, sf))),
     "worst_predictions": lambda s, sf: fixed(residuals.largest_errors(_timed(s, sf), "sid")),
@@ -333,6 +335,8 @@ ORACLE = {
                                           "sid cum_hazard:f"),
     "median_survival": rounded_sql(f"WITH {_SPLIT}{_BACK}{_MEDIAN} --main SELECT sid, predicted_days, predicted_days / 30.437 AS predicted_months FROM md",
                                    "sid predicted_days:f predicted_months:f"),
+    "score_summary": rounded_sql(f"WITH {SCORED} --main SELECT count(*) AS n, avg(eta) AS mean_score, stddev_pop(eta) AS std_score FROM scored",
+                                 "n:i mean_score:f std_score:f"),
     "time_residuals": rounded_sql(f"WITH {_SPLIT}{_BACK}{_MEDIAN}{_TIMED} --main SELECT * FROM td", _TD_COLS),
     "error_summary": rounded_sql(f"""WITH {_SPLIT}{_BACK}{_MEDIAN}{_TIMED} --main SELECT count(*) AS n_events, avg(abs_error_days) AS mae_days,
         sqrt(avg(residual_days * residual_days)) AS rmse_days, avg(abs_error_months) AS mae_months,
