@@ -14,11 +14,12 @@ from hazardframe.operators.cox_likelihood import MAX_SCORE, Likelihood, Models,
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.operators.encode import masked_medians, masked_moments
 from hazardframe.operators.metrics import concordance_index
-from hazardframe.operators.splits import default_alphas, fold_columns, kfold
+from hazardframe.operators.splits import default_alphas, kfold, part_fold_columns
 from hazardframe.session import cut_lineage
 
 WORKING_SET = 256
 FAILED_SCORE = 0.5
+MODELS_PER_SCORING = 300
 
 
 def penalty_weights(names: list[str], protected: list[str], protected_substring: str | None = None,
@@ -68,23 +69,23 @@ def fit_models(df: DataFrame, sets: list[TrainSet], alphas: list[float], weights
 
     All models advance together, two scans per step, in batches whose hazard curves fit the checked size.
     """
-    p, w = len(weights), np.asarray(weights, dtype=float)
-    like = likelihood or Likelihood(df)
-    pairs = [(g, a) for g in range(len(sets)) for a in range(len(alphas))]
-    out = np.zeros((len(sets), len(alphas), p))
-    step = like.models_per_scan(min(p, working_set))
-    for at in range(0, len(pairs), step):
-        chunk = pairs[at:at + step]
-        betas = _advance(like, sets, chunk, alphas, w, tol, max_iter, working_set)
-        for (g, a), b in zip(chunk, betas):
-            out[g, a] = b
-    return out
+    pairs = [(g, a) for g in range(len(sets)) for a in alphas]
+    return fit_pairs(df, sets, pairs, weights, tol, max_iter, working_set, likelihood).reshape(len(sets), len(alphas), -1)
+
 
+def fit_pairs(df: DataFrame, sets: list[TrainSet], pairs: list[tuple[int, float]], weights: list[float], tol: float = 1e-6,
+              max_iter: int = 60, working_set: int = WORKING_SET, likelihood: Likelihood | None = None) -> np.ndarray:
+    """Coefficients of chosen (training set number, alpha) pairs, one row each."""
+    w, like = np.asarray(weights, dtype=float), likelihood or Likelihood(df)
+    step = like.models_per_scan(min(len(w), working_set))
+    return np.concatenate([_advance(like, sets, pairs[at:at + step], w, tol, max_iter, working_set)
+                           for at in range(0, len(pairs), step)])
 
-def _advance(like, sets, chunk, alphas, w, tol, max_iter, working_set):
+
+def _advance(like, sets, chunk, w, tol, max_iter, working_set):
     k, p = len(chunk), len(w)
     set_of = np.asarray([g for g, _ in chunk])
-    penalty = np.asarray([alphas[a] for _, a in chunk])[:, None] * w[None, :]
+    penalty = np.asarray([alpha for _, alpha in chunk])[:, None] * w[None, :]
     beta, best = np.zeros((k, p)), np.zeros((k, p))
     best_value = np.full(k, np.inf)
     open_models = np.arange(k)
@@ -238,10 +239,14 @@ class GridSearch:
         return spark.createDataFrame(rows, "alpha_no int, alpha double, mean_score double, std_score double")
 
 
-def _search(df, sets, alphas, weights, tol, max_iter) -> GridSearch:
-    betas = fit_models(df, sets, alphas, weights, tol, max_iter)
-    scores = {(r["set"], r["alpha_no"]): r["c_index"] for r in fold_scores(df, sets, betas).collect()}
-    return GridSearch(list(alphas), {k: FAILED_SCORE if v is None else v for k, v in scores.items()}, len(sets))
+def _search(df, sets, alphas, weights, tol, max_iter) -> dict[tuple[int, int], float]:
+    """Held-out concordance of every (set, alpha); the scored rows are written for a bounded number of models at a time."""
+    betas, out = fit_models(df, sets, alphas, weights, tol, max_iter), {}
+    step = max(1, MODELS_PER_SCORING // len(alphas))
+    for at in range(0, len(sets), step):
+        for r in fold_scores(df, sets[at:at + step], betas[at:at + step]).collect():
+            out[at + r["set"], r["alpha_no"]] = _or_failed(r["c_index"])
+    return out
 
 
 def grid_search(df: DataFrame, names: list[str], alphas: list[float] | None = None, k: int = 5, repeats: int = 3,
@@ -251,7 +256,7 @@ def grid_search(df: DataFrame, names: list[str], alphas: list[float] | None = No
     alphas = alphas or default_alphas()
     folded = cut_lineage(kfold(df, list(id_cols), k, repeats, seed))
     sets = [TrainSet(((r, f),)) for r in range(repeats) for f in range(k)]
-    return _search(folded, sets, alphas, weights or [1.0] * len(names), tol, max_iter)
+    return GridSearch(list(alphas), _search(folded, sets, alphas, weights or [1.0] * len(names), tol, max_iter), len(sets))
 
 
 def _prepared(df: DataFrame, names: list[str], sets: list[TrainSet]) -> list[TrainSet]:
@@ -271,19 +276,26 @@ def nested_cv(df: DataFrame, names: list[str], alphas: list[float] | None = None
     """
     alphas, weights, ids = alphas or default_alphas(), weights or [1.0] * len(names), list(id_cols)
     outer = cut_lineage(kfold(df, ids, k, repeats, outer_seed))
-    rows = []
-    for r in range(repeats):
-        for f in range(k):
-            fold = (r, f)
-            inner = fold_columns(outer.where(F.col("folds")[r] != f), ids, k, repeats, inner_seed)
-            # Rows outside the outer training part get numbers too; the training sets exclude them by the outer fold.
-            part = cut_lineage(outer.withColumn("folds", F.concat("folds", F.array(*inner))))
-            inside = [TrainSet((fold, (repeats + q, g))) for q in range(repeats) for g in range(k)]
-            *inside, final = _prepared(part, names, [*inside, TrainSet((fold,))])
-            found = _search(part, inside, alphas, weights, tol, max_iter)
-            beta = fit_models(part, [final], [found.best_alpha], weights, tol, max_iter)
-            score = {x["side"]: x["c_index"] for x in fold_scores(part, [final], beta, ("train", "test")).collect()}
-            rows.append((r, f, float(found.best_alpha), _or_failed(score.get("train")), _or_failed(score.get("test"))))
+    folds = [(r, f) for r in range(repeats) for f in range(k)]
+    # Inner fold numbers follow the outer ones in the array; a row outside an outer training part gets numbers as well,
+    # and the training sets exclude it by the outer fold.
+    parts = [F.col("folds")[r] != f for r, f in folds]
+    inner = part_fold_columns(outer, ids, parts, k, repeats, inner_seed)
+    part = cut_lineage(outer.withColumn("folds", F.concat("folds", F.array(*inner))))
+    place = lambda o, q: repeats + o * repeats + q
+    inside = [TrainSet((fold, (place(o, q), g))) for o, fold in enumerate(folds) for q in range(repeats) for g in range(k)]
+    prepared = _prepared(part, names, [*inside, *[TrainSet((fold,)) for fold in folds]])
+    inside, finals = prepared[:len(inside)], prepared[len(inside):]
+    scores, size = _search(part, inside, alphas, weights, tol, max_iter), repeats * k
+    best = []
+    for o in range(len(folds)):
+        own = {(g - o * size, a): v for (g, a), v in scores.items() if o * size <= g < (o + 1) * size}
+        best.append(GridSearch(list(alphas), own, size).best_alpha)
+    betas = fit_pairs(part, finals, list(enumerate(best)), weights, tol, max_iter)
+    got = {(x["set"], x["side"]): _or_failed(x["c_index"])
+           for x in fold_scores(part, finals, betas[:, None, :], ("train", "test")).collect()}
+    rows = [(r, f, float(best[o]), got.get((o, "train"), FAILED_SCORE), got.get((o, "test"), FAILED_SCORE))
+            for o, (r, f) in enumerate(folds)]
     return df.sparkSession.createDataFrame(rows, "repeat int, fold int, alpha double, train_score double, test_score double")
 
 

@@ -80,13 +80,19 @@ def kfold(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 3, seed:
 
 def fold_columns(df: DataFrame, id_cols: list[str], k: int, repeats: int, seed: int) -> list[Column]:
     """Row-local fold number of each repeat, learned from the rows of ``df``."""
-    n = df.count()
-    ends = [sum(n // k + (i < n % k) for i in range(f + 1)) for f in range(k - 1)]
+    return part_fold_columns(df, id_cols, [F.lit(True)], k, repeats, seed)
+
+
+def part_fold_columns(df: DataFrame, id_cols: list[str], parts: list[Column], k: int, repeats: int, seed: int) -> list[Column]:
+    """Fold numbers inside several (overlapping) parts of ``df`` at once: one column per part and repeat."""
+    row = df.agg(*[F.sum(p.cast("int")) for p in parts]).first()
     keys = [hash_key(id_cols, seed, r) for r in range(repeats)]
-    labelled = df.select(F.explode(F.array(*[F.struct(F.lit(str(r)).alias("label"), h.alias("h"))
-                                             for r, h in enumerate(keys)])).alias("c")).select("c.*")
-    cuts = hash_cuts(labelled, {str(r): ends for r in range(repeats)})
-    return [sum(((h > F.lit(cuts[str(r), e])).cast("int") for e in ends), F.lit(0)) for r, h in enumerate(keys)]
+    labels = [(o, r, f"{o}.{r}") for o in range(len(parts)) for r in range(repeats)]
+    cells = F.array(*[F.when(parts[o], F.struct(F.lit(name).alias("label"), keys[r].alias("h"))) for o, r, name in labels])
+    labelled = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    ends = [[sum(n // k + (i < n % k) for i in range(f + 1)) for f in range(k - 1)] for n in (v or 0 for v in row)]
+    cuts = hash_cuts(labelled, {name: ends[o] for o, _, name in labels})
+    return [sum(((keys[r] > F.lit(cuts[name, e])).cast("int") for e in ends[o]), F.lit(0)) for o, r, name in labels]
 
 
 def kfold_long(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 3, seed: int = 42) -> DataFrame:
