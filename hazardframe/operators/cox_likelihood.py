@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardframe.operators.ordered import range_bounds, running
+from hazardframe.operators.ordered import match, match_stats, range_bounds, running
 from hazardframe.session import cut_lineage, settle
 
 MAX_CURVE_CELLS = 4_000_000  # distinct times x models that may be held as one array
@@ -268,10 +268,8 @@ def negative_log_likelihood(df: DataFrame, time: str, event: str, score: str, by
     the rows before it, as a running sum over a sorted batch does. Scores are shifted by their group maximum.
     """
     by = list(by)
-    from hazardframe.operators.ordered import match
-
     top = df.groupBy(*by).agg(F.max(score).alias("__top"))
-    rows = match(df, top, by).withColumn("__eta", F.col(score) - F.col("__top")).withColumn(
+    rows = match_stats(df, top, by).withColumn("__eta", F.col(score) - F.col("__top")).withColumn(
         "__e", F.col(event).cast("int"))
     if ties == "rowwise":
         if id_col is None:
@@ -292,8 +290,6 @@ def _rowwise_loss(rows: DataFrame, time: str, by: list[str], id_col: str) -> Dat
 
     A time that holds very many rows is cut into ranges of ids, so no window sees more than a range.
     """
-    from hazardframe.operators.ordered import match
-
     rows, n_rows = settle(rows.select(*by, F.col(time).cast("double").alias("time"), F.col(id_col).alias("__id"), "__e", "__eta")
                        .withColumn("__r", F.exp("__eta")))
     sums, n = settle(rows.groupBy(*by, "time").agg(F.sum("__r").alias("__m")))

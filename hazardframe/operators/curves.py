@@ -29,14 +29,15 @@ def _event_table(df, time, event, by, rows_per_range):
         F.sum(e).alias("n_event"), F.sum(1 - e).alias("n_censor"), F.count("*").alias("__m")))
     bounds = range_bounds(counts, "time", n, rows_per_range)
     table = running(counts, by, "time", {"n_risk": ("sum", "__m")}, descending=True, bounds=bounds)
-    return table.drop("__m"), bounds
+    starts = counts.groupBy(*by).agg(F.sum("__m").alias("n_risk"), F.min("time").alias("__first"))
+    return table.drop("__m"), bounds, starts
 
 
 def km_curve(df: DataFrame, time: str, event: str, by: list[str] = (), confidence: bool = False,
              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Kaplan-Meier survival per group, with a row at time 0; optionally the 95 % log-log Greenwood band."""
     by = list(by)
-    table, bounds = _event_table(df, time, event, by, rows_per_range)
+    table, bounds, starts = _event_table(df, time, event, by, rows_per_range)
     steps = table.select("*", (1 - F.col("n_event") / F.col("n_risk")).alias("__q"),
                          F.coalesce(F.try_divide(F.col("n_event").cast("double"),
                                                  F.col("n_risk") * (F.col("n_risk") - F.col("n_event"))),
@@ -45,8 +46,7 @@ def km_curve(df: DataFrame, time: str, event: str, by: list[str] = (), confidenc
     if confidence:
         outputs["__var"] = ("sum", "__v")
     curve = running(steps, by, "time", outputs, bounds=bounds).drop("__q", "__v")
-    start = table.groupBy(*by).agg(F.max("n_risk").alias("n_risk"), F.min("time").alias("__first"))
-    start = start.where("__first > 0").select(
+    start = starts.where("__first > 0").select(
         *by, F.lit(0.0).alias("time"), F.lit(0).cast("long").alias("n_event"), F.lit(0).cast("long").alias("n_censor"),
         "n_risk", F.lit(1.0).alias("survival"), *([F.lit(0.0).alias("__var")] if confidence else []))
     curve = curve.unionByName(start)
@@ -66,7 +66,7 @@ def censoring_curve(df: DataFrame, time: str, event: str, by: list[str] = (),
                     rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Kaplan-Meier of the censoring time; at a tie the events leave the risk set first."""
     by = list(by)
-    table, bounds = _event_table(df, time, event, by, rows_per_range)
+    table, bounds, _ = _event_table(df, time, event, by, rows_per_range)
     q = 1 - F.coalesce(F.try_divide(F.col("n_censor"), F.col("n_risk") - F.col("n_event")), F.lit(0.0))
     steps = table.select(*by, "time", "n_risk", "n_censor", q.alias("__q"))
     return running(steps, by, "time", {"censoring_survival": ("product", "__q")}, bounds=bounds).drop("__q")

@@ -17,6 +17,7 @@ from hazardframe.session import settle
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 4096
+BROADCAST_ROWS = 100_000  # a few numbers per row: some megabytes
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,6 +33,18 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def match_stats(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`match` with a table of per-group statistics, so that ``left`` need not be shuffled by its group.
+
+    The statistics are written and counted first and sent to all executors only up to ``BROADCAST_ROWS`` rows. Beyond
+    that there are many groups and the shuffled join, split by Spark where a group is hot, takes over.
+    """
+    if not keys:
+        return match(left, right, keys)
+    table, n = settle(right)
+    return match(left, F.broadcast(table) if n <= BROADCAST_ROWS else table, keys)
+
+
 def range_bounds(df: DataFrame, key: str, n: int, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
     """Values that cut the ``n`` rows into ranges of about ``rows_per_range`` rows of ``key``; empty when one is enough.
 

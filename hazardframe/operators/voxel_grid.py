@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardframe.operators.ordered import match
+from hazardframe.operators.ordered import match, match_stats
 
 AXES = ("z", "y", "x")
 # The six low-pass taps of the coiflet of order one.
@@ -27,7 +27,7 @@ BLOCK = 64  # voxels per packed stretch of a line
 def with_sizes(df: DataFrame, by: list[str]) -> DataFrame:
     """Add the image size per axis as ``nz``, ``ny``, ``nx``."""
     sizes = df.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"n{a}") for a in AXES])
-    return match(df, sizes, by)
+    return match_stats(df, sizes, by)
 
 
 def _targets(axis: str, spacing: float, linear: bool) -> Column:
@@ -81,7 +81,7 @@ def normalize(df: DataFrame, by: list[str] = ("image_id",), scale: float = NORMA
     dev = F.stddev_samp if sample else F.stddev_pop
     stats = df.groupBy(*by).agg(F.avg("intensity").alias("__m"), dev("intensity").alias("__s"))
     scaled = (F.col("intensity") - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0) * F.lit(scale)
-    return match(df, stats, list(by)).withColumn("intensity", scaled).select(*df.columns)
+    return match_stats(df, stats, list(by)).withColumn("intensity", scaled).select(*df.columns)
 
 
 def pointwise(df: DataFrame, kinds: list[str] = ("square", "squareroot", "logarithm", "exponential"),
@@ -94,7 +94,7 @@ def pointwise(df: DataFrame, kinds: list[str] = ("square", "squareroot", "logari
              "exponential": F.exp(x * F.ln(t) / t)}
     cells = F.array(*[F.struct(F.lit(k).alias("filter"), forms[k].alias("intensity")) for k in kinds])
     keep = [c for c in df.columns if c != "intensity"]
-    return match(df, top, list(by)).select(*keep, F.explode(cells).alias("__c")).select(
+    return match_stats(df, top, list(by)).select(*keep, F.explode(cells).alias("__c")).select(
         *keep, "__c.filter", "__c.intensity")
 
 
@@ -224,4 +224,4 @@ def discretize(df: DataFrame, by: list[str] = ("image_id",), width: float = BIN_
     inside = df.where("mask = 1")
     low = inside.groupBy(*by).agg(F.floor(F.min("intensity") / F.lit(float(width))).alias("__low"))
     level = F.floor(F.col("intensity") / F.lit(float(width))) - F.col("__low") + 1
-    return match(inside, low, list(by)).withColumn("level", level.cast("int")).drop("__low")
+    return match_stats(inside, low, list(by)).withColumn("level", level.cast("int")).drop("__low")
