@@ -21,9 +21,13 @@ BROADCAST_ROWS = 100_000  # a few numbers per row: some megabytes
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` in which nulls match nulls; the keys come from the left side."""
+    """Equi-join on ``keys`` in which nulls match nulls; the keys come from the left side.
+
+    Without keys ``right`` is a one-row aggregate, and its values become literals.
+    """
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # only used with a one-row aggregate on the right
+        row = right.first()
+        return left.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in right.schema.fields})
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[F.col(c) for c in right.columns if c not in keys])
     maybe = {f.name for d in (left, right) for f in d.schema.fields if f.nullable}

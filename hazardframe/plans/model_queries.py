@@ -9,11 +9,13 @@ from hazardframe.operators import cox_likelihood as cl, encode, lasso_cox as lc,
 from hazardframe.operators.deep_cox import DeepCox
 from hazardframe.plans import cohorts as co
 from hazardframe.plans.sqltext import CHURN, GAP, SCORED, fixed, rounded_sql
+from hazardframe.plans.survival_queries import breslow_sql
 from hazardframe.plans.workflow import StudyConfig, run_study
 from hazardframe.session import cut_lineage
 
 NAMES = co.CHURN_FEATURES
 ALPHAS = [0.05, 0.1, 0.2, 0.3]
+FEW_ALPHAS = [0.05, 0.2]
 BETA = [0.1 * (-1) ** j * (j + 1) / len(NAMES) for j in range(len(NAMES))]
 
 
@@ -32,7 +34,7 @@ def _weights():
 
 def _lasso(spark, sf, alpha=0.05):
     d = _scaled(spark, sf)
-    return lc.LassoCox(NAMES, alpha, _weights()).fit(d), d
+    return lc.LassoCox(NAMES, alpha, _weights()).fit(d, tol=1e-11), d
 
 
 def cox_loss(spark, sf):
@@ -51,31 +53,36 @@ def cox_gradient(spark, sf):
 
 
 def lasso_coefficients(spark, sf):
-    return fixed(_lasso(spark, sf)[0].coefficient_table(spark))
+    return fixed(_lasso(spark, sf)[0].coefficient_table(spark), 5)
 
 
 def lasso_selected_features(spark, sf):
-    return fixed(_lasso(spark, sf)[0].selected_features(spark))
+    return fixed(_lasso(spark, sf)[0].selected_features(spark), 5)
 
 
 def lasso_baseline(spark, sf):
-    return fixed(_lasso(spark, sf)[0].baseline.select("time", "n_event", "cum_hazard"))
+    return fixed(_lasso(spark, sf)[0].baseline.select("time", "n_event", "cum_hazard"), 5)
 
 
 def lasso_report(spark, sf):
     m, d = _lasso(spark, sf)
     cls = stratify.RiskClassifier().fit(m.score(d))
     timed = residuals.median_survival(m.score(d), m.baseline, "risk_score")
-    return fixed(stratify.prediction_report(cls.transform(timed), "sid", "time", "event"))
+    return fixed(stratify.prediction_report(cls.transform(timed), "sid", "time", "event"), 5)
 
 
 def alpha_search(spark, sf):
     return fixed(lc.grid_search(_scaled(spark, sf), NAMES, ALPHAS, 5, 3, weights=_weights()).table(spark))
 
 
+def alpha_search_scores(spark, sf):
+    """A search small enough for an iterative solution in SQL: three folds, two penalties."""
+    return fixed(lc.grid_search(_scaled(spark, sf), NAMES, FEW_ALPHAS, 3, 1, weights=_weights(), tol=1e-10, max_iter=80).table(spark), 4)
+
+
 def _nested(spark, sf):
     d = _raw(spark, sf).withColumn("features", F.transform("features", lambda v, i: F.when((i == 0) & (v < 0), None).otherwise(v)))
-    return lc.nested_cv(d, NAMES, [0.1, 0.2], 3, 1, weights=_weights())
+    return lc.nested_cv(d, NAMES, FEW_ALPHAS, 3, 1, weights=_weights(), tol=1e-10, max_iter=80)
 
 
 def _deep(spark, sf, epochs=5):
@@ -118,7 +125,8 @@ QUERIES = {
     "lasso_baseline": lasso_baseline,
     "lasso_prediction_report": lasso_report,
     "alpha_search": alpha_search,
-    "nested_cross_validation": lambda s, sf: fixed(_nested(s, sf)),
+    "alpha_search_scores": alpha_search_scores,
+    "nested_cross_validation": lambda s, sf: fixed(_nested(s, sf), 4),
     "deep_cox_loss": lambda s, sf: fixed(_deep(s, sf)[0].loss_history(s), 4),
     "deep_cox_scores": deep_scores,
     "deep_cox_baseline": lambda s, sf: fixed(_deep(s, sf)[0].baseline.select("time", "n_event", "cum_hazard"), 4),
@@ -135,7 +143,82 @@ rh AS (SELECT time, d, s, sum(d / s) OVER (ORDER BY time) AS h FROM rs),
 mr AS (SELECT ze.*, CAST(event AS INT) - h * exp(eta) AS m FROM ze JOIN rh USING (time)),
 ll AS (SELECT (SELECT sum(eta) FROM ze WHERE event) - (SELECT sum(d * ln(s)) FROM rs) AS loglik)"""
 
+
+
+def _descent(rows: str, starts: str, steps: int = 400, rate: float = 0.4) -> str:
+    """Accelerated proximal gradient as a recursive query: one state row per step and model ``m`` with penalty ``alpha``.
+
+    ``rows`` gives the training rows ``(m, time, event, z0..)`` of each model; the result CTE ``lb`` holds ``(m, alpha, b)``.
+    """
+    w = _weights()
+    cols = range(len(NAMES))
+    ahead = ", ".join(f"b[{j + 1}] + i / (i + 3.0) * (b[{j + 1}] - p[{j + 1}])" for j in cols)
+    moved = [f"any_value(y)[{j + 1}] + {rate} * sum(r * z{j}) / count(*)" for j in cols]
+    new = ", ".join(f"sign({v}) * greatest(abs({v}) - any_value(alpha) * {rate * w[j]!r}, 0)" for j, v in enumerate(moved))
+    zs, zero = ", ".join(f"z{j}" for j in cols), ", ".join(["CAST(0 AS DOUBLE)"] * len(NAMES))
+    return f"""tr AS ({rows}),
+it(i, m, alpha, b, p) AS (SELECT 0, m, CAST(alpha AS DOUBLE), [{zero}], [{zero}] FROM ({starts}) UNION ALL
+  SELECT i + 1, m, alpha, nb, b FROM (
+    SELECT i, m, any_value(alpha) AS alpha, any_value(b) AS b, [{new}] AS nb FROM (
+      SELECT i, m, alpha, b, y, {zs}, CAST(event AS INT) - exp(eta) * sum(CAST(event AS INT) / s) OVER (PARTITION BY m ORDER BY time) AS r FROM (
+        SELECT *, sum(exp(eta)) OVER (PARTITION BY m ORDER BY time DESC) AS s FROM (
+          SELECT st.*, time, event, {zs}, {' + '.join(f'y[{j + 1}] * z{j}' for j in cols)} AS eta
+          FROM (SELECT i, m, alpha, b, [{ahead}] AS y FROM it WHERE i < {steps}) st JOIN tr USING (m))))
+    GROUP BY i, m)),
+lb AS (SELECT m, alpha, b FROM it WHERE i = {steps})"""
+
+
+_DOT = " + ".join(f"b[{j + 1}] * z{j}" for j in range(len(NAMES)))
+_ZTABLE = f"{CHURN}, zs AS (SELECT sid, time, event, {_ZS} FROM churn)"
+_LASSO = f"""{_ZTABLE}, {_descent("SELECT 0 AS m, * FROM zs", "SELECT 0 AS m, 0.05 AS alpha")},
+le AS (SELECT sid, time, event, {_DOT} AS eta FROM zs, lb), {breslow_sql("le")}"""
+_LASSO_COEFFICIENTS = " UNION ALL ".join(f"SELECT '{c}' AS feature, b[{j + 1}] AS coefficient, exp(b[{j + 1}]) AS hazard_ratio FROM lb"
+                                         for j, c in enumerate(NAMES))
+_MODELS = " UNION ALL ".join(f"SELECT {f * len(FEW_ALPHAS) + a} AS m, {f} AS f, {a} AS a, {alpha} AS alpha"
+                             for f in range(3) for a, alpha in enumerate(FEW_ALPHAS))
+_SEARCH = f"""{_ZTABLE}, zf AS (SELECT *, ntile(3) OVER (ORDER BY md5(concat(sid, ':42:0'))) - 1 AS fold FROM zs),
+mo AS ({_MODELS}), {_descent("SELECT m, zf.* FROM zf JOIN mo ON fold <> f", "SELECT m, alpha FROM mo", 200)},
+ho AS (SELECT mo.m, a, mo.alpha, time, event, {_DOT} AS eta FROM mo JOIN lb USING (m) JOIN zf ON fold = f),
+ci AS (SELECT x.m, any_value(x.a) AS a, any_value(x.alpha) AS alpha,
+              (count(*) FILTER (x.eta - y.eta > 1e-8) + 0.5 * count(*) FILTER (abs(x.eta - y.eta) <= 1e-8)) / count(*) AS c
+       FROM ho x JOIN ho y ON x.m = y.m AND x.event AND (x.time < y.time OR (x.time = y.time AND NOT y.event)) GROUP BY x.m)"""
+
+# Nested search in SQL. Training set g < 3 of outer fold o leaves out its inner fold g; g = 3 is the whole outer training part.
+_Z = range(len(NAMES))
+_NESTED = f"""{CHURN},
+b0 AS (SELECT sid, time, event, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS x0, {', '.join(f'CAST({c} AS DOUBLE) AS x{j}' for j, c in enumerate(NAMES) if j)} FROM churn),
+ou AS (SELECT *, ntile(3) OVER (ORDER BY md5(concat(sid, ':100:0'))) - 1 AS fo FROM b0),
+os AS (SELECT unnest([0, 1, 2]) AS o), gs AS (SELECT unnest([0, 1, 2, 3]) AS g), al AS (SELECT unnest([0, 1]) AS a, unnest({FEW_ALPHAS}) AS alpha),
+inn AS (SELECT ou.*, o, CASE WHEN fo <> o THEN ntile(3) OVER (PARTITION BY o, fo <> o ORDER BY md5(concat(sid, ':42:0'))) - 1 END AS fi FROM ou, os),
+se AS (SELECT inn.*, g, fo <> o AND (g = 3 OR fi <> g) AS inside FROM inn, gs),
+md AS (SELECT o, g, median(x0) AS q FROM se WHERE inside GROUP BY ALL),
+im AS (SELECT se.* EXCLUDE (x0), coalesce(x0, q) AS x0 FROM se JOIN md USING (o, g)),
+sc AS (SELECT o, g, {', '.join(f'avg(x{j}) FILTER (inside) AS m{j}, stddev_pop(x{j}) FILTER (inside) AS s{j}' for j in _Z)} FROM im GROUP BY o, g),
+zz AS (SELECT sid, time, event, o, g, fo, fi, inside, {', '.join(f'(x{j} - m{j}) / s{j} AS z{j}' for j in _Z)} FROM im JOIN sc USING (o, g)),
+mo AS (SELECT o * 100 + g * 10 + a AS m, o, g, a, alpha FROM os, gs, al),
+{_descent(f"SELECT m, time, event, {', '.join(f'z{j}' for j in _Z)} FROM zz JOIN mo USING (o, g) WHERE inside", "SELECT m, alpha FROM mo", 150)},
+ho AS (SELECT mo.m, mo.o, mo.a, mo.alpha, CASE WHEN mo.g < 3 THEN 'inner' WHEN fo <> mo.o THEN 'train' ELSE 'test' END AS side, time, event, {_DOT} AS eta
+       FROM zz JOIN mo USING (o, g) JOIN lb USING (m) WHERE mo.g = 3 OR (fo <> mo.o AND fi = mo.g)),
+ci AS (SELECT x.m, x.side, any_value(x.o) AS o, any_value(x.a) AS a, any_value(x.alpha) AS alpha,
+              (count(*) FILTER (x.eta - y.eta > 1e-8) + 0.5 * count(*) FILTER (abs(x.eta - y.eta) <= 1e-8)) / count(*) AS c
+       FROM ho x JOIN ho y ON x.m = y.m AND x.side = y.side AND x.event AND (x.time < y.time OR (x.time = y.time AND NOT y.event)) GROUP BY x.m, x.side),
+be AS (SELECT o, a FROM (SELECT o, a, avg(c) AS c FROM ci WHERE side = 'inner' GROUP BY o, a)
+       QUALIFY row_number() OVER (PARTITION BY o ORDER BY round(c, 12) DESC, a) = 1)"""
+
 ORACLE = {
+    "nested_cross_validation": rounded_sql(f"""WITH RECURSIVE {_NESTED} --main SELECT 0 AS repeat, o AS fold, any_value(alpha) AS alpha,
+        max(c) FILTER (side = 'train') AS train_score, max(c) FILTER (side = 'test') AS test_score FROM ci JOIN be USING (o, a) WHERE side <> 'inner' GROUP BY o""",
+                                           "repeat fold alpha:f train_score:f test_score:f", 4),
+    "lasso_coefficients": rounded_sql(f"WITH RECURSIVE {_LASSO} --main {_LASSO_COEFFICIENTS}", "feature coefficient:f hazard_ratio:f", 5),
+    "lasso_selected_features": rounded_sql(f"WITH RECURSIVE {_LASSO} --main SELECT * FROM ({_LASSO_COEFFICIENTS}) WHERE abs(coefficient) > 1e-9",
+                                           "feature coefficient:f hazard_ratio:f", 5),
+    "lasso_baseline": rounded_sql(f"WITH RECURSIVE {_LASSO} --main SELECT time, n_event, cum_hazard FROM base", "time:f n_event:i cum_hazard:f", 5),
+    "lasso_prediction_report": rounded_sql(f"""WITH RECURSIVE {_LASSO} --main SELECT sid AS subject, eta AS risk_score,
+        CAST(eta > (SELECT median(eta) FROM le) AS INTEGER) AS predicted_class, CAST(event AS INTEGER) AS event_status, time AS survival_time,
+        coalesce((SELECT min(b.time) FROM base b WHERE b.cum_hazard >= ln(2) * (1 - 1e-12) / exp(le.eta)), (SELECT max(time) FROM base)) AS predicted_time
+        FROM le""", "subject risk_score:f predicted_class event_status survival_time:f predicted_time:f", 5),
+    "alpha_search_scores": rounded_sql(f"WITH RECURSIVE {_SEARCH} --main SELECT a AS alpha_no, alpha, avg(c) AS mean_score, stddev_pop(c) AS std_score FROM ci GROUP BY a, alpha",
+                                       "alpha_no alpha:f mean_score:f std_score:f", 4),
     "cox_loss": rounded_sql(f"""WITH {GAP},
         a AS (SELECT kind, time, sum(CAST(event AS INT)) AS d, sum(CASE WHEN event THEN eta ELSE 0 END) AS x, sum(exp(eta)) AS r FROM sgap GROUP BY ALL),
         b AS (SELECT kind, d, x, sum(r) OVER (PARTITION BY kind ORDER BY time DESC) AS s FROM a)

@@ -224,7 +224,7 @@ km AS (SELECT {by}, time, n_event, n_censor, n_risk, product(1 - n_event / n_ris
        UNION ALL SELECT {by}, 0.0, 0, 0, max(n_risk), 1.0, 0.0 FROM ev GROUP BY {by} HAVING min(time) > 0)"""
 
 
-def _breslow_sql(source: str, name: str = "base", by: str = "") -> str:
+def breslow_sql(source: str, name: str = "base", by: str = "") -> str:
     keys = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
     return f"""
@@ -234,7 +234,7 @@ def _breslow_sql(source: str, name: str = "base", by: str = "") -> str:
 
 
 _SPLIT = SCORED + "," + split_cte("scored") + """,
-train AS (SELECT * FROM parts WHERE is_train), test AS (SELECT * FROM parts WHERE NOT is_train),""" + _breslow_sql("train")
+train AS (SELECT * FROM parts WHERE is_train), test AS (SELECT * FROM parts WHERE NOT is_train),""" + breslow_sql("train")
 _BACK = """, hb AS (SELECT test.*, coalesce(b.cum_hazard, (SELECT arg_min(cum_hazard, time) FROM base)) AS h0
     FROM test ASOF LEFT JOIN base b ON test.time >= b.time)"""
 _FORWARD = """, hb AS (SELECT test.*, coalesce(b.cum_hazard, (SELECT arg_max(cum_hazard, time) FROM base)) AS h0
@@ -318,8 +318,8 @@ ORACLE = {
             OVER (PARTITION BY segment ORDER BY time) AS censoring_survival FROM ev""",
                                    "segment time:f n_risk:i n_censor:i censoring_survival:f"),
     "event_table": f"WITH {GAP}, {_event_sql('gap', 'kind')} SELECT * FROM ev",
-    "risk_set_sums": rounded_sql(f"WITH {SCORED}, {_breslow_sql('scored')} --main SELECT * FROM base_s", "time:f n_event:i risk_sum:f"),
-    "breslow_baseline": rounded_sql(f"WITH {SCORED}, {_breslow_sql('scored', by='segment')} --main SELECT * FROM base",
+    "risk_set_sums": rounded_sql(f"WITH {SCORED}, {breslow_sql('scored')} --main SELECT * FROM base_s", "time:f n_event:i risk_sum:f"),
+    "breslow_baseline": rounded_sql(f"WITH {SCORED}, {breslow_sql('scored', by='segment')} --main SELECT * FROM base",
                                     "segment time:f n_event:i risk_sum:f cum_hazard:f"),
     "nelson_aalen": rounded_sql(f"""WITH {GAP}, {_event_sql('gap')} --main
         SELECT time, n_event, sum(n_event / n_risk) OVER (ORDER BY time) AS cum_hazard FROM ev""", "time:f n_event:i cum_hazard:f"),
