@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import quality, url_filter
+from hazardframe.llm import quality, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
 ORACLE = {}
@@ -75,3 +76,25 @@ v AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_fa
              coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS chars, coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) AS kept_chars FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND kept_chars >= 0.5 * chars) AS kept FROM v
 """
+
+
+@query
+def op4_token_binary(spark, sf_dir):
+    """All documents as token ids in the binary format, written, read back and summed up."""
+    import public_tokenizers
+
+    to = shared_folder(spark)
+    token_binary.write_tokens(_read(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_binary.with_checksum(token_binary.read_tokens(spark, to))
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    """Pieces of every document, their number and hash, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, path), path, into="decoded")
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"),
+                       F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
