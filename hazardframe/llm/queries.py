@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import quality, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import language_id, quality, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -98,3 +98,12 @@ def op9_sentencepiece(spark, sf_dir):
     back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, path), path, into="decoded")
     return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"),
                        F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """Language of every document; a quarter of the documents is held out of the fit."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
