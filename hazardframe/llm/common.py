@@ -56,3 +56,11 @@ def blocks(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]
         size += n + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def small_or_not(df: DataFrame, most_mb: float = 8.0) -> DataFrame:
+    """Write ``df`` and mark it for broadcast only if the rows written are known to be small; the join's result is the same."""
+    kept = written(df)
+    wide = sum((F.length(c) if t == "string" else F.size(c) * 16 if t.startswith("array") else F.lit(8)) + F.lit(16) for c, t in kept.dtypes)
+    size = kept.agg(F.sum(F.coalesce(wide, F.lit(16)).cast("double"))).collect()[0][0] or 0.0
+    return F.broadcast(kept) if size <= most_mb * 1e6 else kept
