@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, language_id, quality, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import decontaminate, language_id, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -131,3 +131,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op2_secret_scans(spark, sf_dir):
+    """Secrets in every document: counts and places of the base kinds, and the places of all kinds."""
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, base), F.sha2(_listed(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        _listed(F.col("secrets")).alias("spans"))
