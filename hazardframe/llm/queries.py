@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, language_id, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import decontaminate, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -145,3 +145,12 @@ def op2_secret_scans(spark, sf_dir):
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, base), F.sha2(_listed(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
                         _listed(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_pii(spark, sf_dir):
+    """Personal data in every document: counts and places of the plain kinds, and the places of all."""
+    found = pii.personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
