@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import decontaminate, html_text, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -154,3 +154,10 @@ def op7_pii(spark, sf_dir):
     base = F.filter("pii", lambda s: s["base"])
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
+
+
+@query
+def op8_html_text(spark, sf_dir):
+    """Main text of every page."""
+    pages = html_text.main_text(_read(spark, sf_dir, "pages"), into="text").drop("html")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
