@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, html_text, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import decontaminate, html_text, jaccard_join, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -161,3 +161,9 @@ def op8_html_text(spark, sf_dir):
     """Main text of every page."""
     pages = html_text.main_text(_read(spark, sf_dir, "pages"), into="text").drop("html")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    """Component of every document under links of Jaccard similarity 0.8 on 5-word shingles."""
+    return jaccard_join.similar_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
