@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.llm.common import blocks, written
+from hazardframe.llm.common import blocks, small_or_not, written
 from hazardframe.llm.components import components
 
 SHINGLE = 5
@@ -88,15 +88,16 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, n
 
 
 def set_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, key): equal sets have equal keys; the empty set has none."""
+    """(doc_id, text_hash, n_shingles, key): equal sets have equal keys; the empty set has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in batches:
-            sets = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(batch.column(1).to_pylist(), cache)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())],
-                                             names=["doc_id", "n_shingles", "key"])
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, key binary")
+            sets = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(batch.column(2).to_pylist(), cache)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())],
+                                             names=["doc_id", "text_hash", "n_shingles", "key"])
+    text_of = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of).alias("text_hash"), text_of.alias("text")).mapInArrow(
+        run, "doc_id bigint, text_hash bigint, n_shingles bigint, key binary")
 
 
 def class_maps(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -253,7 +254,8 @@ def _sized(n: str, m: str, percent: int) -> str:
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links).
+    """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id (the smallest id reachable by links) and
+    whether it is the first of its component (by id, nulls last, then text hash).
 
     Documents link when their sets of 5-word shingles have a Jaccard similarity of ``percent`` / 100 or more. Texts that
     are null or without words have no shingles and link with nothing, not even each other. Equal sets are one node from
@@ -267,7 +269,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     keys = written(set_keys(docs, doc_id, text))
     n_tokens = keys.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    empty = keys.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = keys.filter("key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     if not n_tokens:
         return empty
     shared, frequent, _ = class_maps(docs, text, n_tokens)
@@ -294,8 +296,27 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             .select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct())
     more = written(verify(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
     links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
-    members = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")
+    members = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min(own).alias("first"))
     named = written(members.join(components(links).withColumnRenamed("node", "key"), "key", "left")
                     .select("key", F.coalesce("root", "key").alias("root"), "first"))
-    ids = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
-    return keys.filter("key IS NOT NULL").join(ids, "key").select("doc_id", "n_shingles", "component_id").union(empty)
+    firsts = named.join(named.groupBy("root").agg(F.min("first").alias("of_all")), "root").select("key", "of_all")
+    return (keys.filter("key IS NOT NULL").join(firsts, "key")
+            .select("doc_id", "text_hash", "n_shingles", F.col("of_all.doc_id").alias("component_id"), own.eqNullSafe(F.col("of_all")).alias("first"))
+            .union(empty))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: the first document of each component stays, all columns as they are.
+
+    Rows that repeat both id and text are one document, of which one row stays. Documents without words all stay.
+    """
+    found = written(similar_components(docs, doc_id, text, percent))
+    repeated = small_or_not(found.filter("first").groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"))
+    gone = small_or_not(found.filter("NOT first").select("doc_id", "text_hash").union(repeated).distinct())
+    is_in = lambda t: F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col(f"{t}.doc_id")) & (
+        F.xxhash64(F.col(f"d.`{text}`").cast("string")) == F.col(f"{t}.text_hash"))
+    kept = docs.alias("d").join(gone.alias("g"), is_in("g"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.union(docs.alias("d").join(repeated.alias("r"), is_in("r"), "left_semi").dropDuplicates([doc_id, text]))

@@ -166,4 +166,5 @@ def op8_html_text(spark, sf_dir):
 @query
 def op3_jaccard_join(spark, sf_dir):
     """Component of every document under links of Jaccard similarity 0.8 on 5-word shingles."""
-    return jaccard_join.similar_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard_join.similar_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
