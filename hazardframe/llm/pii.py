@@ -185,13 +185,13 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) by start, then kind. The base spans, and disguised ones that overlap no base span of their kind."""
+    """(kind, start, end, base) by start, then kind. The base spans, and disguised ones that no base span of their kind holds."""
     if not text:
         return []
     base = detect(text)
     out = [(*s, True) for s in base]
     for kind, a, b in disguised(text):
-        if not any(k == kind and a < d and c < b for k, c, d in base):
+        if not any(k == kind and c <= a and b <= d for k, c, d in base):
             out.append((kind, a, b, False))
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
