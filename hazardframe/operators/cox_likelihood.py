@@ -127,9 +127,16 @@ class Likelihood:
     def __init__(self, df: DataFrame, max_curve_cells: int = MAX_CURVE_CELLS):
         cols = [F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"), "features"]
         self.df = df.select(*cols, *(["folds"] if "folds" in df.columns else []))
-        times, self.n_times = settle(self.df.select("time").distinct())
+        self.times, self.n_times = settle(self.df.select("time").distinct())
         self.limit = max_curve_cells
-        self.bounds = range_bounds(times, "time", self.n_times) if self.n_times > max_curve_cells else []
+        self._bounds: list[float] | None = None
+
+    @property
+    def bounds(self) -> list[float]:
+        """Time ranges of bounded size for the joined plan, found when it first runs."""
+        if self._bounds is None:
+            self._bounds = range_bounds(self.times, "time", self.n_times)
+        return self._bounds
 
     def models_per_scan(self, working: int = 0) -> int:
         """How many models fit the checked size together, with ``working`` curvature features each."""

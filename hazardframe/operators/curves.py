@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from hazardframe.operators.ordered import ROWS_PER_RANGE, match, range_bounds, running
+from hazardframe.operators.ordered import ROWS_PER_RANGE, match, match_stats, range_bounds, running
 from hazardframe.session import settle
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
@@ -96,20 +96,48 @@ def breslow_baseline(df: DataFrame, time: str, event: str, score: str, by: list[
     return running(steps, by, "time", {"cum_hazard": ("sum", "hazard")}, bounds=bounds)
 
 
-def _step_lookup(sides: dict, backward: bool, before: float | None):
-    def find(keys: list[pd.Series], x: pd.Series) -> pd.Series:
-        out = np.full(len(x), np.nan)
-        xs = x.to_numpy(dtype=float)
-        if keys:
-            groups = pd.DataFrame({i: k.fillna("\0") for i, k in enumerate(keys)})
-            parts = groups.groupby(list(groups.columns)).indices
-            parts = {k if isinstance(k, tuple) else (k,): v for k, v in parts.items()}
-        else:
-            parts = {(): np.arange(len(x))}
-        for key, rows in parts.items():
-            if key not in sides:
+def _group_key(by: list[str]) -> Column:
+    """The grouping columns as one string, with nulls apart from every value; the empty string without columns."""
+    return F.to_json(F.struct(*[F.col(b).cast("string").alias(f"k{i}") for i, b in enumerate(by)])) if by else F.lit("")
+
+
+def curve_lookup(df: DataFrame, curve: DataFrame, x: str, at: str, value: str, out: str, side: str = "backward",
+                 by: list[str] = (), before: float | None = None, max_curve_rows: int = MAX_CURVE_ROWS,
+                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Read a step curve ``(by, at, value)`` at ``x``.
+
+    ``backward`` takes the largest ``at <= x``, of equal ones the largest value; before the curve starts it gives ``before``
+    or the first value. ``forward`` takes the smallest ``at >= x``, of equal ones the smallest value. Past the end both
+    give the last value: the largest one at the largest ``at``. Curve rows without a number on either axis are left out;
+    an ``x`` that is null or NaN, and a group without a curve, give null.
+
+    A curve of at most ``max_curve_rows`` rows (checked) goes to the executors as sorted arrays, and the lookup is then
+    row-local, so ``df`` may be a stream. A larger one is merged with the distinct ``x`` values by a running fill. Both
+    plans give the same values.
+    """
+    if side not in ("backward", "forward"):
+        raise ValueError(f"side must be 'backward' or 'forward', not {side!r}")
+    by = list(by)
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    points = (curve.select(_group_key(by).alias("__key"), number(at).alias("__at"), number(value).alias("__value"))
+              .where("__at IS NOT NULL AND __value IS NOT NULL"))
+    small = points.limit(max_curve_rows + 1).toPandas()
+    if len(small) <= max_curve_rows:
+        return df.withColumn(out, _broadcast_lookup(small, side == "backward", before)(_group_key(by), F.col(x).cast("double")))
+    return _merged_lookup(df, points, x, out, side == "backward", by, before, rows_per_range)
+
+
+def _broadcast_lookup(small: pd.DataFrame, backward: bool, before: float | None):
+    small = small.sort_values(["__key", "__at", "__value"], kind="stable")
+    sides = {k: (small["__at"].to_numpy()[i], small["__value"].to_numpy()[i]) for k, i in small.groupby("__key").indices.items()}
+
+    @F.pandas_udf(DoubleType())
+    def lookup(key: pd.Series, x: pd.Series) -> pd.Series:
+        out, xs = np.full(len(x), np.nan), x.to_numpy(dtype=float)
+        for k, rows in key.groupby(key).indices.items():
+            if k not in sides:
                 continue
-            at, value = sides[key]
+            at, value = sides[k]
             q = xs[rows]
             if backward:
                 pos = np.searchsorted(at, q, side="right") - 1
@@ -121,71 +149,29 @@ def _step_lookup(sides: dict, backward: bool, before: float | None):
             out[rows] = np.where(np.isnan(q), np.nan, found)
         result = pd.Series(out)
         return result.where(result.notna(), None)
-    return find
 
+    return lookup
 
-def curve_lookup(df: DataFrame, curve: DataFrame, x: str, at: str, value: str, out: str, side: str = "backward",
-                 by: list[str] = (), before: float | None = None, max_curve_rows: int = MAX_CURVE_ROWS,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Read a step curve ``(by, at, value)`` at ``x``.
 
-    ``backward`` takes the largest ``at <= x``; before the curve starts it gives ``before`` or the first value.
-    ``forward`` takes the smallest ``at >= x``; past the end both give the last value. A curve of at most
-    ``max_curve_rows`` rows (checked) goes to the executors as sorted arrays, and the lookup is then row-local,
-    so ``df`` may be a stream. A larger one is merged with the distinct ``x`` values by a running fill.
-    """
-    if side not in ("backward", "forward"):
-        raise ValueError(f"side must be 'backward' or 'forward', not {side!r}")
-    by = list(by)
-    points = curve.select(*by, F.col(at).cast("double").alias("__at"), F.col(value).cast("double").alias("__value"))
-    small = (points.select(*[F.col(b).cast("string").alias(b) for b in by], "__at", "__value")
-             .limit(max_curve_rows + 1).toPandas())
-    if len(small) <= max_curve_rows:
-        return df.withColumn(out, _broadcast_lookup(small, by, x, side, before))
-    return _merged_lookup(df, points, x, out, side, by, before, rows_per_range)
-
-
-def _broadcast_lookup(small: pd.DataFrame, by, x, side, before) -> Column:
-    small = small.sort_values(["__at", "__value"], kind="stable")
-    if by:
-        keys = small[by].fillna("\0")
-        sides = {k if isinstance(k, tuple) else (k,): (small["__at"].to_numpy()[i], small["__value"].to_numpy()[i])
-                 for k, i in keys.groupby(by).indices.items()}
-    else:
-        sides = {(): (small["__at"].to_numpy(), small["__value"].to_numpy())} if len(small) else {}
-    find = _step_lookup(sides, side == "backward", before)
-    # The signature decides how many columns reach the function; three grouping columns are plenty.
-    if len(by) == 0:
-        def lookup(v: pd.Series) -> pd.Series:
-            return find([], v)
-    elif len(by) == 1:
-        def lookup(a: pd.Series, v: pd.Series) -> pd.Series:
-            return find([a], v)
-    elif len(by) == 2:
-        def lookup(a: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
-            return find([a, b], v)
-    else:
-        raise ValueError("at most two grouping columns")
-    return F.pandas_udf(lookup, DoubleType())(*[F.col(b).cast("string") for b in by], F.col(x).cast("double"))
-
-
-def _merged_lookup(df, points, x, out, side, by, before, rows_per_range):
-    backward = side == "backward"
-    # One curve row per abscissa: searchsorted semantics take the last of equals backward, the first forward.
+def _merged_lookup(df, points, x, out, backward, by, before, rows_per_range):
+    asked_at = F.col(x).cast("double")
+    asked = (df.select(_group_key(by).alias("__key"), asked_at.alias("__at"))
+             .where(F.col("__at").isNotNull() & ~F.isnan("__at")).distinct())
     collapse = F.max if backward else F.min
-    curve = points.groupBy(*by, "__at").agg(collapse("__value").alias("__value"))
-    asked = df.select(*by, F.col(x).cast("double").alias("__at")).where("__at IS NOT NULL").distinct()
+    curve = points.groupBy("__key", "__at").agg(collapse("__value").alias("__value"))
     merged, n = settle(
         asked.withColumn("__value", F.lit(None).cast("double")).unionByName(curve)
-        .groupBy(*by, "__at").agg(F.max("__value").alias("__value")))
+        .groupBy("__key", "__at").agg(F.max("__value").alias("__value")))
     bounds = range_bounds(merged, "__at", n, rows_per_range)
-    filled = running(merged, by, "__at", {"__found": ("last", "__value")}, descending=not backward, bounds=bounds)
-    ends = curve.groupBy(*by).agg(F.min_by("__value", "__at").alias("__first"),
-                                  F.max_by("__value", "__at").alias("__last"))
-    filled = match(filled, ends, by)
-    edge = (F.lit(before) if before is not None else F.col("__first")) if backward else F.col("__last")
-    table = filled.select(*by, F.col("__at").alias("__x"), F.coalesce("__found", edge).alias(out))
-    return match(df.withColumn("__x", F.col(x).cast("double")), table, [*by, "__x"], "left").drop("__x")
+    filled = running(merged, ["__key"], "__at", {"__found": ("last", "__value")}, descending=not backward, bounds=bounds)
+    # The ends come from the curve itself: one abscissa can have several values, and the last one is the largest.
+    pair = F.struct("__at", "__value")
+    ends = points.groupBy("__key").agg(F.min(pair).alias("__first"), F.max(pair).alias("__last"))
+    filled = match_stats(filled, ends, ["__key"])
+    edge = (F.lit(before) if before is not None else F.col("__first.__value")) if backward else F.col("__last.__value")
+    table = filled.select("__key", F.col("__at").alias("__x"), F.coalesce("__found", edge).alias(out))
+    return (match(df.withColumn("__key", _group_key(by)).withColumn("__x", asked_at), table, ["__key", "__x"], "left")
+            .drop("__key", "__x"))
 
 
 def survival_on_grid(df: DataFrame, baseline: DataFrame, score: str, grid: list[float], keep: list[str],

@@ -1,9 +1,9 @@
 """A neural Cox model trained where the rows are.
 
-Rows are dealt to shards by a hash of the row and the epoch. Every shard runs mini-batch Adam from the shared weights,
-with batch normalisation and the risk set inside each mini-batch; after each epoch the weights and moments of all
-shards are averaged, weighted by their rows. A shard holds a bounded number of rows, and only the weight vector
-travels. With one shard this is plain sequential mini-batch training.
+Rows are dealt to mini-batches once, by a hash of the row and the seed. In every training step all batches of the step
+compute their gradient at the same weights (batch normalisation and the risk set are those of the batch); the mean gradient,
+weighted by rows, makes one Adam step. Only weights and gradients travel, the rows never move again, and the result is a
+function of the data, the parameters and the seed: neither cores nor partitions take part in it.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
-from hazardframe.operators.cox_likelihood import CHUNK, _vectors, matrix, sum_vectors
+from hazardframe.operators.cox_likelihood import CHUNK, _vectors, sum_vectors
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.session import cut_lineage
 
-SHARD_BYTES = 64 << 20
-MAX_SHARD_ROWS = 65_536
-EPS = 1e-5  # batch normalisation
+EPS = 1e-5  # fixed values: batch normalisation, its momentum, and Adam's constants
 MOMENTUM = 0.1
 ADAM = (0.9, 0.999, 1e-8)
 
@@ -118,16 +116,8 @@ class Network:
         return loss, np.concatenate([g.ravel() for g in grads]), stats_vec
 
 
-def _slices(n: int, size: int) -> list[tuple[int, int]]:
-    """Mini-batch bounds; a single leftover row joins the batch before it."""
-    cuts = [(i, min(i + size, n)) for i in range(0, n, size)]
-    if len(cuts) > 1 and cuts[-1][1] - cuts[-1][0] == 1:
-        cuts[-2:] = [(cuts[-2][0], n)]
-    return cuts
-
-
 def _numbered(rows: DataFrame, block: int = 10_000) -> DataFrame:
-    """Number the copies of identical rows, so that a row repeated very often is dealt to all shards.
+    """Number the copies of identical rows, so that a row repeated very often is dealt to all batches.
 
     Copies are counted first and written out again in blocks that are spread over the tasks.
     """
@@ -143,6 +133,7 @@ def _numbered(rows: DataFrame, block: int = 10_000) -> DataFrame:
 class DeepCox:
     """Hidden layers of Linear, BatchNorm, ReLU and Dropout, then one linear score."""
 
+    # The sizes and rates that the method is published with.
     names: list[str]
     hidden: list[int] = field(default_factory=lambda: [64, 32])
     dropout: float = 0.2
@@ -157,64 +148,69 @@ class DeepCox:
     def network(self) -> Network:
         return Network(len(self.names), list(self.hidden))
 
-    def fit(self, df: DataFrame, epochs: int = 200, batch_size: int = 64, shards: int | None = None) -> "DeepCox":
-        """``df`` has ``time``, ``event`` and a scaled ``features`` array."""
-        net, spark = self.network, df.sparkSession
+    def fit(self, df: DataFrame, epochs: int = 200, batch_size: int = 64, steps_per_epoch: int = 1) -> "DeepCox":
+        """``df`` has ``time``, ``event`` and a scaled ``features`` array.
+
+        There are ``rows // batch_size`` batches (one at least). With ``steps_per_epoch`` = 1, the default, each step uses all
+        rows; a larger number deals the batches to that many steps, each with an update of its own.
+        """
+        net = self.network
         rows = cut_lineage(_numbered(df.select(F.col("time").cast("double").alias("time"),
                                                F.col("event").cast("double").alias("event"), "features")))
-        n = rows.count()
-        largest = max(batch_size, min(MAX_SHARD_ROWS, SHARD_BYTES // (8 * max(1, net.inputs))))
-        least = math.ceil(n / largest)
-        shards = max(least, shards or min(spark.sparkContext.defaultParallelism, max(1, n // (4 * batch_size))))
-        state = np.concatenate([net.start(self.seed), np.zeros(2 * net.trainable)])
-        self.losses, steps = [], 0
+        batches = max(1, rows.count() // batch_size)
+        steps_per_epoch = max(1, min(steps_per_epoch, batches))
+        place = F.xxhash64("time", "event", "features", "copy", F.lit(self.seed))
+        packed = cut_lineage(rows.select(F.pmod(place, F.lit(batches)).alias("batch"), F.struct(place.alias("place"), "time", "event", "features").alias("row"))
+                             .groupBy("batch").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+                             .select("batch", F.pmod("batch", F.lit(steps_per_epoch)).alias("step"), F.col("rows.time").alias("time"),
+                                     F.col("rows.event").alias("event"), F.flatten("rows.features").alias("features")))
+        w = net.start(self.seed)
+        m, v, done, self.losses = np.zeros(net.trainable), np.zeros(net.trainable), 0, []
         for epoch in range(epochs):
-            state, loss, batches = self._epoch(rows, state, epoch, steps, batch_size, shards)
-            steps += batches
-            self.losses.append(loss)
-        self.weights = state[:net.size]
+            losses = []
+            for step in range(steps_per_epoch):
+                part = packed.where(F.col("step") == step) if steps_per_epoch > 1 else packed
+                total = self._gradient(part, w, epoch)
+                if total is None:
+                    continue
+                n, loss = total[-1], total[-2]
+                grad = total[:net.trainable] / n + self.weight_decay * w[:net.trainable]
+                done += 1
+                m, v = ADAM[0] * m + (1 - ADAM[0]) * grad, ADAM[1] * v + (1 - ADAM[1]) * grad * grad
+                w[:net.trainable] -= self.lr * (m / (1 - ADAM[0] ** done)) / (np.sqrt(v / (1 - ADAM[1] ** done)) + ADAM[2])
+                w[net.trainable:] = total[net.trainable:net.size] / n
+                losses.append((loss, n))
+            self.losses.append(sum(x for x, _ in losses) / max(1.0, sum(n for _, n in losses)))
+        self.weights = w
         self.baseline = cut_lineage(breslow_baseline(self.score(df), "time", "event", "risk_score"))
         return self
 
-    def _epoch(self, rows: DataFrame, state: np.ndarray, epoch: int, steps: int, batch_size: int, shards: int):
-        net, lr, decay, dropout, seed = self.network, self.lr, self.weight_decay, self.dropout, self.seed
-        sent = rows.sparkSession.sparkContext.broadcast(state)
-        size = net.size + 2 * net.trainable
-
-        def train(table: pa.Table) -> pa.Table:
-            order = np.argsort(table.column("place").to_numpy(), kind="stable")
-            table = table.take(pa.array(order)).combine_chunks()
-            batch = table.to_batches()[0]
-            x, t, e = matrix(batch, "features"), batch.column("time").to_numpy(), batch.column("event").to_numpy()
-            rng = np.random.default_rng([seed, epoch, int(batch.column("shard")[0].as_py())])
-            vec = sent.value.copy()
-            w, m, v = vec[:net.size], vec[net.size:net.size + net.trainable], vec[net.size + net.trainable:]
-            total, cuts = 0.0, _slices(len(t), batch_size)
-            for i, (a, b) in enumerate(cuts, start=1):
-                loss, grad, stats = net.train_batch(w, x[a:b], t[a:b], e[a:b], dropout, rng)
-                total += loss
-                grad = grad + decay * w[:net.trainable]
-                m[:] = ADAM[0] * m + (1 - ADAM[0]) * grad
-                v[:] = ADAM[1] * v + (1 - ADAM[1]) * grad * grad
-                k = steps + i
-                w[:net.trainable] -= lr * (m / (1 - ADAM[0] ** k)) / (np.sqrt(v / (1 - ADAM[1] ** k)) + ADAM[2])
-                w[net.trainable:] = stats
-            vec = np.concatenate([vec * len(t), [len(t), total, len(cuts), len(cuts) * len(t)]])
-            return pa.Table.from_batches([_vectors([c // CHUNK], vec[None, c:c + CHUNK], pa.int64())
-                                          for c in range(0, len(vec), CHUNK)])
-
-        place = F.xxhash64("time", "event", "features", "copy", F.lit(epoch), F.lit(self.seed))
-        dealt = rows.withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
-        parts = dealt.groupBy("shard").applyInArrow(train, "key bigint, vec array<double>")
-        got = {r["key"]: np.asarray(r["vec"]) for r in sum_vectors(parts, "bigint", combine=True).collect()}
+    def _gradient(self, packed: DataFrame, weights: np.ndarray, epoch: int) -> np.ndarray | None:
+        """Sums over batches, weighted by their rows: gradient, running statistics, loss; and the number of rows."""
+        net, dropout, seed = self.network, self.dropout, self.seed
+        sent = packed.sparkSession.sparkContext.broadcast(weights)
+
+        def train(batches):
+            total = None
+            for b in batches:
+                for batch, time, event, features in zip(b.column("batch").to_pylist(), b.column("time"), b.column("event"), b.column("features")):
+                    t, e = time.values.to_numpy(zero_copy_only=False), event.values.to_numpy(zero_copy_only=False)
+                    x = features.values.to_numpy(zero_copy_only=False).reshape(len(t), -1)
+                    loss, grad, stats = net.train_batch(sent.value, x, t, e, dropout, np.random.default_rng([seed, epoch, batch]))
+                    vec = np.concatenate([grad, stats, [loss, 1.0]]) * len(t)
+                    total = vec if total is None else total + vec
+            if total is not None:
+                for c in range(0, len(total), CHUNK):
+                    yield _vectors([c // CHUNK], total[None, c:c + CHUNK], pa.int64())
+
+        parts = packed.select("batch", "time", "event", "features").mapInArrow(train, "key bigint, vec array<double>")
+        got = {r["key"]: np.asarray(r["vec"]) for r in sum_vectors(parts, "bigint").collect()}
         sent.unpersist()
-        vec = np.concatenate([got[k] for k in sorted(got)])
-        n, loss, batches, weighted = vec[size:]
-        return vec[:size] / n, loss / batches, max(1, round(weighted / n))
+        return np.concatenate([got[k] for k in sorted(got)]) if got else None
 
     def _require(self):
         if self.weights is None:
-            raise ValueError("The model must be trained first with fit().")
+            raise ValueError("No weights yet; call fit() or load().")
 
     def score(self, df: DataFrame, out: str = "risk_score") -> DataFrame:
         """Row-local, so ``df`` may be a stream. An existing score column is reused."""

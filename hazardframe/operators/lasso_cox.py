@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.functions.scalar import dot
-from hazardframe.operators.cox_likelihood import MAX_SCORE, Likelihood, Models, TrainSet, _unpack
+from hazardframe.operators.cox_likelihood import MAX_CURVE_CELLS, MAX_SCORE, Likelihood, Models, TrainSet, _unpack
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.operators.encode import masked_medians, masked_moments
 from hazardframe.operators.metrics import concordance_index
@@ -22,6 +22,10 @@ FAILED_SCORE = 0.5
 MODELS_PER_SCORING = 300
 
 
+class NotConverged(RuntimeError):
+    """A penalised fit ran out of steps before it met the optimality conditions."""
+
+
 def penalty_weights(names: list[str], protected: list[str], protected_substring: str | None = None,
                     rescale: bool = True) -> list[float]:
     """0 for protected columns and for every name that contains the substring, 1 for the rest; rescaled to sum to p."""
@@ -67,7 +71,8 @@ def fit_models(df: DataFrame, sets: list[TrainSet], alphas: list[float], weights
                max_iter: int = 60, working_set: int = WORKING_SET, likelihood: Likelihood | None = None) -> np.ndarray:
     """Coefficients of every (training set, alpha): array of shape (sets, alphas, features).
 
-    All models advance together, two scans per step, in batches whose hazard curves fit the checked size.
+    All models advance together, two scans per step, in batches whose hazard curves fit the checked size. A model that has
+    not settled after ``max_iter`` steps is an error and never a silent answer.
     """
     pairs = [(g, a) for g in range(len(sets)) for a in alphas]
     return fit_pairs(df, sets, pairs, weights, tol, max_iter, working_set, likelihood).reshape(len(sets), len(alphas), -1)
@@ -119,8 +124,9 @@ def _advance(like, sets, chunk, w, tol, max_iter, working_set):
             still.append(m)
         open_models = np.asarray(still, dtype=int)
         if not len(open_models):
-            break
-    return best
+            return best
+    left = ", ".join(f"set {chunk[m][0]} alpha {chunk[m][1]:.4g}" for m in open_models[:5])
+    raise NotConverged(f"{len(open_models)} of {k} models are still moving after {max_iter} steps ({left}); raise max_iter or tol")
 
 
 @dataclass
@@ -133,17 +139,20 @@ class LassoCox:
     coefficients: list[float] | None = None
     baseline: DataFrame | None = None
 
-    def fit(self, df: DataFrame, tol: float = 1e-7, max_iter: int = 100) -> "LassoCox":
-        """``df`` has ``time``, ``event`` and a scaled ``features`` array."""
+    def fit(self, df: DataFrame, tol: float = 1e-7, max_iter: int = 100, max_curve_cells: int = MAX_CURVE_CELLS) -> "LassoCox":
+        """``df`` has ``time``, ``event`` and a scaled ``features`` array.
+
+        Curves of more than ``max_curve_cells`` numbers are joined by time instead of being held; the optimum is the same.
+        """
         weights = self.weights or [1.0] * len(self.names)
-        beta = fit_models(df, [TrainSet()], [self.alpha], weights, tol, max_iter)[0, 0]
+        beta = fit_models(df, [TrainSet()], [self.alpha], weights, tol, max_iter, likelihood=Likelihood(df, max_curve_cells))[0, 0]
         self.coefficients = [float(b) for b in beta]
         self.baseline = cut_lineage(breslow_baseline(self.score(df), "time", "event", "risk_score"))
         return self
 
     def _require(self):
         if self.coefficients is None:
-            raise ValueError("The model must be trained first with fit().")
+            raise ValueError("No coefficients yet; call fit() or load().")
 
     def score(self, df: DataFrame, out: str = "risk_score") -> DataFrame:
         """Row-local, so ``df`` may be a stream. An existing score column is reused."""
@@ -160,9 +169,10 @@ class LassoCox:
         rows = [(n, float(c), float(np.exp(c))) for n, c in zip(self.names, self.coefficients)]
         return spark.createDataFrame(rows, "feature string, coefficient double, hazard_ratio double")
 
-    def selected_features(self, spark: SparkSession) -> DataFrame:
-        """Non-zero coefficients by absolute size."""
-        return self.coefficient_table(spark).where("coefficient <> 0").orderBy(F.abs("coefficient").desc(), "feature")
+    def selected_features(self, spark: SparkSession, top: int | None = None) -> DataFrame:
+        """Non-zero coefficients by absolute size; with ``top`` only that many."""
+        found = self.coefficient_table(spark).where("coefficient <> 0").orderBy(F.abs("coefficient").desc(), "feature")
+        return found.limit(top) if top else found
 
     def save(self, path: str) -> None:
         self._require()

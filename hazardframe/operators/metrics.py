@@ -31,7 +31,9 @@ def _outranked(tau: np.ndarray, score: np.ndarray, weight: np.ndarray, q_tau: np
     limit = np.searchsorted(levels, q_score, side="left")
     start = np.searchsorted(tau, q_tau, side="right")
     n = len(tau)
-    by_rank = np.concatenate([[0], np.cumsum(np.bincount(rank, weights=weight, minlength=len(levels)))])
+    mass_of = np.zeros(len(levels), np.int64)
+    np.add.at(mass_of, rank, weight)
+    by_rank = np.concatenate([[0], np.cumsum(mass_of)])
     total = by_rank[limit]
     # What lies before ``start`` is taken away block by block: one aligned block per bit of ``start``.
     base, size = len(levels) + 1, 1
@@ -42,7 +44,7 @@ def _outranked(tau: np.ndarray, score: np.ndarray, weight: np.ndarray, q_tau: np
             keys = block * base + rank
             inside = np.argsort(keys, kind="stable")
             sorted_keys = keys[inside]
-            mass = np.concatenate([[0.0], np.cumsum(weight[inside])])
+            mass = np.concatenate([[0], np.cumsum(weight[inside])])
             q_block = (start[used] // (2 * size)) * 2
             upto = np.searchsorted(sorted_keys, q_block * base + limit[used], side="left")
             total[used] -= mass[upto] - mass[q_block * size]
@@ -55,11 +57,13 @@ def _count_in_range(tau_col: str):
         points, asks = rows[rows.kind == 0], rows[rows.kind > 0]
         out = []
         if len(points) and len(asks):
-            hits = _outranked(points[tau_col].to_numpy(dtype=float), points.x.to_numpy(), points.w.to_numpy(dtype=float),
+            hits = _outranked(points[tau_col].to_numpy(dtype=float), points.x.to_numpy(), points.w.to_numpy(dtype=np.int64),
                               asks[tau_col].to_numpy(dtype=float), asks.x.to_numpy())
-            hits = hits * asks.w.to_numpy(dtype=float)
+            # Exact integers of any size; they travel as text.
+            weight = asks.w.to_numpy(dtype=np.int64)
             for kind in (1, 2):
-                out.append((kind, float(hits[(asks.kind == kind).to_numpy()].sum())))
+                own = (asks.kind == kind).to_numpy()
+                out.append((kind, str(sum(int(h) * int(w) for h, w in zip(hits[own], weight[own])))))
         head = rows.iloc[0]
         keys = [c for c in rows.columns if c.startswith("__by")]
         return pd.DataFrame([(*[head[k] for k in keys], *o) for o in out], columns=[*keys, "kind", "n"])
@@ -104,7 +108,7 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str, by: list
     asks = cells(asks)
 
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields if f.name in names]
-    schema = ", ".join([*key_types, "kind int", "n double"])
+    schema = ", ".join([*key_types, "kind int", "n string"])
     # Same time range: tau orders an event before a censored row with the same time.
     tau = F.dense_rank().over(W.partitionBy(*keys, "ta").orderBy("t", "c"))
     same_t = data.unionByName(asks).where("ta % 3 = 2").withColumn("tr", tau)

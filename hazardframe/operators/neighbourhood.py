@@ -27,9 +27,12 @@ def shift(d: tuple[int, int, int]) -> int:
 
 
 def positions(levels: DataFrame, by: list[str]) -> DataFrame:
-    """``(by, pos, level)``: coordinates packed into one long."""
+    """``(by, pos, level)``: coordinates packed into one long; one that does not fit is an error."""
     side = F.lit(SIDE).cast("long")
-    return levels.select(*by, ((F.col("z") * side + F.col("y")) * side + F.col("x")).alias("pos"), "level")
+    fits = F.greatest("z", "y", "x") < SIDE
+    packed = F.when(fits, (F.col("z") * side + F.col("y")) * side + F.col("x")).otherwise(
+        F.raise_error(F.lit(f"a voxel coordinate is not below {SIDE}")).cast("long"))
+    return levels.select(*by, packed.alias("pos"), "level")
 
 
 def neighbourhoods(levels: DataFrame, by: list[str]) -> DataFrame:

@@ -18,21 +18,21 @@ def cumulative_hazard(df: DataFrame, baseline: DataFrame, time: str, score: str,
                                             F.lit(MIN_CUMULATIVE_HAZARD))).drop("__h0")
 
 
-def median_survival(df: DataFrame, baseline: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
+def median_survival(df: DataFrame, baseline: DataFrame, score: str, by: list[str] = (), **plan) -> DataFrame:
     """First time at which survival is at most one half, in days and months; the last curve time if never.
 
     S(t) <= 1/2 exactly when H0(t) >= ln 2 / exp(score), so each subject needs one lookup on the monotone
-    baseline and no subject-by-time table.
+    baseline and no subject-by-time table. ``plan`` (such as ``max_curve_rows``) goes to the lookup.
     """
     ready = df.withColumn("__need", F.lit(math.log(2.0) * (1 - 1e-12)) / F.exp(F.col(score)))
-    found = curve_lookup(ready, baseline, "__need", "cum_hazard", "time", "predicted_days", "forward", by)
+    found = curve_lookup(ready, baseline, "__need", "cum_hazard", "time", "predicted_days", "forward", by, **plan)
     return found.drop("__need").withColumn("predicted_months", to_months(F.col("predicted_days")))
 
 
 def time_residuals(df: DataFrame, time: str, event: str, id_col: str, score: str) -> DataFrame:
     """Actual against predicted time for the rows with an event; expects the columns of :func:`median_survival`."""
     if "predicted_days" not in df.columns:
-        raise ValueError("Predictions missing: run median_survival() first.")
+        raise ValueError("time_residuals() needs the predicted_days that median_survival() adds.")
     if score not in df.columns:
         raise ValueError("Risk scores missing: score the rows first.")
     days, pred = F.col(time).cast("double"), F.col("predicted_days")

@@ -60,6 +60,16 @@ def lasso_selected_features(spark, sf):
     return fixed(_lasso(spark, sf)[0].selected_features(spark), 5)
 
 
+def lasso_coefficients_joined(spark, sf):
+    """The same fit by the plan for more distinct times than may be held."""
+    m = lc.LassoCox(NAMES, 0.05, _weights()).fit(_scaled(spark, sf), tol=1e-9, max_iter=400, max_curve_cells=1)
+    return fixed(m.coefficient_table(spark), 5)
+
+
+def lasso_top_features(spark, sf):
+    return fixed(_lasso(spark, sf)[0].selected_features(spark, 5), 5)
+
+
 def lasso_baseline(spark, sf):
     return fixed(_lasso(spark, sf)[0].baseline.select("time", "n_event", "cum_hazard"), 5)
 
@@ -75,6 +85,11 @@ def alpha_search(spark, sf):
     return fixed(lc.grid_search(_scaled(spark, sf), NAMES, ALPHAS, 5, 3, weights=_weights()).table(spark))
 
 
+def alpha_search_default(spark, sf):
+    """The default grid: 20 penalties, 5 folds, 3 repeats, hence 300 fits."""
+    return fixed(lc.grid_search(_scaled(spark, sf), NAMES, weights=_weights()).table(spark))
+
+
 def alpha_search_scores(spark, sf):
     """A search small enough for an iterative solution in SQL: three folds, two penalties."""
     return fixed(lc.grid_search(_scaled(spark, sf), NAMES, FEW_ALPHAS, 3, 1, weights=_weights(), tol=1e-10, max_iter=80).table(spark), 4)
@@ -122,9 +137,12 @@ QUERIES = {
     "cox_gradient": cox_gradient,
     "lasso_coefficients": lasso_coefficients,
     "lasso_selected_features": lasso_selected_features,
+    "lasso_coefficients_joined": lasso_coefficients_joined,
+    "lasso_top_features": lasso_top_features,
     "lasso_baseline": lasso_baseline,
     "lasso_prediction_report": lasso_report,
     "alpha_search": alpha_search,
+    "alpha_search_default": alpha_search_default,
     "alpha_search_scores": alpha_search_scores,
     "nested_cross_validation": lambda s, sf: fixed(_nested(s, sf), 4),
     "deep_cox_loss": lambda s, sf: fixed(_deep(s, sf)[0].loss_history(s), 4),
@@ -212,6 +230,9 @@ ORACLE = {
     "lasso_coefficients": rounded_sql(f"WITH RECURSIVE {_LASSO} --main {_LASSO_COEFFICIENTS}", "feature coefficient:f hazard_ratio:f", 5),
     "lasso_selected_features": rounded_sql(f"WITH RECURSIVE {_LASSO} --main SELECT * FROM ({_LASSO_COEFFICIENTS}) WHERE abs(coefficient) > 1e-9",
                                            "feature coefficient:f hazard_ratio:f", 5),
+    "lasso_coefficients_joined": rounded_sql(f"WITH RECURSIVE {_LASSO} --main {_LASSO_COEFFICIENTS}", "feature coefficient:f hazard_ratio:f", 5),
+    "lasso_top_features": rounded_sql(f"WITH RECURSIVE {_LASSO} --main SELECT * FROM ({_LASSO_COEFFICIENTS}) WHERE abs(coefficient) > 1e-9 ORDER BY abs(coefficient) DESC, feature LIMIT 5",
+                                      "feature coefficient:f hazard_ratio:f", 5),
     "lasso_baseline": rounded_sql(f"WITH RECURSIVE {_LASSO} --main SELECT time, n_event, cum_hazard FROM base", "time:f n_event:i cum_hazard:f", 5),
     "lasso_prediction_report": rounded_sql(f"""WITH RECURSIVE {_LASSO} --main SELECT sid AS subject, eta AS risk_score,
         CAST(eta > (SELECT median(eta) FROM le) AS INTEGER) AS predicted_class, CAST(event AS INTEGER) AS event_status, time AS survival_time,

@@ -74,6 +74,20 @@ def median_survival(spark, sf):
     return fixed(residuals.median_survival(test, base, "eta").select("sid", "predicted_days", "predicted_months"))
 
 
+def median_survival_merged(spark, sf):
+    """The same by the plan for long curves."""
+    _, test, base = _sides(spark, sf)
+    return fixed(residuals.median_survival(test, base, "eta", max_curve_rows=0).select("sid", "predicted_days", "predicted_months"))
+
+
+def median_survival_grouped(spark, sf):
+    """The same with three grouping columns, all of one value, by the plan for long curves."""
+    _, test, base = _sides(spark, sf)
+    keys = {"a": F.lit("x"), "b": F.lit(None).cast("int"), "c": F.lit(1)}
+    return fixed(residuals.median_survival(test.withColumns(keys), base.withColumns(keys), "eta", list(keys), max_curve_rows=0)
+                 .select("sid", "predicted_days", "predicted_months"))
+
+
 def _timed(spark, sf):
     train, test, base = _sides(spark, sf)
     return residuals.time_residuals(residuals.median_survival(test, base, "eta"), "time", "event", "sid", "eta")
@@ -180,6 +194,8 @@ QUERIES = {
     "survival_on_grid": grid_curves,
     "exit_cumulative_hazard": exit_hazard,
     "median_survival": median_survival,
+    "median_survival_merged": median_survival_merged,
+    "median_survival_grouped": median_survival_grouped,
     "score_summary": lambda s, sf: fixed(cv_summary(co.scored_churn(s, sf), "eta")),
     "time_residuals": lambda s, sf: fixed(_timed(s, sf)),
     "error_summary": lambda s, sf: fixed(residuals.error_summary(_timed(s, sf))),
@@ -335,6 +351,8 @@ ORACLE = {
                                           "sid cum_hazard:f"),
     "median_survival": rounded_sql(f"WITH {_SPLIT}{_BACK}{_MEDIAN} --main SELECT sid, predicted_days, predicted_days / 30.437 AS predicted_months FROM md",
                                    "sid predicted_days:f predicted_months:f"),
+    **{name: rounded_sql(f"WITH {_SPLIT}{_BACK}{_MEDIAN} --main SELECT sid, predicted_days, predicted_days / 30.437 AS predicted_months FROM md",
+                         "sid predicted_days:f predicted_months:f") for name in ("median_survival_merged", "median_survival_grouped")},
     "score_summary": rounded_sql(f"WITH {SCORED} --main SELECT count(*) AS n, avg(eta) AS mean_score, stddev_pop(eta) AS std_score FROM scored",
                                  "n:i mean_score:f std_score:f"),
     "time_residuals": rounded_sql(f"WITH {_SPLIT}{_BACK}{_MEDIAN}{_TIMED} --main SELECT * FROM td", _TD_COLS),

@@ -98,3 +98,35 @@ def test_error_summary_without_events(cohort):
     df = cohort.withColumns({"eta": F.lit(0.0), "predicted_days": F.lit(1.0), "predicted_months": F.lit(1.0), "event": F.lit(False)})
     row = residuals.error_summary(residuals.time_residuals(df, "time", "event", "sid", "eta")).first()
     assert row.n_events == 0 and row.mae_days is None and row.rmse_months is None
+
+
+FLAT = [(1.0, 0.1), (1.0, 0.2), (2.0, 0.3), (3.0, 0.3), (4.0, 0.3), (4.0, 0.4), (float("nan"), 9.0), (5.0, None), (None, 1.0)]
+ASKED = [0.0, 0.5, 1.0, 1.5, 2.0, 3.5, 4.0, 4.5, 99.0, float("nan"), None]
+
+
+@pytest.mark.parametrize("side, before, want", [
+    ("backward", None, [0.1, 0.1, 0.2, 0.2, 0.3, 0.3, 0.4, 0.4, 0.4, None, None]),
+    ("backward", 0.0, [0.0, 0.0, 0.2, 0.2, 0.3, 0.3, 0.4, 0.4, 0.4, None, None]),
+    ("forward", None, [0.1, 0.1, 0.1, 0.3, 0.3, 0.3, 0.3, 0.4, 0.4, None, None])])
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_both_plans_agree_on_flat_ends_and_missing_numbers(spark, side, before, want, rows):
+    curve = spark.createDataFrame([(a, *p) for a in ("x", None) for p in FLAT], "a string, at double, value double")
+    asked = spark.createDataFrame([(a, i, v) for a in ("x", None, "none") for i, v in enumerate(ASKED)], "a string, i int, v double")
+    one = curves.curve_lookup(asked, curve, "v", "at", "value", "found", side, ["a"], before, rows).collect()
+    got = {(r.a, r.i): r.found for r in one}
+    assert len(one) == 3 * len(ASKED)
+    assert [got["x", i] for i in range(len(ASKED))] == want == [got[None, i] for i in range(len(ASKED))]
+    assert all(got["none", i] is None for i in range(len(ASKED)))
+    by = {"b": F.lit(1), "c": F.lit("y"), "d": F.lit(None).cast("int")}
+    more = curves.curve_lookup(asked.withColumns(by), curve.withColumns({**by, "b": F.lit(1).cast("long")}), "v", "at", "value", "found", side, ["a", *by], before, rows)
+    assert {(r.a, r.i): r.found for r in more.collect()} == got
+    none = curves.curve_lookup(asked, curve.limit(0), "v", "at", "value", "found", side, ["a"], before, rows)
+    assert none.where("found IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_forward_past_the_end_gives_the_last_curve_time(spark, rows):
+    curve = spark.createDataFrame([(1.0, .1), (2.0, .3), (3.0, .3), (4.0, .3)], "time double, h double")
+    asked = spark.createDataFrame([(0.5,), (0.3,)], "need double")
+    got = {r.need: r.t for r in curves.curve_lookup(asked, curve, "need", "h", "time", "t", "forward", max_curve_rows=rows).collect()}
+    assert got == {0.5: 4.0, 0.3: 2.0}

@@ -142,8 +142,14 @@ def test_network_gradient_matches_finite_differences():
 
 def test_deep_training_learns_and_ignores_partitioning(spark, data, tmp_path):
     df, x, t, e = data
-    fit = lambda d: dc.DeepCox([f"f{j}" for j in range(5)], [6], 0.1, 1e-2).fit(d, 8, 32, shards=3)
-    a, b = fit(df), fit(df.repartition(7))
+    fit = lambda d: dc.DeepCox([f"f{j}" for j in range(5)], [6], 0.1, 1e-2).fit(d, 8, 32, steps_per_epoch=4)
+    a = fit(df)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        b = fit(df.repartition(7))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     np.testing.assert_allclose(a.weights, b.weights, rtol=1e-9)
     assert a.losses[-1] < a.losses[0] and len(a.losses) == 8
     eta = {r.sid: r.risk_score for r in a.score(df).collect()}
@@ -154,34 +160,47 @@ def test_deep_training_learns_and_ignores_partitioning(spark, data, tmp_path):
     assert a.loss_history(spark).count() == 8
 
 
-def test_one_shard_is_plain_sequential_training(spark, data):
+@pytest.mark.parametrize("batch_size", [10**6, 32])
+def test_a_step_is_the_mean_gradient_of_all_batches(spark, data, batch_size):
     df, x, t, e = data
-    m = dc.DeepCox([f"f{j}" for j in range(5)], [4], 0.0, 1e-2, 0.0).fit(df, 1, 32, shards=1)
-    net = m.network
+    m = dc.DeepCox([f"f{j}" for j in range(5)], [4], 0.0, 1e-2, 0.01).fit(df, 3, batch_size)
+    net, n_batches = m.network, max(1, len(t) // batch_size)
     place = {r.sid: r.place for r in df.withColumn("copy", F.lit(0).cast("long")).withColumn("ev", F.col("event").cast("double")).select(
-        "sid", F.xxhash64("time", "ev", "features", "copy", F.lit(0), F.lit(42)).alias("place")).collect()}
+        "sid", F.xxhash64("time", "ev", "features", "copy", F.lit(42)).alias("place")).collect()}
     order = sorted(range(len(t)), key=lambda i: place[i])
-    w, mom, vel, step = net.start(42), np.zeros(net.trainable), np.zeros(net.trainable), 0
-    for a, b in dc._slices(len(order), 32):
-        rows = order[a:b]
-        loss, g, stats = net.train_batch(w, x[rows], t[rows], e[rows].astype(float))
-        step += 1
+    parts = [[i for i in order if place[i] % n_batches == b] for b in range(n_batches)]
+    w, mom, vel = net.start(42), np.zeros(net.trainable), np.zeros(net.trainable)
+    for step in range(1, 4):
+        got = [(len(p), *net.train_batch(w, x[p], t[p], e[p].astype(float))) for p in parts if p]
+        g = sum(n * g for n, _, g, _ in got) / len(t) + 0.01 * w[:net.trainable]
         mom, vel = 0.9 * mom + 0.1 * g, 0.999 * vel + 0.001 * g * g
         w[:net.trainable] -= 1e-2 * (mom / (1 - 0.9 ** step)) / (np.sqrt(vel / (1 - 0.999 ** step)) + 1e-8)
-        w[net.trainable:] = stats
+        w[net.trainable:] = sum(n * s for n, _, _, s in got) / len(t)
+        assert m.losses[step - 1] == pytest.approx(sum(n * v for n, v, _, _ in got) / len(t))
     np.testing.assert_allclose(m.weights, w, rtol=1e-9, atol=1e-12)
 
 
+def test_a_fit_that_runs_out_of_steps_is_an_error(data):
+    df = data[0]
+    with pytest.raises(lc.NotConverged):
+        lc.LassoCox([f"f{j}" for j in range(5)], 0.01).fit(df, max_iter=2)
+
+
+def test_joined_curves_are_cut_into_ranges(data, monkeypatch):
+    df = data[0]
+    like = cl.Likelihood(df, max_curve_cells=1)
+    monkeypatch.setattr(cl, "range_bounds", lambda *a, **k: [2.0, 5.0, 9.0])
+    one = cl.Models([cl.TrainSet()], np.zeros(1, dtype=int), np.full((1, 5), 0.3))
+    got, want = like.evaluate(one), cl.Likelihood(df).evaluate(one)
+    assert like.bounds == [2.0, 5.0, 9.0]
+    np.testing.assert_allclose(got["gradient"][0], want["gradient"][0], rtol=1e-9)
+    assert got["loglik"][0] == pytest.approx(want["loglik"][0])
+
+
 def test_copies_of_one_row_are_spread(spark):
     rows = [(1.0, 1.0, [0.5])] * 9000 + [(2.0, 0.0, [0.1])] * 10
     df = spark.createDataFrame(rows, "time double, event double, features array<double>")
     numbered = dc._numbered(df, block=1000)
     assert numbered.count() == 9010 and numbered.distinct().count() == 9010
-    shards = numbered.groupBy(F.pmod(F.xxhash64("time", "event", "features", "copy", F.lit(0), F.lit(42)), F.lit(4)).alias("s")).count().collect()
+    shards = numbered.groupBy(F.pmod(F.xxhash64("time", "event", "features", "copy", F.lit(42)), F.lit(4)).alias("s")).count().collect()
     assert len(shards) == 4 and max(r["count"] for r in shards) < 2600
-
-
-def test_a_leftover_row_joins_the_previous_batch():
-    assert dc._slices(65, 32) == [(0, 32), (32, 65)]
-    assert dc._slices(64, 32) == [(0, 32), (32, 64)]
-    assert dc._slices(1, 32) == [(0, 1)]
