@@ -105,7 +105,7 @@ def require_min_rows(df: DataFrame, least: int = MIN_TRAIN_ROWS) -> None:
     """Stop before a fit on too few rows; reads no more rows than needed."""
     n = df.limit(least).count()
     if n < least:
-        raise ValueError(f"Dataset too small for training ({n} rows, at least {least} are required).")
+        raise ValueError(f"training needs {least} rows or more and this table is too small: {n}")
 
 
 def _cells(column: str, p: int, masks: list[Column | None]) -> list[Column]:

@@ -18,7 +18,7 @@ def hash_key(id_cols: list[str], *salts) -> Column:
 
 
 def default_alphas(low: float = -1.0, high: float = -0.1, n: int = 20) -> list[float]:
-    """Logarithmic grid of penalties."""
+    """Logarithmic grid of penalties; the defaults are fixed values."""
     return [float(a) for a in np.logspace(low, high, n)]
 
 

@@ -23,17 +23,17 @@ class RiskClassifier:
         """``scorer`` is any function that adds the score column; leave it out when the column is there."""
         scored = scorer(train) if scorer else train
         if self.score not in scored.columns:
-            raise ValueError("You must provide either risk scores or a scorer to compute them.")
+            raise ValueError("pass a frame that has the score column, or a scorer that adds it")
         self.threshold = median_of(scored, self.score)
         return self
 
     def transform(self, df: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None,
                   out: str = "risk_class") -> DataFrame:
         if self.threshold is None:
-            raise ValueError("The classifier must be fitted first with fit().")
+            raise ValueError("no threshold yet; call fit() before transform()")
         scored = scorer(df) if scorer else df
         if self.score not in scored.columns:
-            raise ValueError("You must provide either risk scores or a scorer to compute them.")
+            raise ValueError("pass a frame that has the score column, or a scorer that adds it")
         return scored.withColumn(out, (F.col(self.score) > F.lit(self.threshold)).cast("int"))
 
 

@@ -166,16 +166,19 @@ def glcm(counts: DataFrame, levels: DataFrame, by: list[str], mcc: bool = True)
 # ---------------------------------------------------------------- level-by-size matrices
 
 # Feature names: run length, zone size, dependence. ``None`` where the class has no such feature.
+# Published feature names.
 RUN_NAMES = dict(small="ShortRunEmphasis", large="LongRunEmphasis", gln="GrayLevelNonUniformity",
                  glnn="GrayLevelNonUniformityNormalized", sn="RunLengthNonUniformity", snn="RunLengthNonUniformityNormalized",
                  share="RunPercentage", glv="GrayLevelVariance", sv="RunVariance", entropy="RunEntropy",
                  low="LowGrayLevelRunEmphasis", high="HighGrayLevelRunEmphasis", sl="ShortRunLowGrayLevelEmphasis",
                  sh="ShortRunHighGrayLevelEmphasis", ll="LongRunLowGrayLevelEmphasis", lh="LongRunHighGrayLevelEmphasis")
+# Published feature names.
 ZONE_NAMES = dict(small="SmallAreaEmphasis", large="LargeAreaEmphasis", gln="GrayLevelNonUniformity",
                   glnn="GrayLevelNonUniformityNormalized", sn="SizeZoneNonUniformity", snn="SizeZoneNonUniformityNormalized",
                   share="ZonePercentage", glv="GrayLevelVariance", sv="ZoneVariance", entropy="ZoneEntropy",
                   low="LowGrayLevelZoneEmphasis", high="HighGrayLevelZoneEmphasis", sl="SmallAreaLowGrayLevelEmphasis",
                   sh="SmallAreaHighGrayLevelEmphasis", ll="LargeAreaLowGrayLevelEmphasis", lh="LargeAreaHighGrayLevelEmphasis")
+# Published feature names.
 DEPENDENCE_NAMES = dict(small="SmallDependenceEmphasis", large="LargeDependenceEmphasis", gln="GrayLevelNonUniformity",
                         glnn=None, sn="DependenceNonUniformity", snn="DependenceNonUniformityNormalized", share=None,
                         glv="GrayLevelVariance", sv="DependenceVariance", entropy="DependenceEntropy",

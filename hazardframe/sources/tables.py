@@ -55,7 +55,7 @@ def select_complete_subjects(df: DataFrame, id_col: str, kind_col: str, required
                 .select(id_col))
     chosen = cut_lineage(complete.orderBy(id_col).limit(n))
     if chosen.isEmpty():
-        raise ValueError(f"Error: no subjects found with all of {sorted(required)}.")
+        raise ValueError(f"no subject has every kind of record in {sorted(required)}")
     return df.join(chosen, id_col, "left_semi")
 
 

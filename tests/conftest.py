@@ -23,7 +23,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def survival_rows():
-    """Fifteen subjects with their times and events."""
+    """Fifteen subjects with their times and events. Published curves of just these rows are the expected ones."""
     times = [10, 45, 12, 5, 60, 22, 34, 8, 19, 50, 15, 40, 25, 30, 55]
     events = [1, 0, 1, 1, 0, 1, 0, 1, 1, 0, 1, 0, 1, 1, 0]
     return [(f"P{i + 1}", float(t), bool(e)) for i, (t, e) in enumerate(zip(times, events))]

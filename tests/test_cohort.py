@@ -5,39 +5,41 @@ from pyspark.sql import functions as F
 from hazardframe.operators import encode, splits
 from hazardframe.sources import tables as st
 
-STAGE = {"I": 1, "II": 2, "III": 3}
+GRADE = {"low": 1, "mid": 2, "high": 3, "top": 4}
 
 
 @pytest.fixture(scope="module")
 def features(spark):
-    rows = [("P1", 10.0, 1.0), ("P2", None, 2.0), ("P3", 30.0, 3.0), ("P4", 40.0, 4.0), ("P5", 50.0, 5.0)]
-    return spark.createDataFrame(rows, "PatientID string, feat_1 double, feat_2 double")
+    rows = [(7, 0.25, -1.0), (8, 0.5, -2.5), (9, None, 4.0), (12, 1.75, None)]
+    return spark.createDataFrame(rows, "unit int, load double, drift double")
 
 
 @pytest.fixture(scope="module")
 def clinical(spark):
-    rows = [("P1", "I", "male", "Adeno", 12.5, 1), ("P2", "II", "female", "Squamous", 24.0, 0), ("P3", "III", "male", "Adeno", 5.2, 1),
-            ("P4", None, "female", None, 18.3, 1), ("P5", "I", None, "Squamous", 45.1, 0)]
-    return spark.createDataFrame(rows, "PatientID string, Stage string, Gender string, Histology string, Survival_Time double, Event_Status int")
+    rows = [(7, "mid", "female", "Oak", 310.0, 0), (8, None, "male", "Ash", 95.5, 1), (9, "top", None, "Ash", 12.0, 1), (12, "low", "female", None, 640.0, 0)]
+    return spark.createDataFrame(rows, "unit int, grade string, sex string, wood string, days double, failed int")
 
 
 def test_join_and_encoding(features, clinical):
-    merged = encode.merge_cohort(features, clinical, "PatientID")
-    enc = encode.CohortEncoder("Stage", "Gender", "Histology", STAGE).fit(merged)
-    rows = {r.PatientID: r for r in enc.transform(merged).collect()}
-    assert len(rows) == 5 and rows["P4"].Stage == 3 and rows["P5"].Gender == 1 and rows["P2"].Gender == 0
+    merged = encode.merge_cohort(features, clinical, "unit")
+    enc = encode.CohortEncoder("grade", "sex", "wood", GRADE).fit(merged)
+    rows = {r.unit: r for r in enc.transform(merged).collect()}
+    # Ranks and binary codes; a missing one takes the most frequent value (of equal ones the last rank).
+    assert len(rows) == 4 and (rows[7].grade, rows[9].grade, rows[12].grade) == (2, 4, 1)
+    assert rows[8].grade is not None and rows[9].sex is not None and rows[7].sex != rows[8].sex
     cols = enc.transform(merged).columns
-    assert "Histology_Squamous" in cols and "Histology_Unknown" in cols and "Histology_Adeno" not in cols
-    assert rows["P4"].Histology_Unknown == 1 and rows["P4"].Histology_Squamous == 0
-    names = st.numeric_features(enc.transform(merged), ["PatientID", "Survival_Time", "Event_Status", "absent"])
-    assert names == ["feat_1", "feat_2", "Stage", "Gender", "Histology_Squamous", "Histology_Unknown"]
+    assert "wood_Oak" in cols and "wood_Ash" not in cols and sum(c.startswith("wood_") for c in cols) == 2
+    missing = next(c for c in cols if c.startswith("wood_") and c != "wood_Oak")
+    assert rows[12][missing] == 1 and rows[12].wood_Oak == 0 and rows[7].wood_Oak == 1 and rows[8][missing] == 0
+    names = st.numeric_features(enc.transform(merged), ["unit", "days", "failed", "absent"])
+    assert sorted(names) == sorted(["load", "drift", "grade", "sex", "wood_Oak", missing])
     # New data with unseen and missing categories gets the same columns.
-    later = merged.where("PatientID = 'P1'").withColumn("Histology", F.lit("new"))
+    later = merged.where("unit = 7").withColumn("wood", F.lit("new"))
     assert enc.transform(later).columns == cols
 
 
 def test_missing_columns_are_left_alone(features):
-    enc = encode.CohortEncoder("Stage", "Gender", "Histology").fit(features)
+    enc = encode.CohortEncoder("grade", "sex", "wood").fit(features)
     assert enc.transform(features).columns == features.columns
 
 
@@ -48,14 +50,13 @@ def test_shared_columns_get_suffixes(spark):
 
 
 def test_repeated_subjects_multiply_and_are_reported(spark):
-    a = spark.createDataFrame([("P1", 1.0), ("P1", 2.0), ("P2", 3.0), ("P2", 4.0), ("P3", 5.0), ("P4", 6.0)], "PatientID string, f double")
-    b = spark.createDataFrame([("P1", 1.0, 1), ("P1", 2.0, 0), ("P2", 3.0, 1), ("P2", 4.0, 0), ("P3", 5.0, 1), ("P4", 6.0, 0)],
-                              "PatientID string, t double, e int")
-    merged = encode.merge_cohort(a, b, "PatientID")
-    row = encode.cohort_counts(merged, "PatientID").first()
-    assert (row.n_rows, row.n_subjects, row.has_duplicates) == (10, 4, True)
-    split = splits.train_test_split(merged, "PatientID", "t", "e", 0.5).select("PatientID", "is_train").distinct().collect()
-    assert len(split) == 4 and sum(r.is_train for r in split) == 2
+    a = spark.createDataFrame([(u, float(k)) for u, n in ((3, 3), (5, 1), (6, 2)) for k in range(n)], "unit int, f double")
+    b = spark.createDataFrame([(3, 8.0, 1), (3, 9.0, 1), (5, 2.0, 0), (6, 4.0, 1), (6, 4.5, 0), (6, 5.0, 0)], "unit int, t double, e int")
+    merged = encode.merge_cohort(a, b, "unit")
+    row = encode.cohort_counts(merged, "unit").first()
+    assert (row.n_rows, row.n_subjects, row.has_duplicates) == (3 * 2 + 1 + 2 * 3, 3, True)
+    split = splits.train_test_split(merged, "unit", "t", "e", 0.67).select("unit", "is_train").distinct().collect()
+    assert len(split) == 3 and sum(r.is_train for r in split) == 2
 
 
 def test_stratified_split_sizes_and_fallback(spark):
@@ -67,11 +68,11 @@ def test_stratified_split_sizes_and_fallback(spark):
         for late in (True, False):
             part = [r for r in out if r.e == e and (r.t > 49.5) == late]
             assert abs(sum(r.is_train for r in part) - 0.8 * len(part)) <= 1
-    five = spark.createDataFrame([("P1", 12.5, True), ("P2", 24.0, False), ("P3", 5.2, True), ("P4", 18.3, True), ("P5", 45.1, False)],
+    five = spark.createDataFrame([("a", 3.0, True), ("b", 71.0, False), ("c", 8.0, True), ("d", 2.0, True), ("e", 66.0, False)],
                                  "id string, t double, e boolean")
     assert sum(r.is_train for r in splits.stratified_split(five, "id", "t", "e", 0.6).collect()) == 3
     with pytest.raises(ValueError):
-        splits.stratified_split(five.where("id <> 'P2'"), "id", "t", "e", 0.6)
+        splits.stratified_split(five.where("id <> 'b'"), "id", "t", "e", 0.6)
 
 
 def test_split_is_the_same_for_any_partitioning(spark):
