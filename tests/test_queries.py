@@ -10,7 +10,9 @@ SLOW = {"nested_cross_validation", "study_reports"}  # covered by the model and
 # Half-minute theta joins and recursions are fine here: the tables are tiny.
 NAMES = ["km_curve", *[n for n in ("km_confidence_band", "median_impute", "stratified_split", "event_table", "curve_lookup_merged",
                                    "diagnostic_residuals", "concordance_index_grouped", "integrated_brier", "stratification",
-                                   "cox_gradient", "glcm_features", "glszm_features")]]
+                                   "cox_gradient", "glcm_features", "glszm_features", "median_survival", "median_survival_merged",
+                                   "median_survival_grouped", "lasso_top_features", "first_order_features", "glrlm_features", "event_rows",
+                                   "time_bounds", "grouped_quantiles", "logrank_test", "brier_scores", "stratified_split")]]
 
 
 @pytest.fixture(scope="module")
