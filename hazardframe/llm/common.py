@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazardframe.session import ensure_checkpoint_dir
@@ -58,6 +61,22 @@ def blocks(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def row_blocks(batches: Iterable[pa.RecordBatch], text: int, most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut batches into slices whose texts are of bounded size (a longer text makes a slice of its own).
+
+    Gives each slice with its texts, null ones as empty; only these texts are Python strings at a time.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_chars, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or "" for t in part.column(text).to_pylist()]
+            start = stop
+
+
 def small_or_not(df: DataFrame, most_mb: float = 8.0) -> DataFrame:
     """Write ``df`` and mark it for broadcast only if the rows written are known to be small; the join's result is the same."""
     kept = written(df)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.llm.common import small_or_not
+from hazardframe.llm.common import row_blocks, small_or_not
 from hazardframe.llm.url_filter import host_of
 
 # A quoted value may hold ">" but not "<", which keeps the search linear on broken pages.
@@ -142,10 +142,10 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in row_blocks(batches, 1, 8_000_000):
             met, hosts, keys, branches, says = set(), [], [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = page_blocks(page or "")
+            for host, page in zip(part.column(0).to_pylist(), texts):
+                found = page_blocks(page)
                 key = xxhash.xxh64_intdigest("\n".join(t for _, _, t in found)) >> 1
                 if (host, key) in met:
                     continue
@@ -191,10 +191,10 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str
     at, n, names_out = pages.columns.index(html), len(columns), [*pages.columns, into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, sources in row_blocks(batches, at):
             texts = []
-            for page, taken in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
-                found, low = page_blocks(page or ""), set(taken or ())
+            for page, taken in zip(sources, part.column(n).to_pylist()):
+                found, low = page_blocks(page), set(taken or ())
                 if low:
                     kept = []
                     for branch, article, t in found:
@@ -206,6 +206,6 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str
                     found = kept
                 article = [t for _, a, t in found if a]
                 texts.append("\n".join(article or [t for _, _, t in found]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=names_out)
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=names_out)
 
     return joined.select(*columns, F.col("l.low").alias("__low")).mapInArrow(run, schema)

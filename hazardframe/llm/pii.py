@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from hazardframe.llm.common import row_blocks
+
 KINDS = ["email", "ip", "card", "phone"]  # fixed value: their order
 
 # The base patterns of the contract.
@@ -212,8 +214,8 @@ def personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in spans(t.as_py())] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*kept, into])
+        for part, texts in row_blocks(batches, at):
+            found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in spans(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*kept, into])
 
     return docs.mapInArrow(run, schema)

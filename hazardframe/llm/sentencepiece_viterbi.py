@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.llm.common import blocks
+from hazardframe.llm.common import row_blocks
 from hazardframe.llm.word_ids import WordIds
 
 SPACE = "▁"  # fixed value: how the model writes a blank
@@ -287,12 +287,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, table = _encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in blocks(texts):
-                ids, n = table.encode([pieces.words(t) for t in texts[a:b]])
-                out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, out], names=[*kept, into])
+        for part, texts in row_blocks(batches, at):
+            ids, n = table.encode([pieces.words(t) for t in texts])
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, into])
 
     return docs.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm.common import blocks
+from hazardframe.llm.common import row_blocks
 from hazardframe.llm.word_ids import WordIds
 
 # How many values of how many bits a word of each selector holds. Selector 15 is the escape.
@@ -146,20 +146,19 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
         from pyspark import TaskContext
 
         part, seq, first, table = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                ids, n = table.encode([t.replace("\n", " ").split(" ") for t in texts[a:b]])
-                ids = np.insert(ids, np.cumsum(n), end_id)
-                words, starts = pack(ids)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()),
-                    "doc_ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                    "n_tokens": pa.array([(n + 1).tolist()], pa.list_(pa.int32())), "n_ids": pa.array([len(ids)], pa.int64()),
-                    "block_words": pa.array([starts.tolist()], pa.list_(pa.int32())),
-                    "payload": pa.array([words.astype("<u8").tobytes()], pa.binary())})
-                seq += 1
-                first += len(ids)
+        for part_rows, texts in row_blocks(batches, 1):
+            ids, n = table.encode([t.replace("\n", " ").split(" ") for t in texts])
+            ids = np.insert(ids, np.cumsum(n), end_id)
+            words, starts = pack(ids)
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part_rows.column(0)),
+                "n_tokens": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.array(n + 1, pa.int32())),
+                "n_ids": pa.array([len(ids)], pa.int64()),
+                "block_words": pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), pa.array(starts, pa.int32())),
+                "payload": pa.array([words.astype("<u8").tobytes()], pa.binary())})
+            seq += 1
+            first += len(ids)
 
     (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, CHUNK).write.parquet(to))
 

@@ -15,13 +15,13 @@ class WordIds:
     cache of at most about ``most`` words; when it is full it starts anew, which changes no result.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.starts, self.lens = (np.empty(0, np.int32) for _ in range(3))
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of ids of each text."""
@@ -33,12 +33,12 @@ class WordIds:
             flat, lens = self.encode_words(new)
             first = len(self.index)
             self.index.update(zip(new, range(first, first + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, flat])
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lens) - lens).astype(np.int32)])
+            self.lens = np.concatenate([self.lens, lens.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         lens = self.lens[codes]
-        ends = np.cumsum(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(total)]
         cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
