@@ -10,15 +10,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hazardframe.llm.common import blocks
+from hazardframe.llm.common import row_blocks, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, SHORTEST = 5, 1
 UNDETERMINED = "und"
-MAX_CACHE = 800_000
+MAX_CACHE = 300_000
 
 
 @dataclass
@@ -34,31 +35,33 @@ class LanguageModel:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Words and n-grams of a partition with their counts in each language."""
-    words, grams = Counter(), Counter()
+    """Words and n-grams of a partition with their counts in each language; n-grams are counted from the distinct words."""
+    words: Counter = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
+        grams: Counter = Counter()
+        for (lang, w), n in words.items():
+            padded = f" {w[:64]} "
+            for size in range(SHORTEST, LONGEST + 1):
+                for i in range(len(padded) - size + 1):
+                    grams[lang, padded[i:i + size]] += n
         for kind, table in (("word", words), ("gram", grams)):
             if table:
                 yield pa.RecordBatch.from_pydict({
                     "kind": pa.array([kind] * len(table)), "key": pa.array([k for _, k in table]), "lang": pa.array([x for x, _ in table]),
                     "n": pa.array(list(table.values()), pa.int64())})
-                table.clear()
-
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w, n in Counter(WORD.findall((text or "").lower())).items():
-                words[lang, w] += n
-                padded = f" {w[:64]} "
-                for size in range(SHORTEST, LONGEST + 1):
-                    for i in range(len(padded) - size + 1):
-                        grams[lang, padded[i:i + size]] += n
-            if len(words) + len(grams) > most:
-                yield from flush()
+        words.clear()
+
+    for part, texts in row_blocks(batches, 0):
+        for text, lang in zip(texts, part.column(1).to_pylist()):
+            for w in WORD.findall(text.lower()):
+                words[lang, w] += 1
+        if len(words) > most:
+            yield from flush()
     yield from flush()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 20_000,
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 10_000,
         max_words: int = 60_000, max_grams: int = 100_000, min_count: int = 2, max_languages: int = 300) -> LanguageModel:
     """Learn from a bounded sample: the ``sample_rows`` labelled rows whose hashed ``key`` is smallest.
 
@@ -72,30 +75,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     empty = LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
     if last is None:
         return empty
-    counts = (rows.filter(F.col("h") <= F.lit(last)).select("text", "lang")
-              .mapInArrow(lambda it: _counts(it, 1_000_000), "kind string, key string, lang string, n bigint")
-              .groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-              .groupBy("kind", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-              .filter(F.col("total") >= min_count))
-    tables = {kind: counts.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", "by").collect()
-              for kind, most in (("word", max_words), ("gram", max_grams))}
-    languages = sorted({x for t in tables.values() for r in t for x in r["by"]})
+    counts = written(rows.filter(F.col("h") <= F.lit(last)).select("text", "lang")
+                     .mapInArrow(lambda it: _counts(it, 200_000), "kind string, key string, lang string, n bigint")
+                     .groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+                     .groupBy("kind", "key").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))
+                     .filter(F.col("total") >= min_count))
+    tables = {}
+    for kind, most in (("word", max_words), ("gram", max_grams)):
+        top = counts.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most)
+        tables[kind] = top.select("key", F.col("by.lang").alias("lang"), F.col("by.n").alias("n")).toArrow().combine_chunks()
+    languages = sorted({x for t in tables.values() for x in pc.unique(pc.list_flatten(t["lang"])).to_pylist()})
     if not languages:
         return empty
     if len(languages) > max_languages:
         raise ValueError(f"{len(languages)} languages; raise max_languages if that is meant")
-    column = {x: i for i, x in enumerate(languages)}
-
-    def scores(rows: list, spread: float) -> tuple[dict[str, int], np.ndarray]:
-        n = np.zeros((len(rows), len(languages)))
-        for i, r in enumerate(rows):
-            for x, c in r["by"].items():
-                n[i, column[x]] = c
-        total = n.sum(axis=0, keepdims=True) + spread * (len(rows) + 1)
-        return {r["key"]: i for i, r in enumerate(rows)}, np.log((n + spread) / total)
-
-    words, word_scores = scores(tables["word"], 0.5)
-    grams, gram_scores = scores(tables["gram"], 0.5)
+
+    def scores(table: pa.Table, spread: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
+        n = np.zeros((table.num_rows, len(languages)))
+        column = pc.index_in(pc.list_flatten(table["lang"]), pa.array(languages)).to_numpy()
+        n[np.repeat(np.arange(table.num_rows), pc.list_value_length(table["lang"]).to_numpy()), column] = pc.list_flatten(table["n"]).to_numpy()
+        total = n.sum(axis=0, keepdims=True) + spread * (table.num_rows + 1)
+        return {k: i for i, k in enumerate(table["key"].to_pylist())}, np.log((n + spread) / total)
+
+    words, word_scores = scores(tables["word"])
+    grams, gram_scores = scores(tables["gram"])
     return LanguageModel(languages, words, word_scores, grams, gram_scores, np.full(len(languages), -20.0))
 
 
@@ -161,19 +164,16 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang_into
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = np.array([*scorer.model.languages, UNDETERMINED], object)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in blocks(texts):
-                words = [WORD.findall(t.lower()) for t in texts[a:b]]
-                has = np.array([bool(w) for w in words])
-                if len(names) == 1:
-                    best, score = np.zeros(b - a, int), np.zeros(b - a)
-                else:
-                    mean = scorer.texts(words)
-                    best = np.where(has, mean.argmax(axis=1), len(names) - 1)
-                    share = np.exp(sharpness * (mean - mean.max(axis=1, keepdims=True)))
-                    score = np.where(has, 1.0 / share.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(names[best], pa.string()), pa.array(score)],
-                                                 names=[*kept, lang_into, score_into])
+        for part, texts in row_blocks(batches, at):
+            words = [WORD.findall(t.lower()) for t in texts]
+            has = np.array([bool(w) for w in words])
+            if len(names) == 1:
+                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+            else:
+                mean = scorer.texts(words)
+                best = np.where(has, mean.argmax(axis=1), len(names) - 1)
+                share = np.exp(sharpness * (mean - mean.max(axis=1, keepdims=True)))
+                score = np.where(has, 1.0 / share.sum(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, lang_into, score_into])
 
     return docs.mapInArrow(run, schema)
