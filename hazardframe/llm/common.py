@@ -48,19 +48,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocks(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into ranges of bounded size (a single longer text makes a range of its own)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > most_chars:
-            yield start, i
-            start, size = i, 0
-        size += n + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def row_blocks(batches: Iterable[pa.RecordBatch], text: int, most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut batches into slices whose texts are of bounded size (a longer text makes a slice of its own).
 

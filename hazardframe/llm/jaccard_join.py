@@ -18,16 +18,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.llm.common import blocks, small_or_not, written
+from hazardframe.llm.common import row_blocks, small_or_not, written
 from hazardframe.llm.components import components
 
 SHINGLE = 5
 FREQUENT = 16  # a token in more documents is frequent; groups of a rare token are never larger
-MAX_BITS = 28  # of the two class maps: 32 MB each at most; a full map only makes prefixes longer
+MAX_BITS = 27  # of the map of shared tokens: 16 MB at most; a full map only makes prefixes longer
+COARSER = 3  # the map of frequent tokens has so many bits less: 2 MB at most
 BUCKET_TOKENS = 2_000_000
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MAX_CACHE = 800_000
+PIVOTS = 8  # members of a component that a set outside it is tried against before the full comparison
+OUTSIDERS, OTHERS = 64, 512  # sets on either side of one block of the full comparison
+MAX_CACHE = 400_000
+MAX_MET = 100_000
 
 
 class _Hashes(dict):
@@ -51,25 +55,24 @@ def shingle_sets(texts: list[str | None], cache: _Hashes) -> Iterator[np.ndarray
     """
     if len(cache) > MAX_CACHE:
         cache.clear()
-    for a, b in blocks(texts, 1_000_000):
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[a:b]]
-        n = [len(w) for w in words]
-        flat = np.fromiter(map(cache.__getitem__, (w for ws in words for w in ws)), np.uint64, sum(n))
-        del words
-        power = np.power(MULTIPLIER, np.arange(SHINGLE, dtype=np.uint64))
-        grams = np.zeros(max(0, len(flat) - SHINGLE + 1), np.uint64)
-        for k in range(SHINGLE):
-            grams += flat[k:k + len(grams)] * power[k]
-        grams = _mixed(grams)
-        at = 0
-        for m in n:
-            if m >= SHINGLE:
-                yield np.unique(grams[at:at + m - SHINGLE + 1])
-            elif m:
-                yield _mixed((flat[at:at + m] * power[:m]).sum(keepdims=True) + np.uint64(m))
-            else:
-                yield np.empty(0, np.uint64)
-            at += m
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    n = [len(w) for w in words]
+    flat = np.fromiter(map(cache.__getitem__, (w for ws in words for w in ws)), np.uint64, sum(n))
+    del words
+    power = np.power(MULTIPLIER, np.arange(SHINGLE, dtype=np.uint64))
+    grams = np.zeros(max(0, len(flat) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        grams += flat[k:k + len(grams)] * power[k]
+    grams = _mixed(grams)
+    at = 0
+    for m in n:
+        if m >= SHINGLE:
+            yield np.unique(grams[at:at + m - SHINGLE + 1])
+        elif m:
+            yield _mixed((flat[at:at + m] * power[:m]).sum(keepdims=True) + np.uint64(m))
+        else:
+            yield np.empty(0, np.uint64)
+        at += m
 
 
 def _key(tokens: np.ndarray) -> bytes:
@@ -77,11 +80,12 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Key and tokens of the sets in a partition; of equal sets in one batch only the first."""
-    cache = _Hashes()
-    for batch in batches:
-        met = set()
-        for tokens in shingle_sets(batch.column(0).to_pylist(), cache):
+    """Key and tokens of the sets in a partition; of equal sets among the last MAX_MET only the first."""
+    cache, met = _Hashes(), set()
+    for _, texts in row_blocks(batches, 0):
+        if len(met) > MAX_MET:
+            met.clear()
+        for tokens in shingle_sets(texts, cache):
             if len(tokens) and (key := _key(tokens)) not in met:
                 met.add(key)
                 yield key, tokens
@@ -91,9 +95,9 @@ def set_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text_hash, n_shingles, key): equal sets have equal keys; the empty set has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for batch in batches:
-            sets = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(batch.column(2).to_pylist(), cache)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())],
+        for part, texts in row_blocks(batches, 2):
+            sets = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(texts, cache)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())],
                                              names=["doc_id", "text_hash", "n_shingles", "key"])
     text_of = F.col(text).cast("string")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of).alias("text_hash"), text_of.alias("text")).mapInArrow(
@@ -105,10 +109,10 @@ def class_maps(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray, n
 
     Both are of bounded size. A set bit can come from another token with the same upper bits; the class is then a later
     one for everybody, which costs work and loses nothing. Tokens travel as packed 32-bit remainders, dealt by their upper
-    bits into buckets of bounded size; one that a batch has more often than FREQUENT times goes out FREQUENT + 1 times.
+    bits into buckets of bounded size; one met more often than FREQUENT times before a flush goes out FREQUENT + 1 times.
     """
-    bits = min(MAX_BITS, max(16, math.ceil(math.log2(max(1, n_tokens) * 4))))
-    bucket_bits = min(bits - 8, max(0, math.ceil(math.log2(max(1, n_tokens) / BUCKET_TOKENS))))
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(max(1, n_tokens) * 2))))
+    bucket_bits = min(bits - COARSER - 8, max(0, math.ceil(math.log2(max(1, n_tokens) / BUCKET_TOKENS))))
     below = bits - bucket_bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,26 +140,25 @@ def class_maps(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray, n
         rest = np.sort(np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("tokens")]))
         starts = np.flatnonzero(np.diff(rest, prepend=rest[0] ^ np.uint32(1)))
         count = np.diff(starts, append=len(rest))
-        place = (rest[starts] >> np.uint32(32 - below)).astype(np.int64)
         maps = []
-        for least in (2, FREQUENT + 1):
-            mark = np.zeros(1 << below, bool)
-            mark[place[count >= least]] = True
+        for least, wide in ((2, below), (FREQUENT + 1, below - COARSER)):
+            mark = np.zeros(1 << wide, bool)
+            mark[(rest[starts[count >= least]] >> np.uint32(32 - wide)).astype(np.int64)] = True
             maps.append(np.packbits(mark).tobytes())
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "shared": pa.array([maps[0]], pa.binary()), "frequent": pa.array([maps[1]], pa.binary())})
 
-    rows = (docs.select(F.col(text).cast("string").alias("text")).mapInArrow(send, "bucket int, tokens binary")
-            .groupBy("bucket").applyInArrow(classify, "bucket int, shared binary, frequent binary").collect())
-    shared, frequent = (np.zeros(1 << (bits - 3), np.uint8) for _ in range(2))
-    step = 1 << (below - 3)
-    for r in rows:
-        at = r["bucket"] * step
-        shared[at:at + step] = np.frombuffer(r["shared"], np.uint8)
-        frequent[at:at + step] = np.frombuffer(r["frequent"], np.uint8)
+    rows = written(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(send, "bucket int, tokens binary")
+                   .groupBy("bucket").applyInArrow(classify, "bucket int, shared binary, frequent binary"))
+    shared, frequent = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3 - COARSER), np.uint8)
+    for r in rows.toLocalIterator():  # a bucket or a few at a time beside the maps themselves
+        for whole, part in ((shared, r["shared"]), (frequent, r["frequent"])):
+            whole[r["bucket"] * len(part):(r["bucket"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
     return shared, frequent, bits
 
 
-def _bit(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _bit(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The bit that a map of a power of two of bits has for the upper bits of each token."""
+    place = (tokens >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
 
 
@@ -169,10 +172,8 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, per
     n = len(tokens)
     least = -(-percent * n // 100)  # of its tokens that any linked set shares
     prefix = n - least + 1
-    bits = len(shared).bit_length() + 2
-    place = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-    kind = _bit(shared, place).astype(np.int8)
-    kind[(kind == 1) & (_bit(frequent, place) == 1)] = 2
+    kind = _bit(shared, tokens).astype(np.int8)
+    kind[(kind == 1) & (_bit(frequent, tokens) == 1)] = 2
     single = int((kind == 0).sum())
     if single >= prefix:
         return np.empty(0, np.int64)
@@ -253,6 +254,59 @@ def _sized(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
+def _outsiders(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (sig, key, root): the rows of signatures that still have several components, and (key, root, pool) of their sets
+    outside the signature's largest component, which is the pool. Counts are summed before they are shuffled."""
+    largest = (placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig")
+               .agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig", F.col("m.root").alias("pool")))
+    split = written(placed.join(largest, "sig"))
+    return split.select("sig", "key"), written(split.filter("root <> pool").select("key", "root", "pool").distinct())
+
+
+def _compare_blocks(outside: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of every outsider of a pool to the pool's members and its other outsiders, one for each component met.
+
+    Both sides are dealt by hash into blocks of bounded size and each pair of blocks is one group, so a pool of any size is
+    compared without a row for each pair and without a large group.
+    """
+    inside = nodes.join(outside.select(F.col("pool").alias("root")).distinct(), "root").select("key", "root", F.col("root").alias("pool"))
+    others = inside.unionByName(outside)
+    sizes = (others.groupBy("pool").agg(F.count(F.lit(1)).alias("all")).join(outside.groupBy("pool").agg(F.count(F.lit(1)).alias("out")), "pool")
+             .select("pool", F.ceil(F.col("out") / OUTSIDERS).cast("int").alias("rows"), F.ceil(F.col("all") / OTHERS).cast("int").alias("cols")))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("key", F.lit(own)), F.col(own)).cast("int")
+        return (rows.join(sizes, "pool").select("pool", "key", "root", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+                .join(sets, "key").select("pool", F.col("own").alias(own), F.col("other").alias(other), "key", "root", "tokens"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in right["tokens"]]
+            size = np.array([len(x) for x in parts])
+            flat = np.concatenate(parts)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(parts)), size)[order]
+            keys, roots = right["key"].to_pylist(), right["root"].to_pylist()
+            for key, root, tokens in zip(left["key"].to_pylist(), left["root"].to_pylist(), left["tokens"]):
+                tokens = np.frombuffer(tokens.as_buffer(), np.uint64)
+                lo, hi = np.searchsorted(flat, tokens, side="left"), np.searchsorted(flat, tokens, side="right")
+                n = hi - lo
+                met = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                common = np.bincount(met, minlength=len(parts))
+                found = {}
+                for i in np.flatnonzero(100 * common >= percent * (size + len(tokens) - common)).tolist():
+                    if roots[i] != root:
+                        found.setdefault(roots[i], keys[i])
+                a += [key] * len(found)
+                b += list(found.values())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    by, names = ["pool", "rows", "cols"], ["pool", "rows", "cols", "key", "root", "tokens"]
+    left, right = dealt(outside, "rows", "cols").select(*names).toDF(*names), dealt(others, "cols", "rows").select(*names).toDF(*names)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a binary, b binary")
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id (the smallest id reachable by links) and
     whether it is the first of its component (by id, nulls last, then text hash).
@@ -262,10 +316,12 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     the start, so copies are never paired; a null id takes part like any other, but names a component only if no other
     member has an id. Repeated rows get equal rows.
 
-    Two steps find all links that matter for the components. First every signature's sets are compared with one of them,
-    which joins most members of a family of near copies. Then only sets of one signature that are still in different
-    components are compared: those outside the signature's largest component with the others. No pair within a
-    component is ever made, and none is left out between components.
+    Three steps find all links that matter for the components. First every signature's sets are compared with one of them.
+    Then the sets that are not in the largest component of one of their signatures are tried against a few members of it.
+    Both join most members of a family of near copies. What is then still outside is compared, in blocks, with all
+    members of that component and all others outside it. Two linked sets share a signature, so they are in one component,
+    or one is outside the component of the other, or both are outside the same one: no link between components is left
+    out, and no pair within a component is looked for.
     """
     keys = written(set_keys(docs, doc_id, text))
     n_tokens = keys.agg(F.sum("n_shingles")).collect()[0][0] or 0
@@ -282,20 +338,17 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = written(indexed.select("key", "tokens").join(useful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
     stars = useful.filter("key <> pivot").filter(_sized("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     checked = written(verify(stars, sets, percent))
-    roots = written(components(checked.filter("linked")))
-    placed = useful.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "pivot", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
-    placed = written(placed.join(split, "sig", "left_semi"))
-    largest = (placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"))
-               .select("sig", F.col("m.root").alias("largest")))
-    placed = placed.join(largest, "sig")
-    a, b = placed.filter("root <> largest").alias("a"), placed.alias("b")
-    rest = (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root"))
-                   & ((F.col("b.root") == F.col("b.largest")) | (F.col("a.key") < F.col("b.key"))) & F.expr(_sized("a.n", "b.n", percent))
-                   & (F.col("a.key") != F.col("a.pivot")) & (F.col("b.key") != F.col("b.pivot")))
-            .select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct())
-    more = written(verify(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
-    links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
+    links = checked.filter("linked").select("a", "b")
+    sizes = useful.select("key", "n").distinct()
+    nodes = written(sizes.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root")))
+    split, outside = _outsiders(useful.select("sig", "key").join(nodes.select("key", "root"), "key"))
+    pivots = nodes.groupBy("root").agg(F.array_distinct(F.array(*[F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
+    tries = (outside.join(nodes.select("key", "n"), "key").join(pivots.select(F.col("root").alias("pool"), F.explode("p").alias("p")), "pool")
+             .filter(_sized("n", "p.n", percent)).select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct())
+    links = written(links.union(verify(tries, sets, percent).filter("linked").select("a", "b")))
+    nodes = written(sizes.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root")))
+    _, outside = _outsiders(split.join(nodes, "key"))
+    links = links.union(_compare_blocks(outside, nodes, sets, percent))
     own = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")
     members = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min(own).alias("first"))
     named = written(members.join(components(links).withColumnRenamed("node", "key"), "key", "left")

@@ -76,6 +76,22 @@ def test_large_families_and_small_frequency_limit(docs, monkeypatch):
     check(docs, list(enumerate(corpus(5, 150))))
 
 
+def test_families_compared_in_small_blocks(docs, monkeypatch):
+    """One pivot and tiny blocks, so that most links are found by the full comparison."""
+    monkeypatch.setattr(jj, "PIVOTS", 1)
+    monkeypatch.setattr(jj, "OUTSIDERS", 2)
+    monkeypatch.setattr(jj, "OTHERS", 3)
+    rnd = random.Random(9)
+    base = [f"v{rnd.randrange(300)}" for _ in range(80)]
+    texts = []
+    for _ in range(90):  # around the threshold of similarity to each other
+        w = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    check(docs, list(enumerate(texts)))
+
+
 def test_full_class_maps_lose_nothing(docs, monkeypatch):
     monkeypatch.setattr(jj, "MAX_BITS", 16)
     monkeypatch.setattr(jj, "class_maps", lambda d, t, n: (np.full(1 << 13, 255, np.uint8), np.full(1 << 13, 255, np.uint8), 16))
