@@ -28,6 +28,16 @@ ESCAPE = 15
 BLOCK = 1024
 
 
+def _levels(values: np.ndarray) -> np.ndarray:
+    """The first field wide enough for each value: 0 bits is level 0, BITS[2] level 1 and so on."""
+    if values.max(initial=0) < 1 << 16 < values.size:
+        return _levels(np.arange(1 << 16, dtype=np.uint64))[values.astype(np.uint16)]
+    level = (values > 0).astype(np.int8)
+    for bits in BITS[2:15]:
+        level += values >= (np.uint64(1) << np.uint64(bits))
+    return level
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of unsigned values, and the word at which each block starts.
 
@@ -43,16 +53,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat[:n] = values
     grid = np.zeros((n_blocks, BLOCK + 240), np.uint64)
     grid[:, :BLOCK] = flat.reshape(n_blocks, BLOCK)
-    level = (grid > 0).astype(np.int8)  # the first field wide enough: 0 bits is level 0, BITS[2] level 1 and so on
-    for bits in BITS[2:15]:
-        level += grid >= (np.uint64(1) << np.uint64(bits))
+    level = _levels(grid)
     choice = np.full((n_blocks, BLOCK), ESCAPE, np.int8)
     most, have = level, 1  # the largest level of the next ``have`` values
     for s in range(14, -1, -1):
         while have < COUNTS[s]:
             step = min(have, int(COUNTS[s]) - have)
             most, have = np.maximum(most[:, :most.shape[1] - step], most[:, step:]), have + step
-        choice[most[:, :BLOCK] <= max(0, s - 1)] = s
+        np.putmask(choice, most[:, :BLOCK] <= max(0, s - 1), s)
     at, ends = np.zeros(n_blocks, np.int64), np.minimum(BLOCK, n - np.arange(n_blocks) * BLOCK)
     live, block, place, chosen = np.arange(n_blocks), [], [], []
     while len(live):
@@ -69,12 +77,16 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     spot = np.cumsum(size) - size
     words = np.zeros(size.sum(), np.uint64)
     words[spot] = chosen.astype(np.uint64) << np.uint64(60)
+    flat, at = grid.ravel(), block * grid.shape[1] + place
     for s in np.unique(chosen):
         rows = np.flatnonzero(chosen == s)
         if s == ESCAPE:
-            words[spot[rows] + 1] = grid[block[rows], place[rows]]
-        for k in range(COUNTS[s] if 1 < s < ESCAPE else 0):
-            words[spot[rows]] |= grid[block[rows], place[rows] + k] << np.uint64(k * BITS[s])
+            words[spot[rows] + 1] = flat[at[rows]]
+            continue
+        word, first = words[spot[rows]], at[rows]
+        for k in range(COUNTS[s] if s > 1 else 0):
+            word |= flat[first + k] << np.uint64(k * BITS[s])
+        words[spot[rows]] = word
     return words, spot[np.searchsorted(block, np.arange(n_blocks))]
 
 
