@@ -138,7 +138,7 @@ def _encoder(path: str) -> WordIds:
                 n[i] = len(got)
         return np.array(ids, np.int64), n
 
-    return WordIds(encode_words)
+    return WordIds(encode_words, 600_000)
 
 
 CHUNK = "part int, seq int, first bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, block_words array<int>, payload binary"
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
         from pyspark import TaskContext
 
         part, seq, first, table = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
-        for part_rows, texts in row_blocks(batches, 1):
+        for part_rows, texts in row_blocks(batches, 1, 2_000_000):
             ids, n = table.encode([t.replace("\n", " ").split(" ") for t in texts])
             ids = np.insert(ids, np.cumsum(n), end_id)
             words, starts = pack(ids)
