@@ -20,6 +20,9 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST, SHORTEST = 5, 1
 UNDETERMINED = "und"
 MAX_CACHE = 300_000
+MAX_CACHE_CHARS = 10_000_000
+# Places of a word that are worked on at a time, and n-grams that a task holds: long words take more steps and not more memory.
+STRETCH, MOST_GRAMS = 4096, 2_000_000
 
 
 @dataclass
@@ -34,30 +37,40 @@ class LanguageModel:
     unseen: np.ndarray
 
 
-def _counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Words and n-grams of a partition with their counts in each language; n-grams are counted from the distinct words."""
+def _counts(batches: Iterator[pa.RecordBatch], most: int, most_chars: int = 20_000_000) -> Iterator[pa.RecordBatch]:
+    """Words and n-grams of a partition with their counts in each language; n-grams are counted from the distinct words, each
+    at its whole length."""
     words: Counter = Counter()
+    grams: Counter = Counter()
+    chars = 0
+
+    def out(kind: str, table: Counter) -> Iterator[pa.RecordBatch]:
+        if table:
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([kind] * len(table)), "key": pa.array([k for _, k in table]), "lang": pa.array([x for x, _ in table]),
+                "n": pa.array(list(table.values()), pa.int64())})
+        table.clear()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
         for (lang, w), n in words.items():
-            padded = f" {w[:64]} "
-            for size in range(SHORTEST, LONGEST + 1):
-                for i in range(len(padded) - size + 1):
-                    grams[lang, padded[i:i + size]] += n
-        for kind, table in (("word", words), ("gram", grams)):
-            if table:
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array([kind] * len(table)), "key": pa.array([k for _, k in table]), "lang": pa.array([x for x, _ in table]),
-                    "n": pa.array(list(table.values()), pa.int64())})
-        words.clear()
+            padded = f" {w} "
+            for start in range(0, len(padded), STRETCH):
+                for size in range(SHORTEST, LONGEST + 1):
+                    for i in range(start, min(start + STRETCH, len(padded) - size + 1)):
+                        grams[lang, padded[i:i + size]] += n
+                if len(grams) > MOST_GRAMS:
+                    yield from out("gram", grams)
+        yield from out("word", words)
+        yield from out("gram", grams)
 
     for part, texts in row_blocks(batches, 0):
         for text, lang in zip(texts, part.column(1).to_pylist()):
             for w in WORD.findall(text.lower()):
                 words[lang, w] += 1
-        if len(words) > most:
+            chars += len(text)
+        if len(words) > most or chars > most_chars:
             yield from flush()
+            chars = 0
     yield from flush()
 
 
@@ -111,33 +124,40 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((0, len(self.model.languages)))
 
     def word(self, w: str) -> np.ndarray:
-        """A known word's own scores; otherwise the mean over its places of the longest known n-gram that starts there."""
+        """A known word's own scores; otherwise the mean over all its places of the longest known n-gram that starts there."""
         m = self.model
         at = m.words.get(w)
         if at is not None:
             return m.word_scores[at]
-        padded, found = f" {w[:64]} ", []
-        grams = m.grams
-        for i in range(len(padded) - 1):
-            for size in range(min(LONGEST, len(padded) - i), SHORTEST - 1, -1):
-                at = grams.get(padded[i:i + size])
-                if at is not None:
-                    found.append(at)
-                    break
-        return m.gram_scores[found].mean(axis=0) if found else m.unseen
+        padded, total, n = f" {w} ", 0.0, 0
+        grams, last = m.grams, len(padded) - 1
+        for start in range(0, last, STRETCH):
+            found = []
+            for i in range(start, min(start + STRETCH, last)):
+                for size in range(min(LONGEST, len(padded) - i), SHORTEST - 1, -1):
+                    at = grams.get(padded[i:i + size])
+                    if at is not None:
+                        found.append(at)
+                        break
+            if found:
+                total = total + m.gram_scores[found].sum(axis=0)
+                n += len(found)
+        return total / n if n else m.unseen
 
     def texts(self, lists: list[list[str]]) -> np.ndarray:
         """Mean scores of lists of words; a list without words has zeros."""
         words = list(chain.from_iterable(lists))
-        if len(self.index) > MAX_CACHE:
+        if len(self.index) > MAX_CACHE or self.chars > MAX_CACHE_CHARS:
             self.clear()
         new = list(set(words).difference(self.index))
         if new:
             first = len(self.index)
             self.index.update(zip(new, range(first, first + len(new))))
+            self.chars += sum(map(len, new))
             self.scores = np.concatenate([self.scores, np.array([self.word(w) for w in new]).reshape(len(new), -1)])
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         n = np.array([len(x) for x in lists])

@@ -55,3 +55,31 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op5_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out")
     n, right = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 150 and right / n > 0.97
+
+
+def test_runs_of_letters_count_at_their_whole_length(spark):
+    model = li.fit(table(spark, sample()))
+    rows = [(1, "lorem" * 13 + "zuvok" * 100, None), (2, "zuvok" * 13 + "lorem" * 4000, None), (3, "lorem" * 13, None)]
+    assert {r.doc_id: r.lang_pred for r in li.predict(table(spark, rows), model).collect()} == {1: "bb", 2: "aa", 3: "aa"}
+    w = "loremzuvok" * 1000 + "q"
+    found, padded = [], f" {w} "
+    for i in range(len(padded) - 1):
+        keys = [padded[i:i + n] for n in range(5, 0, -1) if i + n <= len(padded) and padded[i:i + n] in model.grams]
+        found += [model.gram_scores[model.grams[keys[0]]]] if keys else []
+    assert abs(li.Scorer(model).word(w) - sum(found) / len(found)).max() < 1e-9
+
+
+def test_fit_counts_n_grams_behind_the_64th_letter(spark, monkeypatch):
+    rows = [(i, "ab" * 40 + ("xyxyx" if x == "aa" else "zwzwz") * 2000 + "cdefg"[:i % 4 + 1], x) for i, x in enumerate(["aa", "bb"] * 4)]
+    model = li.fit(table(spark, rows))
+    assert {"xyxyx", "zwzwz"} <= set(model.grams)
+    assert [r.lang_pred for r in li.predict(table(spark, [(1, "xyxyxx", None), (2, "zwzwzz", None)]), model).orderBy("doc_id").collect()] == ["aa", "bb"]
+    padded = f" {'ab' * 40 + 'xyxyx' * 2000} "
+    want = li.Counter(("aa", padded[i:i + n]) for n in range(1, 6) for i in range(len(padded) - n + 1))
+    for most in (li.MOST_GRAMS, 3):  # held to the end, or given out in parts
+        monkeypatch.setattr(li, "MOST_GRAMS", most)
+        got = li.Counter()
+        for b in li._counts(iter([li.pa.RecordBatch.from_pydict({"text": [padded], "lang": ["aa"]})]), 10):
+            for r in b.filter(li.pc.equal(b["kind"], "gram")).to_pylist():
+                got[r["lang"], r["key"]] += r["n"]
+        assert got == want
