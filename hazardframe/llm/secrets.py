@@ -27,9 +27,15 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
+# A private key through its END line; without one, the headers and lines of base64 letters that follow, or long runs of these letters
+# where line ends became blanks. Line ends may be escaped, lines quoted or indented. Repeats do not go back, so a scan is linear.
+KEY_MARK = r"[A-Z ]*PRIVATE KEY-----"
+KEY_BREAK = r"""(?:[\x20\t"',;+|]*+(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>"'#*|+]*+)"""
+KEY_LINE = rf"""(?:{KEY_BREAK}++(?:[A-Za-z][A-Za-z-]*+:[^\r\n\\]*+|[A-Za-z0-9+/=]++(?=[\x20\t"',;|]*(?:[\r\n\\]|\Z)))"""
+KEY_LINE += r"""|[\x20\t]++(?:[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+)(?=\s|\Z))"""
 # Published shapes of further credentials.
 MORE = [
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN {KEY_MARK}(?:[^-]*+(?:-{{1,4}}+[^-]++)*+-----END {KEY_MARK}|{KEY_LINE}*+)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

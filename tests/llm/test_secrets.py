@@ -57,3 +57,25 @@ def test_redaction_and_empty_table(docs):
             at = max(at, end)
         assert r.text == (t if t is None else want + t[at:])
     assert secrets.scan(docs([])).count() == 0 and secrets.redact(docs([])).count() == 0
+
+
+def test_redaction_leaves_nothing_of_a_private_key(docs):
+    body = ["MIIEpAIBAAKCAQEA7" + "aB+/" * 11 + f"{i:03d}" for i in range(25)] + ["Zz9+Q=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", ""]
+    texts = {
+        "\n".join(["before", begin, *body, end, "after it"]): "before\n[SECRET]\nafter it",
+        "\r\n".join(["before", begin, *head, *body, end, "after it"]): "before\r\n[SECRET]\r\nafter it",
+        "\\n".join(['key: "' + begin, *body, end + '" after']): 'key: "[SECRET]" after',
+        " ".join([begin, *body, end, "after"]): "[SECRET] after",
+        "\n".join(["before", begin, *body, "after it, no end"]): "before\n[SECRET]\nafter it, no end",
+        "\n".join(["before", begin, *head, *body, "", "after it"]): "before\n[SECRET]\n\nafter it",
+        "\n".join("    " + x for x in [begin, *body]): "    [SECRET]",
+        " ".join([begin, *body, "and then words"]): "[SECRET] and then words",
+        "\n".join([begin, *body, begin, *body, end, "x y"]): "[SECRET]\n[SECRET]\nx y",
+        f"the line {begin} starts a key": "the line [SECRET] starts a key",
+    }
+    got = {r.doc_id: r.text for r in secrets.redact(docs(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    hostile = [begin * 3000, begin + "\n" + "a-b " * 50000, begin + ("\n" + body[0]) * 20000, begin + "\n" * 100000, begin + " " * 100000, begin + ("\n" + "=" * 50) * 5000 + "!"]
+    assert secrets.redact(docs(list(enumerate(hostile)))).filter("contains(text, 'BEGIN')").count() == 0
