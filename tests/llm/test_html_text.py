@@ -59,3 +59,24 @@ def test_query_matches_a_direct_version(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
+
+
+def test_a_wrapper_named_like_furniture_keeps_its_article(spark):
+    story = "<article><div class='post-header'><h1>Head</h1></div><p>Long story.</p></article>"
+    for around in ("<div class='layout has-sidebar'>{}</div>", "<div class=sidebar>{}</div>", "<form id=f>{}</form>", "<aside>{}</aside>", "<div class=nav><form>{}</form></div>"):
+        assert only(around.format(story)) == "Head\nLong story.", around
+    assert only("<form action=x><div class=nav-menu>a b</div><div class=text>The whole text of the page.</div><footer>f</footer></form>") == "The whole text of the page."
+    assert only("<div class='no-comment'><p>x</p></div><div class=comments>bad</div><div class='share-social'>bad</div><p>y and z and more</p>") == "x\ny and z and more"
+    assert only("<div class=nav>" * 2000 + "menu" + "</div>" * 2000 + "<p>text</p>") == "text"
+    pages = [(f"http://a.com/{i}", f"<form><div class=has-menu>Page {i}</div><p>Story {i} is told.</p></form>") for i in range(10)]
+    assert texts(spark, pages) == [f"Page {i}\nStory {i} is told." for i in range(10)]
+
+
+def test_named_branches_are_in_the_tree_with_lower_importance(spark):
+    page = "<div class=notice>A notice far longer than all that this page has to say.</div><p>Story {}</p><div class=nav>menu</div>"
+    pages = [(f"http://a.com/{i}", page.format(i)) for i in range(10)]
+    got = {r.branch: (r.pages, round(r.importance, 6)) for r in ht.style_tree(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got["/div.notice"] == (10, 0.0) and got["/div.nav"] == (10, 0.0)
+    own = spark.createDataFrame([(u, h.replace("menu", u)) for u, h in pages], "url string, html string")
+    assert {r.branch: round(r.importance, 6) for r in ht.style_tree(own).collect()}["/div.nav"] == 0.5
+    assert texts(spark, pages) == [f"Story {i}" for i in range(10)]
