@@ -29,11 +29,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text: doc_id, n_pieces, pieces."""
+    """The ids of every text, and whether decoding them gives it back: doc_id, n_pieces, pieces, round_trip."""
     import public_tokenizers
 
-    encoded = sentencepiece_viterbi.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs.select("doc_id", "text"), path), path, into="decoded")
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
+                       F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
@@ -41,7 +43,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("secret scans", secret_scans),
-    ("SentencePiece encoding", sentencepiece),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 # Components of links and the encoding cannot be written in SQL; the tests hold run() against a brute-force version.

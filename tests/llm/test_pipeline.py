@@ -40,6 +40,14 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_the_last_stage_decodes_its_pieces(spark):
+    rows = [(1, "two words"), (2, ""), (3, None), (4, "é\n\tx  y \U0001f600")]
+    name, stage = corpus_pipeline.STAGES[-1]
+    got = {r.doc_id: (r.n_pieces, len(r.pieces), r.round_trip) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert name == "SentencePiece encoding and decoding" and sorted(got) == [1, 2, 3, 4]
+    assert all(n == k and back for n, k, back in got.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.ORACLE[name]) is None
