@@ -70,3 +70,20 @@ def small_or_not(df: DataFrame, most_mb: float = 8.0) -> DataFrame:
     wide = sum((F.length(c) if t == "string" else F.size(c) * 16 if t.startswith("array") else F.lit(8)) + F.lit(16) for c, t in kept.dtypes)
     size = kept.agg(F.sum(F.coalesce(wide, F.lit(16)).cast("double"))).collect()[0][0] or 0.0
     return F.broadcast(kept) if size <= most_mb * 1e6 else kept
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, memoryview, np.ndarray, np.ndarray]]:
+    """Cut batches into slices whose texts are of bounded size (a longer text makes a slice of its own), without Python strings.
+
+    Gives each slice with the bytes of its texts one after another, the end of each text in them, and its length in
+    characters. The column must not hold nulls.
+    """
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
+        places = np.frombuffer(column.buffers()[1] or b"\0\0\0\0", np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        chars = pc.utf8_length(column).to_numpy().astype(np.int64)
+        data, start = memoryview(column.buffers()[2] or b""), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(places, places[start] + most_bytes, side="right")) - 1)
+            yield batch.slice(start, stop - start), data[places[start]:places[stop]], places[start + 1:stop + 1] - places[start], chars[start:stop]
+            start = stop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, html_text, jaccard_join, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -168,3 +168,16 @@ def op3_jaccard_join(spark, sf_dir):
     """Component of every document under links of Jaccard similarity 0.8 on 5-word shingles."""
     found = jaccard_join.similar_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    """Byte-level BPE ids of every document, their number and hash, and the hash of the bytes that decoding them gives."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = byte_bpe.decode(byte_bpe.encode(docs, path).drop("text"), path)
+    return back.select("doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm.common import row_blocks
+from hazardframe.llm.common import text_slices
 from hazardframe.llm.word_ids import WordIds
 
 # How many values of how many bits a word of each selector holds. Selector 15 is the escape.
@@ -128,6 +128,9 @@ def _encoder(path: str) -> WordIds:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    plain = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    if any(plain(f"Mix{gap}of, 12{gap}words") != plain("Mix") + plain("of,") + plain("12") + plain("words") for gap in (" ", "\n", " \n ")):
+        raise ValueError(f"{path}: the tokenizer does not part words at blanks and line feeds")
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, n = [], np.empty(len(words), np.int64)
@@ -141,6 +144,23 @@ def _encoder(path: str) -> WordIds:
     return WordIds(encode_words, 600_000)
 
 
+def _encode_slice(table: WordIds, data: memoryview, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts that end at ``text_ends``, and the ids of each: words and the gaps between them are numbered alike."""
+    if not len(data):
+        return np.empty(0, np.int32), np.zeros(len(text_ends), np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    begins = (raw == ord(" ")) | (raw == ord("\n"))
+    begins[1:] |= begins[:-1]
+    begins[0] = True
+    begins[text_ends[text_ends < len(raw)]] = True
+    starts = np.flatnonzero(begins)
+    cuts = np.append(starts, len(raw)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    ids, lens = table.gather(words.dictionary.to_pylist(), words.indices.to_numpy())
+    upto = np.concatenate([[0], np.cumsum(lens)])
+    return ids, np.diff(upto[np.concatenate([[0], np.searchsorted(starts, text_ends)])])
+
+
 CHUNK = "part int, seq int, first bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, block_words array<int>, payload binary"
 
 
@@ -148,9 +168,10 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
     """Encode every text, append ``end_id``, and write the file set ``to`` in ascending order of ``doc_id``.
 
     The texts are dealt into ranges of ids; ``tokenizer`` is a file of the tokenizers library that every executor can read.
-    Its pre-tokenizer must part words at blanks and line feeds, and drop those, so that distinct words can be encoded once.
-    Null and empty texts are the end id alone. Null ids come first; rows that share an id follow each other in the order
-    of their texts. A lost executor's range is encoded again; Spark's committer keeps whole files only.
+    Its pre-tokenizer must part words at blanks and line feeds, and drop those (a file that does not is an error), so that
+    distinct words can be encoded once: Arrow cuts the bytes of a slice and numbers its distinct words, and only these become
+    Python strings. Null and empty texts are the end id alone. Null ids come first; rows that share an id follow each other in
+    the order of their texts, and a range may end between them. Other columns are left out. The folder ``to`` must not exist. A lost executor's range is encoded again; Spark's committer keeps whole files only.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -158,21 +179,22 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
         from pyspark import TaskContext
 
         part, seq, first, table = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
-        for part_rows, texts in row_blocks(batches, 1, 2_000_000):
-            ids, n = table.encode([t.replace("\n", " ").split(" ") for t in texts])
+        for part_rows, data, text_ends, _ in text_slices(batches, "text"):
+            ids, n = _encode_slice(table, data, text_ends)
             ids = np.insert(ids, np.cumsum(n), end_id)
             words, starts = pack(ids)
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()),
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part_rows.column(0)),
-                "n_tokens": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.array(n + 1, pa.int32())),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), part_rows.column(0)),
+                "n_tokens": pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n + 1, pa.int32())),
                 "n_ids": pa.array([len(ids)], pa.int64()),
                 "block_words": pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), pa.array(starts, pa.int32())),
                 "payload": pa.array([words.astype("<u8").tobytes()], pa.binary())})
             seq += 1
             first += len(ids)
 
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, CHUNK).write.parquet(to))
+    ranges = rows.repartitionByRange("doc_id", F.substring("text", 1, 64))
+    ranges.sortWithinPartitions("doc_id", "text").mapInArrow(run, CHUNK).write.parquet(to)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
