@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from hazardframe.llm.common import text_slices
 from hazardframe.llm.word_ids import WordIds
@@ -140,6 +140,8 @@ def slice_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[np.concatenate([[CLOSED], after[:-1]]), symbols])
 
 
+SLICE_BYTES = 1_000_000
+MAX_WORDS = 200_000
 NONE = 1 << 40  # the rank of pairs that do not merge
 
 
@@ -202,7 +204,7 @@ class Vocabulary:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-        self.words = WordIds(self._merge_all, 400_000)
+        self.words = WordIds(self._merge_all, MAX_WORDS)
 
     def _merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct slices: those of one length advance together, long ones and whole tokens are done one by one."""
@@ -256,8 +258,8 @@ class Vocabulary:
         first[np.cumsum(chars) - chars] = True
         starts = slice_starts(points, first[:-1])
         if len(points) < len(data):
-            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-            starts = (np.cumsum(width) - width)[starts]
+            width = np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            starts = (np.cumsum(width, dtype=np.int32) - width)[starts]
         cuts = np.append(starts, len(data)).astype(np.int32)
         slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         ids, lens = self.words.gather(slices.dictionary.to_pylist(), slices.indices.to_numpy())
@@ -272,11 +274,40 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _added(df: DataFrame, column: StructField) -> StructType:
-    return StructType([f for f in df.schema.fields if f.name != column.name] + [column])
+TOKENS = "struct<ids: array<int>, starts: array<int>>"
 
 
-TOKENS = "struct<ids: array<int>, starts: array<int>>"
+def _added(df: DataFrame | StructType, name: str, kind: str) -> StructType:
+    fields = df.fields if isinstance(df, StructType) else df.schema.fields
+    return StructType([f for f in fields if f.name != name] + [StructField(name, StructType.fromDDL(f"t {kind}")["t"].dataType)])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: str, kept: list[str], into: str) -> Iterator[pa.RecordBatch]:
+    """The first columns of each batch and the tokens of its texts."""
+    vocabulary = _vocabulary(ranks)
+    for part, data, ends, chars in text_slices(batches, "__text", SLICE_BYTES):
+        ids, places, n = vocabulary.encode(data, ends, chars)
+        cuts = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        starts = places - np.repeat(np.concatenate([[0], ends[:-1]]), n)
+        tokens = pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32())),
+                                             pa.ListArray.from_arrays(cuts, pa.array(starts, pa.int32()))], names=["ids", "starts"])
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), tokens], names=[*kept, into])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: str, kept: list[str], into: str) -> Iterator[pa.RecordBatch]:
+    """The first columns of each batch and the bytes of its tokens, whose two lists follow."""
+    vocabulary = _vocabulary(ranks)
+    for batch in batches:
+        ids, starts = batch.column(len(kept)), batch.column(len(kept) + 1)
+        cuts = ids.offsets.to_numpy().astype(np.int64)
+        flat, places = (x.values.slice(cuts[0], cuts[-1] - cuts[0]).to_numpy().astype(np.int64) for x in (ids, starts))
+        cuts -= cuts[0]
+        upto = np.concatenate([[0], np.cumsum(vocabulary.widths[flat], dtype=np.int64)])
+        if not np.array_equal(upto[:-1] - np.repeat(upto[cuts[:-1]], np.diff(cuts)), places):
+            raise ValueError("the places of the tokens do not fit their ids")
+        data = vocabulary.tokens.take(pa.array(flat)).buffers()[2] if len(flat) else None
+        rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(upto[cuts].astype(np.int32)), data or pa.py_buffer(b"")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), rows], names=[*kept, into])
 
 
 def encode(docs: DataFrame, ranks: str, text: str = "text", into: str = "tokens") -> DataFrame:
@@ -287,20 +318,9 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", into: str = "tokens"
     order, ties and repeated rows make no difference. A column named ``into`` is replaced, all others stay. A lost executor's
     partitions are encoded again.
     """
-    schema = _added(docs, StructField(into, StructType.fromDDL(f"t {TOKENS}")["t"].dataType))
     kept = [c for c in docs.columns if c != into]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(ranks)
-        for part, data, ends, chars in text_slices(batches, "__text"):
-            ids, places, n = vocabulary.encode(data, ends, chars)
-            cuts = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            starts = places - np.repeat(np.concatenate([[0], ends[:-1]]), n)
-            tokens = pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32())),
-                                                 pa.ListArray.from_arrays(cuts, pa.array(starts, pa.int32()))], names=["ids", "starts"])
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), tokens], names=[*kept, into])
-
-    return docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    return rows.mapInArrow(lambda batches: _encoded(batches, ranks, kept, into), _added(docs, into, TOKENS))
 
 
 def decode(encoded: DataFrame, ranks: str, tokens: str = "tokens", into: str = "decoded") -> DataFrame:
@@ -310,22 +330,20 @@ def decode(encoded: DataFrame, ranks: str, tokens: str = "tokens", into: str = "
     not fit its ids is an error. Null tokens and empty lists give no bytes. A column named ``into`` is replaced, all others stay.
     """
     kept = [c for c in encoded.columns if c != into]
-    schema = _added(encoded, StructField(into, BinaryType()))
+    empty = F.array().cast("array<int>")
+    lists = [F.coalesce(F.col(f"{tokens}.{c}"), empty).alias(f"__{c}") for c in ("ids", "starts")]
+    return encoded.select(*kept, *lists).mapInArrow(lambda batches: _decoded(batches, ranks, kept, into), _added(encoded, into, "binary"))
+
+
+def round_trip(docs: DataFrame, ranks: str, text: str = "text", into: str = "tokens", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass over the texts, which are not among the result's columns."""
+    kept = [c for c in docs.columns if c not in (into, text, decoded)]
+    rows = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(ranks)
-        for batch in batches:
-            ids, starts = batch.column(len(kept)), batch.column(len(kept) + 1)
-            cuts = ids.offsets.to_numpy().astype(np.int64)
-            flat, places = (x.values.slice(cuts[0], cuts[-1] - cuts[0]).to_numpy().astype(np.int64) for x in (ids, starts))
-            cuts -= cuts[0]
-            upto = np.concatenate([[0], np.cumsum(vocabulary.widths[flat], dtype=np.int64)])
-            if not np.array_equal(upto[:-1] - np.repeat(upto[cuts[:-1]], np.diff(cuts)), places):
-                raise ValueError("the places of the tokens do not fit their ids")
-            data = vocabulary.tokens.take(pa.array(flat)).buffers()[2] if len(flat) else None
-            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(upto[cuts].astype(np.int32)), data or pa.py_buffer(b"")])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), rows], names=[*kept, into])
+        for batch in _encoded(batches, ranks, kept, into):
+            lists = batch.column(len(kept)).flatten()
+            wider = pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*kept, into, "__ids", "__starts"])
+            yield from _decoded(iter([wider]), ranks, [*kept, into], decoded)
 
-    empty = F.array().cast("array<int>")
-    lists = [F.coalesce(F.col(f"{tokens}.{c}"), empty).alias(f"__{c}") for c in ("ids", "starts")]
-    return encoded.select(*kept, *lists).mapInArrow(run, schema)
+    return rows.mapInArrow(run, _added(_added(rows.drop("__text"), into, TOKENS), decoded, "binary"))

@@ -177,7 +177,7 @@ def op13_byte_bpe(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    back = byte_bpe.decode(byte_bpe.encode(docs, path).drop("text"), path)
+    back = byte_bpe.round_trip(docs, path)
     return back.select("doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -100,6 +100,12 @@ def test_null_tokens_and_empty_tables(docs):
     assert byte_bpe.decode(byte_bpe.encode(docs([]), RANKS), RANKS).collect() == []
 
 
+def test_one_pass_gives_the_same_as_two(docs):
+    rows = docs(list(enumerate(EDGE + some_texts(50, 11)))).repartition(3)
+    two = byte_bpe.decode(byte_bpe.encode(rows, RANKS).drop("text"), RANKS)
+    assert sorted(map(repr, byte_bpe.round_trip(rows, RANKS).collect())) == sorted(map(repr, two.collect()))
+
+
 def test_query(spark, library):
     rows = queries.op13_byte_bpe(spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
