@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from hazardframe.session import ensure_checkpoint_dir
 
@@ -87,3 +87,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int =
             stop = max(start + 1, int(np.searchsorted(places, places[start] + most_bytes, side="right")) - 1)
             yield batch.slice(start, stop - start), data[places[start]:places[stop]], places[start + 1:stop + 1] - places[start], chars[start:stop]
             start = stop
+
+
+def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add ``pos``, the place of each row in its group (from 0, nulls first), and ``n``, the rows of the group.
+
+    Rows are dealt into ranges of (group, order), so that a group of any size is sorted by many tasks; only one count for each
+    group and range is added up. ``group`` must not hold nulls. Rows that tie in ``order`` take any order among themselves.
+    """
+    at = [F.col(group), *[F.col(c).asc_nulls_first() for c in order]]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(df.repartitionByRange(*at).sortWithinPartitions(*at).withColumns({"__range": F.spark_partition_id(), "__place": place}))
+    counts = dealt.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__rows"), F.min("__place").alias("__first"))
+    whole = W.partitionBy(group)
+    before = F.coalesce(F.sum("__rows").over(whole.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = small_or_not(counts.select(group, "__range", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(whole).alias("n")))
+    return dealt.join(ranges, [group, "__range"]).select(*df.columns, (F.col("__place") + F.col("__shift")).alias("pos"), "n")

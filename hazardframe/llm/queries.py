@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
+from hazardframe.llm import byte_bpe, conversation_trie, decontaminate, html_text, jaccard_join, language_id, merkle_manifest, pii, quality, secrets, sentencepiece_viterbi, token_binary, url_filter
 from hazardframe.llm.common import shared_folder
 
 QUERIES = {}
@@ -181,3 +181,75 @@ def op13_byte_bpe(spark, sf_dir):
     return back.select("doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and whether a copy with some rows tampered with still leads to the root."""
+    docs = _read(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    digest = lambda n_chars: merkle_manifest.digest(*[n_chars if c == "n_chars" else F.col(c) for c in columns])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = docs.select("doc_id", "lang", digest(F.col("n_chars")).alias("leaf"), F.when(tampered, digest(F.col("n_chars") + 1)).alias("tampered"))
+    proven = merkle_manifest.witnesses(rows)
+    folded = merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("merkle.steps"))
+    return (proven.select("doc_id", "leaf", "merkle.subroot", "merkle.root", merkle_manifest.proof_digest(F.col("merkle.steps")).alias("proof_sha256"),
+                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+_ITEM = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_ITEM.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+# The sibling of node i (from 0) of a level is node xor(i, 1); the last node of an odd level has none.
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS changed,
+    xor(list_reduce(list_transform(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda x: x::BIGINT),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 7 = 0 AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+low AS (SELECT lang, 0 AS h, list(leaf ORDER BY i) AS nodes FROM p GROUP BY lang
+  UNION ALL SELECT lang, h + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM low WHERE len(nodes) > 1),
+sub AS (SELECT lang, nodes[1] AS subroot, h AS tall, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS j FROM low WHERE len(nodes) = 1),
+high AS (SELECT 0 AS h, list(subroot ORDER BY j) AS nodes FROM sub
+  UNION ALL SELECT h + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM high WHERE len(nodes) > 1),
+walk AS (SELECT p.doc_id, p.leaf, p.lang, p.i, s.j, s.tall, s.subroot, 0 AS h, '' AS proof, CASE WHEN tampered THEN coalesce(changed, leaf) ELSE leaf END AS node
+         FROM p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL SELECT w.doc_id, w.leaf, w.lang, w.i, w.j, w.tall, w.subroot, w.h + 1, w.proof || coalesce(x.sib, ''),
+         sha256(CASE WHEN x.k % 2 = 0 THEN w.node || coalesce(x.sib, '') ELSE x.sib || w.node END)
+  FROM walk w, LATERAL (SELECT k, nodes[xor(k, 1) + 1] AS sib FROM (
+      SELECT (w.i >> w.h)::BIGINT AS k, nodes FROM low WHERE w.h < w.tall AND low.lang IS NOT DISTINCT FROM w.lang AND low.h = w.h
+      UNION ALL SELECT (w.j >> (w.h - w.tall))::BIGINT, nodes FROM high WHERE w.h >= w.tall AND high.h = w.h - w.tall AND len(nodes) > 1)) x)
+SELECT doc_id, leaf, subroot, r.root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.root AS verified
+FROM walk, (SELECT nodes[1] AS root, h FROM high WHERE len(nodes) = 1) r WHERE walk.h = tall + r.h
+"""
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    """Nodes of the trie of all rebuilt conversations, with sums over their subtrees."""
+    return conversation_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_conversation_trie"] = r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, t.pos AS depth, t.t, t.words FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.k
+  UNION ALL SELECT k.conv_id, t.pos - k.h + k.k, t.t, t.words FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+l AS (SELECT k.conv_id, k.k + greatest(0, k.n - k.h) AS length FROM k),
+p AS (SELECT conv_id, 0::BIGINT AS depth, '' AS up, '' AS key, 0::BIGINT AS words FROM l
+  UNION ALL SELECT p.conv_id, p.depth + 1, p.key, sha256(p.key || ':' || r.t), r.words FROM p JOIN r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+g AS (SELECT key, depth, any_value(up) AS up, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN depth = length THEN p.conv_id::VARCHAR END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+  FROM p JOIN l ON l.conv_id = p.conv_id GROUP BY key, depth),
+n AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.up = g.key AND x.depth = g.depth + 1) AS n_children FROM g),
+w AS (SELECT key AS top, depth AS d, up, (n_children = 0)::BIGINT AS leaf, saved FROM n
+  UNION ALL SELECT n.key, n.depth, n.up, w.leaf, w.saved FROM w JOIN n ON n.key = w.up AND n.depth = w.d - 1),
+s AS (SELECT top, d, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM w GROUP BY top, d)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.top = n.key AND s.d = n.depth LEFT JOIN n m ON m.key = n.up AND m.depth = n.depth - 1
+"""
