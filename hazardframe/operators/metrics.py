@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hazardframe.functions.scalar import RANDOM_BRIER, RISK_TIE_TOLERANCE
 from hazardframe.operators.curves import censoring_curve, curve_lookup, event_table, grid_values
-from hazardframe.operators.ordered import ROWS_PER_RANGE, match, range_bounds, range_of
+from hazardframe.operators.ordered import ROWS_PER_RANGE, match, match_stats, positions, range_bounds, running
 from hazardframe.session import cut_lineage, settle
 
 WIDE = "decimal(38,0)"  # pair counts grow with the square of the rows
@@ -22,51 +22,48 @@ def comparable_pairs(df: DataFrame, time: str, event: str, by: list[str] = (),
     return table.groupBy(*by).agg(F.sum(pairs).cast(WIDE).alias("comparable"))
 
 
-def _outranked(tau: np.ndarray, score: np.ndarray, weight: np.ndarray, q_tau: np.ndarray,
-               q_score: np.ndarray) -> np.ndarray:
-    """For each query, the weight of points with a larger tau and a smaller score (n log^2 n, no pairs)."""
-    order = np.argsort(tau, kind="stable")
-    tau, score, weight = tau[order], score[order], weight[order]
-    levels, rank = np.unique(score, return_inverse=True)
-    limit = np.searchsorted(levels, q_score, side="left")
-    start = np.searchsorted(tau, q_tau, side="right")
-    n = len(tau)
-    mass_of = np.zeros(len(levels), np.int64)
-    np.add.at(mass_of, rank, weight)
-    by_rank = np.concatenate([[0], np.cumsum(mass_of)])
-    total = by_rank[limit]
-    # What lies before ``start`` is taken away block by block: one aligned block per bit of ``start``.
-    base, size = len(levels) + 1, 1
+def _below(rank: np.ndarray, weight: np.ndarray, upto: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each query the weight among the first ``upto`` rows whose rank is below ``limit``: one aligned block per bit of ``upto``."""
+    n, base, size = len(rank), int(rank.max(initial=0)) + 2, 1
+    total = np.zeros(len(upto), np.int64)
     while size <= n:
-        used = np.nonzero(start & size)[0]
+        used = np.flatnonzero(upto & size)
         if len(used):
-            block = np.arange(n) // size
-            keys = block * base + rank
+            keys = np.arange(n) // size * base + rank
             inside = np.argsort(keys, kind="stable")
-            sorted_keys = keys[inside]
             mass = np.concatenate([[0], np.cumsum(weight[inside])])
-            q_block = (start[used] // (2 * size)) * 2
-            upto = np.searchsorted(sorted_keys, q_block * base + limit[used], side="left")
-            total[used] -= mass[upto] - mass[q_block * size]
+            block = upto[used] // (2 * size) * 2
+            found = np.searchsorted(keys[inside], block * base + limit[used], side="left")
+            total[used] += mass[found] - mass[block * size]
         size *= 2
     return total
 
 
-def _count_in_range(tau_col: str):
+def _dominated(keys: list[str], unit: str, times: list[str]):
+    """Kernel that counts, for the asks of each (group, unit), the weight of points later in ``times`` and lower in ``x``.
+
+    Where both are equal neither counts: at one time points stand before asks, at one score asks before points.
+    """
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        points, asks = rows[rows.kind == 0], rows[rows.kind > 0]
-        out = []
-        if len(points) and len(asks):
-            hits = _outranked(points[tau_col].to_numpy(dtype=float), points.x.to_numpy(), points.w.to_numpy(dtype=np.int64),
-                              asks[tau_col].to_numpy(dtype=float), asks.x.to_numpy())
-            # Exact integers of any size; they travel as text.
-            weight = asks.w.to_numpy(dtype=np.int64)
-            for kind in (1, 2):
-                own = (asks.kind == kind).to_numpy()
-                out.append((kind, str(sum(int(h) * int(w) for h, w in zip(hits[own], weight[own])))))
-        head = rows.iloc[0]
-        keys = [c for c in rows.columns if c.startswith("__by")]
-        return pd.DataFrame([(*[head[k] for k in keys], *o) for o in out], columns=[*keys, "kind", "n"])
+        cell = rows.groupby([*keys, unit], dropna=False, sort=False).ngroup().to_numpy()
+        ask = rows.kind.to_numpy() > 0
+        order = np.lexsort([ask, *[rows[c].to_numpy() for c in reversed(times)], cell])
+        by_score = np.lexsort([~ask, rows.x.to_numpy()])
+        rank = np.empty(len(rows), np.int64)
+        rank[by_score] = np.arange(len(rows))
+        cell, ask, rank, w, kind = cell[order], ask[order], rank[order], rows.w.to_numpy(np.int64)[order], rows.kind.to_numpy()[order]
+        asks = np.flatnonzero(ask)
+        ends = np.searchsorted(cell, cell[asks], side="right")
+        points = np.where(ask, 0, w)
+        hits = _below(rank, points, ends, rank[asks]) - _below(rank, points, asks, rank[asks])
+        # Exact integers of any size; they travel as text.
+        sums: dict[tuple[int, int], int] = {}
+        for key, h in zip(zip(cell[asks].tolist(), kind[asks].tolist()), (hits.astype(object) * w[asks].astype(object)).tolist()):
+            sums[key] = sums.get(key, 0) + h
+        first = np.unique(cell, return_index=True)[1]
+        heads = rows.iloc[order[first]][keys]
+        out = [(*heads.iloc[c], k, str(n)) for (c, k), n in sums.items()]
+        return pd.DataFrame(out, columns=[*keys, "kind", "n"])
     return count
 
 
@@ -74,9 +71,10 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str, by: list
                       rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Exact Harrell concordance: ``comparable``, ``concordant``, ``tied`` and ``c_index`` per group.
 
-    Time and score are cut into ranges of bounded size (a value that fills a range alone gets its own). Pairs in
-    different time ranges and different score ranges come from the cumulated histogram of the grid; the others
-    share one range and are counted inside it with sorted arrays. No pair is ever formed.
+    A pair counts where a point comes later and scores lower than an event asks for. Every group is cut into ranges of
+    ``rows_per_range`` places in time and in score, whatever its size and however many values are equal. Pairs inside one
+    time range, and pairs inside one score range, are counted there with sorted arrays, many small groups side by side; all
+    others by a divide and conquer over the occupied cells. No pair is ever formed.
     """
     by = list(by)
     names = {f"__by{i}": b for i, b in enumerate(by)}
@@ -86,66 +84,64 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str, by: list
         df.select(*[F.col(b).alias(k) for k, b in names.items()], F.col(time).cast("double").alias("t"), c,
                   F.col(score).cast("double").alias("x"))
         .groupBy(*keys, "t", "c", "x").agg(F.count("*").alias("w")))
-    t_cuts = range_bounds(points, "t", n, rows_per_range)
-    x_cuts = range_bounds(points, "x", n, rows_per_range) if t_cuts else []
-
-    def alone(v: str, cuts: list[float]) -> Column:
-        return F.col(v).isin(cuts) if cuts else F.lit(False)
-
-    def cells(d: DataFrame) -> DataFrame:
-        ta = 3 * range_of(F.col("t"), t_cuts) + F.when(alone("t", t_cuts), F.col("c")).otherwise(F.lit(2))
-        xa = 2 * range_of(F.col("x"), x_cuts) + F.when(alone("x", x_cuts), F.lit(0)).otherwise(F.lit(1))
-        return d.withColumn("ta", ta).withColumn("xa", xa)
 
     tol = F.lit(RISK_TIE_TOLERANCE)
     above = F.greatest(F.col("x") + tol * (1 + 1e-7), F.col("x") + F.abs("x") * 2.5e-16)
-    asks = points.where("c = 0").select(
-        *keys, "t", "c", "w",
-        F.explode(F.array(F.struct(F.lit(1).alias("kind"), (F.col("x") - tol).alias("x")),
-                          F.struct(F.lit(2).alias("kind"), above.alias("x")))).alias("q")
-    ).select(*keys, "t", "c", "w", F.col("q.kind").alias("kind"), F.col("q.x").alias("x"))
-    data = cells(points.withColumn("kind", F.lit(0)))
-    asks = cells(asks)
-
-    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields if f.name in names]
-    schema = ", ".join([*key_types, "kind int", "n string"])
-    # Same time range: tau orders an event before a censored row with the same time.
-    tau = F.dense_rank().over(W.partitionBy(*keys, "ta").orderBy("t", "c"))
-    same_t = data.unionByName(asks).where("ta % 3 = 2").withColumn("tr", tau)
-    parts = same_t.groupBy(*keys, "ta").applyInPandas(_count_in_range("tr"), schema).select(
-        *keys, "kind", F.col("n").cast(WIDE).alias("n"))
-    if t_cuts:
-        merged = (data.unionByName(asks).where("xa % 2 = 1")
-                  .groupBy(*keys, "xa", "ta", "x", "kind").agg(F.sum("w").alias("w")))
-        same_x = merged.groupBy(*keys, "xa").applyInPandas(_count_in_range("ta"), schema).select(
-            *keys, "kind", F.col("n").cast(WIDE).alias("n"))
-        parts = parts.unionByName(same_x).unionByName(
-            _grid_counts(data, asks, keys, 2 * len(x_cuts) + 1))
+    asked = F.array(F.struct(F.lit(1).alias("kind"), (F.col("x") - tol).alias("x")), F.struct(F.lit(2).alias("kind"), above.alias("x")))
+    asks = points.where("c = 0").select(*keys, "t", "c", "w", F.explode(asked).alias("q")).select(*keys, "t", "c", "w", "q.kind", "q.x")
+    rows = points.withColumn("kind", F.lit(0)).unionByName(asks)
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields if f.name in names], "kind int", "n string"])
+
+    def kernel(cells: DataFrame, unit: str, times: list[str]) -> DataFrame:
+        bins = max(1, 3 * n // rows_per_range)
+        packed = cells.withColumn("__bin", F.pmod(F.xxhash64(*keys, unit), F.lit(bins)))
+        return packed.groupBy("__bin").applyInPandas(_dominated(keys, unit, times), schema).withColumn("n", F.col("n").cast(WIDE))
+
+    if n <= rows_per_range:
+        parts = kernel(rows.withColumn("ta", F.lit(0)), "ta", ["t", "c"])
+    else:
+        place = F.floor(F.col("__pos") / rows_per_range)
+        placed = positions(rows.withColumn("ask", F.col("kind") > 0), keys, ["t", "c", "ask"])
+        placed = placed.withColumn("ta", place).withColumn("large", F.col("__size") > rows_per_range).drop("__pos", "__size")
+        placed = positions(placed.withColumn("point", F.col("kind") == 0), keys, ["x", "point"])
+        placed = cut_lineage(placed.withColumn("xa", place).select(*keys, "t", "c", "x", "w", "kind", "ta", "xa", "large"))
+        large = placed.where("large")
+        parts = (kernel(placed, "ta", ["t", "c"]).unionByName(kernel(large, "xa", ["ta"]))
+                 .unionByName(_cell_counts(large, keys)))
     totals = (parts.groupBy(*keys).pivot("kind", [1, 2]).agg(F.sum("n"))
               .select(*keys, F.coalesce(F.col("1"), F.lit(0)).cast(WIDE).alias("concordant"),
                       (F.coalesce(F.col("2"), F.lit(0)) - F.coalesce(F.col("1"), F.lit(0))).cast(WIDE).alias("tied")))
-    totals = totals.select(*[F.col(k).alias(b) for k, b in names.items()], "concordant", "tied")
-    pairs = comparable_pairs(df, time, event, by, rows_per_range)
-    full = match(pairs, totals, by, "left").select(
-        *by, "comparable", F.coalesce("concordant", F.lit(0).cast(WIDE)).alias("concordant"),
+    at_times = points.groupBy(*keys, "t").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("c") == 0, F.col("w")).otherwise(0)).alias("d"))
+    values, n_values = settle(at_times.where("t is not null and not isnan(t)"))
+    at_risk = running(values, keys, "t", {"r": ("sum", "n")}, descending=True, bounds=range_bounds(values, "t", n_values, rows_per_range))
+    d = lambda name: F.col(name).cast(WIDE)
+    pairs = at_risk.groupBy(*keys).agg(F.sum((d("d") * (d("r") - d("d"))).cast(WIDE)).cast(WIDE).alias("comparable"))
+    full = match(pairs, totals, keys, "left").select(
+        *[F.col(k).alias(b) for k, b in names.items()], "comparable", F.coalesce("concordant", F.lit(0).cast(WIDE)).alias("concordant"),
         F.coalesce("tied", F.lit(0).cast(WIDE)).alias("tied"))
     d = lambda name: F.col(name).cast("double")
     return full.withColumn("c_index", F.try_divide(d("concordant") + 0.5 * d("tied"), d("comparable")))
 
 
-def _grid_counts(data: DataFrame, asks: DataFrame, keys: list[str], last_cell: int) -> DataFrame:
-    """Pairs whose time range is later and whose score range is lower, from the cumulated cell counts."""
-    mass = data.groupBy(*keys, "ta", "xa").agg(F.sum("w").alias("m"))
-    grid = mass.select(*keys, "ta").distinct().withColumn("xa", F.explode(F.sequence(F.lit(0), F.lit(last_cell))))
-    left_of = W.partitionBy(*keys, "ta").orderBy("xa").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys, "xa").orderBy(F.col("ta").desc()).rowsBetween(W.unboundedPreceding, -1)
-    full = (match(grid, mass, [*keys, "ta", "xa"], "left")
-            .withColumn("m", F.coalesce("m", F.lit(0)))
-            .withColumn("m", F.coalesce(F.sum("m").over(left_of), F.lit(0)))
-            .withColumn("m", F.coalesce(F.sum("m").over(after), F.lit(0))))
-    wanted = asks.groupBy(*keys, "ta", "xa", "kind").agg(F.sum("w").alias("w"))
-    return (match(wanted, full, [*keys, "ta", "xa"])
-            .select(*keys, "kind", (F.col("w").cast(WIDE) * F.col("m").cast(WIDE)).cast(WIDE).alias("n")))
+def _cell_counts(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose time range is later and whose score range is lower, merged over the occupied cells.
+
+    Two different time ranges differ first in one binary digit: there the later one has a one, and all digits above agree. So
+    a point goes to the node of each of its ones and an ask to that of each of its zeros; in a node, points of all lower
+    score ranges count. A node has one row for each score range and kind at most.
+    """
+    cells = placed.groupBy(*keys, "ta", "xa", "kind").agg(F.sum(F.col("w").cast(WIDE)).cast(WIDE).alias("w"))
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda b: F.struct(
+        b.alias("bit"), F.call_function("shiftright", F.col("ta"), b + 1).alias("node"),
+        (F.call_function("shiftright", F.col("ta"), b) % 2).alias("digit"))),
+        lambda s: (s["digit"] == F.when(F.col("kind") == 0, 1).otherwise(0)) & (F.call_function("shiftright", F.col("last"), s["bit"]) > 0))
+    last = cells.groupBy(*keys).agg(F.max("ta").alias("last"))
+    nodes = (match_stats(cells, last, keys).withColumn("s", F.explode(bits))
+             .groupBy(*keys, "s.bit", "s.node", "xa", "kind").agg(F.sum("w").cast(WIDE).alias("w")))
+    lower = W.partitionBy(*keys, "bit", "node").orderBy("xa").rangeBetween(W.unboundedPreceding, -1)
+    mass = F.sum(F.when(F.col("kind") == 0, F.col("w"))).over(lower)
+    return (nodes.withColumn("m", mass).where("kind > 0 and m is not null")
+            .groupBy(*keys, "kind").agg(F.sum((F.col("w") * F.col("m")).cast(WIDE)).cast(WIDE).alias("n")))
 
 
 def time_grid(train: DataFrame, test: DataFrame, time: str, points: int = 100) -> list[float]:

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hazardframe.session import settle
+from hazardframe.session import cut_lineage, settle
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 4096
@@ -110,6 +110,24 @@ def running(df: DataFrame, by: list[str], key: str, outputs: dict[str, tuple[str
                                         for o, (k, s) in outputs.items()])
 
 
+def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add ``__pos``, the place of each row in its group from 0 (nulls first), and ``__size``, the rows of the group.
+
+    Rows are dealt into ranges of (group, order) and sorted there, so no group is ever in one task; what is added up over the
+    ranges is one count for each group and range. Rows that tie take any order among themselves.
+    """
+    at = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = cut_lineage(df.repartitionByRange(*at).sortWithinPartitions(*at)
+                        .withColumns({"__part": F.spark_partition_id(), "__place": place}))
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__rows"), F.min("__place").alias("__first"))
+    whole = W.partitionBy(*by)
+    before = F.coalesce(F.sum("__rows").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.select(*by, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(whole).alias("__size"))
+    return (match_stats(dealt, parts, [*by, "__part"])
+            .select(*df.columns, (F.col("__place") + F.col("__shift")).alias("__pos"), "__size"))
+
+
 def hash_cuts(labelled: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], str]:
     """The md5 strings at given 1-based ranks, per label; ``labelled`` has columns ``label`` and ``h``.
 

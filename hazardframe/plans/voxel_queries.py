@@ -111,9 +111,9 @@ vox AS (SELECT image_id, CAST(p // 16 AS INTEGER) AS z, CAST((p // 4) % 4 AS INT
 _LV = _VOX + """,
 lv AS (SELECT image_id, z, y, x, CAST(floor(intensity / 25) - floor(min(intensity) OVER (PARTITION BY image_id) / 25) + 1 AS INTEGER) AS level,
               (CAST(z AS BIGINT) * 1048576 + y) * 1048576 + x AS pos FROM vox WHERE mask = 1)"""
-_DIRS = """dirs AS (SELECT row_number() OVER (ORDER BY dz, dy, dx) AS dir, dz, dy, dx
-         FROM (SELECT unnest([-1, 0, 1]) AS dz), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)
-         WHERE dz > 0 OR (dz = 0 AND dy > 0) OR (dz = 0 AND dy = 0 AND dx > 0))"""
+# The directions with their numbers, as the counts give them.
+_DIRS = """dirs(dir, dz, dy, dx) AS (VALUES (0, 0, 0, 1), (1, 0, 1, 0), (2, 0, 1, 1), (3, 0, 1, -1), (4, 1, 0, 0), (5, 1, 0, 1), (6, 1, 0, -1),
+         (7, 1, 1, 0), (8, 1, 1, 1), (9, 1, 1, -1), (10, 1, -1, 0), (11, 1, -1, 1), (12, 1, -1, -1))"""
 _PAIRS = _LV + f""", {_DIRS},
 pr AS (SELECT a.image_id, dir, a.pos AS a, b.pos AS b, a.level AS la, b.level AS lb FROM lv a CROSS JOIN dirs
        JOIN lv b ON b.image_id = a.image_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx)"""

@@ -50,6 +50,37 @@ def test_concordance_with_continuous_scores_and_groups(spark):
         assert (int(r.comparable), int(r.concordant), int(r.tied)) == brute(t[m], e[m], x[m])
 
 
+def test_concordance_of_many_groups_of_very_different_size(spark):
+    """A group of 900 rows, 300 of one to five, one with the null key; a third of the rows share one time and score."""
+    rng = np.random.default_rng(8)
+    g = np.concatenate([np.zeros(900), np.repeat(np.arange(1, 301), rng.integers(1, 6, 300))])
+    n = len(g)
+    t = np.where(rng.random(n) < 1 / 3, 7.0, rng.integers(0, 40, n)).astype(float)
+    x = np.where(rng.random(n) < 1 / 3, 0.5, np.round(rng.normal(size=n), 1))
+    e = rng.random(n) < 0.5
+    rows = [(None if k == 17 else int(k), float(a), bool(b), float(v)) for k, a, b, v in zip(g, t, e, x)]
+    df = spark.createDataFrame(rows, "g int, t double, e boolean, x double")
+    for size in (25, 100_000):
+        got = {r.g: (int(r.comparable), int(r.concordant), int(r.tied)) for r in metrics.concordance_index(df, "t", "e", "x", ["g"], rows_per_range=size).collect()}
+        assert got == {(None if k == 17 else int(k)): brute(t[g == k], e[g == k], x[g == k]) for k in np.unique(g)}
+
+
+def test_merged_cells_stay_below_n_log_n(spark, monkeypatch):
+    """Rows that the merge over cells handles, at two sizes: no more than a digit of the ranges for each row."""
+    rng = np.random.default_rng(3)
+    for n in (400, 1600):
+        df = spark.createDataFrame(pd.DataFrame({"ta": rng.integers(0, n // 10, n), "xa": rng.integers(0, n // 10, n), "kind": rng.integers(0, 3, n), "w": 1}))
+        df = df.selectExpr("cast(ta as bigint) ta", "cast(xa as bigint) xa", "cast(kind as int) kind", "w")
+        seen = []
+        monkeypatch.setattr(metrics, "match_stats", lambda a, b, k: seen.append(real(a, b, k)) or seen[-1])
+        real = __import__("hazardframe.operators.ordered", fromlist=["match_stats"]).match_stats
+        got = {r.kind: int(r.n) for r in metrics._cell_counts(df, []).collect()}
+        rows = [tuple(r) for r in df.collect()]
+        want = {k: sum(1 for a in rows if a[2] == k for p in rows if p[2] == 0 and p[0] > a[0] and p[1] < a[1]) for k in (1, 2)}
+        assert got == want
+        assert seen[0].count() <= n
+
+
 def test_near_ties_count_as_ties(spark):
     rows = [(1.0, True, 0.5), (2.0, True, 0.5 + 5e-9), (3.0, False, 0.5 + 3e-8)]
     got = metrics.concordance_index(spark.createDataFrame(rows, "t double, e boolean, x double"), "t", "e", "x").first()
