@@ -9,11 +9,14 @@ whose partial counts are summed by Spark. Blocks are spread by ``(by, z, y, bloc
 from __future__ import annotations
 
 from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from hazardframe.session import cut_lineage
+
 WIDTH = 32
 SLOTS = WIDTH + 2
 SIDE = 1 << 20  # coordinates are below this
@@ -87,6 +90,8 @@ def _counted(columns: list[np.ndarray], weights: np.ndarray | None = None):
         size = int(c.max()) + 1 if len(c) else 1
         code = code * size + c
         sizes.append(size)
+    if prod(sizes) >= 1 << 62:
+        raise OverflowError("too many different cells for one count")
     keys, inverse = np.unique(code, return_inverse=True)
     out = []
     for size in reversed(sizes):
@@ -101,18 +106,60 @@ def _emit(batch, by, first, group, columns: dict[str, np.ndarray]):
     return pa.RecordBatch.from_arrays(arrays, names=[*by, *columns])
 
 
-def _run(near: DataFrame, by: list[str], kernel, columns: str) -> DataFrame:
+def _one_by_one(batch: pa.RecordBatch, by: list[str], kernel):
+    """The kernel's rows for each image of a batch, or its id and what went wrong."""
+    codes = batch.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    for code in np.unique(codes):
+        one = batch.take(pa.array(np.flatnonzero(codes == code)))
+        try:
+            found, reason = list(kernel(one)), None
+        except Exception as e:  # whatever a kernel fails with, it is this image's result
+            found, reason = [], f"{type(e).__name__}: {e}"
+        yield one, found, reason
+
+
+def _run(near: DataFrame, by: list[str], kernel, columns: str, rejects: list[DataFrame] | None = None) -> DataFrame:
+    """Rows of a counting kernel over all blocks.
+
+    A failure ends the job, unless ``rejects`` is a list: then the images of the batch are counted one by one, those that fail
+    give a reject row, and the table ``(by, reason)`` of these is added to the list.
+    """
     types = dict(near.dtypes)
+    keys = ", ".join(f"{c} {types[c]}" for c in by)
 
     def scan(batches):
         for b in batches:
             if b.num_rows:
                 yield from kernel(b)
 
-    return near.mapInArrow(scan, ", ".join([*[f"{c} {types[c]}" for c in by], columns]))
-
+    if rejects is None:
+        return near.mapInArrow(scan, f"{keys}, {columns}")
+    wanted = [c.split()[0] for c in columns.split(", ")]
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = [arrow[c.split()[1]] for c in columns.split(", ")]
 
-def glcm_counts(near: DataFrame, by: list[str]) -> DataFrame:
+    def isolated(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            try:
+                results = [(b, list(kernel(b)), None)]
+            except Exception:
+                results = _one_by_one(b, by, kernel)
+            for one, found, reason in results:
+                for r in found:
+                    yield pa.RecordBatch.from_arrays([*r.columns, pa.nulls(r.num_rows, pa.string())], names=[*r.schema.names, "__reason"])
+                if reason:
+                    head = one.slice(0, 1)
+                    yield pa.RecordBatch.from_arrays([*(head.column(c) for c in by), *(pa.nulls(1, k) for k in kinds), pa.array([reason])],
+                                                     names=[*by, *wanted, "__reason"])
+
+    done = cut_lineage(near.mapInArrow(isolated, f"{keys}, {columns}, __reason string"))
+    rejects.append(done.where("__reason is not null").select(*by, F.col("__reason").alias("reason")).distinct())
+    return done.where("__reason is null").drop("__reason")
+
+
+def glcm_counts(near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None) -> DataFrame:
     """Symmetric co-occurrence counts per direction: ``(by, dir, i, j, n)``."""
     def kernel(b):
         codes, first, levels = _unpack(b, by)
@@ -126,10 +173,10 @@ def glcm_counts(near: DataFrame, by: list[str]) -> DataFrame:
         for a, c in ((i, j), (j, i)):
             yield _emit(b, by, first, g, {"dir": k.astype("int32"), "i": a.astype("int32"), "j": c.astype("int32"), "n": n.astype("int64")})
 
-    return _run(near, by, kernel, "dir int, i int, j int, n bigint").groupBy(*by, "dir", "i", "j").agg(F.sum("n").alias("n"))
+    return _run(near, by, kernel, "dir int, i int, j int, n bigint", rejects).groupBy(*by, "dir", "i", "j").agg(F.sum("n").alias("n"))
 
 
-def dependence_counts(near: DataFrame, by: list[str], alpha: int = 0) -> DataFrame:
+def dependence_counts(near: DataFrame, by: list[str], alpha: int = 0, rejects: list[DataFrame] | None = None) -> DataFrame:
     """One plus the number of the 26 neighbours within ``alpha`` levels: ``(by, level, size, n)``."""
     def kernel(b):
         codes, first, levels = _unpack(b, by)
@@ -142,10 +189,10 @@ def dependence_counts(near: DataFrame, by: list[str], alpha: int = 0) -> DataFra
         (g, level, size), n = _counted([codes[row], own[row, slot], alike[row, slot]])
         yield _emit(b, by, first, g, {"level": level.astype("int32"), "size": size.astype("int64"), "n": n.astype("int64")})
 
-    return _run(near, by, kernel, "level int, size bigint, n bigint").groupBy(*by, "level", "size").agg(F.sum("n").alias("n"))
+    return _run(near, by, kernel, "level int, size bigint, n bigint", rejects).groupBy(*by, "level", "size").agg(F.sum("n").alias("n"))
 
 
-def tone_table(near: DataFrame, by: list[str]) -> DataFrame:
+def tone_table(near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None) -> DataFrame:
     """Per level: voxels with a neighbour and their summed distance to the neighbourhood mean: ``(by, level, n, s)``."""
     def kernel(b):
         codes, first, levels = _unpack(b, by)
@@ -163,7 +210,7 @@ def tone_table(near: DataFrame, by: list[str]) -> DataFrame:
         n = _counted([codes[row], level])[1]
         yield _emit(b, by, first, g, {"level": lev.astype("int32"), "n": n.astype("int64"), "s": s})
 
-    return _run(near, by, kernel, "level int, n bigint, s double").groupBy(*by, "level").agg(
+    return _run(near, by, kernel, "level int, n bigint, s double", rejects).groupBy(*by, "level").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
@@ -173,7 +220,7 @@ def _place(b: pa.RecordBatch, row: np.ndarray, slot: np.ndarray):
     return z, y, block * WIDTH + slot
 
 
-def run_counts(near: DataFrame, by: list[str]) -> DataFrame:
+def run_counts(near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None) -> DataFrame:
     """Runs of equal level along the 13 directions: ``(by, dir, level, size, n)``.
 
     Runs of one voxel are counted where they are. Of a longer run only its two ends travel: on a line and level, ends
@@ -197,7 +244,7 @@ def run_counts(near: DataFrame, by: list[str]) -> DataFrame:
                 "dir": np.full(len(row), k, "int32"), "level": own[row, slot].astype("int32"),
                 "line": (z * SIDE + y) * SIDE + x - step * shift(d), "step": step, "n": np.ones(len(row), "int64")})
 
-    found = _run(near, by, kernel, "dir int, level int, line bigint, step bigint, n bigint")
+    found = _run(near, by, kernel, "dir int, level int, line bigint, step bigint, n bigint", rejects)
     single = found.where("line IS NULL").select(*by, "dir", "level", F.lit(1).cast("long").alias("size"), "n")
     w = W.partitionBy(*by, "dir", "line", "level").orderBy("step")
     order = F.row_number().over(w)
@@ -206,7 +253,7 @@ def run_counts(near: DataFrame, by: list[str]) -> DataFrame:
     return single.unionByName(longer).groupBy(*by, "dir", "level", "size").agg(F.sum("n").alias("n"))
 
 
-def zone_edges(near: DataFrame, by: list[str]) -> DataFrame:
+def zone_edges(near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None) -> DataFrame:
     """Links between touching voxels of equal level, thinned: ``(by, u, v)`` with u > v.
 
     Inside a block a stretch of equal voxels is represented by its first voxel; links between lines join these first
@@ -249,4 +296,4 @@ def zone_edges(near: DataFrame, by: list[str]) -> DataFrame:
         table = np.unique(np.stack([np.concatenate(p) for p in zip(*out)], axis=1), axis=0)
         yield _emit(b, by, first, table[:, 0], {"u": table[:, 1], "v": table[:, 2]})
 
-    return _run(near, by, kernel, "u bigint, v bigint").where("u <> v").distinct()
+    return _run(near, by, kernel, "u bigint, v bigint", rejects).where("u <> v").distinct()

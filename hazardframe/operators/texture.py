@@ -212,14 +212,14 @@ def size_matrix_features(counts: DataFrame, by: list[str], kind: str, names: dic
     return long.groupBy(*by, "class", "feature").agg(F.avg("value").alias("value")) if over else long
 
 
-def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
+def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None, max_rounds: int = 200) -> DataFrame:
     """Smallest position of each 26-connected zone of equal level: ``(by, pos, zone)``.
 
     Alternating star contraction: every vertex links its larger neighbours to its smallest one, then its smaller
     neighbours to the smallest. The number of rounds grows with the logarithm of the zone, not with its diameter.
     Neighbour minima are aggregated before they are joined back, so a vertex with very many links is no hot group.
     """
-    edges = cut_lineage(zone_edges(near, by))
+    edges = cut_lineage(zone_edges(near, by, rejects))
     before = None
     for _ in range(max_rounds):
         edges, now = _checked(_small_star(_large_star(edges, by), by), by)
@@ -295,8 +295,11 @@ CLASSES = ("firstorder", "shape", "glcm", "glrlm", "glszm", "gldm", "ngtdm")
 
 
 def extract_features(df: DataFrame, by: list[str] = ("image_id",), classes: tuple[str, ...] = CLASSES, width: float = 25.0,
-                     spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """All enabled classes as one long table; the neighbourhoods are built once and shared."""
+                     spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), rejects: list[DataFrame] | None = None) -> DataFrame:
+    """All enabled classes as one long table; the neighbourhoods are built once and shared.
+
+    With a list for ``rejects`` an image that makes a kernel fail is added to it as ``(by, reason)`` and does not end the job.
+    """
     by = list(by)
     out = []
     if "firstorder" in classes:
@@ -308,15 +311,15 @@ def extract_features(df: DataFrame, by: list[str] = ("image_id",), classes: tupl
         levels = cut_lineage(discretize(df, by, width).select(*by, *AXES, "level"))
         near = cut_lineage(neighbourhoods(levels, by))
         if "glcm" in classes:
-            out.append(glcm(glcm_counts(near, by), levels, by))
+            out.append(glcm(glcm_counts(near, by, rejects=rejects), levels, by))
         if "glrlm" in classes:
-            out.append(size_matrix_features(run_counts(near, by), by, "glrlm", RUN_NAMES, ["dir"]))
+            out.append(size_matrix_features(run_counts(near, by, rejects=rejects), by, "glrlm", RUN_NAMES, ["dir"]))
         if "glszm" in classes:
-            out.append(size_matrix_features(zone_counts(zone_labels(levels, near, by), by), by, "glszm", ZONE_NAMES))
+            out.append(size_matrix_features(zone_counts(zone_labels(levels, near, by, rejects), by), by, "glszm", ZONE_NAMES))
         if "gldm" in classes:
-            out.append(size_matrix_features(dependence_counts(near, by), by, "gldm", DEPENDENCE_NAMES))
+            out.append(size_matrix_features(dependence_counts(near, by, rejects=rejects), by, "gldm", DEPENDENCE_NAMES))
         if "ngtdm" in classes:
-            out.append(ngtdm(tone_table(near, by), by))
+            out.append(ngtdm(tone_table(near, by, rejects=rejects), by))
     first, *others = out
     for o in others:
         first = first.unionByName(o)

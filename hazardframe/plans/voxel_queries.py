@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardframe.operators import neighbourhood as nb, texture as tx, voxel_grid as vg
+from hazardframe.operators import extraction as ex, neighbourhood as nb, texture as tx, voxel_grid as vg
 from hazardframe.plans import cohorts as co
 from hazardframe.plans.sqltext import fixed, rounded_sql
 from hazardframe.session import cut_lineage
@@ -72,6 +72,42 @@ def extraction_summary(spark, sf):
     return tx.extraction_summary(tx.extract_features(co.voxels(spark, sf), BY, ("firstorder", "shape", "gldm")))
 
 
+def broken_voxels(spark, sf):
+    """The cubes, of which one in twenty is broken in one of five ways."""
+    v, kind = co.voxels(spark, sf), F.pmod("image_id", F.lit(100))
+    first = (F.col("z") == 0) & (F.col("y") == 0) & (F.col("x") == 0)
+    v = v.withColumns({"x": F.when((kind == 3) & first, F.lit(1 << 20)).otherwise(F.col("x")).cast("int"),
+                       "intensity": F.when((kind == 7) & first, F.lit(float("nan"))).when((kind == 17) & first, 1e12).otherwise(F.col("intensity")),
+                       "mask": F.when(kind == 11, 0).when((kind == 17) & first, 1).otherwise(F.col("mask"))})
+    return v.unionByName(v.where((kind == 13) & first))
+
+
+def isolated_extraction(spark, sf):
+    """Features of all sound images, and a reject row with a reason for each broken one."""
+    features, rejects = ex.extract_isolated(broken_voxels(spark, sf), BY, ("firstorder", "shape", "gldm"), normalized=False, derived=False)
+    rows = tx.named_features(features).withColumn("reason", F.lit(None).cast("string"))
+    refused = rejects.select("image_id", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value"), "reason")
+    return fixed(rows.unionByName(refused), 4)
+
+
+def extraction_outcomes(spark, sf):
+    v = broken_voxels(spark, sf)
+    return ex.outcomes(v, *ex.extract_isolated(v, BY, ("firstorder", "shape", "gldm"), normalized=False, derived=False))
+
+
+def full_extraction(spark, sf):
+    """All seven classes of all sixteen image types of every normalised cube."""
+    features, _ = ex.extract_isolated(co.voxels(spark, sf), BY)
+    return fixed(tx.named_features(features), 4)
+
+
+def log_all_sigmas(spark, sf):
+    """The three Laplacians of the default image types."""
+    v = co.voxels(spark, sf)
+    parts = [vg.laplacian_of_gaussian(v, s).select("image_id", "filter", *vg.AXES, "intensity") for s in vg.LOG_SIGMAS]
+    return fixed(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
+
+
 def empty_masks(spark, sf):
     v = co.voxels(spark, sf).withColumn("mask", F.when(F.col("intensity") > 300, 1).otherwise(0))
     return tx.empty_masks(v)
@@ -102,6 +138,10 @@ QUERIES = {
     "wide_features": wide_features,
     "extraction_summary": extraction_summary,
     "empty_masks": empty_masks,
+    "isolated_extraction": isolated_extraction,
+    "extraction_outcomes": extraction_outcomes,
+    "full_extraction": full_extraction,
+    "laplacian_of_gaussian_all": log_all_sigmas,
 }
 
 _VOX = """
@@ -241,10 +281,14 @@ _WAVES = _VOX + "".join(f""",
 w{a} AS (SELECT image_id, {prev}l AS band, {', '.join(c if c != a else f'CAST((({a} - o) % 4 + 4) % 4 AS INTEGER) AS {a}' for c in 'zyx')},
          sum(w * intensity) AS intensity FROM {src}, {_KERNEL(vg.wavelet_kernels())} GROUP BY ALL)"""
                         for a, src, prev in (("x", "vox", ""), ("y", "wx", "band || "), ("z", "wy", "band || ")))
-_LOG = _VOX + "".join(f""",
+def _log_part(sigma: float) -> str:
+    return "".join(f""",
 g{a} AS (SELECT image_id, {prev}k.l AS band, {', '.join(f's.{c}' if c != a else f't.i AS {a}' for c in 'zyx')}, sum(w * intensity) AS intensity
-         FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS i) t, {_KERNEL(vg.gaussian_kernels(1.0))}, {src} s WHERE s.{a} = greatest(0, least(3, t.i + o)) GROUP BY ALL)"""
-                      for a, src, prev in (("x", "vox", ""), ("y", "gx", "s.band || "), ("z", "gy", "s.band || ")))
+         FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS i) t, {_KERNEL(vg.gaussian_kernels(sigma))}, {src} s WHERE s.{a} = greatest(0, least(3, t.i + o)) GROUP BY ALL)"""
+                   for a, src, prev in (("x", "vox", ""), ("y", "gx", "s.band || "), ("z", "gy", "s.band || ")))
+
+
+_LOG = _VOX + _log_part(1.0)
 _AXIS = lambda a, s, n: f"SELECT CAST(unnest(range({n})) AS INTEGER) AS t{a}"
 _NEAR = lambda a, s: f"CAST(floor(t{a} / {s} + 0.5) AS INTEGER)"
 _GRID = f"({_AXIS('z', 2.0, 8)}) gz, ({_AXIS('y', 0.8, 3)}) gy, ({_AXIS('x', 0.8, 3)}) gx"
@@ -267,6 +311,10 @@ _CH_PART = _CH.removeprefix(_VOX)
 _MANY = _DEPS + _FO.format(k="image_id", v="vox") + _CH_PART.replace("2.0", "1.0").replace("0.8", "1.0") + _matrix_sql(tx.DEPENDENCE_NAMES, "image_id")[0]
 _MANY_LONG = " UNION ALL ".join([_unpivot("fo", "firstorder", _FO_FEATURES), _unpivot("sh", "shape", _SHAPE | {"VoxelVolume": "n"}),
                                  _unpivot("sx", "gldm", _matrix_sql(tx.DEPENDENCE_NAMES, "image_id")[1])])
+# The same over the cubes that broken_voxels leaves whole, and the reasons of the others.
+_SOUND = _MANY.replace("FROM embeddings))", "FROM embeddings WHERE vec_id % 100 NOT IN (3, 7, 11, 13, 17)))")
+_REASONS = """SELECT vec_id AS image_id, CASE vec_id % 100 WHEN 3 THEN 'a coordinate is out of range' WHEN 7 THEN 'an intensity is not a finite number'
+    WHEN 11 THEN 'mask is empty' WHEN 13 THEN 'a voxel occurs twice' WHEN 17 THEN 'too many grey levels' END AS reason FROM embeddings WHERE vec_id % 100 IN (3, 7, 11, 13, 17)"""
 _MANY_NAMES = [f"original_{k}_{f}" for k, fs in (("firstorder", _FO_FEATURES), ("shape", _SHAPE),
                                                  ("gldm", _matrix_sql(tx.DEPENDENCE_NAMES, "image_id")[1])) for f in fs]
 
@@ -303,5 +351,11 @@ ORACLE = {
         + f" FROM (SELECT *, 'original_' || class || '_' || feature AS name FROM ({_MANY_LONG})) GROUP BY image_id",
         "image_id " + " ".join(f"{n}:f" for n in _MANY_NAMES), 4),
     "extraction_summary": f"WITH {_MANY} SELECT count(DISTINCT image_id) AS n_images, count(DISTINCT class || feature) AS n_features FROM ({_MANY_LONG})",
+    "isolated_extraction": rounded_sql(f"""WITH {_SOUND} --main SELECT image_id, 'original_' || class || '_' || feature AS feature, value, NULL AS reason FROM ({_MANY_LONG})
+        UNION ALL SELECT image_id, NULL, NULL, reason FROM ({_REASONS})""", "image_id feature value:f reason", 4),
+    "extraction_outcomes": f"""WITH {_SOUND} SELECT image_id, count(*)::BIGINT AS n_features, NULL::VARCHAR AS reason FROM ({_MANY_LONG}) GROUP BY 1
+        UNION ALL SELECT image_id, 0, reason FROM ({_REASONS})""",
+    "laplacian_of_gaussian_all": " UNION ALL ".join("SELECT * FROM (" + rounded_sql(f"""WITH {_VOX}{_log_part(s)} --main SELECT image_id, 'log-sigma-{s:.0f}-0-mm-3D' AS filter, z, y, x,
+        sum(intensity) AS intensity FROM gz WHERE band IN ('DGG', 'GDG', 'GGD') GROUP BY ALL""", "image_id filter z y x intensity:f", 4) + ")" for s in vg.LOG_SIGMAS),
     "empty_masks": f"WITH {_VOX} SELECT image_id, 'mask is empty' AS reason FROM vox GROUP BY 1 HAVING max(intensity) <= 300",
 }
