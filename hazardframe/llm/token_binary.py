@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hazardframe.llm.byte_bpe import NUMBER, codepoint_classes
 from hazardframe.llm.common import text_slices
 from hazardframe.llm.word_ids import WordIds
 
@@ -120,6 +121,19 @@ def unpack(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+# Below this code point nothing combines with what stands before it, and classes of letters and numbers are the same in all versions.
+COMBINING, DOTTED_I = 0x300, 0x130
+TOGETHER = 200  # pieces that one call of the library encodes as one text
+MAX_PIECES, SLICE_BYTES = 800_000, 3_000_000
+
+
+def _sure(piece: str) -> bool:
+    """Whether the pre-tokenizer leaves the piece whole: letters without marks, a digit, or ASCII signs without an apostrophe."""
+    if piece.isalpha():
+        return max(piece) < chr(COMBINING) and chr(DOTTED_I) not in piece
+    return piece.isascii() and (piece.isdigit() and len(piece) == 1 or piece.isprintable() and not any(c.isalnum() or c in "' " for c in piece))
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordIds:
     import os
@@ -129,34 +143,75 @@ def _encoder(path: str) -> WordIds:
 
     tokenizer = Tokenizer.from_file(path)
     plain = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-    if any(plain(f"Mix{gap}of, 12{gap}words") != plain("Mix") + plain("of,") + plain("12") + plain("words") for gap in (" ", "\n", " \n ")):
-        raise ValueError(f"{path}: the tokenizer does not part words at blanks and line feeds")
+    parts = ["mix", "of", ",", "é", "1", "2", "-", "words", "..."]
+    if any(plain(f"MIX{gap}Of,é12-{gap}words...") != [i for p in parts for i in plain(p)] for gap in (" ", "\n", " \n ")):
+        raise ValueError(f"{path}: the tokenizer does not fold case and part words at blanks, line feeds, signs and digits")
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def together(pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces encoded as one text; where each ends its last id says so, else the pieces have to go alone."""
+        got = [e.ids for e in tokenizer.encode_batch_fast([" ".join(pieces[a:a + TOGETHER]) for a in range(0, len(pieces), TOGETHER)], add_special_tokens=False)]
+        if any(int(last[ids].sum()) != len(pieces[k * TOGETHER:(k + 1) * TOGETHER]) or not last[ids[-1]] for k, ids in enumerate(got)):
+            return None
+        flat = np.concatenate([np.array(ids, np.int32) for ids in got])
+        return flat, np.diff(np.flatnonzero(last[flat]), prepend=-1)
+
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for a in range(0, len(words), 20_000) for e in tokenizer.encode_batch_fast(words[a:a + 20_000], add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got], np.int64)
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = [], np.empty(len(words), np.int64)
-        for a in range(0, len(words), 20_000):
-            for i, e in enumerate(tokenizer.encode_batch_fast(words[a:a + 20_000], add_special_tokens=False), a):
-                got = e.ids
-                ids.extend(got)
-                n[i] = len(got)
-        return np.array(ids, np.int64), n
-
-    return WordIds(encode_words, 600_000)
+        sure = np.fromiter(map(_sure, words), bool, len(words))
+        many = together([w for w, s in zip(words, sure.tolist()) if s]) if sure.any() else None
+        if many is None:
+            return alone(words)
+        flat, lens = many
+        rest, rest_lens = alone([w for w, s in zip(words, sure.tolist()) if not s])
+        n = np.empty(len(words), np.int64)
+        n[sure], n[~sure] = lens, rest_lens
+        out = np.empty(n.sum(), np.int32)
+        mine = np.repeat(sure, n)
+        out[mine], out[~mine] = flat, rest
+        return out, n
+
+    return WordIds(encode_words, MAX_PIECES)
 
 
 def _encode_slice(table: WordIds, data: memoryview, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts that end at ``text_ends``, and the ids of each: words and the gaps between them are numbered alike."""
+    """All ids of the texts that end at ``text_ends``, and the ids of each.
+
+    Bytes are cut into words and gaps, and words further into runs of letters, digits and signs, with A-Z folded, so that there are few
+    distinct pieces. A word stays as it is where a cut or fold could matter: with an apostrophe, a special token's ``<|``, controls, or
+    characters that combine or change in number.
+    """
     if not len(data):
         return np.empty(0, np.int32), np.zeros(len(text_ends), np.int64)
-    raw = np.frombuffer(data, np.uint8)
-    begins = (raw == ord(" ")) | (raw == ord("\n"))
-    begins[1:] |= begins[:-1]
+    raw = np.frombuffer(data, np.uint8).copy()
+    points = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32)
+    at = None  # the byte of each character, where they differ
+    if len(points) < len(raw):
+        width = np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        at = np.cumsum(width, dtype=np.int32) - width
+    text_starts = text_ends[text_ends < len(raw)]
+    gap = (points == ord(" ")) | (points == ord("\n"))
+    begins = gap.copy()
+    begins[1:] |= gap[:-1]
     begins[0] = True
-    begins[text_ends[text_ends < len(raw)]] = True
-    starts = np.flatnonzero(begins)
+    begins[text_starts if at is None else np.searchsorted(at, text_starts)] = True
+    odd = (points >= COMBINING) | (points == DOTTED_I) | (points == ord("'")) | (points < 0x20) & ~gap | (points >= 0x7F) & (points <= 0xA0)
+    odd[:-1] |= (points[:-1] == ord("<")) & (points[1:] == ord("|"))
+    words = np.flatnonzero(begins)
+    whole = np.repeat(np.logical_or.reduceat(odd, words), np.diff(np.append(words, len(points))))
+    kind = codepoint_classes()[points]
+    begins[1:] |= ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == NUMBER))
+    starts, upper = np.flatnonzero(begins), np.flatnonzero((points - ord("A") < 26) & ~whole)
+    if at is not None:
+        starts, upper = at[starts], at[upper]
+    raw[upper] += 32
     cuts = np.append(starts, len(raw)).astype(np.int32)
-    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-    ids, lens = table.gather(words.dictionary.to_pylist(), words.indices.to_numpy())
+    pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+    ids, lens = table.gather(pieces.dictionary.to_pylist(), pieces.indices.to_numpy())
     upto = np.concatenate([[0], np.cumsum(lens)])
     return ids, np.diff(upto[np.concatenate([[0], np.searchsorted(starts, text_ends)])])
 
@@ -168,9 +223,9 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
     """Encode every text, append ``end_id``, and write the file set ``to`` in ascending order of ``doc_id``.
 
     The texts are dealt into ranges of ids; ``tokenizer`` is a file of the tokenizers library that every executor can read.
-    Its pre-tokenizer must part words at blanks and line feeds, and drop those (a file that does not is an error), so that
-    distinct words can be encoded once: Arrow cuts the bytes of a slice and numbers its distinct words, and only these become
-    Python strings. Null and empty texts are the end id alone. Null ids come first; rows that share an id follow each other in
+    It must fold case, part words at blanks, line feeds, signs and digits, and drop blanks (a file that does not is an error), so
+    that distinct pieces can be encoded once: Arrow cuts the bytes of a slice and numbers its distinct pieces, and only these
+    become Python strings. Null and empty texts are the end id alone. Null ids come first; rows that share an id follow each other in
     the order of their texts, and a range may end between them. Other columns are left out. The folder ``to`` must not exist. A lost executor's range is encoded again; Spark's committer keeps whole files only.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -179,7 +234,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
         from pyspark import TaskContext
 
         part, seq, first, table = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
-        for part_rows, data, text_ends, _ in text_slices(batches, "text"):
+        for part_rows, data, text_ends, _ in text_slices(batches, "text", SLICE_BYTES):
             ids, n = _encode_slice(table, data, text_ends)
             ids = np.insert(ids, np.cumsum(n), end_id)
             words, starts = pack(ids)
