@@ -19,10 +19,10 @@ from pyspark.sql.types import DoubleType
 
 from hazardframe.operators.cox_likelihood import CHUNK, _vectors, sum_vectors
 from hazardframe.operators.curves import breslow_baseline
+from hazardframe.operators.whole_batch import EPS, exact_step, time_blocks
 from hazardframe.session import cut_lineage
 
-EPS = 1e-5  # fixed values: batch normalisation, its momentum, and Adam's constants
-MOMENTUM = 0.1
+MOMENTUM = 0.1  # fixed values: of batch normalisation, and Adam's constants
 ADAM = (0.9, 0.999, 1e-8)
 
 
@@ -148,43 +148,60 @@ class DeepCox:
     def network(self) -> Network:
         return Network(len(self.names), list(self.hidden))
 
-    def fit(self, df: DataFrame, epochs: int = 200, batch_size: int = 64, steps_per_epoch: int = 1) -> "DeepCox":
+    def fit(self, df: DataFrame, epochs: int = 200, batch_size: int | None = 64, steps_per_epoch: int = 1) -> "DeepCox":
         """``df`` has ``time``, ``event`` and a scaled ``features`` array.
 
         There are ``rows // batch_size`` batches (one at least). With ``steps_per_epoch`` = 1, the default, each step uses all
-        rows; a larger number deals the batches to that many steps, each with an update of its own.
+        rows; a larger number deals the batches to that many steps, each with an update of its own. Without a ``batch_size``
+        the whole table is one batch: risk sets and batch normalisation span all rows, see :mod:`whole_batch`.
         """
         net = self.network
-        rows = cut_lineage(_numbered(df.select(F.col("time").cast("double").alias("time"),
-                                               F.col("event").cast("double").alias("event"), "features")))
-        batches = max(1, rows.count() // batch_size)
-        steps_per_epoch = max(1, min(steps_per_epoch, batches))
-        place = F.xxhash64("time", "event", "features", "copy", F.lit(self.seed))
-        packed = cut_lineage(rows.select(F.pmod(place, F.lit(batches)).alias("batch"), F.struct(place.alias("place"), "time", "event", "features").alias("row"))
-                             .groupBy("batch").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-                             .select("batch", F.pmod("batch", F.lit(steps_per_epoch)).alias("step"), F.col("rows.time").alias("time"),
-                                     F.col("rows.event").alias("event"), F.flatten("rows.features").alias("features")))
         w = net.start(self.seed)
         m, v, done, self.losses = np.zeros(net.trainable), np.zeros(net.trainable), 0, []
-        for epoch in range(epochs):
+        for epoch, steps in enumerate(self._epochs(df, epochs, batch_size, steps_per_epoch)):
             losses = []
-            for step in range(steps_per_epoch):
-                part = packed.where(F.col("step") == step) if steps_per_epoch > 1 else packed
-                total = self._gradient(part, w, epoch)
-                if total is None:
-                    continue
-                n, loss = total[-1], total[-2]
-                grad = total[:net.trainable] / n + self.weight_decay * w[:net.trainable]
+            for step in steps:
+                n, loss, grad, stats = step(w, epoch)
+                grad = grad + self.weight_decay * w[:net.trainable]
                 done += 1
                 m, v = ADAM[0] * m + (1 - ADAM[0]) * grad, ADAM[1] * v + (1 - ADAM[1]) * grad * grad
                 w[:net.trainable] -= self.lr * (m / (1 - ADAM[0] ** done)) / (np.sqrt(v / (1 - ADAM[1] ** done)) + ADAM[2])
-                w[net.trainable:] = total[net.trainable:net.size] / n
-                losses.append((loss, n))
+                w[net.trainable:] = stats
+                losses.append((loss * n, n))
             self.losses.append(sum(x for x, _ in losses) / max(1.0, sum(n for _, n in losses)))
         self.weights = w
         self.baseline = cut_lineage(breslow_baseline(self.score(df), "time", "event", "risk_score"))
         return self
 
+    def _epochs(self, df: DataFrame, epochs: int, batch_size: int | None, steps_per_epoch: int):
+        """For each epoch its steps: functions of weights and epoch that give rows, mean loss, mean gradient and statistics."""
+        net = self.network
+        if batch_size is None:
+            blocks = time_blocks(df)
+            whole = lambda w, epoch: (1.0, *exact_step(blocks, net, w, self.dropout, [self.seed, epoch], MOMENTUM))
+            return [[whole]] * epochs
+        rows = cut_lineage(_numbered(df.select(F.col("time").cast("double").alias("time"),
+                                               F.col("event").cast("double").alias("event"), "features")))
+        batches = max(1, rows.count() // batch_size)
+        n_steps = max(1, min(steps_per_epoch, batches))
+        place = F.xxhash64("time", "event", "features", "copy", F.lit(self.seed))
+        packed = cut_lineage(rows.select(F.pmod(place, F.lit(batches)).alias("batch"), F.struct(place.alias("place"), "time", "event", "features").alias("row"))
+                             .groupBy("batch").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+                             .select("batch", F.pmod("batch", F.lit(n_steps)).alias("step"), F.col("rows.time").alias("time"),
+                                     F.col("rows.event").alias("event"), F.flatten("rows.features").alias("features")))
+        present = {r["step"] for r in packed.select("step").distinct().collect()}
+
+        def mean_step(number):
+            part = packed.where(F.col("step") == number) if n_steps > 1 else packed
+
+            def run(w, epoch):
+                total = self._gradient(part, w, epoch)
+                n = total[-1]
+                return n, total[-2] / n, total[:net.trainable] / n, total[net.trainable:net.size] / n
+            return run
+
+        return [[mean_step(k) for k in range(n_steps) if k in present]] * epochs
+
     def _gradient(self, packed: DataFrame, weights: np.ndarray, epoch: int) -> np.ndarray | None:
         """Sums over batches, weighted by their rows: gradient, running statistics, loss; and the number of rows."""
         net, dropout, seed = self.network, self.dropout, self.seed
