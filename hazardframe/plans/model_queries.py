@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hazardframe.operators import cox_likelihood as cl, encode, lasso_cox as lc, metrics, residuals, stratify
-from hazardframe.operators.deep_cox import DeepCox
+from hazardframe.operators.deep_cox import DeepCox, Network
 from hazardframe.plans import cohorts as co
 from hazardframe.plans.sqltext import CHURN, GAP, SCORED, fixed, rounded_sql
 from hazardframe.plans.survival_queries import breslow_sql
@@ -115,6 +115,31 @@ def deep_concordance(spark, sf):
     return fixed(metrics.concordance_index(m.score(d), "time", "event", "risk_score").select("c_index"), 4)
 
 
+WHOLE_HIDDEN, WHOLE_RATE, WHOLE_EPOCHS = 2, 5e-3, 20
+
+
+def _whole(spark, sf):
+    """A network whose every step spans the whole table, small enough for a recursive query."""
+    d = _scaled(spark, sf)
+    return DeepCox(NAMES, [WHOLE_HIDDEN], 0.0, WHOLE_RATE).fit(d, WHOLE_EPOCHS, None), d
+
+
+def deep_whole_scores(spark, sf):
+    m, d = _whole(spark, sf)
+    return fixed(m.score(d).select("sid", "risk_score"), 4)
+
+
+def deep_whole_concordance(spark, sf):
+    m, d = _whole(spark, sf)
+    return fixed(metrics.concordance_index(m.score(d), "time", "event", "risk_score").select("c_index"), 4)
+
+
+def deep_default(spark, sf):
+    """Losses of the published layers, rates, batch size and number of epochs."""
+    c = StudyConfig()
+    return fixed(DeepCox(NAMES, c.hidden, c.dropout, c.lr, seed=c.seed).fit(_scaled(spark, sf), c.epochs, c.batch_size).loss_history(spark), 4)
+
+
 def study_reports(spark, sf):
     """Row counts of all reports of one study on the churn cohort."""
     d = co.churn(spark, sf)
@@ -149,6 +174,11 @@ QUERIES = {
     "deep_cox_scores": deep_scores,
     "deep_cox_baseline": lambda s, sf: fixed(_deep(s, sf)[0].baseline.select("time", "n_event", "cum_hazard"), 4),
     "deep_cox_concordance": deep_concordance,
+    "deep_cox_whole_loss": lambda s, sf: fixed(_whole(s, sf)[0].loss_history(s), 4),
+    "deep_cox_whole_scores": deep_whole_scores,
+    "deep_cox_whole_baseline": lambda s, sf: fixed(_whole(s, sf)[0].baseline.select("time", "n_event", "cum_hazard"), 4),
+    "deep_cox_whole_concordance": deep_whole_concordance,
+    "deep_cox_default_loss": deep_default,
     "study_reports": study_reports,
 }
 
@@ -223,7 +253,59 @@ ci AS (SELECT x.m, x.side, any_value(x.o) AS o, any_value(x.a) AS a, any_value(x
 be AS (SELECT o, a FROM (SELECT o, a, avg(c) AS c FROM ci WHERE side = 'inner' GROUP BY o, a)
        QUALIFY row_number() OVER (PARTITION BY o ORDER BY round(c, 12) DESC, a) = 1)"""
 
+
+
+def _whole_sql() -> str:
+    """Adam on the whole table as a recursive query; ``p`` holds the weights in the order of the network, then its running statistics.
+
+    The starting weights are the seeded ones. The result CTE ``fin`` is the last state, ``it`` holds the loss of every epoch.
+    """
+    n_in, h, net = len(NAMES), WHOLE_HIDDEN, Network(len(NAMES), [WHOLE_HIDDEN])
+    ks, js = range(h), range(n_in)
+    at = lambda base, k=0: f"p[{base + k + 1}]"
+    b, sc, sh, wo = n_in * h, (n_in + 1) * h, (n_in + 2) * h, (n_in + 3) * h
+    n_par, mean, var = net.trainable, net.trainable, net.trainable + h
+    zs = ", ".join(f"z{j}" for j in js)
+    each = lambda f: ", ".join(f(k) for k in ks)
+    grads = [f"sum(z{j} * g{k})" for j in js for k in ks] + [f"sum(g{k})" for k in ks] + [f"sum(b{k} * o{k})" for k in ks]
+    grads += [f"sum(b{k})" for k in ks] + [f"sum(a{k} * d)" for k in ks] + ["sum(d)"]
+    grad = ", ".join(f"{g} + 1e-4 * any_value({at(x)})" for x, g in enumerate(grads))
+    running = ", ".join([f"0.9 * any_value({at(mean, k)}) + 0.1 * any_value(mu{k})" for k in ks]
+                        + [f"0.9 * any_value({at(var, k)}) + 0.1 * any_value(va{k}) * count(*) / (count(*) - 1)" for k in ks])
+    moved = ", ".join(f"p[{x}] - {WHOLE_RATE} * (nm[{x}] / (1 - 0.9 ** (i + 1))) / (sqrt(nv[{x}] / (1 - 0.999 ** (i + 1))) + 1e-8)" for x in range(1, n_par + 1))
+    zero = ", ".join(["CAST(0 AS DOUBLE)"] * n_par)
+    start = ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in net.start(42))
+    steps = [f"SELECT st.*, time, CAST(event AS INT) AS e, {zs}, " + each(lambda k: " + ".join(f"{at(j * h, k)} * z{j}" for j in js) + f" + {at(b, k)} AS u{k}")
+             + f" FROM (SELECT i, p, m, v FROM it WHERE i < {WHOLE_EPOCHS}) st, zs",
+             "SELECT *, " + each(lambda k: f"avg(u{k}) OVER () AS mu{k}, var_pop(u{k}) OVER () AS va{k}"),
+             "SELECT *, " + each(lambda k: f"(u{k} - mu{k}) / sqrt(va{k} + 1e-5) AS o{k}"),
+             "SELECT *, " + each(lambda k: f"greatest(o{k} * {at(sc, k)} + {at(sh, k)}, 0) AS a{k}"),
+             "SELECT *, " + " + ".join(f"a{k} * {at(wo, k)}" for k in ks) + f" + {at(wo, h)} AS eta",
+             "SELECT *, sum(exp(eta)) OVER (ORDER BY time DESC) AS s, sum(e) OVER () + 1e-8 AS deaths",
+             "SELECT *, -(e - exp(eta) * sum(e / s) OVER (ORDER BY time)) / deaths AS d",
+             "SELECT *, " + each(lambda k: f"CASE WHEN a{k} > 0 THEN d * {at(wo, k)} ELSE 0 END AS b{k}"),
+             "SELECT *, " + each(lambda k: f"{at(sc, k)} * (b{k} - avg(b{k}) OVER () - o{k} * avg(b{k} * o{k}) OVER ()) / sqrt(va{k} + 1e-5) AS g{k}"),
+             f"SELECT any_value(i) AS i, any_value(p) AS p, any_value(m) AS m, any_value(v) AS v, [{grad}] AS g, [{running}] AS r, -sum(e * (eta - ln(s))) / any_value(deaths) AS loss"]
+    body = steps[0]
+    for step in steps[1:]:
+        body = f"{step} FROM ({body})"
+    return f"""{_ZTABLE}, it(i, p, m, v, loss) AS (SELECT 0, [{start}], [{zero}], [{zero}], CAST(0 AS DOUBLE) UNION ALL
+  SELECT i + 1, list_concat([{moved}], r), nm, nv, loss FROM (
+    SELECT *, list_transform(range(1, {n_par + 1}), lambda x: 0.9 * m[x] + 0.1 * g[x]) AS nm, list_transform(range(1, {n_par + 1}), lambda x: 0.999 * v[x] + 0.001 * g[x] * g[x]) AS nv
+    FROM ({body}) WHERE i IS NOT NULL)),
+fin AS (SELECT p FROM it WHERE i = {WHOLE_EPOCHS}),
+le AS (SELECT sid, time, event, {" + ".join(f"greatest(({' + '.join(f'{at(j * h, k)} * z{j}' for j in js)} + {at(b, k)} - {at(mean, k)}) / sqrt({at(var, k)} + 1e-5) * {at(sc, k)} + {at(sh, k)}, 0) * {at(wo, k)}" for k in ks)}
+       + {at(wo, h)} AS eta FROM zs, fin)"""
+
+
+_WHOLE = _whole_sql()
+
 ORACLE = {
+    "deep_cox_whole_loss": rounded_sql(f"WITH RECURSIVE {_WHOLE} --main SELECT CAST(i AS INTEGER) AS epoch, loss FROM it WHERE i > 0", "epoch loss:f", 4),
+    "deep_cox_whole_scores": rounded_sql(f"WITH RECURSIVE {_WHOLE} --main SELECT sid, eta AS risk_score FROM le", "sid risk_score:f", 4),
+    "deep_cox_whole_baseline": rounded_sql(f"WITH RECURSIVE {_WHOLE}, {breslow_sql('le')} --main SELECT time, n_event, cum_hazard FROM base", "time:f n_event:i cum_hazard:f", 4),
+    "deep_cox_whole_concordance": rounded_sql(f"""WITH RECURSIVE {_WHOLE} --main SELECT (count(*) FILTER (x.eta - y.eta > 1e-8) + 0.5 * count(*) FILTER (abs(x.eta - y.eta) <= 1e-8)) / count(*) AS c_index
+        FROM le x JOIN le y ON x.event AND (x.time < y.time OR (x.time = y.time AND NOT y.event))""", "c_index:f", 4),
     "nested_cross_validation": rounded_sql(f"""WITH RECURSIVE {_NESTED} --main SELECT 0 AS repeat, o AS fold, any_value(alpha) AS alpha,
         max(c) FILTER (side = 'train') AS train_score, max(c) FILTER (side = 'test') AS test_score FROM ci JOIN be USING (o, a) WHERE side <> 'inner' GROUP BY o""",
                                            "repeat fold alpha:f train_score:f test_score:f", 4),
