@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
-from hazardframe.operators.ordered import ROWS_PER_RANGE, match, match_stats, range_bounds, running
-from hazardframe.session import settle
+from hazardframe.operators.ordered import ROWS_PER_RANGE, Places, match, match_stats, match_stats_left, positions, range_bounds, running
+from hazardframe.session import cut_lineage, settle
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 MAX_CURVE_ROWS = 1_000_000
@@ -154,24 +154,39 @@ def _broadcast_lookup(small: pd.DataFrame, backward: bool, before: float | None)
 
 
 def _merged_lookup(df, points, x, out, backward, by, before, rows_per_range):
-    asked_at = F.col(x).cast("double")
-    asked = (df.select(_group_key(by).alias("__key"), asked_at.alias("__at"))
-             .where(F.col("__at").isNotNull() & ~F.isnan("__at")).distinct())
+    """Rows and curve in one order, cut into the same ranges; each range is filled once, from the value carried into it.
+
+    Rows go through whole, so nothing is joined back, and very many rows at one ``x`` are as many places as any others.
+    """
+    asked = F.col(x).cast("double")
+    real = asked.isNotNull() & ~F.isnan(asked)
+    names = df.columns
+    row = df.select(_group_key(by).alias("__key"), F.when(real, asked).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__value"),
+                    F.struct(*names).alias("__row"))
     collapse = F.max if backward else F.min
-    curve = points.groupBy("__key", "__at").agg(collapse("__value").alias("__value"))
-    merged, n = settle(
-        asked.withColumn("__value", F.lit(None).cast("double")).unionByName(curve)
-        .groupBy("__key", "__at").agg(F.max("__value").alias("__value")))
-    bounds = range_bounds(merged, "__at", n, rows_per_range)
-    filled = running(merged, ["__key"], "__at", {"__found": ("last", "__value")}, descending=not backward, bounds=bounds)
+    curve = points.groupBy("__key", "__at").agg(collapse("__value").alias("__value")).withColumn("__kind", F.lit(0))
+    merged = row.unionByName(curve, allowMissingColumns=True).withColumn("__turned", F.col("__at") if backward else -F.col("__at"))
+    merged, n = settle(merged.drop("__at"))
+    order = ["__turned", "__kind"]  # at one place the curve comes first
+    if n <= rows_per_range:
+        place = W.partitionBy("__key").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        filled = merged.withColumn("__found", F.last("__value", ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    else:
+        placed = cut_lineage(positions(merged, ["__key"], order).withColumn("__range", F.floor(F.col("__pos") / rows_per_range)))
+        inside = W.partitionBy("__key", "__range").orderBy("__pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+        last, n_ranges = settle(placed.groupBy("__key", "__range").agg(
+            F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__pos"))).alias("__last")))
+        carried = running(last, ["__key"], "__range", {"__carried": ("last", "__last")}, bounds=Places(n_ranges, rows_per_range))
+        carried = carried.select("__key", (F.col("__range") + 1).alias("__range"), "__carried")
+        filled = (match_stats_left(placed.withColumn("__found", F.last("__value", ignorenulls=True).over(inside)), carried, ["__key", "__range"])
+                  .withColumn("__found", F.coalesce("__found", "__carried")))
     # The ends come from the curve itself: one abscissa can have several values, and the last one is the largest.
     pair = F.struct("__at", "__value")
-    ends = points.groupBy("__key").agg(F.min(pair).alias("__first"), F.max(pair).alias("__last"))
-    filled = match_stats(filled, ends, ["__key"])
-    edge = (F.lit(before) if before is not None else F.col("__first.__value")) if backward else F.col("__last.__value")
-    table = filled.select("__key", F.col("__at").alias("__x"), F.coalesce("__found", edge).alias(out))
-    return (match(df.withColumn("__key", _group_key(by)).withColumn("__x", asked_at), table, ["__key", "__x"], "left")
-            .drop("__key", "__x"))
+    ends = points.groupBy("__key").agg(F.min(pair).alias("__first"), F.max(pair).alias("__end"))
+    rows = match_stats_left(filled.where("__kind = 1").select("__key", "__turned", "__found", "__row"), ends, ["__key"])
+    edge = (F.lit(before) if before is not None else F.col("__first.__value")) if backward else F.col("__end.__value")
+    read = F.when(F.col("__turned").isNotNull() & F.col("__end").isNotNull(), F.coalesce("__found", edge))
+    return rows.select(*[F.col(f"__row.{c}") for c in names], read.cast("double").alias(out))
 
 
 def survival_on_grid(df: DataFrame, baseline: DataFrame, score: str, grid: list[float], keep: list[str],

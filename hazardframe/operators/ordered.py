@@ -9,6 +9,7 @@ first, then order.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -16,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hazardframe.session import cut_lineage, settle
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 4096
 BROADCAST_ROWS = 100_000  # a few numbers per row: some megabytes
 
 
@@ -37,6 +37,12 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def match_stats_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`match_stats` that keeps the rows of ``left`` without a partner."""
+    table, n = settle(right)
+    return match(left, F.broadcast(table) if n <= BROADCAST_ROWS else table, keys, "left")
+
+
 def match_stats(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """:func:`match` with a table of per-group statistics, so that ``left`` need not be shuffled by its group.
 
@@ -49,17 +55,20 @@ def match_stats(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return match(left, F.broadcast(table) if n <= BROADCAST_ROWS else table, keys)
 
 
-def range_bounds(df: DataFrame, key: str, n: int, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Values that cut the ``n`` rows into ranges of about ``rows_per_range`` rows of ``key``; empty when one is enough.
+@dataclass(frozen=True)
+class Places:
+    """Ranges of ``size`` places in each group's own order, for ``n`` rows; false when one range holds them all."""
 
-    Only the boundaries (at most ``MAX_RANGES``) reach the driver. ``df`` should already be materialised.
-    """
-    if n <= rows_per_range:
-        return []
-    ranges = min(MAX_RANGES, math.ceil(n / rows_per_range))
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(F.col(key), probs, max(10_000, 10 * ranges))).first()[0]
-    return sorted({float(c) for c in cuts})
+    n: int
+    size: int
+
+    def __bool__(self) -> bool:
+        return self.n > self.size
+
+
+def range_bounds(df: DataFrame, key: str, n: int, rows_per_range: int = ROWS_PER_RANGE) -> Places:
+    """How :func:`running` has to cut ``n`` rows; nothing is looked up, as the cuts are places and not values."""
+    return Places(n, rows_per_range)
 
 
 def range_of(key: Column, bounds: list[float]) -> Column:
@@ -76,29 +85,31 @@ def range_of(key: Column, bounds: list[float]) -> Column:
 
 
 def running(df: DataFrame, by: list[str], key: str, outputs: dict[str, tuple[str, str]],
-            descending: bool = False, bounds: list[float] = ()) -> DataFrame:
+            descending: bool = False, bounds: Places | None = None) -> DataFrame:
     """Add inclusive running values in ``key`` order, per group.
 
     ``outputs`` maps a new column to ``(kind, source)``: ``sum``, ``product``, ``last`` (latest non-null) or
-    ``max``. ``bounds`` come from :func:`range_bounds`; without them a group must be known to be small.
+    ``max``. ``bounds`` come from :func:`range_bounds`; without them a group must be known to be small. Windows run inside
+    ranges of bounded size, and the totals of the ranges are carried on by this function itself, range over range.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     local = {"sum": F.sum, "product": F.product, "max": F.max,
              "last": lambda c: F.last(c, ignorenulls=True)}
-    slot = "__range"
-    work = df.withColumn(slot, range_of(F.col(key), list(bounds)))
-    inside = W.partitionBy(*by, slot).orderBy(direction(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    slot = "__ranges" if "__range" in df.columns else "__range"  # ranges of ranges take turns
     if not bounds:
-        return work.select(*df.columns, *[local[k](F.col(s)).over(inside).alias(o)
-                                          for o, (k, s) in outputs.items()])
+        whole = W.partitionBy(*by).orderBy(direction(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(*df.columns, *[local[k](F.col(s)).over(whole).alias(o) for o, (k, s) in outputs.items()])
 
+    turned = df.withColumn("__turned", -F.col(key) if descending else F.col(key))
+    work = positions(turned, by, ["__turned"]).withColumn(slot, F.floor(F.col("__pos") / bounds.size)).select(*df.columns, slot)
+    inside = W.partitionBy(*by, slot).orderBy(direction(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
     newest = F.min_by if descending else F.max_by
     whole = {"sum": F.sum, "product": F.product, "max": F.max,
              "last": lambda c: newest(c, F.when(c.isNotNull(), F.col(key)))}
     totals = work.groupBy(*by, slot).agg(*[whole[k](F.col(s)).alias(f"__t_{o}") for o, (k, s) in outputs.items()])
-    before = W.partitionBy(*by).orderBy(direction(slot)).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*by, slot, *[local[k](F.col(f"__t_{o}")).over(before).alias(f"__c_{o}")
-                                         for o, (k, _) in outputs.items()])
+    totals, n_ranges = settle(totals)
+    upto = running(totals, by, slot, {f"__c_{o}": (k, f"__t_{o}") for o, (k, _) in outputs.items()}, bounds=Places(n_ranges, bounds.size))
+    carried = upto.select(*by, (F.col(slot) + 1).alias(slot), *[f"__c_{o}" for o in outputs])
     combine = {
         "sum": lambda c, v: F.coalesce(c, F.lit(0)) + v,
         "product": lambda c, v: F.coalesce(c, F.lit(1.0)) * v,
@@ -128,57 +139,97 @@ def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
             .select(*df.columns, (F.col("__place") + F.col("__shift")).alias("__pos"), "__size"))
 
 
-def hash_cuts(labelled: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], str]:
+def hash_cuts(labelled: DataFrame, wanted: dict[str, list[int]], digit: int = 4, most: int = ROWS_PER_RANGE) -> dict[tuple[str, int], str]:
     """The md5 strings at given 1-based ranks, per label; ``labelled`` has columns ``label`` and ``h``.
 
-    md5 prefixes are uniform: one scan counts the rows per label and prefix, a second one looks only at the few
-    prefixes that hold a wanted rank. The rows themselves are never sorted or shuffled, and what depends on a rank
-    becomes a row-local comparison with the returned strings. A rank of zero gives the empty string.
+    A radix selection: one scan counts the rows per label and prefix, and only prefixes that hold a wanted rank are looked at
+    again, with ``digit`` more characters, for as long as one holds more than ``most`` rows. So rows are never sorted or
+    shuffled as a whole, no task sorts more than ``most``, and what depends on a rank becomes a row-local comparison with the
+    returned strings. A rank of zero gives the empty string.
     """
-    asked = [(k, int(r)) for k, ranks in wanted.items() for r in ranks if r > 0]
     found = {(k, int(r)): "" for k, ranks in wanted.items() for r in ranks if r <= 0}
-    if not asked:
-        return found
-    rows = labelled.where(F.col("label").isin(sorted({k for k, _ in asked}))).withColumn("prefix", F.substring("h", 1, 4))
-    sizes = rows.groupBy("label", "prefix").agg(F.count("*").alias("n"))
-    upto = sizes.withColumn("upto", F.sum("n").over(W.partitionBy("label").orderBy("prefix")))
-    ranks = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(r).cast("long").alias("rank")) for k, r in asked])
-    here = lambda r: (r["label"] == F.col("label")) & (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("n"))
-    hits = upto.select("label", "prefix", (F.col("upto") - F.col("n")).alias("before"),
-                       F.explode(F.filter(ranks, here)).alias("r")).select("label", "prefix", "before", "r.rank").collect()
-    spot = F.concat_ws(":", "label", "prefix")
-    place = F.concat_ws(":", spot, F.row_number().over(W.partitionBy("label", "prefix").orderBy("h")))
-    at = {f"{r['label']}:{r['prefix']}:{r['rank'] - r['before']}": (r["label"], r["rank"]) for r in hits}
-    few = rows.where(spot.isin(sorted({k.rpartition(":")[0] for k in at})))
-    picked = few.withColumn("place", place).where(F.col("place").isin(sorted(at))).select("place", "h").collect()
-    found.update({at[r["place"]]: r["h"] for r in picked})
+    open_ranks = {(k, int(r)): ("", int(r)) for k, ranks in wanted.items() for r in ranks if r > 0}  # prefix so far, rank inside it
+    length = 0
+    while open_ranks:
+        open_ranks, ready = _narrowed(labelled, open_ranks, length, digit)
+        length += digit
+        small = {k: (prefix, rank) for k, (prefix, rank, n) in ready.items() if n <= most and length < 32}
+        found.update({k: prefix for k, (prefix, _, _) in ready.items() if length >= 32})  # the whole string
+        open_ranks = {k: (prefix, rank) for k, (prefix, rank, n) in ready.items() if k not in small and k not in found}
+        if small:
+            found.update(_picked(labelled, small, length))
     return found
 
 
+def _at_prefixes(labelled: DataFrame, wanted: dict, length: int) -> DataFrame:
+    """Rows below the wanted prefixes, with ``parent``, the label and prefix as one string."""
+    rows = labelled.withColumn("parent", F.concat_ws(":", "label", F.substring("h", 1, length)))
+    return rows.where(F.col("parent").isin(sorted({f"{k[0]}:{v[0]}" for k, v in wanted.items()})))
+
+
+def _narrowed(labelled: DataFrame, wanted: dict, length: int, digit: int) -> tuple[dict, dict]:
+    """For each wanted rank the longer prefix that holds it, the rank inside that, and the rows there."""
+    rows = _at_prefixes(labelled, wanted, length).withColumn("prefix", F.substring("h", 1, length + digit))
+    sizes = rows.groupBy("label", "parent", "prefix").agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(W.partitionBy("parent").orderBy("prefix")))
+    asks = F.array(*[F.struct(F.lit(f"{k}:{prefix}").alias("parent"), F.lit(k).alias("label"), F.lit(r).cast("long").alias("rank"),
+                              F.lit(rank).cast("long").alias("inside")) for (k, r), (prefix, rank) in wanted.items()])
+    here = lambda a: (a["parent"] == F.col("parent")) & (a["inside"] <= F.col("upto")) & (a["inside"] > F.col("upto") - F.col("n"))
+    hits = upto.select("prefix", "n", (F.col("upto") - F.col("n")).alias("before"), F.explode(F.filter(asks, here)).alias("a")).collect()
+    return {}, {(r["a"]["label"], r["a"]["rank"]): (r["prefix"], r["a"]["inside"] - r["before"], r["n"]) for r in hits}
+
+
+def _picked(labelled: DataFrame, wanted: dict, length: int) -> dict[tuple[str, int], str]:
+    """The strings at ranks inside prefixes that are known to be small."""
+    rows = _at_prefixes(labelled, wanted, length)
+    place = F.concat_ws(":", "parent", F.row_number().over(W.partitionBy("parent").orderBy("h")))
+    at: dict[str, list] = {}
+    for k, (prefix, rank) in wanted.items():
+        at.setdefault(f"{k[0]}:{prefix}:{rank}", []).append(k)
+    picked = rows.withColumn("place", place).where(F.col("place").isin(sorted(at))).select("place", "h").collect()
+    return {k: r["h"] for r in picked for k in at[r["place"]]}
+
+
+SKETCH = 10_000  # accuracy of the sketch that brackets a quantile; its ranks are off by n / SKETCH at most
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (),
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Exact interpolated quantiles per group: ``probs`` maps output column to probability.
 
-    Equal values collapse before the shuffle; ranks come from a running count over the distinct values, so a
-    group of any size is spread over many tasks. Nulls and NaN are left out.
+    A sketch of each group brackets every quantile between two values. One more scan counts what lies below a bracket, and
+    only the values inside it, less than a thousandth of the group for each quantile, are shuffled and ranked. Equal
+    values collapse first, so a group of any size is spread over many tasks. Nulls and NaN are left out.
     """
-    by = list(by)
+    by, names = list(by), list(probs)
     v = F.col(value).cast("double")
-    counts, n = settle(df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-                         .groupBy(*by, "__v").agg(F.count("*").alias("__n")))
-    bounds = range_bounds(counts, "__v", n, rows_per_range)
-    ranked = running(counts, by, "__v", {"__hi": ("sum", "__n")}, bounds=bounds)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    ranked = match(ranked, totals, by)
+    rows = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    ends = [min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in probs.values() for side in (-1, 1)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("__total"), F.percentile_approx("__v", ends, SKETCH).alias("__cuts"),
+                                   F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    edge = lambda k: F.col("__min") if ends[k] == 0.0 else F.col("__max") if ends[k] == 1.0 else F.col("__cuts")[k]
+    numbered = [(i, p) for i, p in enumerate(probs.values())]
+    brackets, _ = settle(sketch.select(*by, *[c for i, p in numbered for c in (
+        edge(2 * i).alias(f"__lo{i}"), edge(2 * i + 1).alias(f"__up{i}"), (F.lit(float(p)) * (F.col("__total") - 1)).alias(f"__pos{i}"))]))
+    near = match_stats(rows, brackets, by)
+    of = F.array(*[F.when((F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__up{i}")), F.lit(i)) for i, _ in numbered])
+    inside = near.withColumn("__i", F.explode(F.filter(of, lambda i: i.isNotNull())))
+    counts, n = settle(inside.groupBy(*by, "__i", "__v").agg(F.count("*").alias("__n")))
+    below = near.groupBy(*by).agg(*[F.sum((F.col("__v") < F.col(f"__lo{i}")).cast("long")).alias(f"__below{i}") for i, _ in numbered],
+                                  *[F.first(f"__pos{i}").alias(f"__pos{i}") for i, _ in numbered])
+    ranked = match_stats(running(counts, [*by, "__i"], "__v", {"__hi": ("sum", "__n")}, bounds=Places(n, rows_per_range)), below, by)
+    mine = lambda name: F.get(F.array(*[F.col(f"{name}{i}") for i, _ in numbered]), F.col("__i"))
+    ranked = ranked.withColumns({"__hi": F.col("__hi") + mine("__below"), "__pos": mine("__pos")})
     picks, outs = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        for side, rank in (("lo", F.floor(pos)), ("up", F.ceil(pos))):
-            hit = (rank < F.col("__hi")) & (rank >= F.col("__hi") - F.col("__n"))
+    for i, name in enumerate(names):
+        for side, rank in (("lo", F.floor("__pos")), ("up", F.ceil("__pos"))):
+            hit = (F.col("__i") == i) & (rank < F.col("__hi")) & (rank >= F.col("__hi") - F.col("__n"))
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{side}{i}"))
-        picks.append(F.max(pos - F.floor(pos)).alias(f"__f{i}"))
+        picks.append(F.max(F.when(F.col("__i") == i, F.col("__pos") - F.floor("__pos"))).alias(f"__f{i}"))
         lo, up, frac = F.col(f"__lo{i}"), F.col(f"__up{i}"), F.col(f"__f{i}")
-        outs.append((lo + (up - lo) * frac).alias(name))
+        lost = frac.isNotNull() & (lo.isNull() | up.isNull())
+        sure = F.when(lost, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(lo + (up - lo) * frac)
+        outs.append(sure.alias(name))
     return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
 
 

@@ -130,3 +130,17 @@ def test_forward_past_the_end_gives_the_last_curve_time(spark, rows):
     asked = spark.createDataFrame([(0.5,), (0.3,)], "need double")
     got = {r.need: r.t for r in curves.curve_lookup(asked, curve, "need", "h", "time", "t", "forward", max_curve_rows=rows).collect()}
     assert got == {0.5: 4.0, 0.3: 2.0}
+
+
+@pytest.mark.parametrize("side", ["backward", "forward"])
+@pytest.mark.parametrize("rows_per_range", [7, 100_000])
+def test_merged_lookup_with_one_x_in_most_rows(spark, side, rows_per_range):
+    """Both plans agree, row for row, where 90 % of the rows ask at one x; nulls, NaN and groups without a curve included."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "a" if i % 5 else "b", 3.0 if rng.random() < 0.9 else float(rng.integers(-1, 9))) for i in range(400)]
+    rows += [(1000, "a", None), (1001, "b", float("nan")), (1002, "none", 3.0), (1003, None, 2.0)]
+    curve = [("a", float(t), float(t * t)) for t in range(0, 8, 2)] + [("b", 3.0, 1.0), ("b", 3.0, 5.0), ("b", 5.0, 7.0), (None, 1.0, 4.0)]
+    df, c = spark.createDataFrame(rows, "id int, g string, x double"), spark.createDataFrame(curve, "g string, t double, v double")
+    for before in (None, -1.0):
+        read = lambda most: {r.id: r.out for r in curves.curve_lookup(df, c, "x", "t", "v", "out", side, ["g"], before, most, rows_per_range).collect()}
+        assert read(0) == read(10_000) and len(read(0)) == 404

@@ -72,3 +72,44 @@ def test_hash_cuts_give_the_ranked_strings(spark):
     cuts = ordered.hash_cuts(df, {"all": [0, 1, 250, 500]})
     ranked = sorted(keys)
     assert cuts == {("all", 0): "", ("all", 1): ranked[0], ("all", 250): ranked[249], ("all", 500): ranked[499]}
+
+
+@pytest.mark.parametrize("digit, most", [(1, 3), (2, 20), (4, 1000)])
+def test_radix_selection_narrows_until_prefixes_are_small(spark, monkeypatch, digit, most):
+    """Labels of different size, with one string that a third of the rows share."""
+    from pyspark.sql import functions as F
+    keys = [hashlib.md5(str(i if i % 3 else 0).encode()).hexdigest() for i in range(300)]
+    rows = [("a", k) for k in keys] + [("b", k) for k in keys[:40]]
+    seen = []
+    real = ordered._picked
+    monkeypatch.setattr(ordered, "_picked", lambda df, small, length: seen.append((small, length)) or real(df, small, length))
+    df = spark.createDataFrame(rows, "label string, h string")
+    cuts = ordered.hash_cuts(df, {"a": [0, 1, 77, 150, 300], "b": [1, 40, 0]}, digit, most)
+    a, b = sorted(keys), sorted(keys[:40])
+    assert cuts == {("a", 0): "", ("a", 1): a[0], ("a", 77): a[76], ("a", 150): a[149], ("a", 300): a[299], ("b", 1): b[0], ("b", 40): b[39], ("b", 0): ""}
+    of = {"a": a, "b": b}
+    assert all(sum(k.startswith(prefix) for k in of[label]) <= most for small, _ in seen for (label, _), (prefix, _) in small.items())
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_thousands_of_ranges_equal_one_window(spark, descending):
+    from pyspark.sql import Window as W, functions as F
+    df, n = settle(spark.range(3000).select((F.col("id") % 4 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(10 ** 9)).cast("double").alias("t"), (F.col("id") % 7).cast("long").alias("v"),
+                                            F.when(F.col("id") % 11 == 0, F.col("id")).alias("w")))
+    got = ordered.running(df, ["g"], "t", {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "w")}, descending, ordered.Places(n, 2))
+    w = W.partitionBy("g").orderBy(F.desc("t") if descending else F.asc("t")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    want = df.withColumns({"s": F.sum("v").over(w), "m": F.max("v").over(w), "l": F.last("w", ignorenulls=True).over(w)})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_quantiles_shuffle_only_what_lies_in_the_brackets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10 ** 12)).cast("double").alias("v"))
+    sizes = []
+    real = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda d: (lambda r: sizes.append(r[1]) or r)(real(d)))
+    got = {r.g: (r.a, r.b) for r in ordered.quantiles(df, "v", {"a": 0.25, "b": 0.9}, ["g"]).collect()}
+    pdf = df.toPandas()
+    for g in range(3):
+        assert got[g] == pytest.approx(tuple(np.quantile(pdf.v[pdf.g == g], [0.25, 0.9])), rel=1e-12)
+    assert max(sizes) < 0.01 * 60_000
