@@ -10,7 +10,7 @@ from hazardframe.operators.deep_cox import DeepCox, Network
 from hazardframe.plans import cohorts as co
 from hazardframe.plans.sqltext import CHURN, GAP, SCORED, fixed, rounded_sql
 from hazardframe.plans.survival_queries import breslow_sql
-from hazardframe.plans.workflow import StudyConfig, run_study
+from hazardframe.plans.workflow import StudyConfig, report_values, run_study
 from hazardframe.session import cut_lineage
 
 NAMES = co.CHURN_FEATURES
@@ -140,15 +140,26 @@ def deep_default(spark, sf):
     return fixed(DeepCox(NAMES, c.hidden, c.dropout, c.lr, seed=c.seed).fit(_scaled(spark, sf), c.epochs, c.batch_size).loss_history(spark), 4)
 
 
-def study_reports(spark, sf):
-    """Row counts of all reports of one study on the churn cohort."""
+def _study(spark, sf, **settings):
     d = co.churn(spark, sf)
     features = d.select("sid", "c_acctbal", "n_orders", "mean_price", "start_day")
     clinical = d.select("sid", "time", F.col("event").cast("int").alias("event"), "stage", F.col("segment").alias("histology"),
                         F.when(F.col("c_nationkey") % 2 == 0, "male").otherwise("female").alias("gender"))
-    cfg = StudyConfig("sid", "time", "event", "stage", "gender", "histology", stage_codes=co.PRIORITY_CODES, folds=3, repeats=1,
-                      alphas=[0.05, 0.1], nested=False, hidden=[4], epochs=3, lr=5e-3, batch_size=64, extreme_points=10)
-    reports = run_study(features, clinical, cfg)
+    return run_study(features, clinical, StudyConfig("sid", "time", "event", "stage", "gender", "histology", stage_codes=co.PRIORITY_CODES, **settings))
+
+
+def study_values(spark, sf):
+    """Every value of every report of one study on the churn cohort, for both models, at the published settings.
+
+    Search of 5 folds x 3 repeats x 20 penalties and final fit, 170 epochs, 50 curve points. The nested search is a query of
+    its own, over fewer penalties and folds.
+    """
+    return fixed(report_values(_study(spark, sf, nested=False)), 4)
+
+
+def study_reports(spark, sf):
+    """Row counts of all reports of a short study: few penalties, folds and epochs, no nested search."""
+    reports = _study(spark, sf, folds=3, repeats=1, alphas=[0.05, 0.1], nested=False, hidden=[4], epochs=3, lr=5e-3, batch_size=64, extreme_points=10)
     parts = [v.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("report"), "n_rows") for k, v in reports.items() if k != "scorers"]
     first, *rest = parts
     for p in rest:
@@ -180,6 +191,7 @@ QUERIES = {
     "deep_cox_whole_concordance": deep_whole_concordance,
     "deep_cox_default_loss": deep_default,
     "study_reports": study_reports,
+    "study_values": study_values,
 }
 
 _ZS = ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{j}" for j, c in enumerate(NAMES))

@@ -130,3 +130,28 @@ def run_study(features: DataFrame, clinical: DataFrame, cfg: StudyConfig | None
     out["scorers"] = {k: Scorer(data.imputer, data.scaler, m, stratify.RiskClassifier().fit(m.score(data.train)))
                       for k, m in (("lasso", lasso), ("deep", deep))}
     return out
+
+
+# Columns that name a row of a report; what else a report holds is a value.
+ROW_NAMES = ("sid", "subject", "PatientID", "time", "epoch", "alpha_no", "repeat", "fold", "feature", "actual", "predicted_class", "class")
+
+
+def report_values(reports: dict[str, object]) -> DataFrame:
+    """All reports of a study as one long table: report, row (its names as JSON), metric, value.
+
+    Booleans count 0 and 1; text that does not name a row is left out.
+    """
+    parts = []
+    for name, df in reports.items():
+        if not isinstance(df, DataFrame):
+            continue
+        names = [f.name for f in df.schema.fields if f.name in ROW_NAMES or f.dataType.simpleString() == "string"]
+        values = [c for c in df.columns if c not in names]
+        row = F.to_json(F.struct(*names)) if names else F.lit("{}")
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values])
+        if values:
+            parts.append(df.select(F.lit(name).alias("report"), row.alias("row"), F.inline(cells)))
+    first, *rest = parts
+    for p in rest:
+        first = first.unionByName(p)
+    return first

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from hazardframe.operators import encode
 from hazardframe.plans import cohorts as co
-from hazardframe.plans.workflow import StudyConfig, run_study
+from hazardframe.plans.workflow import StudyConfig, report_values, run_study
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,19 @@ def test_every_report_is_there_for_both_models(study):
     assert {"stage", "gender"} <= kept  # never penalised
 
 
+def test_reports_as_one_table_of_values(study):
+    out = study[0]
+    rows = report_values(out).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r.report, []).append(r)
+    assert set(at) == {k for k in out if k != "scorers"}
+    one = {(r.metric): r.value for r in at["lasso_c_index"]}
+    assert one["c_index"] == out["lasso_c_index"].first().c_index and one["comparable"] == float(out["lasso_c_index"].first().comparable)
+    assert {r.row for r in at["deep_loss"]} == {f'{{"epoch":{k}}}' for k in (1, 2, 3)}
+    assert len(at["lasso_predictions"]) == out["lasso_predictions"].count() * len({r.metric for r in at["lasso_predictions"]})
+
+
 def test_too_small_a_cohort_stops(spark, study):
     _, features, clinical, cfg = study
     few = features.orderBy("sid").limit(12)
