@@ -108,6 +108,12 @@ def require_min_rows(df: DataFrame, least: int = MIN_TRAIN_ROWS) -> None:
         raise ValueError(f"training needs {least} rows or more and this table is too small: {n}")
 
 
+def size_status(df: DataFrame, by: list[str], least: int = MIN_TRAIN_ROWS) -> DataFrame:
+    """Rows of each group and whether they are enough for a fit: the guard as a table, for many cohorts at once."""
+    n = F.col("n_rows")
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows")).withColumn("status", F.when(n >= least, "ok").otherwise(F.concat(F.lit("too small: "), n.cast("string"))))
+
+
 def _cells(column: str, p: int, masks: list[Column | None]) -> list[Column]:
     """The cells of the feature array, once per row mask: position ``g * p + j`` is feature j under mask g."""
     plain = [clean(F.col(column)[j]) for j in range(p)]

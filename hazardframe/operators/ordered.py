@@ -207,7 +207,9 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     ends = [min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in probs.values() for side in (-1, 1)]
     sketch = rows.groupBy(*by).agg(F.count("*").alias("__total"), F.percentile_approx("__v", ends, SKETCH).alias("__cuts"),
                                    F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-    edge = lambda k: F.col("__min") if ends[k] == 0.0 else F.col("__max") if ends[k] == 1.0 else F.col("__cuts")[k]
+    # Below 2 * SKETCH rows a bracket would be a few ranks wide, less than interpolation needs: there the whole group is ranked.
+    few = F.col("__total") < 2 * SKETCH
+    edge = lambda k: F.when(few | F.lit(ends[k] == (k % 2)), F.col("__max" if k % 2 else "__min")).otherwise(F.col("__cuts")[k])
     numbered = [(i, p) for i, p in enumerate(probs.values())]
     brackets, _ = settle(sketch.select(*by, *[c for i, p in numbered for c in (
         edge(2 * i).alias(f"__lo{i}"), edge(2 * i + 1).alias(f"__up{i}"), (F.lit(float(p)) * (F.col("__total") - 1)).alias(f"__pos{i}"))]))

@@ -56,6 +56,24 @@ def image_status(spark, sf):
     return st.validate_images(meta).select("o_orderkey", "status")
 
 
+def optional_columns(spark, sf):
+    """The cohort's encoders on a table that lacks two of their three columns."""
+    d = co.churn(spark, sf).select("sid", "stage")
+    return encode.CohortEncoder("stage", "gender", "histology", co.PRIORITY_CODES).fit(d).transform(d)
+
+
+def train_size_status(spark, sf):
+    return encode.size_status(co.churn(spark, sf), ["segment", "c_nationkey"])
+
+
+def fallback_split(spark, sf):
+    """One subject alone outlives the median, so the strata fall back to the event."""
+    d = co.churn(spark, sf).select("sid", "event")
+    first = d.agg(F.min("sid")).first()[0]
+    d = d.withColumn("time", F.when(F.col("sid") == first, 2.0).otherwise(1.0))
+    return splits.stratified_split(d, "sid", "time", "event").select("sid", "is_train")
+
+
 def one_hot(spark, sf):
     d = co.churn(spark, sf).select("sid", F.when(F.col("segment") != "MACHINERY", F.col("segment")).alias("segment"))
     return encode.OneHot("segment").fit(d).transform(d)
@@ -104,6 +122,9 @@ def prefix_dropped(spark, sf):
 
 
 QUERIES = {
+    "optional_columns": optional_columns,
+    "train_size_status": train_size_status,
+    "fallback_split": fallback_split,
     "scan_clinical": lambda s, sf: st.read_clinical(s, f"{sf}/customer.parquet", schema=None),
     "scan_features": lambda s, sf: st.read_features(s, f"{sf}/supplier.parquet"),
     "select_complete_subjects": lambda s, sf: st.select_complete_subjects(co.manifest(s, sf), "subject", "modality", NEEDED, 1000),
@@ -159,6 +180,13 @@ _GROUPS = f"""WITH {GAP}, ids AS (SELECT user_id, row_number() OVER (ORDER BY md
               floor(0.8 * count(*) OVER () + 1e-9) AS goal FROM (SELECT DISTINCT user_id FROM gap))"""
 
 ORACLE = {
+    "optional_columns": f"""WITH {CHURN} SELECT sid, CAST(CASE stage WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 3 END AS INTEGER) AS stage
+        FROM churn""",
+    "train_size_status": f"""WITH {CHURN} SELECT segment, c_nationkey, count(*) AS n_rows, CASE WHEN count(*) >= 15 THEN 'ok' ELSE 'too small: ' || count(*) END AS status
+        FROM churn GROUP BY ALL""",
+    "fallback_split": f"""WITH {CHURN}, flat AS (SELECT sid, event, CASE WHEN sid = (SELECT min(sid) FROM churn) THEN 2.0 ELSE 1.0 END AS time FROM churn),
+        {split_cte("flat").replace("concat(CAST(event AS INT), '_', CAST(time > (SELECT median(time) FROM flat) AS INT))", "CAST(CAST(event AS INT) AS VARCHAR)")}
+        SELECT sid, is_train FROM parts""",
     "scan_clinical": "SELECT * FROM customer",
     "scan_features": "SELECT * FROM supplier",
     "select_complete_subjects": f"""{_PAIRS} SELECT man.* FROM man JOIN
