@@ -187,7 +187,7 @@ def rollup(nodes: DataFrame, paths: DataFrame, sums: list[str], most: int = MOST
     root = nodes.filter("up is null").select("owner", "mass").first()
     todo = nodes.withColumns({"top": F.lit(root["owner"]), "top_depth": F.lit(0).cast("long"), "left": F.col("mass"), "total": F.lit(root["mass"]),
                               **{f"sum_{c}": F.lit(0).cast("long") for c in sums}})
-    todo = todo.withColumns({c: F.col(c).cast("long") for c in ("top", "total")})
+    todo = written(todo.withColumns({c: F.col(c).cast("long") for c in ("top", "total")}))
     columns = todo.columns
     small, done = [todo.filter(F.col("total") <= most)], []
     big = todo.filter(F.col("total") > most)

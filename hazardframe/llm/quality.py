@@ -51,6 +51,34 @@ def line_fails(line: Column, max_symbols: float = 0.2, max_shouts: float = 0.3,
     return symbols | shouts | navigation | boilerplate
 
 
+def _judged(t: Column, min_words: int, max_repeat: float, max_lost: float, whole: bool) -> Column:
+    """The struct of all fields of a text, or only ``kept``, for which the lines that pass are not carried on."""
+    words = F.regexp_extract_all(t, F.lit(f"[^{BLANK}]+"), F.lit(0))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{BLANK}]"))
+    length = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    fails = lambda n, repeated: (n < min_words) | (100 * repeated > round(100 * max_repeat) * n)
+    if not whole:
+        bad = let(words, lambda w: fails(F.size(w), _repeat_words(w)))
+        left = let(lines, lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.when(line_fails(x), 0).otherwise(F.length(x))) >= (1 - max_lost) * length(ls))
+        return F.struct((~bad & left).alias("kept"))
+    counts = let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        _repeat_words(w).cast("long").alias("n_repeat_words")))
+    by_line = let(lines, lambda ls: F.struct(
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"), length(ls).alias("chars"),
+        F.filter(ls, lambda x: ~line_fails(x)).alias("good")))
+    return let(F.struct(counts.alias("c"), by_line.alias("l")), lambda s: let(
+        F.struct(s["c"].alias("c"), s["l"].alias("l"), fails(s["c"]["n_words"], s["c"]["n_repeat_words"]).alias("bad"), length(s["l"]["good"]).alias("left")),
+        lambda r: F.struct(
+            r["c"]["n_words"].alias("n_words"), r["c"]["word_chars"].alias("word_chars"),
+            F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            r["l"]["n_dup_lines"].alias("n_dup_lines"), r["c"]["n_repeat_words"].alias("n_repeat_words"),
+            r["bad"].alias("base_failed"),
+            (~r["bad"] & (r["left"] >= (1 - max_lost) * r["l"]["chars"])).alias("kept"),
+            F.array_join(r["l"]["good"], "\n").alias("clean_text"))))
+
+
 def line_first_cleaning(docs: DataFrame, text: str = "text", into: str = "quality", min_words: int = 10,
                         max_repeat: float = 0.2, max_lost: float = 0.5) -> DataFrame:
     """Add a struct ``into`` with counts, verdicts and the cleaned text; all other columns stay.
@@ -63,27 +91,9 @@ def line_first_cleaning(docs: DataFrame, text: str = "text", into: str = "qualit
     column that is already named ``into`` is replaced. Work per row is n log n in its words; no row meets another one,
     so there is no shuffle and no hot key.
     """
-    def judged(t: Column) -> Column:
-        words = F.regexp_extract_all(t, F.lit(f"[^{BLANK}]+"), F.lit(0))
-        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{BLANK}]"))
-        counts = let(words, lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).cast("long").alias("n_repeat_words")))
-        by_line = let(lines, lambda ls: F.struct(
-            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-            F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"),
-            F.filter(ls, lambda x: ~line_fails(x)).alias("good")))
-        return let(F.struct(counts.alias("c"), by_line.alias("l")), lambda s: let(
-            F.struct(s["c"].alias("c"), s["l"].alias("l"),
-                     ((s["c"]["n_words"] < min_words) | (100 * s["c"]["n_repeat_words"] > round(100 * max_repeat) * s["c"]["n_words"])).alias("bad"),
-                     F.aggregate(s["l"]["good"], F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("left")),
-            lambda r: F.struct(
-                r["c"]["n_words"].alias("n_words"), r["c"]["word_chars"].alias("word_chars"),
-                F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-                r["l"]["n_dup_lines"].alias("n_dup_lines"), r["c"]["n_repeat_words"].alias("n_repeat_words"),
-                r["bad"].alias("base_failed"),
-                (~r["bad"] & (r["left"] >= (1 - max_lost) * r["l"]["chars"])).alias("kept"),
-                F.array_join(r["l"]["good"], "\n").alias("clean_text"))))
-
-    return docs.withColumn(into, let(text_or_empty(text), judged))
+    return docs.withColumn(into, let(text_or_empty(text), lambda t: _judged(t, min_words, max_repeat, max_lost, True)))
+
+
+def passes(text: str = "text", min_words: int = 10, max_repeat: float = 0.2, max_lost: float = 0.5) -> Column:
+    """Whether :func:`line_first_cleaning` keeps the document; nothing else is built. Never null."""
+    return let(text_or_empty(text), lambda t: _judged(t, min_words, max_repeat, max_lost, False)["kept"])

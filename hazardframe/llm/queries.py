@@ -95,7 +95,7 @@ def op9_sentencepiece(spark, sf_dir):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, path), path, into="decoded")
+    back = sentencepiece_viterbi.round_trip(docs, path)
     return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"),
                        F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 

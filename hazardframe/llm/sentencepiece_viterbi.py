@@ -14,15 +14,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardframe.llm.common import row_blocks
+from hazardframe.llm.common import text_or_empty, text_slices
 from hazardframe.llm.word_ids import WordIds
 
 SPACE = "▁"  # fixed value: how the model writes a blank
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN, NEVER = -1, -2
 NORMAL, BYTE = 1, 6  # fixed values: the model file's types of pieces
+SLICE_BYTES, MAX_WORDS = 1_000_000, 300_000
 PAIR_BITS = 21  # slots of the table of pairs judged so far; a newer pair takes the slot of an older one
 
 
@@ -77,7 +78,8 @@ class Pieces:
                 if tree:
                     self.born[i], self.left[i], self.right[i] = -score[i], ids[tree[0]], ids[tree[1]]
         self.usable_text = {self.text[i] for i in usable}
-        self.breaks = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if not any("\n" in t for t in ids) else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.lines_break = not any("\n" in t for t in ids)
+        self.breaks = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if self.lines_break else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.joined = np.unique(np.array([(ord(a) << 32) | ord(b) for a, b in joined], np.uint64))
         words = [self.text[i] for i in usable]
         size = np.array([len(w) for w in words], np.int64)
@@ -268,9 +270,72 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[Pieces, WordIds]:
+def _encoder(path: str) -> tuple[Pieces, WordIds, pa.Array]:
     pieces = Pieces(path)
-    return pieces, WordIds(pieces.encode_words)
+    table = WordIds(lambda words: pieces.encode_words([w.replace(" ", SPACE) for w in words]), MAX_WORDS)
+    return pieces, table, pa.array(pieces.raw, pa.binary())
+
+
+def _slice_ids(pieces: Pieces, table: WordIds, data: memoryview, ends: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of texts that begin with a blank, given as in :func:`text_slices`, and the ids of each.
+
+    A word is a run of blanks and what follows it, a line feed alone, or what follows that; Arrow numbers the distinct ones.
+    """
+    if not len(data):
+        return np.empty(0, np.int32), np.zeros(len(ends), np.int64)
+    points = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32)
+    blank = (points == ord(" ")) | (points == ord(SPACE))
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    if pieces.lines_break:
+        feed = points == ord("\n")
+        begins |= feed
+        begins[1:] |= feed[:-1]
+    starts = np.cumsum(chars) - chars
+    begins[starts[chars > 0]] = True
+    starts = np.flatnonzero(begins)
+    if len(points) < len(data):
+        width = np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        starts = (np.cumsum(width, dtype=np.int32) - width)[starts]
+    cuts = np.append(starts, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    ids, lens = table.gather(words.dictionary.to_pylist(), words.indices.to_numpy())
+    upto = np.concatenate([[0], np.cumsum(lens)])
+    return ids, np.diff(upto[np.concatenate([[0], np.searchsorted(starts, ends)])])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, kept: list[str], into: str) -> Iterator[pa.RecordBatch]:
+    """The first columns of each batch and the ids of its texts."""
+    pieces, table, _ = _encoder(path)
+    for part, data, ends, chars in text_slices(batches, "__text", SLICE_BYTES):
+        ids, n = _slice_ids(pieces, table, data, ends, chars)
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), out], names=[*kept, into])
+
+
+def _texts(pieces: Pieces, raw: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The text of each row's ids, without the blank that every text begins with."""
+    cuts = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.slice(cuts[0], cuts[-1] - cuts[0])
+    if len(flat):
+        taken = raw.take(flat)
+        places = np.frombuffer(taken.buffers()[1], np.int32)[:len(flat) + 1][cuts - cuts[0]]
+        data, full = np.frombuffer(taken.buffers()[2], np.uint8), np.diff(places) > 0
+        if (data[places[:-1][full]] == ord(" ")).all():
+            kept = np.ones(len(data), bool)
+            kept[places[:-1][full]] = False
+            upto = (places - np.concatenate([[0], np.cumsum(full)])).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(upto), pa.py_buffer(data[kept])])
+            try:
+                return texts.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no characters, from ids made by hand
+                pass
+    return pa.array([pieces.decode(x) if x else "" for x in ids.to_pylist()], pa.string())
+
+
+def _with_blank(text: str) -> Column:
+    whole = text_or_empty(text)
+    return F.when(whole == "", "").otherwise(F.concat(F.lit(" "), whole)).alias("__text")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "pieces") -> DataFrame:
@@ -278,21 +343,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "pieces")
 
     ``path`` must be readable on every executor. A null or empty text has no ids. Each row is encoded by itself, so repeated
     rows get equal ids; the other columns pass through, and a column already named ``into`` is replaced. Texts are
-    worked off in blocks of bounded size; the table of words met so far and of pairs is bounded as well.
+    worked off in slices of bounded size (a longer text is a slice of its own, with work arrays in proportion); the table of
+    words met so far and of pairs is bounded as well.
     """
     docs = docs.drop(into)
     kept = docs.columns
     schema = docs.withColumn(into, F.lit(None).cast("array<int>")).schema
-    at = kept.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table = _encoder(path)
-        for part, texts in row_blocks(batches, at):
-            ids, n = table.encode([pieces.words(t) for t in texts])
-            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, into])
-
-    return docs.mapInArrow(run, schema)
+    return docs.select(*kept, _with_blank(text)).mapInArrow(lambda batches: _encoded(batches, path, kept, into), schema)
 
 
 def decode(docs: DataFrame, path: str, pieces: str = "pieces", into: str = "text") -> DataFrame:
@@ -304,15 +361,28 @@ def decode(docs: DataFrame, path: str, pieces: str = "pieces", into: str = "text
     docs = docs.drop(into)
     kept = docs.columns
     schema = docs.withColumn(into, F.lit(None).cast("string")).schema
-    at = kept.index(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = _encoder(path)
+        model, _, raw = _encoder(path)
         for batch in batches:
-            # A slice of rows at a time: the ids of a whole batch as Python integers would be large.
+            # A slice of rows at a time: the texts of a whole batch would be large.
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = [model.decode(ids) if ids else "" for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, into])
+                lists = pa.concat_arrays([part.column(len(kept))])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), _texts(model, raw, lists)], names=[*kept, into])
+
+    return docs.select(*kept, F.coalesce(pieces, F.array().cast("array<int>")).alias("__ids")).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "pieces", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass and one worker; all columns stay but those named ``into`` and ``decoded``."""
+    kept = [c for c in docs.columns if c not in (into, decoded)]
+    rows = docs.select(*kept, _with_blank(text))
+    schema = rows.drop("__text").withColumn(into, F.lit(None).cast("array<int>")).withColumn(decoded, F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _, raw = _encoder(path)
+        for part in _encoded(batches, path, kept, into):
+            yield pa.RecordBatch.from_arrays([*part.columns, _texts(model, raw, part.column(len(kept)))], names=[*kept, into, decoded])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

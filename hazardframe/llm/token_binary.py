@@ -124,7 +124,7 @@ def unpack(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 # Below this code point nothing combines with what stands before it, and classes of letters and numbers are the same in all versions.
 COMBINING, DOTTED_I = 0x300, 0x130
 TOGETHER = 200  # pieces that one call of the library encodes as one text
-MAX_PIECES, SLICE_BYTES = 800_000, 3_000_000
+MAX_PIECES, SLICE_BYTES = 500_000, 1_500_000
 
 
 def _sure(piece: str) -> bool:
@@ -151,15 +151,21 @@ def _encoder(path: str) -> WordIds:
 
     def together(pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of pieces encoded as one text; where each ends its last id says so, else the pieces have to go alone."""
-        got = [e.ids for e in tokenizer.encode_batch_fast([" ".join(pieces[a:a + TOGETHER]) for a in range(0, len(pieces), TOGETHER)], add_special_tokens=False)]
-        if any(int(last[ids].sum()) != len(pieces[k * TOGETHER:(k + 1) * TOGETHER]) or not last[ids[-1]] for k, ids in enumerate(got)):
-            return None
-        flat = np.concatenate([np.array(ids, np.int32) for ids in got])
-        return flat, np.diff(np.flatnonzero(last[flat]), prepend=-1)
+        flat = []
+        for a in range(0, len(pieces), 100 * TOGETHER):
+            texts = [pieces[k:k + TOGETHER] for k in range(a, min(len(pieces), a + 100 * TOGETHER), TOGETHER)]
+            for text, e in zip(texts, tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int32)
+                if not len(ids) or not last[ids[-1]] or int(last[ids].sum()) != len(text):
+                    return None
+                flat.append(ids)
+        whole = np.concatenate(flat)
+        return whole, np.diff(np.flatnonzero(last[whole]), prepend=-1)
 
     def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for a in range(0, len(words), 20_000) for e in tokenizer.encode_batch_fast(words[a:a + 20_000], add_special_tokens=False)]
-        return np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got], np.int64)
+        parts = [np.array(e.ids, np.int32) for a in range(0, len(words), 5_000)
+                 for e in tokenizer.encode_batch_fast(words[a:a + 5_000], add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sure = np.fromiter(map(_sure, words), bool, len(words))

@@ -47,3 +47,11 @@ def test_repeated_rows_and_empty_table(docs, spark):
     got, _ = rows_of(docs, [PROSE] * 5)
     assert len(got) == 5 and len(set(got)) == 1
     assert quality.line_first_cleaning(docs([])).count() == 0
+
+
+def test_the_verdict_alone_is_that_of_the_whole_struct(spark, docs):
+    texts = [None, "", "a " * 30, "one two three four five six seven eight nine ten", "Read more\n" * 4 + "w " * 3, "! ! !\n" + " ".join(f"w{i}" for i in range(40))]
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (docs(list(enumerate(texts))), sf):
+        judged = quality.line_first_cleaning(df).withColumn("alone", quality.passes())
+        assert judged.filter("not (alone <=> quality.kept)").count() == 0

@@ -40,6 +40,17 @@ def test_encoding_is_the_librarys_and_decoding_gives_the_text_back(docs, library
         assert r.n == 1 and r.quality == "x"
 
 
+def test_one_pass_gives_the_same_as_two_and_foreign_ids_decode(docs, library):
+    texts = EDGE + ["▁", "▁ a", "a▁b\n▁", "\n x"] + some_texts(80, 12)
+    rows = docs(list(enumerate(texts))).repartition(3)
+    two = sv.decode(sv.encode(rows, MODEL), MODEL, into="decoded").drop("n")
+    assert sorted(map(repr, sv.round_trip(rows, MODEL).drop("n").select(two.columns).collect())) == sorted(map(repr, two.collect()))
+    pieces = sv.Pieces(MODEL)
+    by_hand = [[int(pieces.bytes[0xC3])], [29871, int(pieces.bytes[0xC3]), 5], [], None, library.encode("né")[1:]]
+    df = rows.sparkSession.createDataFrame(list(enumerate(by_hand)), "doc_id int, pieces array<int>")
+    assert [r.text for r in sv.decode(df, MODEL).orderBy("doc_id").collect()] == [pieces.decode(x) if x else "" for x in by_hand]
+
+
 def test_words_are_the_same_alone_and_in_a_batch(library):
     pieces = sv.Pieces(MODEL)
     words = sorted({w for t in some_texts(100, 4) for w in pieces.words(t)})
