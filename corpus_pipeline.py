@@ -10,7 +10,7 @@ from hazardframe.llm.common import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules reject go; the others stay as they are."""
-    return quality.line_first_cleaning(docs, into="__quality").filter("__quality.kept").drop("__quality")
+    return docs.filter(quality.passes("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs.select("doc_id", "text"), path), path, into="decoded")
+    back = sentencepiece_viterbi.round_trip(docs.select("doc_id", "text"), path)
     return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
                        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
