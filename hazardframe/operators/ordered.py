@@ -85,12 +85,13 @@ def range_of(key: Column, bounds: list[float]) -> Column:
 
 
 def running(df: DataFrame, by: list[str], key: str, outputs: dict[str, tuple[str, str]],
-            descending: bool = False, bounds: Places | None = None) -> DataFrame:
+            descending: bool = False, bounds: Places | list[float] | None = None) -> DataFrame:
     """Add inclusive running values in ``key`` order, per group.
 
     ``outputs`` maps a new column to ``(kind, source)``: ``sum``, ``product``, ``last`` (latest non-null) or
     ``max``. ``bounds`` come from :func:`range_bounds`; without them a group must be known to be small. Windows run inside
-    ranges of bounded size, and the totals of the ranges are carried on by this function itself, range over range.
+    ranges of bounded size, and the totals of the ranges are carried on by this function itself, range over range. A list of
+    values that cut the key may be given instead, where they are known.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     local = {"sum": F.sum, "product": F.product, "max": F.max,
@@ -100,16 +101,24 @@ def running(df: DataFrame, by: list[str], key: str, outputs: dict[str, tuple[str
         whole = W.partitionBy(*by).orderBy(direction(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select(*df.columns, *[local[k](F.col(s)).over(whole).alias(o) for o, (k, s) in outputs.items()])
 
-    turned = df.withColumn("__turned", -F.col(key) if descending else F.col(key))
-    work = positions(turned, by, ["__turned"]).withColumn(slot, F.floor(F.col("__pos") / bounds.size)).select(*df.columns, slot)
+    if isinstance(bounds, Places):
+        turned = df.withColumn("__turned", -F.col(key) if descending else F.col(key))
+        work = positions(turned, by, ["__turned"]).withColumn(slot, F.floor(F.col("__pos") / bounds.size)).select(*df.columns, slot)
+    else:
+        number = range_of(F.col(key), bounds).cast("long")
+        work = df.withColumn(slot, len(bounds) - number if descending else number)
     inside = W.partitionBy(*by, slot).orderBy(direction(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
     newest = F.min_by if descending else F.max_by
     whole = {"sum": F.sum, "product": F.product, "max": F.max,
              "last": lambda c: newest(c, F.when(c.isNotNull(), F.col(key)))}
     totals = work.groupBy(*by, slot).agg(*[whole[k](F.col(s)).alias(f"__t_{o}") for o, (k, s) in outputs.items()])
-    totals, n_ranges = settle(totals)
-    upto = running(totals, by, slot, {f"__c_{o}": (k, f"__t_{o}") for o, (k, _) in outputs.items()}, bounds=Places(n_ranges, bounds.size))
-    carried = upto.select(*by, (F.col(slot) + 1).alias(slot), *[f"__c_{o}" for o in outputs])
+    if isinstance(bounds, Places):
+        totals, n_ranges = settle(totals)
+        upto = running(totals, by, slot, {f"__c_{o}": (k, f"__t_{o}") for o, (k, _) in outputs.items()}, bounds=Places(n_ranges, bounds.size))
+        carried = upto.select(*by, (F.col(slot) + 1).alias(slot), *[f"__c_{o}" for o in outputs])
+    else:  # a few ranges, some of which may be empty
+        before = W.partitionBy(*by).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
+        carried = totals.select(*by, slot, *[local[k](F.col(f"__t_{o}")).over(before).alias(f"__c_{o}") for o, (k, _) in outputs.items()])
     combine = {
         "sum": lambda c, v: F.coalesce(c, F.lit(0)) + v,
         "product": lambda c, v: F.coalesce(c, F.lit(1.0)) * v,

@@ -40,6 +40,14 @@ def test_running_matches_pandas_with_one_group_holding_most_rows(spark, rows_per
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_takes_values_that_cut_the_key(spark, descending):
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i), float(i)) for i in range(30)], "g string, t double, v double")
+    got = ordered.running(df, ["g"], "t", {"s": ("sum", "v")}, descending, [4.0, 5.0, 5.5, 21.0]).collect()
+    want = lambda r: sum(x for x in range(30) if ("a" if x % 3 else "b") == r.g and (x >= r.t if descending else x <= r.t))
+    assert len(got) == 30 and all(r.s == want(r) for r in got)
+
+
 def test_running_keeps_null_groups_apart(spark):
     df, n = settle(spark.createDataFrame([(None, float(i), 1.0) for i in range(50)] + [("a", float(i), 2.0) for i in range(50)],
                                          "g string, t double, v double"))
