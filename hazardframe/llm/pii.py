@@ -18,6 +18,7 @@ KINDS = ["email", "ip", "card", "phone"]  # fixed value: their order
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP_START = re.compile(r"(?<![0-9])" + IP.pattern)  # the same matches: what fails at the first digit of a run fails at all of them
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -35,13 +36,14 @@ ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in [*FOLD, *DROP]) + "]")
 
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-# At least seven digits in a row of which the first two are spelled; single digits and a leading plus may stand among them.
-SPELLED_RUN = re.compile(rf"(?i)(?:(?:\bplus|\+)[ -]*)?\b{DIGIT_WORD}[ ,-]+{DIGIT_WORD}\b(?:[ ,-]+(?:{DIGIT_WORD}|[0-9])\b){{5,}}")
-ITEM = re.compile(rf"(?i)plus|{DIGIT_WORD}|[0-9+]")
+# What a spelled number is made of; between two of them stand blanks, commas or hyphens, three at most.
+TOKEN = re.compile(rf"(?i)\+|\b(?:plus|dot|{DIGIT_WORD})\b|(?<!\w)[0-9]+(?:\.[0-9]+)*(?![A-Za-z_])")
+GAP = re.compile("[ ,-]{1,3}")
 AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 # An address with a disguised at or dot: at least one of the two must be disguised, and a plain "at" needs a disguised dot.
-DISGUISED = re.compile(rf"(?i)[A-Z0-9_%+-][A-Z0-9._%+-]*(?:{DOT}[A-Z0-9_%+-]+)*(?:{AT}|@)[A-Z0-9-]+(?:(?:{DOT}|\.)[A-Z0-9-]+)+")
+# It starts where a run of its characters does, and no run is tried twice.
+DISGUISED = re.compile(rf"(?i)(?<![A-Z0-9._%+-])\.*+[A-Z0-9_%+-][A-Z0-9._%+-]*+(?:{DOT}[A-Z0-9_%+-]++){{0,20}}(?:{AT}|@)[A-Z0-9-]+(?:(?:{DOT}|\.)[A-Z0-9-]+)+")
 DISGUISED_IP = re.compile(rf"(?i)\b[0-9]{{1,3}}(?:{DOT}|\.)[0-9]{{1,3}}(?:{DOT}|\.)[0-9]{{1,3}}(?:{DOT}|\.)[0-9]{{1,3}}\b")
 BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
 SEPARATORS = re.compile("[,-]")
@@ -75,7 +77,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         return out
     for run in DOTTED.finditer(text):
         if run[0].count(".") >= 3:
-            for m in IP.finditer(run[0]):
+            for m in IP_START.finditer(run[0]):
                 if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                     out.append(("ip", run.start() + m.start(), run.start() + m.end()))
     for m in CARD.finditer(text):
@@ -127,10 +129,30 @@ def _fold(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in SPELLED_RUN.finditer(text):
-        new = "".join("+" if x.lower() == "plus" else SPELLED.get(x.lower(), x) for x in ITEM.findall(m[0]))
-        edits.append((m.start(), m.end(), new))
+    """Chains of spelled and plain digits, a plus in front and spelled dots among them, as plain numbers.
+
+    A chain is rewritten when it has two spelled digits, or one and a plus or dot; whether it is an identifier is for :func:`detect`.
+    """
+    edits, chain, end = [], [], 0
+
+    def close() -> None:
+        while chain and chain[-1][2] == ".":
+            chain.pop()
+        spelled = sum(word for _, _, _, word in chain)
+        if spelled > 1 or spelled and any(new in "+." for _, _, new, _ in chain):
+            edits.append((chain[0][0], chain[-1][1], "".join(new for _, _, new, _ in chain)))
+        chain.clear()
+
+    for m in TOKEN.finditer(text):
+        item = m[0].lower()
+        new = "+" if item in ("+", "plus") else "." if item == "dot" else SPELLED.get(item, item)
+        glued = chain and (GAP.fullmatch(text, end, m.start()) or chain[-1][2] == "+" and end == m.start())
+        if not glued or new == "+":
+            close()
+        if chain or new != ".":
+            chain.append((m.start(), m.end(), new, item in SPELLED))
+        end = m.end()
+    close()
     return edits
 
 
@@ -205,8 +227,8 @@ SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("st
 def personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """Add ``into``: the spans (kind, start, end, base) of personal data in the whole text, in code points, end exclusive.
 
-    A null or empty text has none. Each row is looked at by itself and in time linear in its text; repeated rows get equal
-    spans. The other columns pass through; one named ``into`` is replaced.
+    A null or empty text has none. Each row is looked at by itself; no pattern starts twice in one run of its characters, so time
+    follows the length of a text. Repeated rows get equal spans. The other columns pass through; one named ``into`` is replaced.
     """
     docs = docs.drop(into)
     kept, at = docs.columns, docs.columns.index(text)
