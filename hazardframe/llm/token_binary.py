@@ -124,7 +124,7 @@ def unpack(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 # Below this code point nothing combines with what stands before it, and classes of letters and numbers are the same in all versions.
 COMBINING, DOTTED_I = 0x300, 0x130
 TOGETHER = 200  # pieces that one call of the library encodes as one text
-MAX_PIECES, SLICE_BYTES = 800_000, 2_000_000
+MAX_PIECES, SLICE_BYTES = 650_000, 1_500_000
 
 
 def _sure(piece: str) -> bool:
