@@ -5,7 +5,12 @@ tokens are ordered by class and then by hash, the same order for all. Linked doc
 them, so their first n - o + 1 tokens have one in common; and with the prefix made longer by m, 1 + m. Single tokens are
 shared by nobody and are not indexed. Rare tokens are indexed one by one. Where the prefix reaches frequent tokens, it is made
 longer by m, the frequent ones in it are dealt into m bins by hash, and every pair of them in one bin is indexed: documents that
-share more than m of them share two in some bin. Candidates are verified on their whole sets.
+share more than m of them share two in some bin.
+
+Single tokens meet no other set, so the shared tokens of a set, its core, decide every overlap. Sets with equal cores overlap
+in exactly that core: the smallest of them is their head, which links with whatever any of them links with. Candidates are
+verified on whole cores, and only pairs with a head in them, so documents that have a passage in common and differ in words
+of their own are compared with one head each and not with each other.
 """
 
 from __future__ import annotations
@@ -167,6 +172,11 @@ def _bins(n: int) -> int:
     return 1 << ((n // 5).bit_length() - 1) if n >= 5 else 0
 
 
+def core(tokens: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The tokens that are, or may be, in another set too."""
+    return tokens[_bit(shared, tokens) == 1]
+
+
 def signatures(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """What a set is indexed by: rare tokens of its prefix, and pairs of frequent ones where the prefix reaches those."""
     n = len(tokens)
@@ -204,7 +214,8 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, per
 
 
 def index(docs: DataFrame, text: str, shared: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(key, n, signatures, tokens) of the sets that can have a partner at all."""
+    """(key, n, c, core, signatures, tokens) of the sets that can have a partner at all: the tokens are the c of the core, and
+    equal cores have equal values of ``core``."""
     maps = docs.sparkSession.sparkContext.broadcast((shared, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,46 +223,63 @@ def index(docs: DataFrame, text: str, shared: np.ndarray, frequent: np.ndarray,
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key, n, sigs, sets = zip(*rows)
-            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "sigs": pa.ListArray.from_arrays(
+            key, n, c, same, sigs, sets = zip(*rows)
+            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "c": pa.array(c, pa.int64()),
+                                               "core": pa.array(same, pa.binary()), "sigs": pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]), pa.int32()), pa.array(np.concatenate(sigs))), "tokens": pa.array(sets, pa.binary())})
 
         for key, tokens in _distinct_sets(batches):
             sigs = signatures(tokens, *maps.value, percent)
             if len(sigs):
-                rows.append((key, len(tokens), np.unique(sigs), tokens.tobytes()))
-                size += len(tokens) + len(sigs)
+                inner = core(tokens, maps.value[0])
+                rows.append((key, len(tokens), len(inner), _key(inner), np.unique(sigs), inner.tobytes()))
+                size += len(inner) + len(sigs)
                 if size > 1_000_000:
                     yield flush()
                     rows, size = [], 0
         if rows:
             yield flush()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key binary, n bigint, sigs array<bigint>, tokens binary")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "key binary, n bigint, c bigint, core binary, sigs array<bigint>, tokens binary")
+
+
+def heads(indexed: DataFrame, percent: int) -> DataFrame:
+    """(key, n, c, head, loose, bound) of every set once. ``head`` is the smallest set with the same core (by size, then key);
+    a set is ``bound`` if it links with its head, ``loose`` if it is neither bound nor the head.
+
+    Let x and y link and their cores be those of the heads g and h. No head is larger than its sets, so x and h, g and y, and g and h
+    link as well. Links of loose sets and heads with heads, and of bound sets with their heads, hence give all components.
+    """
+    first = indexed.groupBy("core").agg(F.min(F.struct("n", "key")).alias("h"))
+    own = indexed.select("key", "n", "c", "core").distinct().join(first, "core")
+    bound = (F.col("key") != F.col("h.key")) & (100 * F.col("c") >= percent * (F.col("n") + F.col("h.n") - F.col("c")))
+    return own.select("key", "n", "c", F.col("h.key").alias("head"), ((F.col("key") != F.col("h.key")) & ~bound).alias("loose"), bound.alias("bound"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, linked) of pairs of keys: the sets are met by two equi-joins and compared as sorted arrays."""
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """(a, b, shared, linked) of pairs of keys: the cores are met by two equi-joins and compared as sorted arrays."""
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+    both = left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb", (F.col("na") + F.col("nb")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y, sizes in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 n = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 common.append(n)
-                linked.append(100 * n >= percent * (len(x) + len(y) - n))
+                linked.append(100 * n >= percent * (sizes - n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
     return both.mapInArrow(run, "a binary, b binary, shared bigint, linked boolean")
 
 
-def _sized(n: str, m: str, percent: int) -> str:
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+def _possible(p: str, q: str, percent: int) -> str:
+    """Whether sets of n tokens, c of them in the core, could link if the smaller core lay in the other."""
+    return f"100 * least({p}c, {q}c) >= {percent} * ({p}n + {q}n - least({p}c, {q}c))"
 
 
 def _outsiders(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,47 +291,63 @@ def _outsiders(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split.select("sig", "key"), written(split.filter("root <> pool").select("key", "root", "pool").distinct())
 
 
+def _sides(outside: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (pool, heads, band, key, root) of the full comparison of outsiders of a pool with its members and other outsiders.
+
+    Outsiders meet the heads, and outsiders that are heads meet the pool's loose members; two loose sets need no comparison.
+    Sizes of linked sets are in one band or in neighbouring ones.
+    """
+    band = F.floor(F.log("n") / math.log(100.1 / percent)).cast("int")
+    inside = nodes.join(outside.select(F.col("pool").alias("root")).distinct(), "root").select(F.col("root").alias("pool"), "key", "root", "loose", band.alias("band"))
+    out = outside.join(nodes.select("key", "loose", band.alias("band")), "key").select("pool", "key", "root", "loose", "band")
+    right = (inside.unionByName(out.filter("NOT loose")).withColumn("heads", ~F.col("loose"))).select("pool", "heads", "band", "key", "root")
+    left = (out.withColumn("heads", F.explode(F.when(F.col("loose"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+            .withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).select("pool", "heads", "band", "key", "root"))
+    return left, right
+
+
 def _compare_blocks(outside: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of every outsider of a pool to the pool's members and its other outsiders, one for each component met.
+    """Links (a, b) between the two sides of :func:`_sides`, one for each set on the left and component met.
 
     Both sides are dealt by hash into blocks of bounded size and each pair of blocks is one group, so a pool of any size is
     compared without a row for each pair and without a large group.
     """
-    inside = nodes.join(outside.select(F.col("pool").alias("root")).distinct(), "root").select("key", "root", F.col("root").alias("pool"))
-    others = inside.unionByName(outside)
-    sizes = (others.groupBy("pool").agg(F.count(F.lit(1)).alias("all")).join(outside.groupBy("pool").agg(F.count(F.lit(1)).alias("out")), "pool")
-             .select("pool", F.ceil(F.col("out") / OUTSIDERS).cast("int").alias("rows"), F.ceil(F.col("all") / OTHERS).cast("int").alias("cols")))
+    group = ["pool", "heads", "band"]
+    outsiders, others = (written(side) for side in _sides(outside, nodes, percent))
+    sizes = (others.groupBy(*group).agg(F.count(F.lit(1)).alias("all")).join(outsiders.groupBy(*group).agg(F.count(F.lit(1)).alias("out")), group)
+             .select(*group, F.ceil(F.col("out") / OUTSIDERS).cast("int").alias("rows"), F.ceil(F.col("all") / OTHERS).cast("int").alias("cols")))
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         place = F.pmod(F.xxhash64("key", F.lit(own)), F.col(own)).cast("int")
-        return (rows.join(sizes, "pool").select("pool", "key", "root", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
-                .join(sets, "key").select("pool", F.col("own").alias(own), F.col("other").alias(other), "key", "root", "tokens"))
+        return (rows.join(sizes, group).select(*group, "key", "root", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+                .join(sets, "key").select(*group, F.col("own").alias(own), F.col("other").alias(other), "key", "root", "n", "tokens"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
             parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in right["tokens"]]
-            size = np.array([len(x) for x in parts])
+            n_tokens = right["n"].to_numpy()
             flat = np.concatenate(parts)
             order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], np.repeat(np.arange(len(parts)), size)[order]
+            flat, owner = flat[order], np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
             keys, roots = right["key"].to_pylist(), right["root"].to_pylist()
-            for key, root, tokens in zip(left["key"].to_pylist(), left["root"].to_pylist(), left["tokens"]):
+            for key, root, size, tokens in zip(left["key"].to_pylist(), left["root"].to_pylist(), left["n"].to_pylist(), left["tokens"]):
                 tokens = np.frombuffer(tokens.as_buffer(), np.uint64)
                 lo, hi = np.searchsorted(flat, tokens, side="left"), np.searchsorted(flat, tokens, side="right")
                 n = hi - lo
                 met = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 common = np.bincount(met, minlength=len(parts))
                 found = {}
-                for i in np.flatnonzero(100 * common >= percent * (size + len(tokens) - common)).tolist():
+                for i in np.flatnonzero(100 * common >= percent * (n_tokens + size - common)).tolist():
                     if roots[i] != root:
                         found.setdefault(roots[i], keys[i])
                 a += [key] * len(found)
                 b += list(found.values())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    by, names = ["pool", "rows", "cols"], ["pool", "rows", "cols", "key", "root", "tokens"]
-    left, right = dealt(outside, "rows", "cols").select(*names).toDF(*names), dealt(others, "cols", "rows").select(*names).toDF(*names)
+    by = [*group, "rows", "cols"]
+    names = [*by, "key", "root", "n", "tokens"]
+    left, right = dealt(outsiders, "rows", "cols").select(*names).toDF(*names), dealt(others, "cols", "rows").select(*names).toDF(*names)
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a binary, b binary")
 
 
@@ -316,12 +360,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     the start, so copies are never paired; a null id takes part like any other, but names a component only if no other
     member has an id. Repeated rows get equal rows.
 
-    Three steps find all links that matter for the components. First every signature's sets are compared with one of them.
-    Then the sets that are not in the largest component of one of their signatures are tried against a few members of it.
-    Both join most members of a family of near copies. What is then still outside is compared, in blocks, with all
-    members of that component and all others outside it. Two linked sets share a signature, so they are in one component,
-    or one is outside the component of the other, or both are outside the same one: no link between components is left
-    out, and no pair within a component is looked for.
+    Sets that link with the head of their core are settled at once (:func:`heads`). Three steps find all links of heads with
+    heads and loose sets that matter for the components. First every signature's sets are compared with one head among them.
+    Then the sets that are not in the largest component of one of their signatures are tried against a few heads of it.
+    Both join most members of a family of near copies. What is then still outside is compared, in blocks, with that
+    component and the others outside it, as far as a head takes part. Two linked sets share a signature, so they are in one
+    component, or one is outside the component of the other, or both are outside the same one: no link between components
+    is left out, and no pair within a component is looked for.
     """
     keys = written(set_keys(docs, doc_id, text))
     n_tokens = keys.agg(F.sum("n_shingles")).collect()[0][0] or 0
@@ -330,25 +375,30 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return empty
     shared, frequent, _ = class_maps(docs, text, n_tokens)
     indexed = written(index(docs, text, shared, frequent, percent))
-    entries = indexed.select("key", "n", F.explode("sigs").alias("sig"))
-    # A signature of one set is of no use. Min and max see through equal sets from different batches.
-    pivots = (entries.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("p"), F.max("key").alias("q")).filter("p.key <> q")
-              .select("sig", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    kinds = written(heads(indexed, percent))
+    bound = kinds.filter("bound").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    free = small_or_not(kinds.filter("NOT bound").select("key", "loose"))
+    entries = indexed.join(free, "key").select("key", "n", "c", "loose", F.explode("sigs").alias("sig"))
+    # A signature without a head or of one set is of no use. Min and max see through equal sets from different batches.
+    pivots = (entries.groupBy("sig").agg(F.min(F.struct("loose", "key", "n", "c")).alias("p"), F.min("key").alias("l"), F.max("key").alias("q"))
+              .filter("l <> q AND NOT p.loose").select("sig", "p"))
     useful = written(entries.join(pivots, "sig").distinct())
-    sets = written(indexed.select("key", "tokens").join(useful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
-    stars = useful.filter("key <> pivot").filter(_sized("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    sets = written(indexed.select("key", "n", "tokens").join(useful.select("key").distinct(), "key", "left_semi").groupBy("key", "n").agg(F.first("tokens").alias("tokens")))
+    stars = useful.filter("key <> p.key").filter(_possible("", "p.", percent)).select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
     checked = written(verify(stars, sets, percent))
     links = checked.filter("linked").select("a", "b")
-    sizes = useful.select("key", "n").distinct()
-    nodes = written(sizes.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root")))
+    sizes = written(useful.select("key", "n", "c", "loose").distinct())
+    placed = lambda links: written(sizes.join(components(links).withColumnRenamed("node", "key"), "key", "left")
+                                   .select("key", "n", "c", "loose", F.coalesce("root", "key").alias("root")))
+    nodes = placed(links)
     split, outside = _outsiders(useful.select("sig", "key").join(nodes.select("key", "root"), "key"))
-    pivots = nodes.groupBy("root").agg(F.array_distinct(F.array(*[F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
-    tries = (outside.join(nodes.select("key", "n"), "key").join(pivots.select(F.col("root").alias("pool"), F.explode("p").alias("p")), "pool")
-             .filter(_sized("n", "p.n", percent)).select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct())
+    pivots = nodes.filter("NOT loose").groupBy("root").agg(F.array_distinct(F.array(*[F.min_by(F.struct("key", "n", "c"), F.xxhash64("key", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
+    tries = (outside.join(sizes.select("key", "n", "c"), "key").join(pivots.select(F.col("root").alias("pool"), F.explode("p").alias("p")), "pool")
+             .filter(_possible("", "p.", percent)).select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct())
     links = written(links.union(verify(tries, sets, percent).filter("linked").select("a", "b")))
-    nodes = written(sizes.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root")))
-    _, outside = _outsiders(split.join(nodes, "key"))
-    links = links.union(_compare_blocks(outside, nodes, sets, percent))
+    nodes = placed(links)
+    _, outside = _outsiders(split.join(nodes.select("key", "root"), "key"))
+    links = links.union(_compare_blocks(outside, nodes, sets, percent)).union(bound)
     own = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")
     members = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min(own).alias("first"))
     named = written(members.join(components(links).withColumnRenamed("node", "key"), "key", "left")

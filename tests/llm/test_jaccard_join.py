@@ -92,6 +92,36 @@ def test_families_compared_in_small_blocks(docs, monkeypatch):
     check(docs, list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("own", [8, 7])
+def test_a_shared_passage_with_words_of_their_own(docs, own):
+    """Just below and just above the threshold with each other; a few also share more, or are the passage alone."""
+    line = [f"line{i}" for i in range(60)]
+    texts = [" ".join([f"w{d}x{i}" for i in range(own)] + line) for d in range(70)]
+    texts += [" ".join([f"s{d // 3}x{i}" for i in range(9)] + [f"e{d}"] * (d % 4) + line + [f"t{d % 5}"] * 6) for d in range(40)]
+    check(docs, list(enumerate(texts)))
+    check(docs, list(enumerate([*texts, " ".join(line), " ".join(line[:50])])))
+
+
+def test_comparisons_of_a_shared_passage_grow_with_the_documents(docs, monkeypatch):
+    """The rows that the full comparison deals out, and the pairs it looks at, are linear in the documents."""
+    seen = {}
+
+    def sides(outside, nodes, percent, real=jj._sides):
+        left, right = real(outside, nodes, percent)
+        group = ["pool", "heads", "band"]
+        pairs = left.groupBy(*group).count().join(right.groupBy(*group).count().withColumnRenamed("count", "m"), group)
+        seen["pairs"] = sum(r["count"] * r["m"] for r in pairs.collect())
+        return left, right
+
+    monkeypatch.setattr(jj, "_sides", sides)
+    line = " ".join(f"line{i}" for i in range(60))
+    for n in (200, 800):
+        rows = [(d, " ".join(f"w{d}x{i}" for i in range(8)) + " " + line) for d in range(n)]
+        got = jj.similar_components(docs(rows)).collect()
+        assert all(r.doc_id == r.component_id for r in got) and len(got) == n
+        assert seen["pairs"] <= 4 * n
+
+
 def test_full_class_maps_lose_nothing(docs, monkeypatch):
     monkeypatch.setattr(jj, "MAX_BITS", 16)
     monkeypatch.setattr(jj, "class_maps", lambda d, t, n: (np.full(1 << 13, 255, np.uint8), np.full(1 << 13, 255, np.uint8), 16))
