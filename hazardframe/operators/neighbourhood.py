@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from hazardframe.operators.ordered import match
 from hazardframe.session import cut_lineage
 
 WIDTH = 32
 SLOTS = WIDTH + 2
 SIDE = 1 << 20  # coordinates are below this
 LINES = list(product((-1, 0, 1), repeat=2))  # (dz, dy); the block's own line is number 4
+# A slab is 16 x 16 lines of one block: positions that agree in these bits.
+SLAB = ~((15 * SIDE + 15) * SIDE + WIDTH - 1)
 DIRECTIONS = [d for d in product((0, 1, -1), repeat=3) if next((c for c in d if c), 0) > 0]
 
 
@@ -297,3 +300,39 @@ def zone_edges(near: DataFrame, by: list[str], rejects: list[DataFrame] | None =
         yield _emit(b, by, first, table[:, 0], {"u": table[:, 1], "v": table[:, 2]})
 
     return _run(near, by, kernel, "u bigint, v bigint", rejects).where("u <> v").distinct()
+
+
+def slab_roots(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, pos, root)``: the smallest position that a voxel reaches by links inside its slab, for all voxels with such a link.
+
+    A slab has 8,192 voxels, so its links are a group of bounded size whatever the image; all slabs are settled in one pass.
+    """
+    own = F.col("u").bitwiseAND(F.lit(SLAB))
+    inside = edges.withColumn("slab", own).where(own == F.col("v").bitwiseAND(F.lit(SLAB)))
+    types = dict(edges.dtypes)
+
+    def settle_slab(table: pa.Table) -> pa.Table:
+        pos, ends = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+        u, v = ends[:table.num_rows], ends[table.num_rows:]
+        root = np.arange(len(pos))  # positions are sorted, so the smallest number is the smallest position
+        while True:
+            a, b = root[u], root[v]
+            if (a == b).all():
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        keys = [pa.repeat(table[c].combine_chunks()[0], len(pos)) for c in by]
+        return pa.table([*keys, pa.array(pos, pa.int64()), pa.array(pos[root], pa.int64())], names=[*by, "pos", "root"])
+
+    keys = ", ".join(f"{c} {types[c]}" for c in by)
+    return inside.groupBy(*by, "slab").applyInArrow(settle_slab, f"{keys}, pos bigint, root bigint")
+
+
+def crossing_links(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
+    """Links across the faces of slabs, ``(by, u, v)`` with u > v, between the slab roots of their ends."""
+    across = edges.where(F.col("u").bitwiseAND(F.lit(SLAB)) != F.col("v").bitwiseAND(F.lit(SLAB)))
+    for end in ("u", "v"):
+        at = roots.select(*by, F.col("pos").alias(end), F.col("root").alias("__root"))
+        across = match(across, at, [*by, end], "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
+    return across.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from hazardframe.operators.ordered import match, range_bounds, running
-from hazardframe.operators.neighbourhood import (dependence_counts, glcm_counts, neighbourhoods, positions, run_counts,
-                                                 tone_table, zone_edges)
+from hazardframe.operators.neighbourhood import (crossing_links, dependence_counts, glcm_counts, neighbourhoods, positions, run_counts,
+                                                 slab_roots, tone_table, zone_edges)
 from hazardframe.operators.voxel_grid import AXES, discretize
 from hazardframe.session import cut_lineage, settle
 
@@ -215,22 +215,29 @@ def size_matrix_features(counts: DataFrame, by: list[str], kind: str, names: dic
 def zone_labels(levels: DataFrame, near: DataFrame, by: list[str], rejects: list[DataFrame] | None = None, max_rounds: int = 200) -> DataFrame:
     """Smallest position of each 26-connected zone of equal level: ``(by, pos, zone)``.
 
-    Alternating star contraction: every vertex links its larger neighbours to its smallest one, then its smaller
-    neighbours to the smallest. The number of rounds grows with the logarithm of the zone, not with its diameter.
-    Neighbour minima are aggregated before they are joined back, so a vertex with very many links is no hot group.
+    Links inside a slab of bounded size are settled in one pass over all slabs. What crosses the faces of slabs links their
+    roots, far fewer, and is settled by alternating star contraction: every vertex links its larger neighbours to its smallest one, then its smaller
+    neighbours to the smallest. The number of rounds grows with the logarithm of the zone in slabs, not with its diameter.
+    Neighbour minima are aggregated before they are joined back, and voxels take their zone through their slab's root, which
+    has at most a slab's voxels: a zone of any size makes no hot group.
     """
-    edges = cut_lineage(zone_edges(near, by, rejects))
+    links = cut_lineage(zone_edges(near, by, rejects))
+    roots = cut_lineage(slab_roots(links, by))
+    edges, n = settle(crossing_links(links, roots, by))
     before = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if n else 0):
         edges, now = _checked(_small_star(_large_star(edges, by), by), by)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("zones did not settle")
-    verts = positions(levels, by)
-    zones = edges.groupBy(*by, F.col("u").alias("pos")).agg(F.min("v").alias("zone"))
-    return match(verts, zones, [*by, "pos"], "left").select(*by, "pos", "level", F.coalesce("zone", "pos").alias("zone"))
+        if n:
+            raise RuntimeError("zones did not settle")
+    placed = match(positions(levels, by), roots, [*by, "pos"], "left").withColumn("root", F.coalesce("root", "pos"))
+    if n:
+        zones = edges.groupBy(*by, F.col("u").alias("root")).agg(F.min("v").alias("zone"))
+        placed = match(placed, zones, [*by, "root"], "left")
+    return placed.select(*by, "pos", "level", (F.coalesce("zone", "root") if n else F.col("root")).alias("zone"))
 
 
 def _checked(edges: DataFrame, by: list[str]) -> tuple[DataFrame, tuple]:

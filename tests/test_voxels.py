@@ -99,6 +99,32 @@ def test_zones_against_flood_fill(wide_image):
     assert got == {pos(p): pos(z) for p, z in zone.items()}
 
 
+def test_zones_through_several_slabs(spark):
+    """One zone through all slabs, others inside one or across one face, single voxels, and a second image of one slab."""
+    rng = np.random.default_rng(4)
+    big = np.where(rng.random((20, 36, 70)) < 0.12, rng.integers(2, 4, (20, 36, 70)), 0)
+    big[::7, 18, :] = big[:, 18, 5] = big[7, :, 40] = big[19, 18, :] = 1
+    small = np.where(rng.random((3, 4, 5)) < 0.5, 1, 0)
+    rows = [(name, int(z), int(y), int(x), int(cube[z, y, x])) for name, cube in (("big", big), ("small", small)) for z, y, x in zip(*np.nonzero(cube))]
+    levels = spark.createDataFrame(rows, "image_id string, z int, y int, x int, level int")
+    near = nb.neighbourhoods(levels, ["image_id"])
+    pos = lambda p: (int(p[0]) * nb.SIDE + int(p[1])) * nb.SIDE + int(p[2])
+    got = {(r.image_id, r.pos): r.zone for r in tx.zone_labels(levels, near, ["image_id"]).collect()}
+    assert got == {(name, pos(p)): pos(q) for name, cube in (("big", big), ("small", small)) for p, q in flood(cube).items()}
+    main = got["big", pos((0, 18, 5))]
+    through = {p & nb.SLAB for (name, p), zone in got.items() if name == "big" and zone == main}
+    assert len(through) >= 8
+    links = nb.zone_edges(near, ["image_id"]).cache()
+    assert nb.crossing_links(links, nb.slab_roots(links, ["image_id"]), ["image_id"]).count() < links.count() / 5
+    links.unpersist()
+
+
+def test_zones_without_links(spark):
+    levels = spark.createDataFrame([("a", 0, 0, 0, 1), ("a", 0, 0, 1, 2), ("a", 5, 5, 5, 2), (None, 1, 1, 1, 1)], "image_id string, z int, y int, x int, level int")
+    got = tx.zone_labels(levels, nb.neighbourhoods(levels, ["image_id"]), ["image_id"]).collect()
+    assert len(got) == 4 and all(r.pos == r.zone for r in got)
+
+
 def test_a_winding_zone_settles_in_few_rounds(spark):
     """A snake of several hundred voxels: the diameter is far above the allowed number of rounds."""
     mask = np.zeros((1, 41, 40), bool)
