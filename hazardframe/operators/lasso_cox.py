@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hazardframe.functions.scalar import dot
 from hazardframe.operators.cox_likelihood import MAX_CURVE_CELLS, MAX_SCORE, Likelihood, Models, TrainSet, _unpack
 from hazardframe.operators.curves import breslow_baseline
-from hazardframe.operators.encode import masked_medians, masked_moments
+from hazardframe.operators.fold_statistics import set_medians, set_moments
 from hazardframe.operators.metrics import concordance_index
 from hazardframe.operators.splits import default_alphas, kfold, part_fold_columns
 from hazardframe.session import cut_lineage
@@ -271,9 +271,8 @@ def grid_search(df: DataFrame, names: list[str], alphas: list[float] | None = No
 
 def _prepared(df: DataFrame, names: list[str], sets: list[TrainSet]) -> list[TrainSet]:
     """Learn medians, means and deviations on the training rows of each set."""
-    masks = [s.mask() for s in sets]
-    medians = masked_medians(df, "features", names, masks)
-    means, deviations = masked_moments(df, "features", names, masks, medians)
+    medians = set_medians(df, sets, names)
+    means, deviations = set_moments(df, sets, medians)
     return [TrainSet(s.held_out, tuple(a), tuple(b), tuple(c)) for s, a, b, c in zip(sets, medians, means, deviations)]
 
 
