@@ -77,3 +77,12 @@ def test_borders_of_short_and_long_lines(spark, boundary, mode):
         rows = vg.stencil(vg.with_sizes(df, ["image_id"]), "x", {"m": taps}, boundary=boundary).orderBy("x").collect()
         padded = np.pad(vol[0, 0], 7, mode=mode)
         np.testing.assert_allclose([r.intensity for r in rows], sum(w * padded[7 + o:7 + o + n] for o, w in taps.items()), atol=1e-12)
+
+
+def test_a_repeated_voxel_is_one_row_of_the_laplacian(spark):
+    df = images(spark, 1)
+    twice = df.unionByName(df.where("x = 2")).unionByName(df.where("x = 3").withColumn("mask", F.lit(0)))
+    once = {(r.z, r.y, r.x): r.intensity for r in vg.laplacian_of_gaussian(df, 1.0).collect()}
+    got = {(r.z, r.y, r.x, r.mask): r.intensity for r in vg.laplacian_of_gaussian(twice, 1.0).collect()}
+    assert len(got) == 120 + 20
+    assert got == pytest.approx({(*p, m): v * (2 if p[2] == 2 else 1) for p, v in once.items() for m in ((1, 0) if p[2] == 3 else (1,))})
