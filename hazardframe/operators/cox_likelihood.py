@@ -9,6 +9,7 @@ imputation and scaling, so that a whole penalty path over all folds shares the t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from hazardframe.session import cut_lineage, settle
 
 MAX_CURVE_CELLS = 4_000_000  # distinct times x models that may be held as one array
 CHUNK = 8192
+BLOCK_CELLS = 1_000_000  # numbers that a task computes at a time: 8 MB
 MAX_SCORE = 500.0  # exp() stays finite
 
 
@@ -111,14 +113,30 @@ def sum_vectors(df: DataFrame, key_type: str, combine: bool = False) -> DataFram
     return df.repartition(F.col("key")).mapInArrow(add, schema)
 
 
-def _merge_times(t, rows, keep_t, keep_rows):
-    """Sum rows with equal times into the sorted table kept so far."""
-    if keep_t is not None:
-        t, rows = np.concatenate([keep_t, t]), np.concatenate([keep_rows, rows])
+def _sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a block of ``width`` numbers a row is small, however many models are evaluated together."""
+    rows = max(64, BLOCK_CELLS // max(1, width))
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _merge_times(t, rows, keep_t=None, keep_rows=None):
+    """Add rows of a batch to the sums per distinct time; the sums are only copied when a new time comes."""
     order = np.argsort(t, kind="stable")
-    t, rows = t[order], rows[order]
+    t = t[order]
     starts = np.nonzero(np.concatenate([[True], t[1:] != t[:-1]]))[0]
-    return t[starts], np.add.reduceat(rows, starts, axis=0)
+    t, rows = t[starts], np.add.reduceat(rows[order], starts, axis=0)
+    if keep_t is None:
+        return t, rows
+    at = np.minimum(np.searchsorted(keep_t, t), len(keep_t) - 1)
+    known = keep_t[at] == t
+    keep_rows[at[known]] += rows[known]
+    if known.all():
+        return keep_t, keep_rows
+    keep_t, keep_rows = np.concatenate([keep_t, t[~known]]), np.concatenate([keep_rows, rows[~known]])
+    order = np.argsort(keep_t, kind="stable")
+    return keep_t[order], keep_rows[order]
 
 
 class Likelihood:
@@ -148,7 +166,7 @@ class Likelihood:
 
         def scan(batches):
             keep_t = keep_rows = None
-            for b in batches:
+            for b in _sliced(batches, int(starts[-1])):
                 if b.num_rows == 0:
                     continue
                 t, e, x, folds = _unpack(b)
@@ -224,7 +242,7 @@ class Likelihood:
 
         def scan(batches):
             sums = [np.zeros(s) for s in sizes]
-            for b in batches:
+            for b in _sliced(batches, 4 * k + p):
                 if b.num_rows == 0:
                     continue
                 t, e, x, folds = _unpack(b)
