@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -24,22 +25,32 @@ from hazardframe.session import cut_lineage
 
 MOMENTUM = 0.1  # fixed values: of batch normalisation, and Adam's constants
 ADAM = (0.9, 0.999, 1e-8)
+STACK_CELLS = 16_384  # numbers of one layer that a task computes at a time, so that they stay in the cache
 
 
 def cox_loss_gradient(eta: np.ndarray, time: np.ndarray, event: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log partial likelihood of a batch (Breslow ties) and its derivative by the scores."""
-    order = np.argsort(-time, kind="stable")
-    t, e, top = time[order], event[order], eta.max()
-    risk = np.exp(eta[order] - top)
-    last = np.searchsorted(-t, -t, side="right") - 1  # everyone with the same time shares a risk set
-    total = np.cumsum(risk)[last]
-    deaths = e.sum() + 1e-8
-    loss = -np.sum(e * (eta[order] - top - np.log(total))) / deaths
-    first = np.searchsorted(-t, -t, side="left")
-    hazard = np.cumsum((e / total)[::-1])[::-1][first]
+    loss, grad = _loss_gradients(eta[None], time[None], event[None])
+    return float(loss[0]), grad[0]
+
+
+def _loss_gradients(eta: np.ndarray, time: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many batches of one size, a batch in each row: a loss per batch and all derivatives."""
+    order = np.argsort(-time, axis=1, kind="stable")
+    t, e, s = (np.take_along_axis(v, order, axis=1) for v in (time, event, eta - eta.max(axis=1, keepdims=True)))
+    risk = np.exp(s)
+    new = np.ones((len(t), t.shape[1] + 1), dtype=bool)  # everyone with the same time shares a risk set
+    new[:, 1:-1] = (t[:, 1:] != t[:, :-1]) & ~(np.isnan(t[:, 1:]) & np.isnan(t[:, :-1]))
+    at = np.arange(t.shape[1])
+    first = np.maximum.accumulate(np.where(new[:, :-1], at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(new[:, 1:], at, t.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    total = np.take_along_axis(np.cumsum(risk, axis=1), last, axis=1)
+    deaths = e.sum(axis=1, keepdims=True) + 1e-8
+    loss = -np.sum(e * (s - np.log(total)), axis=1) / deaths[:, 0]
+    hazard = np.take_along_axis(np.cumsum((e / total)[:, ::-1], axis=1)[:, ::-1], first, axis=1)
     grad = np.empty_like(eta)
-    grad[order] = -(e - risk * hazard) / deaths
-    return float(loss), grad
+    np.put_along_axis(grad, order, -(e - risk * hazard) / deaths, axis=1)
+    return loss, grad
 
 
 @dataclass
@@ -88,32 +99,56 @@ class Network:
 
     def train_batch(self, vec, x, time, event, dropout=0.0, rng=None):
         """Loss, gradient of the trainable part, and updated running statistics for one mini-batch."""
+        return self.train_batches(vec, x[None], time[None], event[None], dropout, [rng])
+
+    def train_batches(self, vec, x, time, event, dropout=0.0, rngs=()):
+        """The same, summed over mini-batches of one size: ``x`` is (batches, rows, features), and each batch has its generator."""
         w, stats = self.split(vec)
-        tape, new_stats, n = [], [], len(x)
+        tape, new_stats, (many, n) = [], [], x.shape[:2]
+        flat = lambda a: a.reshape(many * n, -1)
+        shaped = lambda a: a.reshape(many, n, -1)
+        mean = lambda a: np.add.reduce(a, axis=1, keepdims=True) / n
+        mean_of = lambda a, b: np.einsum("bnh,bnh->bh", a, b)[:, None] / n
+        masks = [np.empty((many, n, h)) for h in self.hidden] if dropout else []
+        for b, rng in enumerate(rngs if dropout else ()):
+            for m in masks:
+                rng.random(out=m[b])
         for i in range(len(self.hidden)):
             weight, bias, scale, shift = w[4 * i:4 * i + 4]
-            z = x @ weight + bias
-            mean, var = z.mean(axis=0), z.var(axis=0)
-            new_stats += [(1 - MOMENTUM) * stats[2 * i] + MOMENTUM * mean,
-                          (1 - MOMENTUM) * stats[2 * i + 1] + MOMENTUM * var * n / max(n - 1, 1)]
+            z = shaped(flat(x) @ weight)
+            center = mean(z)
+            z -= center
+            var = mean_of(z, z)
+            new_stats += [many * (1 - MOMENTUM) * stats[2 * i] + MOMENTUM * (center + bias).sum(axis=(0, 1)),
+                          many * (1 - MOMENTUM) * stats[2 * i + 1] + MOMENTUM * var.sum(axis=(0, 1)) * n / max(n - 1, 1)]
             sd = np.sqrt(var + EPS)
-            norm = (z - mean) / sd
-            act = np.maximum(norm * scale + shift, 0.0)
-            keep = np.ones_like(act) if not dropout else (rng.random(act.shape) >= dropout) / (1 - dropout)
-            tape.append((x, norm, sd, act > 0, keep, weight, scale))
-            x = act * keep
-        loss, d_eta = cox_loss_gradient((x @ w[-2] + w[-1])[:, 0], time, event)
-        grads = [x.T @ d_eta[:, None], np.array([d_eta.sum()])]
-        back = d_eta[:, None] @ w[-2].T
-        for inp, norm, sd, alive, keep, weight, scale in reversed(tape):
-            back = back * keep * alive
-            d_scale, d_shift = (back * norm).sum(axis=0), back.sum(axis=0)
-            back = back * scale
-            back = (back - back.mean(axis=0) - norm * (back * norm).mean(axis=0)) / sd
-            grads = [inp.T @ back, back.sum(axis=0), d_scale, d_shift, *grads]
-            back = back @ weight.T
+            z /= sd
+            act = z * (scale / (1 - dropout))
+            act += shift / (1 - dropout)
+            alive = act > 0
+            if dropout:
+                alive &= masks[i] >= dropout
+            np.maximum(act, 0.0, out=act)
+            act *= alive
+            tape.append((x, z, sd, alive, weight, scale))
+            x = act
+        losses, d_eta = _loss_gradients((flat(x) @ w[-2] + w[-1]).reshape(many, n), time, event)
+        d_eta = d_eta.reshape(-1, 1)
+        grads = [flat(x).T @ d_eta, np.array([d_eta.sum()])]
+        back = shaped(d_eta * w[-2].T)
+        for i, (inp, norm, sd, alive, weight, scale) in reversed(list(enumerate(tape))):
+            back *= alive
+            back /= 1 - dropout
+            level, slope = mean(back), mean_of(back, norm)
+            d_scale, d_shift = n * slope.sum(axis=(0, 1)), n * level.sum(axis=(0, 1))
+            back -= level
+            back -= norm * slope
+            back *= scale / sd
+            grads = [flat(inp).T @ flat(back), flat(back).sum(axis=0), d_scale, d_shift, *grads]
+            if i:
+                back = shaped(flat(back) @ weight.T)
         stats_vec = np.concatenate(new_stats) if new_stats else np.zeros(0)
-        return loss, np.concatenate([g.ravel() for g in grads]), stats_vec
+        return float(losses.sum()), np.concatenate([g.ravel() for g in grads]), stats_vec
 
 
 def _numbered(rows: DataFrame, block: int = 10_000) -> DataFrame:
@@ -129,6 +164,22 @@ def _numbered(rows: DataFrame, block: int = 10_000) -> DataFrame:
     return spread.select(*names, F.explode(F.sequence(F.col("b") * block, last)).alias("copy"))
 
 
+def _stacks(batch: pa.RecordBatch, width: int):
+    """The mini-batches of an Arrow batch, those of one size together: numbers, times, events and features as stacked arrays."""
+    number, lists = batch.column("batch").to_numpy(), [batch.column(c) for c in ("time", "event", "features")]
+    sizes = pc.list_value_length(lists[0]).to_numpy()
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
+    starts = np.cumsum(sizes) - sizes
+    values[2] = values[2].reshape(len(values[0]), -1)
+    for n in np.unique(sizes):
+        same = np.flatnonzero(sizes == n)
+        step = max(1, STACK_CELLS // (int(n) * max(1, width, values[2].shape[1])))
+        for at in range(0, len(same), step):
+            part = same[at:at + step]
+            rows = starts[part][:, None] + np.arange(n)
+            yield number[part].tolist(), *[v[rows] for v in values]
+
+
 @dataclass
 class DeepCox:
     """Hidden layers of Linear, BatchNorm, ReLU and Dropout, then one linear score."""
@@ -210,11 +261,10 @@ class DeepCox:
         def train(batches):
             total = None
             for b in batches:
-                for batch, time, event, features in zip(b.column("batch").to_pylist(), b.column("time"), b.column("event"), b.column("features")):
-                    t, e = time.values.to_numpy(zero_copy_only=False), event.values.to_numpy(zero_copy_only=False)
-                    x = features.values.to_numpy(zero_copy_only=False).reshape(len(t), -1)
-                    loss, grad, stats = net.train_batch(sent.value, x, t, e, dropout, np.random.default_rng([seed, epoch, batch]))
-                    vec = np.concatenate([grad, stats, [loss, 1.0]]) * len(t)
+                for number, t, e, x in _stacks(b, len(net.hidden) and max(net.hidden)):
+                    rngs = [np.random.default_rng([seed, epoch, k]) for k in number] if dropout else ()
+                    loss, grad, stats = net.train_batches(sent.value, x, t, e, dropout, rngs)
+                    vec = np.concatenate([grad, stats, [loss, len(number)]]) * t.shape[1]
                     total = vec if total is None else total + vec
             if total is not None:
                 for c in range(0, len(total), CHUNK):
