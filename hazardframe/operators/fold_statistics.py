@@ -49,7 +49,7 @@ def _edges(table: DataFrame, p: int, bins: int, spans: list[tuple[float, float]]
     return [np.unique(np.asarray(q if q is not None else [], float)) for q in found]
 
 
-def _bin_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def bin_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Odd numbers are the edges themselves, even ones what lies between two of them."""
     lo, hi = np.searchsorted(edges, x, side="left"), np.searchsorted(edges, x, side="right")
     return lo + hi
@@ -62,7 +62,7 @@ def _histograms(table: DataFrame, sets: list[TrainSet], edges: list[np.ndarray])
         for x, inside in _batches(batches, sets):
             for j, e in enumerate(edges):
                 known = ~np.isnan(x[:, j])
-                bins = _bin_of(x[known, j], e)
+                bins = bin_of(x[known, j], e)
                 order = np.argsort(bins, kind="stable")
                 bins = bins[order]
                 starts = np.flatnonzero(np.diff(bins, prepend=-1))
@@ -140,7 +140,7 @@ def _ranked(table: DataFrame, sets: list[TrainSet], edges, between, asks) -> Dat
             for j, bs in between.items():
                 if bs:
                     known = np.flatnonzero(~np.isnan(x[:, j]))
-                    at = _bin_of(x[known, j], edges[j])
+                    at = bin_of(x[known, j], edges[j])
                     hit = np.isin(at, bs)
                     rows = known[hit]
                     if len(rows):

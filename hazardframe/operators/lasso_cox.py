@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.functions.scalar import dot
+from hazardframe.operators import model_concordance as mc
 from hazardframe.operators.cox_likelihood import MAX_CURVE_CELLS, MAX_SCORE, Likelihood, Models, TrainSet, _unpack
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.operators.fold_statistics import set_medians, set_moments
 from hazardframe.operators.metrics import concordance_index
 from hazardframe.operators.splits import default_alphas, kfold, part_fold_columns
-from hazardframe.session import cut_lineage
+from hazardframe.session import cut_lineage, settle
 
 WORKING_SET = 256
 FAILED_SCORE = 0.5
@@ -189,17 +190,53 @@ class LassoCox:
                    spark.read.parquet(f"{path}/baseline"))
 
 
-def fold_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, sides: tuple[str, ...] = ("test",)) -> DataFrame:
+@dataclass
+class Judged:
+    """What the scoring of a table needs to know about it: its rows and, unless there are too many, its distinct times."""
+
+    n: int
+    times: np.ndarray | None
+
+    @classmethod
+    def of(cls, df: DataFrame) -> "Judged":
+        n = df.count()
+        known = df.select(F.col("time").cast("double").alias("time")).where("time is not null and not isnan(time)")
+        times, n_times = settle(known.distinct())
+        held = n_times <= (mc.CELL_ROWS if n <= mc.CELL_ROWS else mc.MOST_TIMES)
+        return cls(n, np.sort(times.toPandas()["time"].to_numpy()) if held else None)
+
+
+def _side_rows(s: TrainSet, side: str, folds, n: int) -> np.ndarray:
+    inside = s.rows(folds, n)
+    return inside if side == "train" else TrainSet(s.held_out[:-1]).rows(folds, n) & ~inside
+
+
+def fold_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, sides: tuple[str, ...] = ("test",),
+                judged: Judged | None = None) -> DataFrame:
     """Concordance of every (set, alpha) model on the rows its set holds out and, if asked, on its training rows.
 
-    The rows are scored in Arrow batches and expanded only to the models that are judged on them. The held-out rows of
-    an inner fold are those of its own outer training part.
+    The rows are scored in Arrow batches and the scores of a model stay packed, see :mod:`model_concordance`; equal
+    coefficients of a set are judged once. In a large table with very many distinct times every score becomes a row. The
+    held-out rows of an inner fold are those of its own outer training part.
     """
     n_sets, n_alphas, _ = betas.shape
+    cols = ["time", "event", "features", *(["folds"] if "folds" in df.columns else [])]
+    plain = df.select(*cols).withColumns({"time": F.col("time").cast("double"), "event": F.col("event").cast("boolean")})
+    judged = judged or Judged.of(df)
+    if judged.times is None:
+        index = _long_scores(plain, sets, betas, sides)
+    else:
+        index = _packed_scores(plain, sets, betas, sides, judged)
+    return index.select("side", (F.col("model") / n_alphas).cast("int").alias("set"),
+                        (F.col("model") % n_alphas).cast("int").alias("alpha_no"), "c_index")
+
+
+def _etas(s: TrainSet, x: np.ndarray, betas: np.ndarray) -> np.ndarray:
+    return np.clip(s.design(x) @ betas.T, -MAX_SCORE, MAX_SCORE)
 
-    def judged(s: TrainSet, side: str, folds, n: int) -> np.ndarray:
-        inside = s.rows(folds, n)
-        return inside if side == "train" else TrainSet(s.held_out[:-1]).rows(folds, n) & ~inside
+
+def _long_scores(plain: DataFrame, sets, betas, sides) -> DataFrame:
+    n_alphas = betas.shape[1]
 
     def scan(batches):
         for b in batches:
@@ -208,20 +245,63 @@ def fold_scores(df: DataFrame, sets: list[TrainSet], betas: np.ndarray, sides: t
             t, e, x, folds = _unpack(b)
             parts = []
             for g, s in enumerate(sets):
-                eta = np.clip(s.design(x) @ betas[g].T, -MAX_SCORE, MAX_SCORE)
+                eta = _etas(s, x, betas[g])
                 for side in sides:
-                    rows = np.nonzero(judged(s, side, folds, len(t)))[0]
+                    rows = np.nonzero(_side_rows(s, side, folds, len(t)))[0]
                     parts += [pd.DataFrame({"side": side, "model": g * n_alphas + a, "time": t[rows], "event": e[rows] > 0,
                                             "eta": eta[rows, a]}) for a in range(n_alphas) if len(rows)]
             if parts:
                 yield pa.RecordBatch.from_pandas(pd.concat(parts, ignore_index=True), preserve_index=False)
 
-    cols = ["time", "event", "features", *(["folds"] if "folds" in df.columns else [])]
-    plain = df.select(*cols).withColumns({"time": F.col("time").cast("double"), "event": F.col("event").cast("boolean")})
     scored = plain.mapInArrow(scan, "side string, model bigint, time double, event boolean, eta double")
-    index = concordance_index(cut_lineage(scored), "time", "event", "eta", ["side", "model"])
-    return index.select("side", (F.col("model") / n_alphas).cast("int").alias("set"),
-                        (F.col("model") % n_alphas).cast("int").alias("alpha_no"), "c_index")
+    return concordance_index(cut_lineage(scored), "time", "event", "eta", ["side", "model"])
+
+
+def _packed_scores(plain: DataFrame, sets, betas, sides, judged: Judged) -> DataFrame:
+    n_sets, n_alphas, _ = betas.shape
+    first = [np.unique(b, axis=0, return_index=True, return_inverse=True)[1:] for b in betas]
+    stands = [[int(at[k]) for k in np.ravel(back)] for at, back in first]  # the first alpha with the same coefficients
+    own = [sorted(set(v)) for v in stands]
+
+    def scores(batch):
+        t, e, x, folds = _unpack(batch)
+        for g, s in enumerate(sets):
+            for i, side in enumerate(sides):
+                rows = np.flatnonzero(_side_rows(s, side, folds, len(t)))
+                if len(rows):
+                    yield (i * n_sets + g) * n_alphas, own[g], t[rows], e[rows] > 0, _etas(s, x[rows], betas[g][own[g]])
+
+    edges = {}
+    if judged.n > mc.CELL_ROWS:
+        share = min(mc.SAMPLED / mc.CELL_ROWS, mc.MOST_SAMPLED / judged.n)
+        seen = plain.sample(False, share, 42).toArrow().combine_chunks()  # bounded; it only steers how the scores are dealt
+        for b in seen.to_batches():
+            for at, alphas, _, _, eta in scores(b):
+                edges |= {at + a: mc.cut_scores(eta[:, k], share) for k, a in enumerate(alphas)}
+    times = plain.sparkSession.sparkContext.broadcast(judged.times)
+
+    def scan(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            records = []
+            for at, alphas, t, event, eta in scores(b):
+                code = mc.time_codes(times.value, t, event)
+                for k, a in enumerate(alphas):
+                    records += mc.pack(at + a, np.ascontiguousarray(eta[:, k]), code, edges.get(at + a, ()))
+            if records:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(
+                    zip(*records), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["model", "bin", "kind", "vals", "codes"])
+
+    packed = plain.mapInArrow(scan, "model bigint, bin int, kind int, vals binary, codes binary")
+    found = mc.many_concordances(packed, edges, 2 * len(judged.times) + 2)
+    alphas = F.array(*[F.array(*[F.lit(a) for a in v]) for v in stands])
+    at, double = F.col("model"), lambda name: F.col(name).cast("double")
+    same = F.filter(F.sequence(F.lit(0), F.lit(n_alphas - 1)), lambda a: F.element_at(F.element_at(alphas, F.col("set") + 1), a + 1) == F.col("alpha"))
+    names = F.array(*[F.lit(v) for v in sides])
+    return (found.select(F.element_at(names, F.floor(at / (n_sets * n_alphas)).cast("int") + 1).alias("side"), (F.floor(at / n_alphas) % n_sets).cast("int").alias("set"),
+                         (at % n_alphas).cast("int").alias("alpha"), F.try_divide(double("concordant") + 0.5 * double("tied"), double("comparable")).alias("c_index"))
+            .select("side", "set", "c_index", F.explode(same).alias("a")).select("side", (F.col("set") * n_alphas + F.col("a")).alias("model"), "c_index"))
 
 
 @dataclass
@@ -250,11 +330,11 @@ class GridSearch:
 
 
 def _search(df, sets, alphas, weights, tol, max_iter) -> dict[tuple[int, int], float]:
-    """Held-out concordance of every (set, alpha); the scored rows are written for a bounded number of models at a time."""
-    betas, out = fit_models(df, sets, alphas, weights, tol, max_iter), {}
+    """Held-out concordance of every (set, alpha); the scores travel for a bounded number of models at a time."""
+    betas, judged, out = fit_models(df, sets, alphas, weights, tol, max_iter), Judged.of(df), {}
     step = max(1, MODELS_PER_SCORING // len(alphas))
     for at in range(0, len(sets), step):
-        for r in fold_scores(df, sets[at:at + step], betas[at:at + step]).collect():
+        for r in fold_scores(df, sets[at:at + step], betas[at:at + step], judged=judged).collect():
             out[at + r["set"], r["alpha_no"]] = _or_failed(r["c_index"])
     return out
 
