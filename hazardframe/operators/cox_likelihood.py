@@ -23,6 +23,8 @@ MAX_CURVE_CELLS = 4_000_000  # distinct times x models that may be held as one a
 CHUNK = 8192
 BLOCK_CELLS = 1_000_000  # numbers that a task computes at a time: 8 MB
 MAX_SCORE = 500.0  # exp() stays finite
+SHARED_COLUMNS = 32  # of models that are evaluated on one design
+ORDERED_MODELS = 20  # from here on the rows are worth ordering by time
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,64 @@ class Models:
             yield s, np.nonzero(self.set_of == g)[0]
 
 
+class Shared:
+    """One design for all models: columns on a common scale, a mark for each imputed value, and ones.
+
+    The features of every training set are an affine map of it, so scores, sums and curvatures of all models are products of
+    a few matrices, and only their small results are mapped to each model's own features.
+    """
+
+    def __init__(self, models: Models, h: int):
+        self.models, p = models, h
+        self.order = np.argsort(models.set_of, kind="stable")
+        ends = np.searchsorted(models.set_of[self.order], np.arange(len(models.sets) + 1))
+        self.slices = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        self.imputed = models.sets[0].medians is not None
+        scaled = next((s for s in models.sets if s.means is not None), None)
+        self.center = np.zeros(p) if scaled is None else np.asarray(scaled.means)
+        self.scale = np.ones(p) if scaled is None else np.asarray(scaled.deviations)
+        self.width = p * (2 if self.imputed else 1) + 1
+        self.maps = np.stack([self._map(s, p) for s in models.sets])[models.set_of[self.order]]  # z = design @ map
+
+    def _map(self, s: TrainSet, p: int) -> np.ndarray:
+        means = np.zeros(p) if s.means is None else np.asarray(s.means)
+        deviations = np.ones(p) if s.means is None else np.asarray(s.deviations)
+        rows = [np.diag(self.scale / deviations)]
+        if self.imputed:
+            rows.append(np.diag((np.asarray(s.medians) - self.center) / deviations))
+        return np.concatenate([*rows, (self.center - means)[None] / deviations])
+
+    @staticmethod
+    def fits(models: Models, working: list[np.ndarray]) -> bool:
+        """Whether all models use the same columns, few enough to multiply them all by each other."""
+        p = models.beta.shape[1]
+        alike = len({len(w) for w in working}) == 1 and len(working[0]) in (0, p)
+        return alike and p <= SHARED_COLUMNS and len({s.medians is None for s in models.sets}) == 1
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.center) / self.scale
+        ones = np.ones((len(x), 1))
+        if not self.imputed:
+            return np.concatenate([z, ones], axis=1)
+        gone = np.isnan(x)
+        return np.concatenate([np.where(gone, 0.0, z), gone, ones], axis=1)
+
+    def coefficients(self) -> np.ndarray:
+        return np.einsum("mqp,mp->qm", self.maps, self.models.beta[self.order])
+
+    def inside(self, folds, n: int) -> list[np.ndarray]:
+        return [s.rows(folds, n).astype(float) for s in self.models.sets]
+
+    def risk(self, design: np.ndarray, coefficients: np.ndarray, inside: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and exp(score) of the training rows of each model (in ``order``)."""
+        eta = design @ coefficients
+        np.clip(eta, -MAX_SCORE, MAX_SCORE, out=eta)
+        risk = np.exp(eta)
+        for at, rows in zip(self.slices, inside):
+            risk[:, at] *= rows[:, None]
+        return eta, risk
+
+
 def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """An Arrow list column with equal lengths as a 2-D array; nulls become NaN."""
     col = batch.column(name)
@@ -149,6 +209,12 @@ class Likelihood:
         self.limit = max_curve_cells
         self._bounds: list[float] | None = None
 
+    def ordered(self) -> "Likelihood":
+        """Deal the rows by time once, so that a task of a scan sees few times; equal times may be dealt to several tasks."""
+        dealt = self.df.withColumn("__deal", F.xxhash64("features")).repartitionByRange("time", "__deal").sortWithinPartitions("time")
+        self.df = cut_lineage(dealt.drop("__deal"))
+        return self
+
     @property
     def bounds(self) -> list[float]:
         """Time ranges of bounded size for the joined plan, found when it first runs."""
@@ -163,6 +229,8 @@ class Likelihood:
     def _time_sums(self, models: Models, working: list[np.ndarray]) -> DataFrame:
         """Per distinct time, a vector that holds for each model: sum of exp(eta), deaths, sum of exp(eta) * features."""
         starts = np.concatenate([[0], np.cumsum([2 + len(w) for w in working])])
+        if Shared.fits(models, working):
+            return self._shared_time_sums(models, len(working[0]))
 
         def scan(batches):
             keep_t = keep_rows = None
@@ -188,6 +256,45 @@ class Likelihood:
 
         return sum_vectors(self.df.mapInArrow(scan, "key double, vec array<double>"), "double")
 
+    def _shared_time_sums(self, models: Models, p: int) -> DataFrame:
+        """The same sums from one product for each time of a batch."""
+        k = len(models.beta)
+        shared = Shared(models, models.beta.shape[1])
+        coefficients, back = shared.coefficients(), np.argsort(shared.order, kind="stable")
+        used = shared.width if p else 1  # the last column, of ones, gives the sum of exp(eta)
+
+        def scan(batches):
+            keep_t = keep_risk = keep_dead = None
+            for b in _sliced(batches, 3 * k):
+                if b.num_rows == 0:
+                    continue
+                t, e, x, folds = _unpack(b)
+                order = np.argsort(t, kind="stable")
+                inside = shared.inside(folds, len(t))
+                design = shared.design(x)
+                risk = shared.risk(design, coefficients, inside)[1]
+                dead = np.stack([e * rows for rows in inside], axis=1)
+                if (np.diff(order) != 1).any():
+                    t, risk, design, dead = t[order], risk[order], design[order], dead[order]
+                heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                sums = np.empty((len(heads), k * used))
+                for i, (lo, hi) in enumerate(zip(heads, [*heads[1:], len(t)])):
+                    np.matmul(risk[lo:hi].T, design[lo:hi, -used:], out=sums[i].reshape(k, used))
+                dead = np.add.reduceat(dead, heads, axis=0)
+                old_t = keep_t
+                keep_t, keep_risk = _merge_times(t[heads], sums, old_t, keep_risk)
+                keep_dead = _merge_times(t[heads], dead, old_t, keep_dead)[1]
+            if keep_t is not None:
+                for i in range(0, len(keep_t), 64):
+                    own = keep_risk[i:i + 64].reshape(-1, k, used)
+                    parts = [own[:, :, -1:], keep_dead[i:i + 64][:, models.set_of[shared.order], None]]
+                    if p:
+                        parts.append(np.einsum("tmq,mqp->tmp", own, shared.maps, optimize=True))
+                    out = np.concatenate(parts, axis=2)[:, back]
+                    yield _vectors(keep_t[i:i + 64], out.reshape(len(out), -1), pa.float64())
+
+        return sum_vectors(self.df.mapInArrow(scan, "key double, vec array<double>"), "double")
+
     def _held_curves(self, models: Models, working: list[np.ndarray]):
         """Curves as arrays: (times, H0), the sum of d log S0, and the risk-set part of the curvature, per model."""
         local = self._time_sums(models, working).toPandas().sort_values("key")
@@ -239,6 +346,39 @@ class Likelihood:
             held, source, corrections = None, self.df.join(curves, "time"), None
         sizes = [2 + p + len(w) ** 2 for w in working]
         per_model = max(-(-s // CHUNK) for s in sizes)
+        shared = Shared(models, p) if Shared.fits(models, working) else None
+
+        def shared_scan(batches):
+            coefficients, own = shared.coefficients(), models.set_of[shared.order]
+            first, second = np.triu_indices(shared.width)
+            n, died = np.zeros(len(models.sets)), np.zeros(k)
+            dead, expected = np.zeros((len(models.sets), shared.width)), np.zeros((k, shared.width))
+            curved = np.zeros((k, len(first)))
+            for b in _sliced(batches, 4 * k + len(first)):
+                if b.num_rows == 0:
+                    continue
+                t, e, x, folds = _unpack(b)
+                inside, design = shared.inside(folds, len(t)), shared.design(x)
+                eta, risk = shared.risk(design, coefficients, inside)
+                h0 = held.value[1][np.searchsorted(held.value[0], t)] if held is not None else matrix(b, "h0")
+                weight = risk * h0[:, shared.order]
+                for i, (at, rows) in enumerate(zip(shared.slices, inside)):
+                    n[i] += rows.sum()
+                    dead[i] += (e * rows) @ design
+                    died[at] += (e * rows) @ eta[:, at]
+                expected += weight.T @ design
+                if len(working[0]):
+                    if held is None:
+                        weight = np.maximum(weight - risk * risk * matrix(b, "q0")[:, shared.order], 0.0)
+                    curved += weight.T @ (design[:, first] * design[:, second])
+            grad = np.einsum("mq,mqp->mp", dead[own] - expected, shared.maps)
+            full = np.zeros((k, shared.width, shared.width))
+            full[:, first, second] = full[:, second, first] = curved
+            for j, m in enumerate(shared.order):
+                square = shared.maps[j].T @ full[j] @ shared.maps[j] if len(working[m]) else np.zeros(0)
+                v = np.concatenate([[died[j], n[own[j]]], grad[j], square.ravel()])
+                for c in range(0, len(v), CHUNK):
+                    yield _vectors([m * per_model + c // CHUNK], v[None, c:c + CHUNK], pa.int64())
 
         def scan(batches):
             sums = [np.zeros(s) for s in sizes]
@@ -270,7 +410,7 @@ class Likelihood:
                     yield _vectors([m * per_model + c // CHUNK], v[None, c:c + CHUNK], pa.int64())
 
         parts = {r["key"]: np.asarray(r["vec"])
-                 for r in sum_vectors(source.mapInArrow(scan, "key bigint, vec array<double>"), "bigint").collect()}
+                 for r in sum_vectors(source.mapInArrow(shared_scan if shared else scan, "key bigint, vec array<double>"), "bigint").collect()}
         if held is not None:
             held.unpersist()
         out = {"loglik": [], "n": [], "gradient": [], "curvature": []}

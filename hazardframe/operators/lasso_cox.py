@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.functions.scalar import dot
 from hazardframe.operators import model_concordance as mc
-from hazardframe.operators.cox_likelihood import MAX_CURVE_CELLS, MAX_SCORE, Likelihood, Models, TrainSet, _unpack
+from hazardframe.operators.cox_likelihood import MAX_CURVE_CELLS, MAX_SCORE, ORDERED_MODELS, Likelihood, Models, TrainSet, _unpack
 from hazardframe.operators.curves import breslow_baseline
 from hazardframe.operators.fold_statistics import set_medians, set_moments
 from hazardframe.operators.metrics import concordance_index
@@ -72,7 +72,7 @@ def fit_models(df: DataFrame, sets: list[TrainSet], alphas: list[float], weights
                max_iter: int = 60, working_set: int = WORKING_SET, likelihood: Likelihood | None = None) -> np.ndarray:
     """Coefficients of every (training set, alpha): array of shape (sets, alphas, features).
 
-    All models advance together, two scans per step, in batches whose hazard curves fit the checked size. A model that has
+    All models advance together, two scans per step and batch of models whose hazard curves fit the checked size. A model that has
     not settled after ``max_iter`` steps is an error and never a silent answer.
     """
     pairs = [(g, a) for g in range(len(sets)) for a in alphas]
@@ -83,9 +83,29 @@ def fit_pairs(df: DataFrame, sets: list[TrainSet], pairs: list[tuple[int, float]
               max_iter: int = 60, working_set: int = WORKING_SET, likelihood: Likelihood | None = None) -> np.ndarray:
     """Coefficients of chosen (training set number, alpha) pairs, one row each."""
     w, like = np.asarray(weights, dtype=float), likelihood or Likelihood(df)
-    step = like.models_per_scan(min(len(w), working_set))
-    return np.concatenate([_advance(like, sets, pairs[at:at + step], w, tol, max_iter, working_set)
-                           for at in range(0, len(pairs), step)])
+    if len(pairs) >= ORDERED_MODELS:
+        like.ordered()
+    return _advance(like, sets, pairs, w, tol, max_iter, working_set)
+
+
+def _evaluated(like, sets, set_of, beta, working):
+    """Evaluate models in scans of a checked size: number of the model and its values, a scan at a time.
+
+    Models of one set with equal coefficients are evaluated once.
+    """
+    same: dict[tuple, list[int]] = {}
+    for i, (g, b, w) in enumerate(zip(set_of.tolist(), beta, working)):
+        same.setdefault((g, b.tobytes(), w.tobytes()), []).append(i)
+    alike, step = list(same.values()), like.models_per_scan(max(map(len, working)))
+    for lo in range(0, len(alike), step):
+        some = [numbers[0] for numbers in alike[lo:lo + step]]
+        ids = sorted({int(set_of[i]) for i in some})
+        local = {g: at for at, g in enumerate(ids)}
+        models = Models([sets[g] for g in ids], np.asarray([local[int(set_of[i])] for i in some]), beta[some])
+        got = like.evaluate(models, [working[i] for i in some])
+        for at, numbers in enumerate(alike[lo:lo + step]):
+            for i in numbers:
+                yield i, {name: values[at] for name, values in got.items()}
 
 
 def _advance(like, sets, chunk, w, tol, max_iter, working_set):
@@ -98,14 +118,10 @@ def _advance(like, sets, chunk, w, tol, max_iter, working_set):
     # Features to include in the curvature; wide models start from the gradient alone.
     working = [np.arange(p) if p <= working_set else np.arange(0) for _ in range(k)]
     for _ in range(max_iter):
-        ids = sorted(set(set_of[open_models]))
-        local = {g: i for i, g in enumerate(ids)}
-        models = Models([sets[g] for g in ids], np.asarray([local[g] for g in set_of[open_models]]), beta[open_models])
-        got = like.evaluate(models, [working[m] for m in open_models])
         still = []
-        for i, m in enumerate(open_models):
-            n = max(got["n"][i], 1.0)
-            value = -got["loglik"][i] / n + float(penalty[m] @ np.abs(beta[m]))
+        for i, got in _evaluated(like, sets, set_of[open_models], beta[open_models], [working[m] for m in open_models]):
+            m, n = open_models[i], max(got["n"], 1.0)
+            value = -got["loglik"] / n + float(penalty[m] @ np.abs(beta[m]))
             if not np.isfinite(value) or value > best_value[m] + 1e-12 * max(1.0, abs(best_value[m])):
                 beta[m] = (beta[m] + best[m]) / 2  # the step was too long
                 if np.abs(beta[m] - best[m]).max() > 1e-12:
@@ -114,16 +130,16 @@ def _advance(like, sets, chunk, w, tol, max_iter, working_set):
                     beta[m] = best[m]
                 continue
             best_value[m], best[m] = value, beta[m].copy()
-            grad = got["gradient"][i] / n
+            grad = got["gradient"] / n
             gap = kkt_gap(grad, beta[m], penalty[m])
             if gap.max(initial=0.0) <= tol:
                 continue
             block = working[m]
             if len(block):
-                beta[m, block] = _newton_step(beta[m, block], grad[block], got["curvature"][i] / n, penalty[m, block])
+                beta[m, block] = _newton_step(beta[m, block], grad[block], got["curvature"] / n, penalty[m, block])
             working[m] = _working_set(beta[m], gap, working_set)
             still.append(m)
-        open_models = np.asarray(still, dtype=int)
+        open_models = np.asarray(sorted(still), dtype=int)
         if not len(open_models):
             return best
     left = ", ".join(f"set {chunk[m][0]} alpha {chunk[m][1]:.4g}" for m in open_models[:5])
