@@ -59,7 +59,7 @@ class Prepared:
 
 
 def prepare(features: DataFrame, clinical: DataFrame, cfg: StudyConfig) -> Prepared:
-    merged = encode.merge_cohort(features, clinical, cfg.id_col)
+    merged = cut_lineage(encode.merge_cohort(features, clinical, cfg.id_col))  # read by every step below
     encoder = encode.CohortEncoder(cfg.stage, cfg.gender, cfg.histology, cfg.stage_codes, cfg.gender_codes).fit(merged)
     cohort = encoder.transform(merged)
     ids = cfg.row_id or [cfg.id_col]
