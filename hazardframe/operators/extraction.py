@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.operators.neighbourhood import SIDE
 from hazardframe.operators.ordered import BROADCAST_ROWS, match_stats
+from hazardframe.operators.packed import by_size, is_packed
 from hazardframe.operators.texture import CLASSES, extract_features
-from hazardframe.operators.voxel_grid import AXES, BIN_WIDTH, LOG_SIGMAS, image_types, normalize
+from hazardframe.operators.voxel_grid import AXES, BIN_WIDTH, LOG_SIGMAS, image_types, normalize, packed_image_types
 from hazardframe.session import cut_lineage, settle
 
 MAX_LEVELS = 1 << 20  # grey levels that the packed counts hold
@@ -47,8 +48,12 @@ def broken_images(df: DataFrame, by: list[str] = ("image_id",)) -> DataFrame:
 
 def too_many_levels(images: DataFrame, by: list[str], width: float = BIN_WIDTH, most: int = MAX_LEVELS) -> DataFrame:
     """``(by, reason)`` of images whose masked intensities span more grey levels than the counts hold, or are not finite."""
-    x = F.col("intensity").cast("double")
-    span = images.where("mask = 1").groupBy(*by).agg(F.floor(F.max(x) / width).cast("double").alias("hi"), F.floor(F.min(x) / width).cast("double").alias("lo"))
+    ends = lambda hi, lo: (F.floor(hi / width).cast("double").alias("hi"), F.floor(lo / width).cast("double").alias("lo"))
+    if is_packed(images):
+        span = images.select(*by, *ends(F.array_max("v"), F.array_min("v")))
+    else:
+        x = F.col("intensity").cast("double")
+        span = images.where("mask = 1").groupBy(*by).agg(*ends(F.max(x), F.min(x)))
     fits = (F.col("hi") - F.col("lo") < most) & ~F.isnan("hi")
     return span.where(~F.coalesce(fits, F.lit(False))).select(*by, F.lit("too many grey levels").alias("reason"))
 
@@ -56,6 +61,8 @@ def too_many_levels(images: DataFrame, by: list[str], width: float = BIN_WIDTH,
 def without(df: DataFrame, broken: DataFrame, by: list[str]) -> DataFrame:
     """Rows of the images that are not in ``broken``, which is written and counted, and sent to the executors only if it is small."""
     table, n = settle(broken.select(*[F.col(b).alias(f"__b_{b}") for b in by]).distinct())
+    if not n:
+        return df
     same = reduce(lambda a, b: a & b, [df[b].eqNullSafe(table[f"__b_{b}"]) for b in by])
     return df.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, same, "left_anti")
 
@@ -67,17 +74,21 @@ def extract_isolated(df: DataFrame, by: list[str] = ("image_id",), classes: tupl
 
     By default images are normalised and all sixteen image types are made: the original, four pointwise ones, a Laplacian
     for each sigma and eight wavelet bands; all classes are computed from each, shape from the original alone. An empty
-    table gives two empty ones.
+    table gives two empty ones. Images of bounded size are packed, many side by side in a task; voxels of larger ones stay rows.
     """
     by = list(by)
+    key = [*by, "filter"]
+    scaled = lambda d: normalize(d, by=by) if normalized else d
     broken = cut_lineage(broken_images(df, by))
-    good = without(df, broken, by)
-    good = cut_lineage(normalize(good, by=by) if normalized else good)
-    images = image_types(good, by, sigmas, bands) if derived else good.withColumn("filter", F.lit("original"))
-    images = cut_lineage(images)
-    wide = cut_lineage(too_many_levels(images, [*by, "filter"], width).select(*by, "reason").distinct())
+    small, large = by_size(without(df, broken, by), by)
+    images = [cut_lineage(packed_image_types(scaled(small), by, sigmas if derived else (), bands and derived, derived))]
+    if large is not None:
+        large = cut_lineage(scaled(large))
+        images.append(cut_lineage(image_types(large, by, sigmas, bands) if derived else large.withColumn("filter", F.lit("original"))))
+    wide = cut_lineage(reduce(DataFrame.unionByName, [too_many_levels(i, key, width).select(*by, "reason") for i in images]).distinct())
     failed: list[DataFrame] = []
-    features = cut_lineage(extract_features(without(images, wide, by), [*by, "filter"], classes, width, spacing, failed))
+    features = [extract_features(without(i, wide, by), key, classes, width, spacing, failed) for i in images]
+    features = reduce(DataFrame.unionByName, [features[0], *map(cut_lineage, features[1:])])
     rejects = reduce(DataFrame.unionByName, [d.select(*by, "reason") for d in failed], broken.unionByName(wide))
     rejects = cut_lineage(rejects.groupBy(*by).agg(F.min("reason").alias("reason")))
     return without(features, rejects, by) if failed else features, rejects
