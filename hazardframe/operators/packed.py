@@ -2,8 +2,8 @@
 
 A packed table has one row for each image (and filter): ``(by, nz, ny, nx, at, v, __reason)``, where ``at`` has the places of the masked
 voxels in the image's box and ``v`` their intensities. The operators of ``texture`` take it in place of one row for each
-voxel and give one row for each image, whose lists hold what would be rows; as all of an image is at hand, nothing is shuffled
-and nothing but the features is written. What goes wrong with an image is in ``__reason``, and its other columns are null.
+voxel and give one row for each image, whose lists hold what would be rows; as all of an image is at hand, no class
+shuffles, and of the classes only the features are written. What goes wrong with an image is in ``__reason``, and its other columns are null.
 """
 
 from __future__ import annotations
